@@ -6,7 +6,7 @@ import importlib
 
 from gridloom.plans.registry import REGISTRY, Query
 
-MODULES = ["arrays"]
+MODULES = ["arrays", "texts"]
 
 
 def all_queries() -> dict[str, Query]:

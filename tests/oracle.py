@@ -1,4 +1,4 @@
-"""Run registered queries against their check SQL: ``python -m tests.oracle [name ...]``."""
+"""Run registered queries against their check SQL: ``python -m tests.oracle [name or @module ...]``."""
 
 from __future__ import annotations
 
@@ -77,7 +77,7 @@ def main(names: list[str]) -> int:
     spark.sparkContext.setLogLevel("ERROR")
     con = connect()
     failed = []
-    todo = {k: q for k, q in all_queries().items() if not names or any(n in k for n in names)}
+    todo = {k: q for k, q in all_queries().items() if not names or any(n in k or n == "@" + q.build.__module__.rsplit(".", 1)[1] for n in names)}
     for name, query in todo.items():
         start = time.time()
         try:
