@@ -6,7 +6,7 @@ import importlib
 
 from gridloom.plans.registry import REGISTRY, Query
 
-MODULES = ["arrays", "texts"]
+MODULES = ["arrays", "texts", "tables", "metrics"]
 
 
 def all_queries() -> dict[str, Query]:
