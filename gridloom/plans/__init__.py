@@ -6,7 +6,7 @@ import importlib
 
 from gridloom.plans.registry import REGISTRY, Query
 
-MODULES = ["arrays", "texts", "tables", "metrics"]
+MODULES = ["arrays", "texts", "tables", "metrics", "vision"]
 
 
 def all_queries() -> dict[str, Query]:
