@@ -6,7 +6,7 @@ import importlib
 
 from gridloom.plans.registry import REGISTRY, Query
 
-MODULES = ["arrays", "texts", "tables", "metrics", "vision"]
+MODULES = ["arrays", "texts", "tables", "metrics", "vision", "models", "streams", "files"]
 
 
 def all_queries() -> dict[str, Query]:
