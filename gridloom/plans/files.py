@@ -38,14 +38,10 @@ def csv_gzip(t):
 SELECT doc_id, md5(trim(regexp_replace('"' || text, '[\t\r\n]', '/', 'g'))) AS digest FROM documents""")
 def tsv_without_quotes(t):
     path = scratch_path(t.spark, "tsv")
-    line = F.concat_ws("\t", "doc_id", F.concat(F.lit('"'), F.regexp_replace("text", "[\t\r\n]", "/")))
-    header = t.spark.createDataFrame([("doc_id\tbody",)], "value string")
-    rows = t.documents.select(line.alias("value"))
-    # Each file needs its header, so every task's lines go below one.
-    parts = rows.repartition(4, "value").withColumn("p", F.spark_partition_id())
-    headed = header.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("o", F.lit(0)).unionByName(parts.withColumn("o", F.lit(1)))
-    headed.repartition(4, "p").sortWithinPartitions("p", "o").write.partitionBy("p").text(path)
-    out = TB.read_tsv(t.spark, f"{path}/p=*", {"doc_id": "long", "body": "string"})
+    body = F.concat(F.lit('"'), F.regexp_replace("text", "[\t\r\n]", "/"))
+    rows = t.documents.select(F.col("doc_id").alias("DOC_ID"), body.alias("BODY"))
+    rows.write.options(sep="\t", header=True, quote="", escape="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    out = TB.read_tsv(t.spark, path, {"doc_id": "long", "body": "string"})
     return out.select("doc_id", F.md5(F.trim("body")).alias("digest"))
 
 

@@ -21,7 +21,7 @@ from gridloom.operators import trees as TX
 from gridloom.operators import vocabulary as V
 from gridloom.plans.registry import query, r6
 from gridloom.plans.texts import TOKENS, VOCAB, tokens, vocabulary
-from gridloom.session import scratch_path
+from gridloom.session import cut_lineage, scratch_path
 
 CENTRES = """c AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
     w AS (SELECT label AS k, pos, avg(v) * 20 AS w FROM c GROUP BY 1, 2),
@@ -46,12 +46,12 @@ def batch_scores(t):
 @query("scoring_times", "M03 M08")
 def scoring_times(t):
     timed = SC.score(t.embeddings, centre_scorer(t), ["vec_id"], batch_size=50, timing=True)
-    log = timed.select(
+    log = cut_lineage(timed.select(
         "vec_id", F.explode(F.map_from_arrays(
             F.array(*[F.lit(n) for n in ("Preprocess", "Inference", "Postprocess", "Total")]),
             F.array("pre_nanos", "score_nanos", "post_nanos", "total_nanos"),
         )).alias("name", "nanos"),
-    ).persist()
+    ))
     return E.floor_rank_percentiles(log, "name", "nanos", "vec_id", [50, 90, 99])
 
 

@@ -10,6 +10,7 @@ from gridloom.operators import batching as B
 from gridloom.operators import features as FE
 from gridloom.operators import ordering as O
 from gridloom.operators import tensors as T
+from gridloom.operators import transforms as ST
 from gridloom.plans.registry import query, r6
 from gridloom.sources import generators as G
 
@@ -198,10 +199,23 @@ def activations(t):
     return c.select("vec_id", F.col("pos").cast("long").alias("pos"), *[r6(v).alias(k) for k, v in named.items()])
 
 
-@query("gelu_and_erfinv", "F09 F10")
+def horner(coefficients, x):
+    out = repr(coefficients[0]) + "::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out}) * {x} + {c!r}::DOUBLE"
+    return out
+
+
+@query("gelu_and_erfinv", "F09 F10", f"""
+WITH {CELLS}, x AS (SELECT vec_id, pos, v, v * 10 AS x, -ln(1 - v * v) AS w, 1 / (1 + 0.3275911 * abs(v * 10) / sqrt(2)) AS q FROM cells),
+y AS (SELECT *, w - 2.5 AS c, sqrt(w) - 3 AS l FROM x)
+SELECT vec_id, pos, round(x * 0.5 * (1 + sign(x) * (1 - ({horner([1.061405429, -1.453152027, 1.421413741, -0.284496736, 0.254829592], 'q')}) * q * exp(-x * x / 2))), 6) + 0.0 AS gelu,
+round(CASE WHEN w < 5 THEN {horner(N.ERFINV_CENTRE, 'c')} ELSE {horner(N.ERFINV_TAIL, 'l')} END * v, 6) + 0.0 AS erfinv FROM y""")
 def gelu_and_erfinv(t):
     c = T.explode_cells(t.embeddings, "embedding", ["vec_id"])
-    return c.select("vec_id", "pos", r6(N.activations(F.col("v") * 10)["gelu"]).alias("gelu"), r6(N.erfinv(F.col("v"))).alias("erfinv"))
+    return c.select(
+        "vec_id", F.col("pos").cast("long").alias("pos"), r6(N.activations(F.col("v") * 10)["gelu"]).alias("gelu"), r6(N.erfinv(F.col("v"))).alias("erfinv")
+    )
 
 
 @query("dropout_cells", "F12")
@@ -277,3 +291,16 @@ SELECT quality, toxic, count(*) AS n, (SELECT count(*) FROM labels) AS size FROM
 def label_distribution(t):
     counts = t.labels.groupBy("quality", "toxic").agg(F.count("*").alias("n"))
     return counts.withColumn("size", F.lit(t.labels.count()))
+
+
+@query("transform_steps", "D20 X03 X10", """
+SELECT c_custkey, length(lower(c_name)) AS name, round(ln(1 + abs(c_acctbal)) * 2, 6) AS balance, upper(substr(c_mktsegment, 1, 3)) AS segment FROM customer""")
+def transform_steps(t):
+    """Steps on data columns by name and position and on the target column."""
+    data = ST.Steps().add(lambda c: F.length(c), "c_name").add(lambda c: F.abs(c), 1).add(lambda c: F.log1p(c) * 2, "c_acctbal")
+    data.insert(0, F.lower, "c_name")
+    target = ST.Steps().add(lambda c: F.substring(c, 1, 3)).add(F.upper)
+    out = ST.prepare(t.customer, ["c_name", "c_acctbal"], ["c_mktsegment"], data, target)
+    return out.select(
+        "c_custkey", F.col("c_name").cast("long").alias("name"), r6("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment")
+    )

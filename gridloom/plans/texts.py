@@ -233,16 +233,37 @@ def piece_vocabulary(t):
     return base, special.unionByName(ranked.select("token", (F.col("id") + 4).alias("id")))
 
 
-@query("word_piece_tokens", "F31 F32")
+BASIC = rf"""basic AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(regexp_replace(regexp_replace(text,
+    '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}\x{{FFFD}}]', '', 'g'), '[\pZ\t\n\x0B\f\r\x1C-\x1F]', ' ', 'g'))), '{TOKEN}') AS t FROM documents),
+    bt AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos FROM basic),
+    bc AS (SELECT token, count(*) AS n FROM bt GROUP BY 1),
+    bw AS (SELECT token FROM bc WHERE n >= 20),
+    ch AS (SELECT DISTINCT unnest(string_split(token, '')) AS c FROM bc),
+    pre AS (SELECT token, e FROM (SELECT token, unnest(range(1, length(token) + 1)) AS e FROM bc) WHERE e = 1 OR token[1:e] IN (SELECT token FROM bw)),
+    best AS (SELECT token, max(e) AS e FROM pre GROUP BY 1),
+    pieces AS (SELECT token, CASE WHEN length(token) > 200 THEN ['[UNK]'] WHEN e = length(token) THEN [token]
+        ELSE list_concat([token[1:e]], ['##' || c FOR c IN string_split(token[e + 1:], '')]) END AS p FROM best),
+    pt AS (SELECT doc_id, pos, unnest(p) AS piece, generate_subscripts(p, 1) AS k FROM bt JOIN pieces USING (token)),
+    pv AS (SELECT piece, row_number() OVER (ORDER BY length(piece) DESC, piece) + 3 AS id FROM (SELECT token AS piece FROM bw UNION SELECT c FROM ch UNION SELECT '##' || c FROM ch)
+        UNION ALL SELECT * FROM (VALUES ('[PAD]', 0), ('[UNK]', 1), ('[CLS]', 2), ('[SEP]', 3)) r(piece, id))"""
+
+
+@query("word_piece_tokens", "F31 F32", f"""
+WITH {BASIC}, g AS (SELECT doc_id, count(*) AS pieces, md5(string_agg(piece, ' ' ORDER BY pos, k)) AS digest FROM pt GROUP BY 1)
+SELECT b.doc_id, len(t) AS words, coalesce(pieces, 0) AS pieces, coalesce(digest, md5('')) AS digest FROM basic b LEFT JOIN g USING (doc_id)""")
 def word_piece_tokens(t):
     base, vocab = piece_vocabulary(t)
     out = V.word_pieces(base, "tokens", vocab)
     return out.select(
-        "doc_id", F.size("tokens").alias("words"), F.size("pieces").alias("pieces"), F.md5(X.join_tokens(F.col("pieces"))).alias("digest")
+        "doc_id", F.size("tokens").cast("long").alias("words"), F.size("pieces").cast("long").alias("pieces"), F.md5(X.join_tokens(F.col("pieces"))).alias("digest")
     )
 
 
-@query("review_features", "F37 F38")
+@query("review_features", "F37 F38", f"""
+WITH {BASIC}, r AS (SELECT doc_id, piece, row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) AS r FROM pt),
+g AS (SELECT doc_id, list(id ORDER BY r) AS ids FROM r JOIN pv USING (piece) WHERE r <= 62 GROUP BY 1),
+c AS (SELECT doc_id, quality, list_concat([2], coalesce(ids, []), [3]) AS ids FROM labels LEFT JOIN g USING (doc_id) WHERE doc_id IN (SELECT doc_id FROM documents))
+SELECT doc_id, quality::FLOAT AS label, array_to_string([coalesce(ids[i], 0) FOR i IN range(1, 65)], ' ') AS ids, len(ids)::INT AS attended, 64 AS mask_width FROM c""")
 def review_features(t):
     base, vocab = piece_vocabulary(t)
     pieces = V.word_pieces(base, "tokens", vocab)
@@ -338,6 +359,37 @@ def next_sentences(t):
     return S.swap_half(pairs, "pair_id", seed=7)
 
 
+PAIR_SQL = f"""{LINES}, p AS (SELECT doc_id, r // 2 AS pair_no, min(line) FILTER (r % 2 = 0) AS a, min(line) FILTER (r % 2 = 1) AS b
+    FROM lines GROUP BY 1, 2 HAVING count(*) = 2)"""
+
+
+@query("swapped_sentences", "W04 D16", f"WITH {PAIR_SQL} SELECT md5(a) AS sentence, 'a' AS side FROM p UNION ALL SELECT md5(b), 'b' FROM p")
+def swapped_sentences(t):
+    """Swapping moves first sentences between pairs but neither loses nor adds any."""
+    swapped = next_sentences(t)
+    first = swapped.select(F.md5("a").alias("sentence"), F.lit("a").alias("side"))
+    return first.unionByName(swapped.select(F.md5("b").alias("sentence"), F.lit("b").alias("side")))
+
+
+@query("masked_totals", "D18 D17", rf"""
+WITH {PAIR_SQL}, n AS (SELECT len(regexp_extract_all(lower(b), '{TOKEN}')) AS b FROM p)
+SELECT count(*) AS rows, 128 AS width, 20 AS mask_width, true AS ids_kept, true AS masks_agree FROM n""")
+def masked_totals(t):
+    """Widths, the share of masked places and the stored labels of all masked-token rows."""
+    rows = masked_instances(t)
+    part = lambda c: F.split(c, " ").cast("array<long>")
+    flat = rows.select("length", *[part(c).alias(c) for c in ("token_ids", "input_mask", "masked_positions", "masked_ids", "label_mask")])
+    masked = A.total(F.col("label_mask").cast("array<double>"))
+    shown = F.zip_with("token_ids", F.sequence(F.lit(0), F.lit(127)), lambda x, p: F.struct(x.alias("x"), p.alias("p")))
+    # Only masked places may carry the mask id.
+    leaked = F.size(F.filter(shown, lambda s: (s["x"] == 3) & ~F.array_contains(F.slice("masked_positions", F.lit(1), masked.cast("int")), s["p"].cast("long"))))
+    return flat.agg(
+        F.count("*").alias("rows"), F.max(F.size("token_ids")).alias("width"), F.max(F.size("masked_ids")).alias("mask_width"),
+        F.bool_and(leaked == 0).alias("ids_kept"),
+        F.bool_and((masked == F.least(F.floor(F.col("length") / 5), F.lit(20))) & (A.total(F.col("input_mask").cast("array<double>")) == F.col("length"))).alias("masks_agree"),
+    )
+
+
 @query("next_sentence_pairs", "W04 D16")
 def next_sentence_pairs(t):
     return next_sentences(t).select("doc_id", "pair_no", "consecutive", F.md5("a").alias("a"), F.md5("b").alias("b"))

@@ -269,7 +269,14 @@ def detection_decode(t):
     return kept.select("image", "box_id", r6("score").alias("score"))
 
 
-@query("face_landmarks", "V08 J06")
+FACE = f"""{PRIORS8}, hd AS (SELECT vec_id AS box_id, vec_id // 64 AS image, [x::DOUBLE * 10 FOR x IN embedding[1:4]] AS l, [x::DOUBLE * 10 FOR x IN embedding[5:6]] AS s,
+        [x::DOUBLE FOR x IN embedding[11:20]] AS pts, pri.* FROM embeddings JOIN pri ON prior_id = vec_id % 64),
+    bx AS (SELECT box_id, image, 0 AS class, 1 / (1 + exp(s[1] - s[2])) AS score, l[1] * 0.1 * w + cx - exp(l[3] * 0.2) * w / 2 AS x, l[2] * 0.1 * h + cy - exp(l[4] * 0.2) * h / 2 AS y,
+    exp(l[3] * 0.2) * w AS w, exp(l[4] * 0.2) * h AS h, [{{'x': pts[2 * k + 1] * hd.w + cx, 'y': pts[2 * k + 2] * hd.h + cy}} FOR k IN range(5)] AS marks FROM hd WHERE 1 / (1 + exp(s[1] - s[2])) > 0.5)"""
+
+
+@query("face_landmarks", "V08 J06", "SELECT image, box_id, score, mark::INT AS mark, round(m.x * 640, 6) + 0.0 AS x, round(m.y * 480, 6) + 0.0 AS y FROM ("
+       + nms_sql(FACE, 0.4, ">", "image, box_id, round(score, 6) AS score, unnest(marks) AS m, generate_subscripts(marks, 1) - 1 AS mark") + ")")
 def face_landmarks(t):
     """Boxes and five landmarks per face, scaled to a 640 x 480 image."""
     probs = A.softmax(F.slice("scores", 1, 2))

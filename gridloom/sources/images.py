@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.lookup import checked_lookup
+from gridloom.operators.ordering import ordered_prefix
 
 # File name endings of images.
 EXTENSIONS = ["jpg", "jpeg", "png", "bmp", "wbmp", "gif"]
@@ -31,10 +32,7 @@ def label_paths(files: DataFrame, path: str, root: str, max_depth: int = 1, clas
         (F.size("_parts") >= 2) & (F.size("_parts") <= max_depth + 1) & ~name.startswith(".") & ending.isin(EXTENSIONS)
     ).drop("_parts")
     if classes is None:
-        names = kept.select("class").distinct()
-        smaller = names.select(F.col("class").alias("other"))
-        # Class names are few; each one's label is the number of names before it.
-        ranks = names.join(smaller, F.col("other") < F.col("class"), "left").groupBy("class").agg(F.count("other").alias("label"))
+        ranks = ordered_prefix(kept.select("class").distinct(), "class", index="label")
     else:
         ranks = classes.select("class", F.col("label").cast("long").alias("label"))
     return checked_lookup(kept, ranks, ["class"], [path], how="inner")
