@@ -46,7 +46,7 @@ def sample_recent(df: DataFrame, key: str, ts: str, tie: str, size: int, draw: i
 
 
 def sessions(df: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
-    """Sessions per key: a new one starts when at least ``gap_seconds`` passed since the last row.
+    """Sessions per key: a new one starts when more than ``gap_seconds`` passed since the last row.
 
     Rows in the same time slot of that width always share a session, so they are combined before the
     shuffle and only one row per (key, slot) reaches the window.
@@ -57,7 +57,7 @@ def sessions(df: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
         F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count(F.lit(1)).alias("_n")
     )
     order = Window.partitionBy(key).orderBy("_slot")
-    fresh = F.unix_micros("_first") - F.unix_micros(F.lag("_last").over(order)) >= gap
+    fresh = F.unix_micros("_first") - F.unix_micros(F.lag("_last").over(order)) > gap
     numbered = slots.withColumn("_new", F.coalesce(fresh, F.lit(True)).cast("int"))
     numbered = numbered.withColumn("session", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     return numbered.groupBy(key, "session").agg(

@@ -53,7 +53,7 @@ def stream_sliding_metrics(t):
     return out.select(plain("start"), "event_type", "n", "largest")
 
 
-SESSIONS = """g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 14400000000 THEN 0 ELSE 1 END AS fresh FROM events),
+SESSIONS = """g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) <= 14400000000 THEN 0 ELSE 1 END AS fresh FROM events),
     s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS session FROM g)"""
 
 
