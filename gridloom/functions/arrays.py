@@ -1,7 +1,8 @@
 """Column functions on packed arrays (one array per row), all evaluated inside the JVM.
 
 A lambda body is evaluated once per element, so anything that does not depend on the element is
-computed first and bound with :func:`let`.
+computed first and bound with :func:`let`. A plain column is bound too: the optimizer may put the expression
+behind it into the lambda when it merges projections.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def product(arr: Column) -> Column:
 
 
 def mean(arr: Column) -> Column:
-    return total(arr) / F.nullif(F.size(arr), F.lit(0))
+    return let(arr, lambda a: total(a) / F.nullif(F.size(a), F.lit(0)))
 
 
 def norm(arr: Column, order: int = 2) -> Column:
@@ -61,7 +62,7 @@ def arg_sort(arr: Column, ascending: bool = True) -> Column:
         keyed = F.transform(arr, lambda x, i: F.struct(x.alias("v"), i.alias("i")))
     else:
         keyed = F.transform(arr, lambda x, i: F.struct((-x).alias("v"), i.alias("i")))
-    return F.transform(F.array_sort(keyed), lambda s: s["i"])
+    return F.transform(F.sort_array(keyed), lambda s: s["i"])
 
 
 def log_softmax(arr: Column) -> Column:
@@ -95,10 +96,8 @@ def layer_norm(arr: Column, epsilon: float = 1e-5) -> Column:
 
 
 def one_hot(index: Column, width: int, on: float = 1.0, off: float = 0.0) -> Column:
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda i: F.when(i == index, F.lit(float(on))).otherwise(F.lit(float(off))),
-    )
+    places = F.sequence(F.lit(0), F.lit(width - 1))
+    return let(index, lambda at: F.transform(places, lambda i: F.when(i == at, F.lit(float(on))).otherwise(F.lit(float(off)))))
 
 
 def pick(arr: Column, index: Column) -> Column:
@@ -108,25 +107,28 @@ def pick(arr: Column, index: Column) -> Column:
 
 def stepped(arr: Column, start: int = 0, stop: int | None = None, step: int = 1) -> Column:
     """``start:stop:step`` with negative bounds counted from the end."""
-    size = F.size(arr)
-    first = F.lit(start) if start >= 0 else size + start
-    last = size if stop is None else (F.lit(stop) if stop >= 0 else size + stop)
-    return F.filter(arr, lambda x, i: (i >= first) & (i < last) & ((i - first) % step == 0))
+
+    def cut(size: Column) -> Column:
+        first = F.lit(start) if start >= 0 else size + start
+        last = size if stop is None else (F.lit(stop) if stop >= 0 else size + stop)
+        return F.filter(arr, lambda x, i: (i >= first) & (i < last) & ((i - first) % step == 0))
+
+    return let(F.size(arr), cut)
 
 
 def masked(arr: Column, mask: Column) -> Column:
     """Elements whose mask entry is true."""
-    return F.filter(arr, lambda x, i: F.get(mask, i))
+    return let(mask, lambda m: F.filter(arr, lambda x, i: F.get(m, i)))
 
 
 def set_where(arr: Column, condition: Callable[[Column, Column], Column], value: Column) -> Column:
     """Replace the elements for which ``condition(element, position)`` holds."""
-    return F.transform(arr, lambda x, i: F.when(condition(x, i), value).otherwise(x))
+    return let(value, lambda v: F.transform(arr, lambda x, i: F.when(condition(x, i), v).otherwise(x)))
 
 
 def sequence_mask(arr: Column, length: Column, value: float = 0.0) -> Column:
     """Elements at positions from ``length`` on become ``value``."""
-    return F.transform(arr, lambda x, i: F.when(i < length, x).otherwise(F.lit(value)))
+    return let(length, lambda n: F.transform(arr, lambda x, i: F.when(i < n, x).otherwise(F.lit(value))))
 
 
 def nonzero(arr: Column) -> Column:
@@ -167,15 +169,13 @@ def all_close(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8, equa
 
 def pad(arr: Column, value: Column, width: Column | int) -> Column:
     """Append ``value`` until the array has ``width`` elements; longer arrays stay."""
-    missing = F.greatest(F.lit(0), F.lit(width) - F.size(arr)) if isinstance(width, int) else F.greatest(
-        F.lit(0), width - F.size(arr)
-    )
-    return F.concat(arr, F.array_repeat(value, missing.cast("int")))
+    width = F.lit(width) if isinstance(width, int) else width
+    return let(arr, lambda a: F.concat(a, F.array_repeat(value, F.greatest(F.lit(0), width - F.size(a)).cast("int"))))
 
 
 def fit(arr: Column, value: Column, width: int) -> Column:
     """Cut or pad to exactly ``width`` elements."""
-    return pad(F.slice(arr, 1, width), value, width)
+    return F.slice(F.concat(arr, F.array_repeat(value, width)), 1, width)
 
 
 def section_equal(position: Column, size: Column, parts: int) -> Column:
@@ -196,5 +196,5 @@ def top_k(classes: Column, probs: Column, k: int) -> Column:
     pairs = F.zip_with(classes, probs, lambda c, p: F.struct((-p).alias("key"), c.alias("class")))
     placed = F.transform(pairs, lambda s, i: F.struct(s["key"].alias("key"), i.alias("i"), s["class"].alias("class")))
     return F.transform(
-        F.slice(F.array_sort(placed), 1, k), lambda s: F.struct(s["class"].alias("class"), (-s["key"]).alias("prob"))
+        F.slice(F.sort_array(placed), 1, k), lambda s: F.struct(s["class"].alias("class"), (-s["key"]).alias("prob"))
     )

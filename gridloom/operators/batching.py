@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import arrays as A
 from gridloom.operators.lookup import checked_lookup
 from gridloom.operators.ordering import ordered_prefix
+from gridloom.operators.tensors import explode_rows
 
 
 def length_bucket(df: DataFrame, length: str, buckets: int) -> DataFrame:
@@ -59,7 +60,7 @@ def stack(df: DataFrame, array: str, batch: str, pos: str) -> DataFrame:
     stacked = df.groupBy(batch).agg(
         F.min(sizes).alias("_lo"),
         F.max(sizes).alias("_hi"),
-        F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(array).alias("x")))).alias("_rows"),
+        F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(array).alias("x")))).alias("_rows"),
     )
     rows = F.when(F.col("_lo") != F.col("_hi"), F.raise_error(F.lit("records of a batch differ in shape"))).otherwise(
         F.transform("_rows", lambda s: s["x"])
@@ -68,7 +69,7 @@ def stack(df: DataFrame, array: str, batch: str, pos: str) -> DataFrame:
 
 
 def unstack(df: DataFrame, stacked: str, batch: str) -> DataFrame:
-    return df.select(batch, F.posexplode(stacked).alias("pos", "record"))
+    return explode_rows(df, stacked, [batch], value="record")
 
 
 def split_slices(pos: Column, size: Column, parts: int, even: bool = False) -> Column:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.arrays import let
 from gridloom.functions.numeric import seeded_uniform
 
 
@@ -14,7 +15,9 @@ def to_tensor(pixels: Column, height: int, width: int, channels: int) -> Column:
     """Channel-first order, divided by 255."""
     area = height * width
     places = F.sequence(F.lit(0), F.lit(area * channels - 1))
-    return F.transform(places, lambda p: F.get(pixels, (p % area) * channels + F.floor(p / area).cast("int")) / 255.0)
+    return let(
+        pixels, lambda x: F.transform(places, lambda p: F.get(x, (p % area) * channels + F.floor(p / area).cast("int")) / 255.0)
+    )
 
 
 def normalize(pixels: Column, mean: list[float], deviation: list[float]) -> Column:
@@ -115,7 +118,7 @@ def flip(pixels: Column, height: int, width: int, channels: int, left_right: boo
         i, j = (i, width - 1 - j) if left_right else (height - 1 - i, j)
         return (i * width + j) * channels + c
 
-    return F.transform(places, lambda p: F.get(pixels, source(p)))
+    return let(pixels, lambda x: F.transform(places, lambda p: F.get(x, source(p))))
 
 
 def random_flip(pixels: Column, height: int, width: int, channels: int, seed: int, key: Column, left_right: bool = True) -> Column:

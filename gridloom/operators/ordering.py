@@ -59,15 +59,23 @@ def ordered_prefix(
     sums: dict[str, str] | None = None,
     descending: bool = False,
     rows_per_slot: int | None = None,
+    wide: bool = False,
 ) -> DataFrame:
     """Add a 0-based row index and/or inclusive running sums in the order (lead, tie).
 
     ``within`` names group columns; a group of any size is spread over slots. ``lead`` plus ``tie``
     must be unique inside a group, else the order among equals is arbitrary. ``descending`` turns the
-    leading key round; the tie-breaker always ascends.
+    leading key round; the tie-breaker always ascends. With ``wide`` only the key columns are sorted and the
+    result is joined back by them (they must be unique), so that long texts or arrays are not sorted.
     """
     within = within or []
     sums = sums or {}
+    if wide:
+        keys = list(dict.fromkeys([*within, lead, *([tie] if tie else [])]))
+        narrow = df.select(*dict.fromkeys([*keys, *sums.values()]))
+        placed = ordered_prefix(narrow, lead, tie, within, index, sums, descending, rows_per_slot)
+        added = [*([index] if index else []), *sums]
+        return df.join(placed.select(*keys, *added), keys)
     per_slot = rows_per_slot or ROWS_PER_SLOT
     types = {field.name: field.dataType for field in df.schema}
     sign = -1.0 if descending else 1.0
@@ -136,9 +144,9 @@ def ordered_prefix(
     return numbered.select(*columns)
 
 
-def batches(df: DataFrame, size: int, lead: str, tie: str | None = None, drop_last: bool = False) -> DataFrame:
+def batches(df: DataFrame, size: int, lead: str, tie: str | None = None, drop_last: bool = False, wide: bool = False) -> DataFrame:
     """Sequential batches: ``batch_id`` and position ``pos`` inside it; optionally without a short last one."""
-    placed = ordered_prefix(df, lead, tie, index="_row")
+    placed = ordered_prefix(df, lead, tie, index="_row", wide=wide)
     out = placed.withColumn("batch_id", F.floor(F.col("_row") / size)).withColumn("pos", F.col("_row") % size)
     if drop_last:
         full = df.count() // size

@@ -11,13 +11,15 @@ from gridloom.operators.lookup import checked_lookup
 from gridloom.session import cut_lineage
 
 TILE = 256
+MAX_EDGES = 500_000
 
 
-def regions(cells: DataFrame, map_key: str, tile: int = TILE) -> DataFrame:
+def regions(cells: DataFrame, map_key: str, tile: int = TILE, max_edges: int = MAX_EDGES) -> DataFrame:
     """Label foreground cells (map, i, j) with ``region``, the smallest cell number of their 4-neighbour region.
 
     Each tile is labelled on its own (at most ``tile * tile`` cells per group). Labels that touch across a
-    tile edge are then merged by an iterated minimum over the much smaller graph of tile regions.
+    tile edge are then merged over the much smaller graph of tile regions: per map in one group while no map has
+    more than ``max_edges`` touching pairs, else by an iterated minimum over all tasks.
     """
     number = "bigint(i) * 4294967296 + bigint(j)"
     base = cells.select(map_key, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
@@ -55,11 +57,34 @@ def regions(cells: DataFrame, map_key: str, tile: int = TILE) -> DataFrame:
     touching = cut_lineage(across("i").unionByName(across("j")).distinct())
     if touching.isEmpty():
         return local
-    roots = merge_labels(touching, map_key).withColumnRenamed("node", "region")
+    crowded = touching.groupBy(map_key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_edges)
+    merge = _merge_local if crowded.isEmpty() else merge_labels
+    roots = merge(touching, map_key).withColumnRenamed("node", "region")
     joined = checked_lookup(local, roots, [map_key, "region"], ["i", "j"])
     return joined.withColumn("region", F.coalesce("root", "region")).drop("root")
 
 
+def _merge_local(edges: DataFrame, key: str) -> DataFrame:
+    """Smallest connected node per node, one map per group."""
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        names, ends = np.unique(part[["a", "b"]].to_numpy().ravel(), return_inverse=True)
+        a, b = ends.reshape(-1, 2).T
+        root = np.arange(len(names))
+        while True:
+            low = np.minimum(root[a], root[b])
+            before = root.copy()
+            np.minimum.at(root, root[a], low)
+            np.minimum.at(root, root[b], low)
+            root = root[root]
+            if (root == before).all():
+                break
+        return pd.DataFrame({key: part[key].iloc[0], "node": names, "root": names[root]})
+
+    kind = edges.schema[key].dataType.simpleString()
+    return edges.groupBy(key).applyInPandas(merge, f"`{key}` {kind}, node long, root long")
+
+
 def merge_labels(edges: DataFrame, key: str) -> DataFrame:
     """(key, node, root): the smallest node connected to each node of an edge list (key, a, b).
 

@@ -123,15 +123,24 @@ class LinearScorer(Scorer):
         return pd.DataFrame({"class": best, "probability": output[np.arange(len(best)), best]})
 
 
-def linear_probabilities(features: list[Column], weights: list[list[float]], bias: list[float]) -> Column:
-    """Softmax regression as an expression, for a few features and classes."""
+def linear_probabilities(features: list[Column], weights: list[list[float]], bias: list[float]) -> list[Column]:
+    """Class probabilities of a softmax regression as plain expressions, for a few features and classes."""
     logits = []
     for row, offset in zip(weights, bias, strict=True):
         total = F.lit(float(offset))
         for w, x in zip(row, features, strict=True):
             total = total + F.lit(float(w)) * x
         logits.append(total)
-    return A.softmax(F.array(*logits))
+    top = F.greatest(*logits)
+    powers = [F.exp(x - top) for x in logits]
+    mass = sum(powers[1:], powers[0])
+    return [p / mass for p in powers]
+
+
+def best_class(names: list[str], probabilities: list[Column]) -> Column:
+    """(prob, class) of the most probable class, the first one among equals."""
+    ranked = [F.struct(p.alias("prob"), F.lit(-i).alias("i"), F.lit(n).alias("class")) for i, (n, p) in enumerate(zip(names, probabilities, strict=True))]
+    return F.greatest(*ranked) if len(ranked) > 1 else ranked[0]
 
 
 def answer_span(tokens: Column, start_scores: Column, end_scores: Column) -> Column:

@@ -19,16 +19,17 @@ def line_pairs(df: DataFrame, lines: str, key: str) -> DataFrame:
     """Lines 1 and 2, 3 and 4, ... of each document: (key, pair_no, a, b)."""
     count = F.floor(F.size(lines) / 2).cast("int")
     numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    pairs = F.transform(
-        numbers,
-        lambda i: F.struct(F.get(lines, i * 2).alias("a"), F.get(lines, i * 2 + 1).alias("b")),
-    )
+    pairs = A.let(F.col(lines), lambda held: F.transform(
+        numbers, lambda i: F.struct(F.get(held, i * 2).alias("a"), F.get(held, i * 2 + 1).alias("b"))
+    ))
     return df.select(key, F.posexplode(pairs).alias("pair_no", "pair")).select(key, "pair_no", "pair.a", "pair.b")
 
 
 def swap_half(df: DataFrame, key: str, seed: int) -> DataFrame:
     """Next-sentence samples: in a seeded random order, two neighbours exchange their first sentence with
-    probability one half; ``consecutive`` is 0 for both when they did."""
+    probability one half; ``consecutive`` is 0 for both when they did.
+
+    The input is read more than once; cut its lineage first when it is expensive."""
     placed = shuffled(df, seed, key).withColumn("_couple", F.floor(F.col("position") / 2))
     couple = Window.partitionBy("_couple")
     size, low, high = F.count(F.lit(1)).over(couple), F.min_by("a", "position").over(couple), F.max_by("a", "position").over(couple)
@@ -68,27 +69,30 @@ def masked_instances(
     rows = rows.withColumn("_label", label).withColumn("_n", F.size("_label"))
     places = F.sequence(F.lit(0), F.col("_n") - 1)
     if protect_special:
-        separator = F.size("_a") + 1
-        places = F.filter(places, lambda p: (p != 0) & (p != separator) & (p != F.col("_n") - 1))
-    drawn = F.array_sort(F.transform(places, lambda p: F.struct(F.xxhash64(F.lit(seed), key, p).alias("h"), p.alias("p"))))
+        specials = F.array(F.lit(0), F.size("_a") + 1, F.col("_n") - 1)
+        places = F.array_except(places, specials)
+    drawn = F.sort_array(F.transform(places, lambda p: F.struct(F.xxhash64(F.lit(seed), key, p).alias("h"), p.alias("p"))))
     wanted = F.least(F.floor(F.col("_n") / MASK_SHARE_DIVISOR), F.lit(MASK_WIDTH)).cast("int")
-    rows = rows.withColumn("_at", F.array_sort(F.transform(F.slice(drawn, F.lit(1), wanted), lambda s: s["p"])))
+    rows = rows.withColumn("_at", F.sort_array(F.transform(F.slice(drawn, F.lit(1), wanted), lambda s: s["p"])))
 
-    def token(x: Column, p: Column) -> Column:
+    def token(at: Column, x: Column, p: Column) -> Column:
         draw = seeded_uniform(seed + 1, key, p)
         other = F.pmod(F.xxhash64(F.lit(seed + 2), key, p), F.lit(vocabulary_size))
         replaced = F.when(draw < MASK_BELOW, F.lit(mask_id).cast("long")).when(draw < RANDOM_BELOW, other).otherwise(x)
-        return F.when(F.array_contains(F.col("_at"), p), replaced).otherwise(x)
+        return F.when(F.array_contains(at, p), replaced).otherwise(x)
+
+    masked = A.let(F.col("_at"), lambda at: F.transform("_label", lambda x, p: token(at, x, p)))
+    answers = A.let(F.col("_label"), lambda label_: F.transform("_at", lambda p: F.get(label_, p)))
 
     types = F.concat(F.array_repeat(F.lit(0), F.size("_a") + 2), F.array_repeat(F.lit(1), F.size("_b") + 1))
     zero, zero_long = F.lit(0), F.lit(0).cast("long")
     return rows.select(
         *df.columns,
-        A.fit(F.transform("_label", token), zero_long, SEQUENCE_WIDTH).alias("token_ids"),
+        A.fit(masked, zero_long, SEQUENCE_WIDTH).alias("token_ids"),
         A.fit(types, zero, SEQUENCE_WIDTH).alias("type_ids"),
         A.fit(F.array_repeat(F.lit(1), F.col("_n")), zero, SEQUENCE_WIDTH).alias("input_mask"),
         A.fit(F.col("_at"), zero, MASK_WIDTH).alias("masked_positions"),
-        A.fit(F.transform("_at", lambda p: F.get("_label", p)), zero_long, MASK_WIDTH).alias("masked_ids"),
+        A.fit(answers, zero_long, MASK_WIDTH).alias("masked_ids"),
         A.fit(F.transform("_at", lambda p: F.lit(1)), zero, MASK_WIDTH).alias("label_mask"),
         F.col("_n").alias("length"),
     )

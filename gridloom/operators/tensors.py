@@ -12,14 +12,24 @@ from pyspark.sql import functions as F
 from gridloom.operators.lookup import checked_lookup
 
 
+def explode_rows(df: DataFrame, array: str, keys: list[str], index: str = "pos", value: str = "v") -> DataFrame:
+    """One row per array element.
+
+    The inner form of explode makes the optimizer test the array's size below it, which evaluates a computed
+    array (a tokeniser, say) a second and third time; the outer form with a filter above does not.
+    """
+    out = df.select(*keys, F.posexplode_outer(array).alias(index, value))
+    return out.filter(F.col(index).isNotNull())
+
+
 def explode_cells(df: DataFrame, array: str, keys: list[str], index: str = "pos", value: str = "v") -> DataFrame:
-    """Packed rows to cells."""
-    return df.select(*keys, F.posexplode(array).alias(index, value)).withColumn(value, F.col(value).cast("double"))
+    """Packed rows to cells of doubles."""
+    return explode_rows(df, array, keys, index, value).withColumn(value, F.col(value).cast("double"))
 
 
 def pack_cells(df: DataFrame, keys: list[str], index: str = "pos", value: str = "v", name: str = "packed") -> DataFrame:
     """Cells back to one array per key; the group is one array, so its size is that of a record."""
-    packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(index, value))).alias("_cells"))
+    packed = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(index, value))).alias("_cells"))
     return packed.select(*keys, F.transform("_cells", lambda s: s[value]).alias(name))
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,23 +125,28 @@ def gradient_sums(df: DataFrame, features: str, label: str, work: list[tuple[Mod
     """
     shared = df.sparkSession.sparkContext.broadcast(work)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = None
         for rows in batches:
-            if not len(rows):
+            if not rows.num_rows:
                 continue
-            x = np.stack(rows[features].to_numpy()).astype(float)
-            y = rows[label]
-            y = np.stack(y.to_numpy()).astype(float) if y.dtype == object else y.to_numpy(dtype=float)
-            new = [(len(rows), *m.gradients(p, x, y)) for m, p in shared.value]
+            x, y = _matrix(rows.column(0)), _matrix(rows.column(1))
+            new = [(len(x), *m.gradients(p, x, y)) for m, p in shared.value]
             sums = new if sums is None else _add(sums, new)
         if sums is not None:
-            yield pd.DataFrame({"sums": [pickle.dumps(sums)]})
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(sums)], pa.binary())], names=["sums"])
 
-    parts = df.select(features, label).mapInPandas(partial, "sums binary")
+    parts = df.select(features, label).mapInArrow(partial, "sums binary")
     return parts.rdd.map(lambda row: pickle.loads(bytes(row["sums"]))).treeReduce(_add, depth)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A number per row as a vector, an array per row as a matrix."""
+    if pa.types.is_list(column.type):
+        return np.asarray(column.flatten(), dtype=float).reshape(len(column), -1)
+    return np.asarray(column, dtype=float)
+
+
 def _add(a, b):
     return [
         (na + nb, la + lb, ra + rb, {k: ga[k] + gb[k] for k in ga})

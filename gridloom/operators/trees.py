@@ -6,9 +6,13 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.arrays import let
+
 
 def node_table(dump: str) -> pd.DataFrame:
     """Flat nodes (tree, node, feature, threshold, yes, no, missing, leaf) of a dumped ensemble.
@@ -67,23 +71,27 @@ def predict_trees(spark: SparkSession, features: Column, nodes: pd.DataFrame, mo
                 at[inner] = np.where(np.isnan(x), table["missing"][node], step)
         return out
 
-    def matrix(column: pd.Series) -> np.ndarray:
-        return np.stack([np.array(row, dtype=float) for row in column])
+    def matrix(column: pa.Array) -> np.ndarray:
+        flat = pc.fill_null(column.flatten().cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False)
+        return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
     if mode == "leaf":
 
-        @F.pandas_udf("array<long>")
-        def which(column: pd.Series) -> pd.Series:
-            return pd.Series(list(leaves(matrix(column)))) if len(column) else pd.Series([], dtype=object)
+        @F.arrow_udf("array<bigint>")
+        def which(column: pa.Array) -> pa.Array:
+            found = leaves(matrix(column))
+            ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * used)
+            return pa.ListArray.from_arrays(ends, pa.array(found.ravel()))
 
         return which(features)
 
-    @F.pandas_udf("double")
-    def margin(column: pd.Series) -> pd.Series:
-        if not len(column):
-            return pd.Series([], dtype=float)
+    @F.arrow_udf("double")
+    def margin(column: pa.Array) -> pa.Array:
         at = leaves(matrix(column))
-        return pd.Series(base_score + sum(table["leaf"][at[:, t]] for t, table in enumerate(shared.value)))
+        total = np.full(len(at), float(base_score))
+        for t, table in enumerate(shared.value):
+            total += table["leaf"][at[:, t]]
+        return pa.array(total)
 
     total = margin(features)
     if mode == "margin" or not objective.endswith(":logistic"):
@@ -93,7 +101,8 @@ def predict_trees(spark: SparkSession, features: Column, nodes: pd.DataFrame, mo
 
 def dense_from_sparse(indices: Column, values: Column, width: int) -> Column:
     """A dense array from parallel index and value arrays; absent positions are NaN (missing)."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda i: F.coalesce(F.get(values, F.array_position(indices, i).cast("int") - 1), F.lit(float("nan"))),
-    )
+    places = F.sequence(F.lit(0), F.lit(width - 1))
+    missing = F.lit(float("nan"))
+    return let(indices, lambda at: let(values, lambda v: F.transform(
+        places, lambda i: F.coalesce(F.get(v, F.array_position(at, i).cast("int") - 1), missing)
+    )))

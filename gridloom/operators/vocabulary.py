@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, StringType
 from gridloom.functions.text import MAX_WORD_CHARS, UNKNOWN
 from gridloom.operators.lookup import BROADCAST_ROWS, checked_lookup
 from gridloom.operators.ordering import ordered_prefix
-from gridloom.operators.tensors import pack_cells
+from gridloom.operators.tensors import explode_rows, pack_cells
 from gridloom.session import cut_lineage
 
 WORD_CACHE = 200_000
@@ -20,7 +20,7 @@ WORD_CACHE = 200_000
 
 def token_counts(df: DataFrame, tokens: str) -> DataFrame:
     """Token frequencies; counts are combined before the shuffle, so frequent tokens cost nothing extra."""
-    return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+    return explode_rows(df, tokens, [], value="token").groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
 
 
 def build_vocabulary(
@@ -165,7 +165,7 @@ def embed(df: DataFrame, tokens: str, vectors: DataFrame, key: str, unknown: str
           max_rows: int = 50_000) -> DataFrame:
     """Vectors (token, vector) of every token in order: (key, pos, vector); unknown tokens share one vector."""
     fallback = vectors.filter(F.col("token") == unknown).select("vector").first()["vector"]
-    exploded = df.select(key, F.posexplode(tokens).alias("pos", "token"))
+    exploded = explode_rows(df, tokens, [key], value="token")
     joined = checked_lookup(exploded, vectors, ["token"], [key, "pos"], max_rows=max_rows)
     default = F.array(*[F.lit(float(x)) for x in fallback])
     return joined.select(key, "pos", F.coalesce("vector", default).alias("vector"))
@@ -173,5 +173,5 @@ def embed(df: DataFrame, tokens: str, vectors: DataFrame, key: str, unknown: str
 
 def mean_embedding(embedded: DataFrame, key: str) -> DataFrame:
     """Average vector per key, reduced before the shuffle: (key, dim, value)."""
-    cells = embedded.select(key, F.posexplode("vector").alias("dim", "x"))
+    cells = explode_rows(embedded, "vector", [key], "dim", "x")
     return cells.groupBy(key, "dim").agg(F.avg("x").alias("value"))

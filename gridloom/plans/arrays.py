@@ -362,7 +362,7 @@ pos // 3 AS part FROM embeddings JOIN n USING (vec_id), k""")
 def concat_features(t):
     v = vectors(t)
     raw = v.select("vec_id", F.slice("e", 1, 3).alias("raw"))
-    unit = v.select("vec_id", F.transform(F.slice("e", 1, 3), lambda x: x / A.norm(F.col("e"))).alias("unit"))
+    unit = v.select("vec_id", A.let(A.norm(F.col("e")), lambda n: F.transform(F.slice("e", 1, 3), lambda x: x / n)).alias("unit"))
     joined = raw.join(unit, "vec_id").select("vec_id", F.posexplode(F.concat("raw", "unit")).alias("pos", "x"))
     return joined.select(
         "vec_id", F.col("pos").cast("long").alias("pos"), r6("x").alias("joined"),
@@ -397,7 +397,7 @@ WITH {CELLS} SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY v, p
 row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, pos) - 1 AS place_desc FROM cells""")
 def sort_rows(t):
     e = F.col("e")
-    v = vectors(t).select("vec_id", F.array_sort("e").alias("s"), A.arg_sort(e).alias("up"), A.arg_sort(e, False).alias("down"))
+    v = vectors(t).select("vec_id", F.sort_array("e").alias("s"), A.arg_sort(e).alias("up"), A.arg_sort(e, False).alias("down"))
     up = v.select("vec_id", F.posexplode(F.arrays_zip("s", "up")).alias("place", "x"))
     down = v.select("vec_id", F.posexplode("down").alias("place_desc", "origin"))
     out = up.select("vec_id", "place", F.col("x.s").alias("v"), F.col("x.up").alias("origin")).join(down, ["vec_id", "origin"])

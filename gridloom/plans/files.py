@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import arrays as A
 from gridloom.operators import features as FE
+from gridloom.operators.tensors import explode_rows
 from gridloom.plans.registry import query, r6
 from gridloom.session import scratch_path
 from gridloom.sources import images as IM
@@ -70,7 +71,7 @@ def feature_catalogue(t):
     t.spark.createDataFrame([(json.dumps(spec),)], "value string").coalesce(1).write.text(path)
     text = t.spark.read.text(path, wholetext=True).first()["value"]
     out = FE.featurize(t.part, FE.catalogue(text), [FE.Feature("p_retailprice")], "p_partkey")
-    out = out.select("p_partkey", F.posexplode("data").alias("pos", "v"))
+    out = explode_rows(out, "data", ["p_partkey"])
     return out.withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -139,7 +140,7 @@ def colour_records(t):
     cells = F.transform(F.slice("embedding", 1, 48), lambda x: F.lpad(F.hex((F.abs(x.cast("double")) * 255).cast("int")), 2, "0"))
     raw = F.unhex(F.concat(F.lpad(F.hex("label"), 2, "0"), F.array_join(cells, "")))
     out = IM.with_colour_pixels(t.embeddings.select("vec_id", raw.alias("record")), "record", 4, 4)
-    out = out.select("vec_id", "label", F.posexplode("pixels").alias("pos", "v"))
+    out = explode_rows(out, "pixels", ["vec_id", "label"])
     return out.withColumn("pos", F.col("pos").cast("long"))
 
 

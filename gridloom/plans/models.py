@@ -21,7 +21,7 @@ from gridloom.operators import trees as TX
 from gridloom.operators import vocabulary as V
 from gridloom.plans.registry import query, r6
 from gridloom.plans.texts import TOKENS, VOCAB, tokens, vocabulary
-from gridloom.session import cut_lineage, scratch_path
+from gridloom.session import cut_lineage, scratch_path, spread
 
 CENTRES = """c AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
     w AS (SELECT label AS k, pos, avg(v) * 20 AS w FROM c GROUP BY 1, 2),
@@ -93,8 +93,8 @@ round(exp(list_max(l)) / (exp(l[1]) + exp(l[2]) + exp(l[3])), 6) AS prob FROM s"
 def tabular_classes(t):
     numbers = [F.col("l_quantity"), F.col("l_extendedprice") / 50000, F.col("l_discount") * 10, F.col("l_tax") * 10]
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    best = A.top_k(F.array(*[F.lit(n) for n in CLASS_NAMES]), SC.linear_probabilities(numbers, CLASS_WEIGHTS, CLASS_BIAS), 1)
-    out = t.lineitem.select(*keys, F.get(best, F.lit(0)).alias("x"))
+    best = SC.best_class(CLASS_NAMES, SC.linear_probabilities(numbers, CLASS_WEIGHTS, CLASS_BIAS))
+    out = t.lineitem.select(*keys, best.alias("x"))
     return out.select(*keys, "x.class", r6("x.prob").alias("prob"))
 
 
@@ -127,7 +127,7 @@ def tree_scores(t):
     indices = F.when(F.col("l_discount") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
     x = TX.dense_from_sparse(indices, F.array("l_quantity", "l_extendedprice", "l_discount"), 3)
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    items = t.lineitem.select(*keys, x.alias("x"))
+    items = spread(t.lineitem, "l_orderkey").select(*keys, x.alias("x"))
     score = lambda **o: TX.predict_trees(t.spark, F.col("x"), nodes, **o)
     return items.select(
         *keys, score(mode="margin").alias("margin"), score(mode="margin", tree_limit=2).alias("first_two"),

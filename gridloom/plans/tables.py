@@ -33,7 +33,7 @@ def feature_vectors(t):
         FE.Feature("o_orderpriority", "custom", function=lambda c: F.array(F.length(c).cast("double"))),
     ]
     out = FE.featurize(t.orders, features, [FE.Feature("o_orderstatus", "category", STATUS)], "o_orderkey")
-    out = out.select("o_orderkey", F.get("labels", F.lit(0)).alias("label"), F.posexplode("data").alias("pos", "v"))
+    out = T.explode_rows(out.withColumn("label", F.get("labels", F.lit(0))), "data", ["o_orderkey", "label"])
     return out.withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -86,7 +86,7 @@ def sequential_batches(t):
 WITH r AS (SELECT vec_id, embedding, (row_number() OVER (ORDER BY vec_id) - 1) AS i FROM embeddings)
 SELECT i // 16 AS batch_id, i % 16 AS pos, len(embedding) AS width, embedding[1]::DOUBLE AS first FROM r""")
 def stack_and_unstack(t):
-    placed = O.batches(t.embeddings.select("vec_id", "embedding"), 16, "vec_id")
+    placed = O.batches(t.embeddings.select("vec_id", "embedding"), 16, "vec_id", wide=True)
     out = B.unstack(B.stack(placed, "embedding", "batch_id", "pos"), "stacked", "batch_id")
     return out.select(
         "batch_id", F.col("pos").cast("long").alias("pos"), F.size("record").cast("long").alias("width"),

@@ -9,9 +9,10 @@ from gridloom.functions import text as X
 from gridloom.operators import batching as B
 from gridloom.operators import ordering as O
 from gridloom.operators import sentence_pairs as S
+from gridloom.operators import tensors as T
 from gridloom.operators import vocabulary as V
 from gridloom.plans.registry import query, r6
-from gridloom.session import cut_lineage
+from gridloom.session import cut_lineage, spread
 
 PUNCT = r"[\p{P}$+<=>^`|~]"
 TOKEN = r"[\p{P}$+<=>^`|~]|[^\s\x0B\p{P}$+<=>^`|~]+"
@@ -25,8 +26,12 @@ VOCAB = """vocab AS (SELECT token, freq, row_number() OVER (ORDER BY freq DESC,
 RESERVED = [X.BEGIN, X.END, X.PADDING]
 
 
+def texts(t):
+    return spread(t.documents.select("doc_id", "text"), "doc_id")
+
+
 def tokens(t):
-    return t.documents.select("doc_id", X.default_tokens(F.col("text")).alias("tokens"))
+    return texts(t).select("doc_id", X.default_tokens(F.col("text")).alias("tokens"))
 
 
 def vocabulary(df, **options):
@@ -34,7 +39,7 @@ def vocabulary(df, **options):
 
 
 def exploded(df, array, *keys, name="token"):
-    out = df.select(*keys, F.posexplode(array).alias("pos", name))
+    out = T.explode_rows(df, array, list(keys), value=name)
     return out.withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -130,12 +135,8 @@ def encode_tokens(t):
     base = tokens(t)
     vocab = vocabulary(base)
     ids = V.encode(base, "tokens", vocab, "doc_id")
-    kept = F.transform(
-        F.arrays_zip("tokens", "ids"),
-        lambda s: F.struct(s["ids"].alias("id"), F.when(s["ids"] == 3, X.UNKNOWN).otherwise(s["tokens"]).alias("kept")),
-    )
-    out = exploded(ids.select("doc_id", kept.alias("k")), "k", "doc_id", name="x")
-    return out.select("doc_id", "pos", "x.id", "x.kept")
+    out = exploded(ids.select("doc_id", F.arrays_zip("tokens", "ids").alias("k")), "k", "doc_id", name="x")
+    return out.select("doc_id", "pos", F.col("x.ids").alias("id"), F.when(F.col("x.ids") == 3, X.UNKNOWN).otherwise(F.col("x.tokens")).alias("kept"))
 
 
 @query("decode_until_end", "J03", f"""
@@ -203,7 +204,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS l
 array_to_string(list_transform(regexp_extract_all(line, '\p{Lu}[\p{Ll}\p{Lo}\p{Lm}\p{Lt}]*|[\p{Ll}\p{Lo}\p{Lm}\p{Lt}]+|[^\p{L}]'), lambda x: lower(x)), '_') END AS joined
 FROM l WHERE line <> ''""")
 def camel_case_tokens(t):
-    lines = t.documents.select("doc_id", F.posexplode(X.code_lines(F.col("text"))).alias("line_no", "line"))
+    lines = texts(t).select("doc_id", F.posexplode(X.code_lines(F.col("text"))).alias("line_no", "line"))
     return lines.select(
         "doc_id", F.col("line_no").cast("long").alias("line_no"), X.join_tokens(X.camel_case_tokens(F.col("line")), "_").alias("joined")
     )
@@ -222,7 +223,7 @@ def fixed_width_ids(t):
 
 def piece_vocabulary(t):
     """Single characters, their continuations and the frequent words of the documents."""
-    base = t.documents.select("doc_id", X.bert_basic_tokens(F.col("text")).alias("tokens"))
+    base = texts(t).select("doc_id", X.bert_basic_tokens(F.col("text")).alias("tokens"))
     counts = cut_lineage(V.token_counts(base, "tokens"))
     words = counts.filter("freq >= 20").select("token")
     chars = counts.select(F.explode(F.split("token", "")).alias("token")).filter("token <> ''").distinct()
@@ -291,7 +292,7 @@ def translation_pairs(t):
 WITH n AS (SELECT doc_id, len(regexp_extract_all(lower(text), '{TOKEN}')) AS n FROM documents)
 SELECT doc_id, n, row_number() OVER (ORDER BY n, doc_id) - 1 AS place FROM n""")
 def sorted_by_length(t):
-    sized = tokens(t).select("doc_id", F.size("tokens").cast("long").alias("n"))
+    sized = cut_lineage(tokens(t).select("doc_id", F.size("tokens").cast("long").alias("n")))
     return O.ordered_prefix(sized, "n", "doc_id", index="place")
 
 
@@ -303,7 +304,7 @@ b AS (SELECT doc_id, n, (SELECT min(bucket_key) FROM k WHERE bucket_key >= n) AS
 p AS (SELECT *, row_number() OVER (PARTITION BY bucket_key ORDER BY n, doc_id) - 1 AS r FROM b)
 SELECT doc_id, n, bucket_key, r // 16 AS batch_no, r % 16 AS pos FROM p""")
 def length_buckets(t):
-    sized = tokens(t).select("doc_id", F.size("tokens").cast("long").alias("n"))
+    sized = cut_lineage(tokens(t).select("doc_id", F.size("tokens").cast("long").alias("n")))
     out = B.bucket_batches(sized, "n", 10, 16, "doc_id")
     return out.withColumn("bucket_key", F.col("bucket_key").cast("long"))
 
@@ -314,7 +315,7 @@ len(regexp_extract_all(lower(text), '{TOKEN}')) AS valid_length FROM documents)
 SELECT doc_id, batch_id, valid_length, max(valid_length) OVER (PARTITION BY batch_id) AS width,
 max(valid_length) OVER (PARTITION BY batch_id) - valid_length AS padding, true AS restored FROM n""")
 def padded_batches(t):
-    out = B.pad_batches(O.batches(tokens(t), 32, "doc_id"), "tokens", "batch_id", F.lit(X.PADDING))
+    out = B.pad_batches(O.batches(tokens(t), 32, "doc_id", wide=True), "tokens", "batch_id", F.lit(X.PADDING))
     return out.select(
         "doc_id", "batch_id", F.col("valid_length").cast("long").alias("valid_length"),
         F.size("padded").cast("long").alias("width"),
@@ -336,7 +337,7 @@ def line_pairs(t):
 
 
 def pairs_of_lines(t):
-    return S.line_pairs(t.documents.select("doc_id", X.code_lines(F.col("text")).alias("lines")), "lines", "doc_id")
+    return S.line_pairs(texts(t).select("doc_id", X.code_lines(F.col("text")).alias("lines")), "lines", "doc_id")
 
 
 @query("truncated_pairs", "D17", rf"""
@@ -356,7 +357,7 @@ def truncated_pairs(t):
 
 def next_sentences(t):
     pairs = pairs_of_lines(t).withColumn("pair_id", F.concat_ws("-", "doc_id", "pair_no"))
-    return S.swap_half(pairs, "pair_id", seed=7)
+    return S.swap_half(cut_lineage(pairs), "pair_id", seed=7)
 
 
 PAIR_SQL = f"""{LINES}, p AS (SELECT doc_id, r // 2 AS pair_no, min(line) FILTER (r % 2 = 0) AS a, min(line) FILTER (r % 2 = 1) AS b
@@ -461,7 +462,7 @@ SELECT *, max(valid_length) OVER (PARTITION BY batch_id) AS width FROM s""")
 def document_features(t):
     base = tokens(t)
     vocab = vocabulary(base)
-    labelled = O.batches(base.join(t.labels, "doc_id"), 32, "doc_id")
+    labelled = O.batches(base.join(t.labels, "doc_id"), 32, "doc_id", wide=True)
     ids = V.encode(labelled, "tokens", vocab, "doc_id")
     out = B.pad_batches(ids, "ids", "batch_id", F.lit(2).cast("long"))
 

@@ -315,7 +315,7 @@ SELECT vec_id, coalesce(string_agg(chr((96 + k)::INT), '' ORDER BY step) FILTER
 def step_text(t):
     best = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda s: A.arg_max(F.slice("embedding", s * 8 + 1, 8)))
     out = t.embeddings.select("vec_id", best.alias("b"))
-    kept = F.filter("b", lambda k, i: (k != 0) & ((i == 0) | (F.get("b", F.greatest(i - 1, F.lit(0))) != k)))
+    kept = A.let(F.col("b"), lambda b: F.filter(b, lambda k, i: (k != 0) & ((i == 0) | (F.get(b, F.greatest(i - 1, F.lit(0))) != k))))
     return out.select("vec_id", F.array_join(F.transform(kept, lambda k: F.chr(k + 96)), "").alias("word"))
 
 

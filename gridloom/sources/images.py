@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.arrays import let
 from gridloom.operators.lookup import checked_lookup
 from gridloom.operators.ordering import ordered_prefix
 
@@ -113,9 +114,8 @@ def colour_record(record: Column, height: int = 32, width: int = 32) -> dict[str
     """A label byte and three colour planes as label and pixels in height, width, channel order."""
     area = height * width
     body = bytes_to_array(record)
-    pixels = F.transform(
-        F.sequence(F.lit(0), F.lit(3 * area - 1)), lambda p: F.get(F.col("_body"), 1 + (p % 3) * area + F.floor(p / 3).cast("int"))
-    )
+    places = F.sequence(F.lit(0), F.lit(3 * area - 1))
+    pixels = let(F.col("_body"), lambda x: F.transform(places, lambda p: F.get(x, 1 + (p % 3) * area + F.floor(p / 3).cast("int"))))
     return {"_body": body, "label": F.get(F.col("_body"), F.lit(0)).cast("int"), "pixels": pixels}
 
 
@@ -177,7 +177,7 @@ def read_detection_index(spark: SparkSession, path: str, class_at: int = 4, box_
 def digits_from_name(name: Column, length: int = 6) -> Column:
     """Digits of a file name without its ending, padded to ``length`` with 11."""
     stem = F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"\.[^.]*$", "")
-    return F.transform(
-        F.sequence(F.lit(1), F.lit(length)),
-        lambda i: F.when(i <= F.length(stem), F.substring(stem, i, F.lit(1)).cast("int")).otherwise(F.lit(MISSING_DIGIT)),
-    )
+    places = F.sequence(F.lit(1), F.lit(length))
+    return let(stem, lambda s: F.transform(
+        places, lambda i: F.when(i <= F.length(s), F.substring(s, i, F.lit(1)).cast("int")).otherwise(F.lit(MISSING_DIGIT))
+    ))

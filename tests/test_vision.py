@@ -100,8 +100,8 @@ def components(cells):
     return sorted(out)
 
 
-@pytest.mark.parametrize("tile", [3, 16, 256])
-def test_regions(spark, tile):
+@pytest.mark.parametrize("tile,max_edges", [(3, 1_000_000), (6, 0), (16, 1_000_000), (256, 0)])
+def test_regions(spark, tile, max_edges):
     rng = np.random.default_rng(8)
     grid = rng.random((40, 50)) < 0.58
     snake = np.zeros((40, 50), dtype=bool)
@@ -110,12 +110,12 @@ def test_regions(spark, tile):
     snake[3::4, 0] = True
     rows = [(m, int(i), int(j)) for m, g in ((1, grid), (2, snake)) for i, j in zip(*np.nonzero(g), strict=True)]
     df = spark.createDataFrame(rows, "m int, i int, j int")
-    out = R.regions(df, "m", tile=tile).toPandas()
+    out = R.regions(df, "m", tile, max_edges).toPandas()
     assert len(out) == len(rows)
     for m in (1, 2):
         got = out[out["m"] == m].groupby("region")[["i", "j"]].apply(lambda p: sorted(map(tuple, p.to_numpy().tolist())))
         assert sorted(got.tolist()) == components([(i, j) for k, i, j in rows if k == m])
-    big = R.region_boxes(R.regions(df, "m", tile=tile), "m").filter("m = 2").toPandas()
+    big = R.region_boxes(R.regions(df, "m", tile, max_edges), "m").filter("m = 2").toPandas()
     assert big[["i0", "j0", "i1", "j1"]].to_numpy().tolist() == [[0, 0, 39 if snake[39].any() else 38, 49]]
 
 
