@@ -9,6 +9,7 @@ from gridloom.functions import arrays as A
 from gridloom.operators.lookup import checked_lookup
 from gridloom.operators.ordering import ordered_prefix
 from gridloom.operators.tensors import explode_rows
+from gridloom.session import cut_lineage
 
 
 def length_bucket(df: DataFrame, length: str, buckets: int) -> DataFrame:
@@ -97,7 +98,7 @@ def export_matrix(df: DataFrame, data: list[str], labels: list[str]) -> DataFram
 def first_seen_index(df: DataFrame, column: str, order: str) -> DataFrame:
     """(value, index) with indices in the order of first appearance."""
     firsts = df.groupBy(F.col(column).alias("value")).agg(F.min(order).alias("_first"))
-    return ordered_prefix(firsts, "_first", "value", index="index").drop("_first")
+    return ordered_prefix(cut_lineage(firsts), "_first", "value", index="index").drop("_first")
 
 
 def attach_index(df: DataFrame, column: str, mapping: DataFrame, spread_by: list[str], strict: bool = False) -> DataFrame:

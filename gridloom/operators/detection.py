@@ -260,16 +260,16 @@ def _suppress_spread(df: DataFrame, group: list[str], key: str, score: str, thre
     kept = solid.limit(0).select(*group, key)
     undecided = entries.select(*group, key).distinct()
     while not undecided.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_group).isEmpty():
-        best = entries.groupBy(*cell).agg(F.max("_rank").alias("_best"))
+        best = cut_lineage(entries.groupBy(*cell).agg(F.max("_rank").alias("_best")))
         seen = checked_lookup(entries, best, cell, [key], how="inner")
         top = seen.groupBy(*group, key).agg(F.bool_and(F.col("_rank") == F.col("_best")).alias("_top")).filter("_top")
         top = cut_lineage(top.select(*group, key))
         kept = kept.unionByName(top)
         winners = entries.join(top, [*group, key], "left_semi").select(*cell, F.col(key).alias("_winner"), F.col("_b").alias("_kept"))
-        met = checked_lookup(entries, winners, cell, [key])
+        met = checked_lookup(entries, cut_lineage(winners), cell, [key], how="inner")
         overlap = BX.iou(F.col("_kept"), F.col("_b"))
         hit = (overlap > threshold) if keep_equal else (overlap >= threshold)
-        gone = met.filter(F.col("_winner").isNotNull() & ((F.col("_winner") == F.col(key)) | hit)).select(*group, key).distinct()
+        gone = met.filter((F.col("_winner") == F.col(key)) | hit).select(*group, key).distinct()
         entries = cut_lineage(entries.join(gone, [*group, key], "left_anti"))
         undecided = entries.select(*group, key).distinct()
     sure = solid.join(kept, [*group, key], "left_semi")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.lookup import checked_lookup
+from gridloom.session import cut_lineage
 
 
 def explode_rows(df: DataFrame, array: str, keys: list[str], index: str = "pos", value: str = "v") -> DataFrame:
@@ -71,17 +72,15 @@ def matmul(
 ) -> DataFrame:
     """Product of ``a(row, inner, v)`` and ``b(inner, column, v)``; ``batch`` keys multiply slice by slice.
 
-    With a batch key both sides are co-partitioned on it. Without one the right matrix is usually a small
-    parameter matrix: Spark broadcasts it by its measured size, and shuffles on ``inner`` otherwise.
+    With a batch key both sides are co-partitioned on it. Without one the inner axis has few values, so a plain
+    shuffle on it would use few tasks: a small right matrix is broadcast after a check of its size, a larger
+    one is joined with the left side salted by its row.
     """
     batch = batch or []
     left = a.select(*batch, row, inner, F.col(value).alias("_a"))
     right = b.select(*batch, inner, column, F.col(value).alias("_b"))
-    return (
-        left.join(right, [*batch, inner])
-        .groupBy(*batch, row, column)
-        .agg(F.sum(F.col("_a") * F.col("_b")).alias(value))
-    )
+    pairs = left.join(right, [*batch, inner]) if batch else checked_lookup(left, cut_lineage(right), [inner], [row], how="inner")
+    return pairs.groupBy(*batch, row, column).agg(F.sum(F.col("_a") * F.col("_b")).alias(value))
 
 
 def gram(df: DataFrame, array: str) -> DataFrame:
@@ -110,8 +109,11 @@ def gram(df: DataFrame, array: str) -> DataFrame:
 
 
 def apply_stats(cells: DataFrame, stats: DataFrame, axes: list[str], spread_by: list[str]) -> DataFrame:
-    """Join per-axis statistics to every cell: arithmetic with shape broadcasting."""
-    return checked_lookup(cells, stats, axes, spread_by, how="inner")
+    """Join per-axis statistics to every cell: arithmetic with shape broadcasting.
+
+    The statistics are written first, so that checking their size does not compute them twice.
+    """
+    return checked_lookup(cells, cut_lineage(stats), axes, spread_by, how="inner")
 
 
 def to_sparse(cells: DataFrame, value: str = "v") -> DataFrame:

@@ -434,7 +434,7 @@ WITH {TOKENS}, {VOCAB}, {WORD_VECTORS} SELECT doc_id, pos, coalesce(v.vector, u.
 FROM tok LEFT JOIN vectors v USING (token), (SELECT vector FROM vectors WHERE token = '<unk>') u""")
 def embedded_tokens(t):
     base = tokens(t)
-    vectors = word_vectors(t, vocabulary(base))
+    vectors = cut_lineage(word_vectors(t, vocabulary(base)))
     out = V.embed(base, "tokens", vectors, "doc_id")
     return out.select(
         "doc_id", F.col("pos").cast("long").alias("pos"), F.get("vector", F.lit(0)).alias("first"), F.element_at("vector", -1).alias("last")
@@ -448,7 +448,7 @@ c AS (SELECT doc_id, unnest(e)::DOUBLE AS v, generate_subscripts(e, 1) - 1 AS di
 SELECT doc_id, dim, round(avg(v), 6) + 0.0 AS value FROM c GROUP BY 1, 2""")
 def sentence_embedding(t):
     base = tokens(t)
-    vectors = word_vectors(t, vocabulary(base))
+    vectors = cut_lineage(word_vectors(t, vocabulary(base)))
     out = V.mean_embedding(V.embed(base, "tokens", vectors, "doc_id"), "doc_id")
     return out.select("doc_id", F.col("dim").cast("long").alias("dim"), r6("value").alias("value"))
 

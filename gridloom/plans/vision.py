@@ -11,6 +11,7 @@ from gridloom.operators import images as I
 from gridloom.operators import ordering as O
 from gridloom.operators import regions as R
 from gridloom.operators import tensors as T
+from gridloom.operators.lookup import checked_lookup
 from gridloom.plans.registry import query, r6
 
 # Ten boxes per vector, six entries each; twenty vectors make an image, the vector label is the class.
@@ -157,7 +158,7 @@ def prior_boxes(t):
     table = GRID.table(t.spark, clip=True)
     heads = t.embeddings.groupBy("label").agg(F.count("*").alias("uses"))
     rows = heads.withColumn("anchor_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GRID.size() - 1).cast("long"))))
-    out = rows.join(table, "anchor_id")
+    out = checked_lookup(rows, table, ["anchor_id"], ["label"], how="inner")
     return out.select("label", "uses", "anchor_id", *[r6(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
@@ -196,7 +197,7 @@ def detection_losses(t):
     matched = D.match_priors(boxes_, GRID, "image", "box_id")
     every = D.all_anchor_targets(boxes_, matched, boxes_.select("image", "box_id", "class"), GRID, "image", "box_id")
     anchors = GRID.table(t.spark).select("anchor_id", F.struct("cx", "cy", "w", "h").alias("prior"))
-    located = every.join(anchors, "anchor_id").join(boxes_.select("image", "box_id", BX.box(*map(F.col, "xywh")).alias("b")), ["image", "box_id"], "left")
+    located = checked_lookup(every, anchors, ["anchor_id"], ["image"], how="inner").join(boxes_.select("image", "box_id", BX.box(*map(F.col, "xywh")).alias("b")), ["image", "box_id"], "left")
     offsets = BX.encode_offsets(F.col("b"), F.col("prior"))
     error = F.when(F.col("b").isNull(), 0.0).otherwise(A.norm(offsets, 1))
     guess = (F.col("image") + F.col("anchor_id")) % 4
@@ -234,7 +235,8 @@ def head_outputs(t):
         F.transform(F.slice("embedding", 11, 10), lambda x: x.cast("double") * 10).alias("points"),
     )
     priors = D.PriorGrid(8, 8, ((0.25, 0.25),), (1 / 8, 1 / 8)).table(t.spark)
-    return e.join(priors.select(F.col("anchor_id").alias("prior_id"), F.struct("cx", "cy", "w", "h").alias("prior")), "prior_id")
+    priors = priors.select(F.col("anchor_id").alias("prior_id"), F.struct("cx", "cy", "w", "h").alias("prior"))
+    return checked_lookup(e, priors, ["prior_id"], ["vec_id"], how="inner")
 
 
 HEAD = f"""{PRIORS8}, hd AS (SELECT vec_id AS box_id, vec_id // 64 AS image, [x::DOUBLE * 10 FOR x IN embedding[1:4]] AS l, [x::DOUBLE * 10 FOR x IN embedding[5:10]] AS s, pri.* FROM embeddings JOIN pri ON prior_id = vec_id % 64),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.arrays import let
 from gridloom.operators.lookup import checked_lookup
 from gridloom.operators.ordering import ordered_prefix
+from gridloom.session import cut_lineage
 
 # File name endings of images.
 EXTENSIONS = ["jpg", "jpeg", "png", "bmp", "wbmp", "gif"]
@@ -33,7 +34,7 @@ def label_paths(files: DataFrame, path: str, root: str, max_depth: int = 1, clas
         (F.size("_parts") >= 2) & (F.size("_parts") <= max_depth + 1) & ~name.startswith(".") & ending.isin(EXTENSIONS)
     ).drop("_parts")
     if classes is None:
-        ranks = ordered_prefix(kept.select("class").distinct(), "class", index="label")
+        ranks = ordered_prefix(cut_lineage(kept.select("class").distinct()), "class", index="label")
     else:
         ranks = classes.select("class", F.col("label").cast("long").alias("label"))
     return checked_lookup(kept, ranks, ["class"], [path], how="inner")

@@ -72,16 +72,21 @@ def recent_buffer(stream: DataFrame, label: str, key: str, ts: str, tie: str, si
     """
     spark = stream.sparkSession
     path = scratch_path(spark, label)
-    done: list[int] = []
+    versions = spark.createDataFrame([], stream.schema).withColumn("version", F.lit(0).cast("long"))
+    versions.write.partitionBy("version").parquet(path)
+
+    def newest(before: int | None) -> DataFrame:
+        """The latest written version, or the latest one older than a batch; read from the table itself, so
+        that a restarted stream goes on where it stopped."""
+        held = spark.read.schema(versions.schema).parquet(path)
+        if before is not None:
+            held = held.filter(F.col("version") < before)
+        last = held.agg(F.max("version")).first()[0]
+        return held.filter(F.col("version") == F.lit(-1 if last is None else last)).drop("version")
 
     def handle(batch: DataFrame, number: int) -> None:
-        fresh = recent(batch, key, ts, tie, size)
-        earlier = [n for n in done if n < number]
-        if earlier:
-            fresh = fresh.unionByName(spark.read.parquet(f"{path}/version={max(earlier)}"))
+        fresh = recent(batch, key, ts, tie, size).unionByName(newest(number))
         recent(fresh, key, ts, tie, size).write.mode("overwrite").parquet(f"{path}/version={number}")
-        if number not in done:
-            done.append(number)
 
     run_batches(stream, label, handle)
-    return spark.read.parquet(f"{path}/version={max(done)}")
+    return newest(None)
