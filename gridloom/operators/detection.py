@@ -186,7 +186,7 @@ def hard_negatives(targets: DataFrame, image: str, confidence: str, ratio: float
 
 def suppress(
     df: DataFrame, group: list[str], key: str, score: str, threshold: float, keep_equal: bool = False,
-    max_group: int = MAX_GROUP,
+    max_group: int | None = None,
 ) -> DataFrame:
     """Greedy non-maximum suppression per group over columns x, y, w, h; ties by ``key``.
 
@@ -194,12 +194,13 @@ def suppress(
     ``keep_equal``: exceeds it). Groups of normal size run in one Arrow group each. Larger ones are solved
     together by :func:`_suppress_spread`; both give the same boxes.
     """
+    max_group = MAX_GROUP if max_group is None else max_group
     hot = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_group).select(*group)
     if hot.isEmpty():
         return _suppress_local(df, group, key, score, threshold, keep_equal)
     hot = cut_lineage(hot)
-    normal = checked_lookup(df, hot, group, [key], how="left_anti", max_rows=100_000)
-    large = checked_lookup(df, hot, group, [key], how="left_semi", max_rows=100_000)
+    normal = checked_lookup(df, hot, group, [key], how="left_anti")
+    large = checked_lookup(df, hot, group, [key], how="left_semi")
     kept = _suppress_spread(large, group, key, score, threshold, keep_equal, max_group)
     return _suppress_local(normal, group, key, score, threshold, keep_equal).unionByName(kept)
 

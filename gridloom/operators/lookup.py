@@ -9,9 +9,13 @@ BROADCAST_ROWS = 1_000_000
 SALTS = 32
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+def row_limit(max_rows: int | None) -> int:
+    return BROADCAST_ROWS if max_rows is None else max_rows
+
+
+def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
     """True if ``df`` has at most ``max_rows`` rows; stops counting one row beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    return df.limit(row_limit(max_rows) + 1).count() <= row_limit(max_rows)
 
 
 def checked_lookup(
@@ -20,7 +24,7 @@ def checked_lookup(
     on: list[str],
     spread_by: list[str],
     how: str = "left",
-    max_rows: int = BROADCAST_ROWS,
+    max_rows: int | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join a big, possibly skewed left side to a table with unique keys ``on``.

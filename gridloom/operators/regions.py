@@ -14,7 +14,7 @@ TILE = 256
 MAX_EDGES = 500_000
 
 
-def regions(cells: DataFrame, map_key: str, tile: int = TILE, max_edges: int = MAX_EDGES) -> DataFrame:
+def regions(cells: DataFrame, map_key: str, tile: int = TILE, max_edges: int | None = None) -> DataFrame:
     """Label foreground cells (map, i, j) with ``region``, the smallest cell number of their 4-neighbour region.
 
     Each tile is labelled on its own (at most ``tile * tile`` cells per group). Labels that touch across a
@@ -57,6 +57,7 @@ def regions(cells: DataFrame, map_key: str, tile: int = TILE, max_edges: int = M
     touching = cut_lineage(across("i").unionByName(across("j")).distinct())
     if touching.isEmpty():
         return local
+    max_edges = MAX_EDGES if max_edges is None else max_edges
     crowded = touching.groupBy(map_key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_edges)
     merge = _merge_local if crowded.isEmpty() else merge_labels
     roots = merge(touching, map_key).withColumnRenamed("node", "region")

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from gridloom.functions.text import MAX_WORD_CHARS, UNKNOWN
-from gridloom.operators.lookup import BROADCAST_ROWS, checked_lookup
+from gridloom.operators.lookup import checked_lookup, row_limit
 from gridloom.operators.ordering import ordered_prefix
 from gridloom.operators.tensors import explode_rows, pack_cells
 from gridloom.session import cut_lineage
 
 WORD_CACHE = 200_000
+MAX_PIECES = 1_000_000
+VECTOR_ROWS = 50_000
 
 
 def token_counts(df: DataFrame, tokens: str) -> DataFrame:
@@ -56,7 +58,7 @@ def encode(
     key: str,
     unknown: str = UNKNOWN,
     target: str = "ids",
-    max_rows: int = BROADCAST_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Add the ids of ``tokens``; a token without id gets the id of ``unknown``.
 
@@ -64,8 +66,9 @@ def encode(
     without any shuffle. A larger one is joined token by token with salted keys.
     """
     vocabulary = vocabulary.select("token", "id")
-    table = vocabulary.limit(max_rows + 1).toPandas().sort_values("id")
-    if len(table) <= max_rows:
+    limit = row_limit(max_rows)
+    table = vocabulary.limit(limit + 1).toPandas().sort_values("id")
+    if len(table) <= limit:
         ids = table["id"].to_numpy()
         unknown_id = int(ids[(table["token"] == unknown).to_numpy()][0])
         shared = df.sparkSession.sparkContext.broadcast((table["token"].tolist(), ids.tolist()))
@@ -98,7 +101,7 @@ def _id_lookup(shared, unknown_id: int):
 
 
 def decode(df: DataFrame, ids: str, vocabulary: DataFrame, key: str, stop: str | None = None,
-           unknown: str = UNKNOWN, target: str = "tokens", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+           unknown: str = UNKNOWN, target: str = "tokens", max_rows: int | None = None) -> DataFrame:
     """Tokens of ``ids``; with ``stop`` the list ends before the first stop token."""
     vocabulary = vocabulary.select("id", "token")
     exploded = df.select(key, F.posexplode_outer(ids).alias("pos", "id"))
@@ -116,7 +119,7 @@ def decode(df: DataFrame, ids: str, vocabulary: DataFrame, key: str, stop: str |
 
 
 def word_pieces(df: DataFrame, tokens: str, vocabulary: DataFrame, unknown: str = "[UNK]", target: str = "pieces",
-                max_rows: int = BROADCAST_ROWS) -> DataFrame:
+                max_rows: int = MAX_PIECES) -> DataFrame:
     """Greedy longest-prefix pieces with ``##`` continuations; a word that cannot be covered is unknown.
 
     The vocabulary is a model constant and must fit a broadcast, which is checked. Each task remembers
@@ -162,11 +165,12 @@ def word_pieces(df: DataFrame, tokens: str, vocabulary: DataFrame, unknown: str
 
 
 def embed(df: DataFrame, tokens: str, vectors: DataFrame, key: str, unknown: str = UNKNOWN,
-          max_rows: int = 50_000) -> DataFrame:
+          max_rows: int | None = None) -> DataFrame:
     """Vectors (token, vector) of every token in order: (key, pos, vector); unknown tokens share one vector."""
     fallback = vectors.filter(F.col("token") == unknown).select("vector").first()["vector"]
     exploded = explode_rows(df, tokens, [key], value="token")
-    joined = checked_lookup(exploded, vectors, ["token"], [key, "pos"], max_rows=max_rows)
+    limit = min(VECTOR_ROWS, row_limit(max_rows))
+    joined = checked_lookup(exploded, vectors, ["token"], [key, "pos"], max_rows=limit)
     default = F.array(*[F.lit(float(x)) for x in fallback])
     return joined.select(key, "pos", F.coalesce("vector", default).alias("vector"))
 
