@@ -57,6 +57,24 @@ def floor_rank_percentiles(df: DataFrame, name: str, value: str, tie: str, perce
     return hit.groupBy(name).agg(*[at(p) for p in percents])
 
 
+def percentiles(df: DataFrame, groups: list[str], value: str, tie: str, shares: dict[str, float]) -> DataFrame:
+    """Percentiles with linear interpolation between neighbours, exact for groups of any size.
+
+    The built-in percentile keeps all distinct values of a group in one task; here the values are placed by
+    :func:`ordered_prefix` and the two neighbours of each percentile are picked out.
+    """
+    placed = ordered_prefix(df.select(*groups, value, tie), value, tie, within=groups, index="_i")
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    sized = placed.join(sizes, groups)
+
+    def at(share: float) -> Column:
+        rank = (F.col("_n") - 1) * F.lit(share)
+        weight = F.greatest(F.lit(0.0), 1 - F.abs(F.col("_i") - rank))
+        return F.sum(F.when(weight > 0, weight * F.col(value)))
+
+    return sized.groupBy(*groups).agg(*[at(share).alias(name) for name, share in shares.items()])
+
+
 def latest(df: DataFrame, name: str, value: str, ts: str, tie: str) -> DataFrame:
     """Most recent value per metric name."""
     return df.groupBy(name).agg(F.max_by(value, F.struct(ts, tie)).alias("latest"), F.max(ts).alias("ts"))

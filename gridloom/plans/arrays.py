@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import arrays as A
 from gridloom.functions import numeric as N
+from gridloom.operators import evaluation as E
 from gridloom.operators import ordering as O
 from gridloom.operators import tensors as T
 from gridloom.plans.registry import query, r6
@@ -113,9 +114,9 @@ def trace_offsets(t):
 WITH {CELLS} SELECT label, pos, round(median(v), 6) + 0.0 AS median, round(quantile_cont(v, 0.9), 6) + 0.0 AS p90
 FROM cells GROUP BY 1, 2""")
 def median_percentile(t):
-    return cells(t).groupBy("label", F.col("pos").cast("long").alias("pos")).agg(
-        r6(F.median("v")).alias("median"), r6(F.percentile("v", 0.9)).alias("p90")
-    )
+    placed = cells(t).withColumn("pos", F.col("pos").cast("long"))
+    out = E.percentiles(placed, ["label", "pos"], "v", "vec_id", {"median": 0.5, "p90": 0.9})
+    return out.select("label", "pos", r6("median").alias("median"), r6("p90").alias("p90"))
 
 
 @query("one_hot_arrays", "P05 P06", """

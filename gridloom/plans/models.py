@@ -37,7 +37,7 @@ def centre_scorer(t) -> SC.LinearScorer:
     return SC.LinearScorer(table.to_numpy(), np.arange(len(table)) * 0.01, "embedding")
 
 
-@query("batch_scores", "M01 M02 X04", f"WITH {CENTRES} SELECT vec_id, k AS class, round(p, 6) AS probability FROM pr WHERE place = 1")
+@query("batch_scores", "M01 M02 X04", f"WITH {CENTRES} SELECT vec_id, k::BIGINT AS class, round(p, 6) AS probability FROM pr WHERE place = 1")
 def batch_scores(t):
     out = SC.score(t.embeddings, centre_scorer(t), ["vec_id"])
     return out.withColumn("probability", r6("probability"))
@@ -202,6 +202,16 @@ def train_linear(t):
     return history(t, done).select("epoch", r6("loss").alias("loss"))
 
 
+@query("train_flag_network", "T01 T02 T03 T06")
+def train_flag_network(t):
+    """A network over four numbers of every line item that tells its return flag."""
+    names = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
+    scaled = FE.z_score(t.lineitem.select("l_returnflag", *names), FE.fit_moments(t.lineitem, names))
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    rows = scaled.select(F.array(*names).alias("x"), flag.alias("y"))
+    return history(t, TR.fit(rows, "x", "y", [TR.Trial(TR.Mlp(4, 32, 3), OP.Adam(0.01), seed=6)], epochs=3))
+
+
 @query("train_classifiers", "T01 T02 T03 T05 T06 T07 T08 T09 T10 T12")
 def train_classifiers(t):
     """One network per optimizer, all learning in the same passes over the data."""

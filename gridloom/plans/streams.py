@@ -20,7 +20,7 @@ def plain(col):
     return F.col(col).cast("timestamp_ntz").alias(col)
 
 
-@query("stream_scores", "R01 M01", f"WITH {CENTRES} SELECT vec_id, k AS class, round(p, 6) AS probability FROM pr WHERE place = 1")
+@query("stream_scores", "R01 M01", f"WITH {CENTRES} SELECT vec_id, k::BIGINT AS class, round(p, 6) AS probability FROM pr WHERE place = 1")
 def stream_scores(t):
     scored = S.score_stream(R.table_stream(t.spark, t.folder, "embeddings"), centre_scorer(t), ["vec_id"])
     return R.run_to_table(scored, "scores").withColumn("probability", r6("probability"))

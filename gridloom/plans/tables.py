@@ -162,7 +162,7 @@ def binary_math(t):
 
 
 UNARY_SQL = {
-    "neg": "-v", "abs": "abs(v)", "sign": "sign(v)", "square": "v * v", "sqrt": "sqrt(w)", "cbrt": "cbrt(v)", "floor": "floor(v * 10)",
+    "neg": "-v", "abs": "abs(v)", "sign": "sign(v)::DOUBLE", "square": "v * v", "sqrt": "sqrt(w)", "cbrt": "cbrt(v)", "floor": "floor(v * 10)",
     "ceil": "ceil(v * 10)", "round": "round_even(v * 10, 0)", "trunc": "trunc(v * 10)", "exp": "exp(v)", "log": "ln(w)", "log10": "log10(w)",
     "log2": "log2(w)", "sin": "sin(v)", "cos": "cos(v)", "tan": "tan(v)", "asin": "asin(v)", "acos": "acos(v)", "atan": "atan(v)",
     "sinh": "sinh(v)", "cosh": "cosh(v)", "tanh": "tanh(v)", "asinh": "asinh(v)", "acosh": "acosh(w)", "atanh": "atanh(v)",
@@ -272,7 +272,7 @@ def usage_partitions(t):
 @query("schedules", "T11 X08", """
 WITH s AS (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 32 AS step FROM orders)
 SELECT o_orderkey, step, 0.1::DOUBLE AS fixed, round(pow(0.99, least(step, 300)), 6) AS factor, round(pow(0.5, (step > 100)::INT + (step > 250)::INT + (step > 500)::INT), 6) AS multi_factor,
-round(1 + least(step, 200) * -0.004, 6) AS linear, round(CASE WHEN step > 200 THEN 0.01 ELSE 0.01 + 0.245 * (1 + cos(pi() * step / 200)) END, 6) AS cosine,
+round(1 + least(step, 200) * -0.004::DOUBLE, 6) AS linear, round(CASE WHEN step > 200 THEN 0.01 ELSE 0.01 + 0.245 * (1 + cos(pi() * step / 200)) END, 6) AS cosine,
 round(0.4 * pow(1 - least(step, 150) / 150.0::DOUBLE, 2) + 0.1, 6) AS polynomial,
 round(CASE WHEN step < 20 THEN 0.01 + (1 - 0.01) * step / 20 ELSE pow(0.99, step - 20) END, 6) AS warm_up FROM s""")
 def schedules(t):
@@ -290,7 +290,7 @@ def schedules(t):
 SELECT quality, toxic, count(*) AS n, (SELECT count(*) FROM labels) AS size FROM labels GROUP BY 1, 2""")
 def label_distribution(t):
     counts = t.labels.groupBy("quality", "toxic").agg(F.count("*").alias("n"))
-    return counts.withColumn("size", F.lit(t.labels.count()))
+    return counts.withColumn("size", F.lit(t.labels.count()).cast("long"))
 
 
 @query("transform_steps", "D20 X03 X10", """

@@ -264,7 +264,7 @@ def word_piece_tokens(t):
 WITH {BASIC}, r AS (SELECT doc_id, piece, row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) AS r FROM pt),
 g AS (SELECT doc_id, list(id ORDER BY r) AS ids FROM r JOIN pv USING (piece) WHERE r <= 62 GROUP BY 1),
 c AS (SELECT doc_id, quality, list_concat([2], coalesce(ids, []), [3]) AS ids FROM labels LEFT JOIN g USING (doc_id) WHERE doc_id IN (SELECT doc_id FROM documents))
-SELECT doc_id, quality::FLOAT AS label, array_to_string([coalesce(ids[i], 0) FOR i IN range(1, 65)], ' ') AS ids, len(ids)::INT AS attended, 64 AS mask_width FROM c""")
+SELECT doc_id, quality::DOUBLE AS label, array_to_string([coalesce(ids[i], 0) FOR i IN range(1, 65)], ' ') AS ids, len(ids)::INT AS attended, 64 AS mask_width FROM c""")
 def review_features(t):
     base, vocab = piece_vocabulary(t)
     pieces = V.word_pieces(base, "tokens", vocab)

@@ -219,7 +219,7 @@ def hard_negative_anchors(t):
     matched = D.match_priors(boxes_, GRID, "image", "box_id")
     every = D.all_anchor_targets(boxes_, matched, boxes_.select("image", "box_id", "class"), GRID, "image", "box_id")
     scored = every.withColumn("conf", (F.col("image") * 37 + F.col("anchor_id") * 11) % 100 / 100.0)
-    return D.hard_negatives(scored, "image", "conf", ratio=3.0).select("image", "anchor_id", F.col("target").cast("long").alias("target"))
+    return D.hard_negatives(scored, "image", "conf", ratio=3.0).select("image", "anchor_id", F.col("target").cast("int").alias("target"))
 
 
 PRIORS8 = """pri AS (SELECT i * 8 + j AS prior_id, (j + 0.5) / 8.0::DOUBLE AS cx, (i + 0.5) / 8.0::DOUBLE AS cy, 0.25::DOUBLE AS w, 0.25::DOUBLE AS h FROM
