@@ -16,7 +16,6 @@ from gridloom.operators.tensors import explode_rows, pack_cells
 from gridloom.session import cut_lineage
 
 WORD_CACHE = 200_000
-MAX_PIECES = 1_000_000
 VECTOR_ROWS = 50_000
 
 
@@ -118,16 +117,18 @@ def decode(df: DataFrame, ids: str, vocabulary: DataFrame, key: str, stop: str |
     return df.join(packed, key)
 
 
-def word_pieces(df: DataFrame, tokens: str, vocabulary: DataFrame, unknown: str = "[UNK]", target: str = "pieces",
-                max_rows: int = MAX_PIECES) -> DataFrame:
+def word_pieces(df: DataFrame, tokens: str, vocabulary: DataFrame, key: str, unknown: str = "[UNK]",
+                target: str = "pieces", max_rows: int | None = None) -> DataFrame:
     """Greedy longest-prefix pieces with ``##`` continuations; a word that cannot be covered is unknown.
 
-    The vocabulary is a model constant and must fit a broadcast, which is checked. Each task remembers
-    the pieces of words it has met, so repeated words cost a dictionary lookup and no shuffle is needed.
+    A vocabulary of at most ``max_rows`` is broadcast: each task remembers the pieces of words it has met, so
+    repeated words cost a dictionary lookup and no shuffle is needed. A larger one is joined with the parts of
+    the distinct words.
     """
-    words = vocabulary.select("token").limit(max_rows + 1).toPandas()["token"].tolist()
-    if len(words) > max_rows:
-        raise ValueError(f"a word piece vocabulary may have at most {max_rows} entries; raise max_rows knowingly")
+    limit = row_limit(max_rows)
+    words = vocabulary.select("token").limit(limit + 1).toPandas()["token"].tolist()
+    if len(words) > limit:
+        return _pieces_by_join(df, tokens, vocabulary.select("token"), key, unknown, target)
     shared = df.sparkSession.sparkContext.broadcast(frozenset(words))
     cache: dict[str, list[str]] = {}
 
@@ -164,6 +165,44 @@ def word_pieces(df: DataFrame, tokens: str, vocabulary: DataFrame, unknown: str
     return df.withColumn(target, pieces(F.col(tokens)))
 
 
+def _pieces_by_join(df: DataFrame, tokens: str, vocabulary: DataFrame, key: str, unknown: str, target: str) -> DataFrame:
+    """Word pieces of distinct words through joins with the vocabulary, then back to the documents.
+
+    A word has at most 200 characters, so its parts are bounded. The longest known part from each start is kept
+    and the chain of parts is followed from the first character.
+    """
+    longest = vocabulary.agg(F.max(F.length("token"))).first()[0]
+    exploded = explode_rows(df, tokens, [key], value="word")
+    words = cut_lineage(exploded.select("word").distinct())
+    size = F.length("word")
+    short = words.filter(size.between(1, MAX_WORD_CHARS))
+    parts = short.withColumn("start", F.explode(F.sequence(F.lit(1), size)))
+    parts = parts.withColumn("stop", F.explode(F.sequence(F.col("start"), F.least(size, F.col("start") + longest - 1))))
+    part = F.substring("word", F.col("start"), F.col("stop") - F.col("start") + 1)
+    parts = parts.withColumn("token", F.when(F.col("start") > 1, F.concat(F.lit("##"), part)).otherwise(part))
+    known = checked_lookup(parts, vocabulary.distinct(), ["token"], ["word", "start"], how="left_semi")
+    steps = known.groupBy("word", "start").agg(F.max_by(F.struct("stop", "token"), "stop").alias("step"))
+    steps = steps.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("start", "step"))).alias("_steps"))
+
+    def follow(state, place):
+        step = F.try_element_at("_steps", place)
+        here = state["next"] == place
+        moved = F.struct((step["stop"] + 1).alias("next"), F.concat(state["found"], F.array(step["token"])).alias("found"))
+        return F.when(here & step.isNotNull(), moved).otherwise(state)
+
+    begin = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("found"))
+    chain = F.aggregate(F.sequence(F.lit(1), size), begin, follow)
+    covered = steps.withColumn("_chain", chain).withColumn(
+        "_pieces", F.when(F.col("_chain.next") == size + 1, F.col("_chain.found"))
+    )
+    table = cut_lineage(covered.filter(F.col("_pieces").isNotNull()).select("word", "_pieces"))
+    joined = checked_lookup(exploded, table, ["word"], [key, "pos"])
+    joined = joined.withColumn("_pieces", F.coalesce("_pieces", F.array(F.lit(unknown))))
+    packed = pack_cells(joined, [key], "pos", "_pieces", "_packed").select(key, F.flatten("_packed").alias(target))
+    empty = F.array().cast("array<string>")
+    return df.join(packed, key, "left").withColumn(target, F.coalesce(target, empty))
+
+
 def embed(df: DataFrame, tokens: str, vectors: DataFrame, key: str, unknown: str = UNKNOWN,
           max_rows: int | None = None) -> DataFrame:
     """Vectors (token, vector) of every token in order: (key, pos, vector); unknown tokens share one vector."""

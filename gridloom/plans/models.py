@@ -127,7 +127,7 @@ def tree_scores(t):
     indices = F.when(F.col("l_discount") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
     x = TX.dense_from_sparse(indices, F.array("l_quantity", "l_extendedprice", "l_discount"), 3)
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    items = spread(t.lineitem, "l_orderkey").select(*keys, x.alias("x"))
+    items = spread(t.lineitem, *keys).select(*keys, x.alias("x"))
     score = lambda **o: TX.predict_trees(t.spark, F.col("x"), nodes, **o)
     return items.select(
         *keys, score(mode="margin").alias("margin"), score(mode="margin", tree_limit=2).alias("first_two"),

@@ -12,7 +12,9 @@ from gridloom.operators import ordering as O
 from gridloom.operators import tensors as T
 from gridloom.operators import transforms as ST
 from gridloom.plans.registry import query, r6
+from gridloom.session import scratch_path
 from gridloom.sources import generators as G
+from gridloom.sources import tabular as TB
 
 STATUS = {"F": 0, "O": 1, "P": 2}
 
@@ -263,8 +265,10 @@ def multinomial_draws(t):
 
 @query("usage_partitions", "S24", """SELECT count(*) AS rows, 3::BIGINT AS usages, count(*) AS distinct_rows FROM customer""")
 def usage_partitions(t):
-    c = t.customer.select("c_custkey", G.usage(F.col("c_custkey")).alias("usage"))
-    parts = [c.filter(F.col("usage") == u) for u in ("train", "validation", "test")]
+    path = scratch_path(t.spark, "usage")
+    TB.write_with_usage(t.customer.select("c_custkey"), path, G.usage(F.col("c_custkey")))
+    names = ("train", "validation", "test")
+    parts = [TB.read_usage(t.spark, path, u).withColumn("usage", F.lit(u)) for u in names]
     every = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return every.agg(F.count("*").alias("rows"), F.countDistinct("usage").alias("usages"), F.countDistinct("c_custkey").alias("distinct_rows"))
 

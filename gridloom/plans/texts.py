@@ -254,7 +254,7 @@ WITH {BASIC}, g AS (SELECT doc_id, count(*) AS pieces, md5(string_agg(piece, ' '
 SELECT b.doc_id, len(t) AS words, coalesce(pieces, 0) AS pieces, coalesce(digest, md5('')) AS digest FROM basic b LEFT JOIN g USING (doc_id)""")
 def word_piece_tokens(t):
     base, vocab = piece_vocabulary(t)
-    out = V.word_pieces(base, "tokens", vocab)
+    out = V.word_pieces(base, "tokens", vocab, "doc_id")
     return out.select(
         "doc_id", F.size("tokens").cast("long").alias("words"), F.size("pieces").cast("long").alias("pieces"), F.md5(X.join_tokens(F.col("pieces"))).alias("digest")
     )
@@ -267,7 +267,7 @@ c AS (SELECT doc_id, quality, list_concat([2], coalesce(ids, []), [3]) AS ids FR
 SELECT doc_id, quality::DOUBLE AS label, array_to_string([coalesce(ids[i], 0) FOR i IN range(1, 65)], ' ') AS ids, len(ids)::INT AS attended, 64 AS mask_width FROM c""")
 def review_features(t):
     base, vocab = piece_vocabulary(t)
-    pieces = V.word_pieces(base, "tokens", vocab)
+    pieces = V.word_pieces(base, "tokens", vocab, "doc_id")
     closed = pieces.withColumn("t", X.terminate_tokens(X.truncate_tokens(F.col("pieces"), 62), X.BERT_CLASS, X.BERT_SEPARATOR))
     ids = V.encode(closed, "t", vocab, "doc_id", unknown=X.BERT_UNKNOWN)
     labelled = ids.join(t.labels.select("doc_id", X.review_star_label(F.col("quality") + 1).alias("label")), "doc_id")

@@ -60,13 +60,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give CPU-heavy work all cores when the input arrives in fewer partitions than there are cores.
 
     Large tables have more partitions than the cluster has cores and pass unchanged, without a shuffle.
+    ``keys`` should identify a row, so that no partition is favoured.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
 class Tables:

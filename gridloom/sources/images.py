@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ def label_paths(files: DataFrame, path: str, root: str, max_depth: int = 1, clas
     The class is the first folder below the root; files deeper than ``max_depth`` folders, hidden files and other
     endings are left out. Labels number the sorted class names, or follow ``classes`` (class, label) if given.
     """
-    rest = F.regexp_extract(path, rf"{root.rstrip('/')}/(.*)$", 1)
+    rest = F.regexp_extract(path, rf"{re.escape(root.rstrip('/'))}/(.*)$", 1)
     parts = F.split(rest, "/")
     placed = files.withColumn("_parts", parts).withColumn("class", F.get("_parts", F.lit(0)))
     name = F.element_at("_parts", -1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,16 @@ def read_headerless_tsv(spark: SparkSession, path: str, schema: dict[str, str])
     return spark.read.options(sep="\t", mode="FAILFAST").schema(ddl).csv(path)
 
 
+def write_with_usage(df: DataFrame, path: str, usage: Column) -> None:
+    """Store rows by their usage (train, validation, test), one folder each."""
+    df.withColumn("usage", usage).write.mode("overwrite").partitionBy("usage").parquet(path)
+
+
+def read_usage(spark: SparkSession, path: str, usage: str) -> DataFrame:
+    """Rows of one usage; the other folders are not read."""
+    return spark.read.parquet(path).filter(F.col("usage") == usage).drop("usage")
+
+
 def from_arrays(spark: SparkSession, data: list, labels: list | None = None) -> DataFrame:
     """In-memory arrays as rows (row_id, data, label); all must have the same length."""
     if labels is not None and len(data) != len(labels):

@@ -207,10 +207,12 @@ def test_camel_case(spark):
     assert value(spark, X.code_lines(F.lit("a \n\n  b\t\r\n   \nc"))) == ["a", "  b", "c"]
 
 
-def test_word_pieces(spark):
-    vocab = spark.createDataFrame([(w,) for w in ["un", "##aff", "##able", "want", "##ed", "[UNK]"]], "token string")
-    df = spark.createDataFrame([(["unaffable", "wanted", "xyz", "a" * 201],)], "t array<string>")
-    assert V.word_pieces(df, "t", vocab).first()["pieces"] == ["un", "##aff", "##able", "want", "##ed", "[UNK]", "[UNK]"]
+@pytest.mark.parametrize("max_rows", [0, 1000])
+def test_word_pieces(spark, max_rows):
+    vocab = spark.createDataFrame([(w,) for w in ["un", "##aff", "##able", "want", "##ed", "##e", "[UNK]"]], "token string")
+    df = spark.createDataFrame([(1, ["unaffable", "wanted", "xyz", "wantx", "a" * 201]), (2, []), (3, ["un"])], "k int, t array<string>")
+    got = {r["k"]: r["pieces"] for r in V.word_pieces(df, "t", vocab, "k", max_rows=max_rows).collect()}
+    assert got == {1: ["un", "##aff", "##able", "want", "##ed", "[UNK]", "[UNK]", "[UNK]"], 2: [], 3: ["un"]}
 
 
 @pytest.mark.parametrize("max_rows", [0, 1000])

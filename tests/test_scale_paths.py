@@ -8,7 +8,7 @@ from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
 NAMES = [
-    "document_features", "encode_tokens", "decode_until_end", "embedded_tokens", "feature_vectors", "first_seen_index", "matrix_product",
+    "document_features", "encode_tokens", "word_piece_tokens", "median_percentile", "decode_until_end", "embedded_tokens", "feature_vectors", "first_seen_index", "matrix_product",
     "broadcast_arithmetic", "sort_axis_global", "cumulative_sum", "series_convolution", "metric_percentiles", "length_buckets",
     "padded_batches", "random_split_sizes", "swapped_sentences", "detection_decode", "map_regions", "coco_annotations", "min_max_scaled",
 ]
