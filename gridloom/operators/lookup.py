@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 200_000_000
 SALTS = 32
 
 
@@ -13,9 +15,24 @@ def row_limit(max_rows: int | None) -> int:
     return BROADCAST_ROWS if max_rows is None else max_rows
 
 
+def _bytes(col: Column, kind: DataType) -> Column:
+    """Approximate size of a value: text by its length, arrays by their elements, eight bytes otherwise."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0)).cast("long")
+    if isinstance(kind, ArrayType):
+        each = 8 if not isinstance(kind.elementType, (StringType, ArrayType, StructType)) else 64
+        return F.greatest(F.size(col), F.lit(0)).cast("long") * each
+    if isinstance(kind, StructType):
+        return sum((_bytes(col[f.name], f.dataType) for f in kind), F.lit(0).cast("long"))
+    return F.lit(8).cast("long")
+
+
 def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows; stops counting one row beyond."""
-    return df.limit(row_limit(max_rows) + 1).count() <= row_limit(max_rows)
+    """True if ``df`` is small in rows and in bytes; measuring stops one row beyond the row limit."""
+    limit = row_limit(max_rows)
+    size = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(0).cast("long"))
+    rows, volume = df.limit(limit + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
+    return rows <= limit and (volume or 0) <= BROADCAST_BYTES
 
 
 def checked_lookup(
@@ -29,7 +46,7 @@ def checked_lookup(
 ) -> DataFrame:
     """Join a big, possibly skewed left side to a table with unique keys ``on``.
 
-    Small right side: broadcast. Otherwise both sides are shuffled on the key and a salt taken from
+    Right side small in rows and bytes: broadcast. Otherwise both sides are shuffled on the key and a salt taken from
     ``spread_by``, so that the rows of a frequent key go to ``salts`` tasks. Unmatched and null keys are
     spread the same way.
     """

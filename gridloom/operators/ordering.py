@@ -9,14 +9,18 @@ exact for any of them. A leading value that alone fills a slot is split further
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DateType, NumericType, StructType, TimestampNTZType, TimestampType
 
+from gridloom.operators.lookup import checked_lookup
+from gridloom.session import cut_lineage
+
 ROWS_PER_SLOT = 500_000
-MAX_SLOTS = 4096
+MAX_SLOTS = 16_384
 EXACT_DOUBLE = float(2**53)
 
 
@@ -50,6 +54,25 @@ def _slot(df: DataFrame, source: str, target: str, splits: list[float]) -> DataF
     return Bucketizer(splits=splits, inputCol=source, outputCol=target, handleInvalid="keep").transform(df)
 
 
+def _place(df: DataFrame, tasks: int, has_tie: bool, exact: bool) -> DataFrame:
+    """Add ``_slot`` and ``_sub`` from quantiles of ``_lead`` and ``_tie``.
+
+    ``exact`` says that equal numbers are equal keys. Then a value frequent enough to be several quantiles gets a
+    slot of its own, cut further by the tie-breaker.
+    """
+    parts = min(MAX_SLOTS, 2 * tasks)
+    steps = [i / parts for i in range(1, parts)]
+    lead_cuts, tie_cuts = df.agg(
+        F.percentile_approx("_lead", steps, 10 * parts), F.percentile_approx("_tie", steps, 10 * parts)
+    ).first()
+    df = _slot(df, "_lead", "_slot", _splits(lead_cuts, isolate=exact))
+    hot = [cut for cut, times in Counter(lead_cuts).items() if times > 1]
+    if not (has_tie and exact and hot):
+        return df.withColumn("_sub", F.lit(0.0))
+    df = _slot(df, "_tie", "_sub", _splits(tie_cuts, isolate=False))
+    return df.withColumn("_sub", F.when(F.col("_lead").isin(hot), F.col("_sub")).otherwise(0.0))
+
+
 def ordered_prefix(
     df: DataFrame,
     lead: str,
@@ -65,7 +88,7 @@ def ordered_prefix(
 
     ``within`` names group columns; a group of any size is spread over slots. ``lead`` plus ``tie``
     must be unique inside a group, else the order among equals is arbitrary. ``descending`` turns the
-    leading key round; the tie-breaker always ascends. With ``wide`` only the key columns are sorted and the
+    leading key round; the tie-breaker always ascends; nulls come last. With ``wide`` only the key columns are sorted and the
     result is joined back by them (they must be unique), so that long texts or arrays are not sorted.
     """
     within = within or []
@@ -79,8 +102,8 @@ def ordered_prefix(
     per_slot = rows_per_slot or ROWS_PER_SLOT
     types = {field.name: field.dataType for field in df.schema}
     sign = -1.0 if descending else 1.0
-    lead_key = F.col(lead).desc() if descending else F.col(lead).asc()
-    keys = [lead_key] + ([F.col(tie).asc()] if tie else [])
+    lead_key = F.col(lead).desc_nulls_last() if descending else F.col(lead).asc_nulls_last()
+    keys = [lead_key] + ([F.col(tie).asc_nulls_last()] if tie else [])
 
     numbered = df.withColumn("_lead", order_number(F.col(lead), types[lead]) * F.lit(sign))
     numbered = numbered.withColumn("_tie", order_number(F.col(tie), types[tie]) if tie else F.lit(0.0))
@@ -88,54 +111,38 @@ def ordered_prefix(
         F.count(F.lit(1)), F.min("_lead"), F.max("_lead")
     ).first()
 
+    measures = {f"_before_{i}": column for i, column in enumerate(sums.values())}
+    # The join key of a group: a struct, because null group values must meet each other.
+    numbered = numbered.withColumn("_g", F.struct(*within) if within else F.lit(0))
     if total <= per_slot:
-        groups = within + ["_slot", "_sub"]
-        numbered = numbered.withColumn("_slot", F.lit(0.0)).withColumn("_sub", F.lit(0.0))
-        single = True
+        numbered = numbered.withColumn("_slot", F.lit(0.0)).withColumn("_sub", F.lit(0.0)).withColumn("_n", F.lit(0))
+        for measure in measures:
+            numbered = numbered.withColumn(measure, F.lit(0))
     else:
-        single = False
-        parts = min(MAX_SLOTS, 2 * math.ceil(total / per_slot))
-        steps = [i / parts for i in range(1, parts)]
-        lead_cuts, tie_cuts = numbered.agg(
-            F.percentile_approx("_lead", steps, 20 * parts), F.percentile_approx("_tie", steps, 20 * parts)
-        ).first()
-        # A number above 2**53 may stand for several keys, so equal numbers are not equal keys there.
-        exact = isinstance(types[lead], (NumericType, TimestampType, TimestampNTZType, DateType)) and max(abs(smallest), abs(largest)) < EXACT_DOUBLE
-        numbered = _slot(numbered, "_lead", "_slot", _splits(lead_cuts, isolate=exact))
-        if tie and exact:
-            hot = sorted({cut for cut in lead_cuts if lead_cuts.count(cut) > 1})
-            numbered = _slot(numbered, "_tie", "_sub", _splits(tie_cuts, isolate=False))
-            is_hot = F.col("_lead").isin(hot) if hot else F.lit(False)
-            numbered = numbered.withColumn("_sub", F.when(is_hot, F.col("_sub")).otherwise(0.0))
+        exact = isinstance(types[lead], (NumericType, TimestampType, TimestampNTZType, DateType)) and (
+            smallest is not None and max(abs(smallest), abs(largest)) < EXACT_DOUBLE
+        )
+        numbered = _place(numbered, math.ceil(total / per_slot), tie is not None, exact)
+        if within:
+            # Only groups too large for one task are cut; their number is at most total / per_slot.
+            large = numbered.groupBy("_g").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > per_slot)
+            large = cut_lineage(large.select("_g", F.lit(True).alias("_large")))
+            numbered = checked_lookup(numbered, large, ["_g"], ["_lead", "_tie"])
+            for name in ("_slot", "_sub"):
+                numbered = numbered.withColumn(name, F.when(F.col("_large"), F.col(name)).otherwise(0.0))
+            cut = numbered.filter(F.col("_large"))
         else:
-            numbered = numbered.withColumn("_sub", F.lit(0.0))
-        groups = within + ["_slot", "_sub"]
-
-    inside = Window.partitionBy(*groups).orderBy(*keys)
-    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    measures = {f"_before_{i}": column for i, column in enumerate(sums.values())}
-    if not single:
-        slots = numbered.groupBy(*groups).agg(
+            cut = numbered
+        slots = cut.groupBy("_g", "_slot", "_sub").agg(
             F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(m) for m, c in measures.items()]
         )
-        over = Window.orderBy("_slot", "_sub") if not within else Window.partitionBy(*within).orderBy("_slot", "_sub")
-        over = over.rowsBetween(Window.unboundedPreceding, -1)
-        slots = slots.select(
-            *groups,
-            F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_n"),
-            *[F.coalesce(F.sum(m).over(over), F.lit(0)).alias(m) for m in measures],
-        )
-        renamed = slots.select(*[F.col(g).alias(f"_k{i}") for i, g in enumerate(groups)], "_n", *measures)
-        match = [numbered[g].eqNullSafe(renamed[f"_k{i}"]) for i, g in enumerate(groups)]
-        condition = match[0]
-        for part in match[1:]:
-            condition = condition & part
-        numbered = numbered.join(renamed, condition, "left").drop(*[f"_k{i}" for i in range(len(groups))])
-    else:
-        numbered = numbered.withColumn("_n", F.lit(0))
-        for measure in measures:
-            numbered = numbered.withColumn(measure, F.lit(0))
+        over = Window.partitionBy("_g").orderBy("_slot", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+        slots = slots.select("_g", "_slot", "_sub", *[F.coalesce(F.sum(m).over(over), F.lit(0)).alias(m) for m in ("_n", *measures)])
+        numbered = checked_lookup(numbered, cut_lineage(slots), ["_g", "_slot", "_sub"], ["_lead", "_tie"])
+        numbered = numbered.fillna(0, subset=["_n", *measures])
 
+    inside = Window.partitionBy("_g", "_slot", "_sub").orderBy(*keys)
+    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     columns = [F.col(c) for c in df.columns]
     if index:
         columns.append((F.row_number().over(inside).cast("long") - 1 + F.col("_n")).alias(index))
