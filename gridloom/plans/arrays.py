@@ -280,16 +280,15 @@ def split_axis(t):
 
 
 @query("tile_and_repeat", "P25 P27", """
-WITH x AS (SELECT vec_id, embedding[1:3] AS h FROM embeddings), k AS (SELECT unnest(range(6)) AS pos)
-SELECT vec_id, pos, h[pos % 3 + 1]::DOUBLE AS tiled, h[pos // 2 + 1]::DOUBLE AS repeated, 0.0::DOUBLE AS zeros, 1.0::DOUBLE AS ones FROM x, k""")
+WITH x AS (SELECT vec_id, embedding AS h FROM embeddings), k AS (SELECT unnest(range(128)) AS pos)
+SELECT vec_id, pos, h[pos % 64 + 1]::DOUBLE AS tiled, h[pos // 2 + 1]::DOUBLE AS repeated, 0.0::DOUBLE AS zeros, 1.0::DOUBLE AS ones FROM x, k""")
 def tile_and_repeat(t):
-    head = F.slice("e", 1, 3)
-    tiled = A.tile(head, 2)
+    tiled = A.tile(F.col("e"), 2)
     out = vectors(t).select(
         "vec_id",
         F.posexplode(
             F.arrays_zip(
-                tiled.alias("tiled"), A.repeat_each(head, 2).alias("repeated"),
+                tiled.alias("tiled"), A.repeat_each(F.col("e"), 2).alias("repeated"),
                 A.like(tiled, 0).alias("zeros"), A.like(tiled, 1).alias("ones"),
             )
         ).alias("pos", "x"),
@@ -357,17 +356,17 @@ def concat_rows(t):
 
 
 @query("concat_features", "U02 U03", f"""
-WITH {CELLS}, n AS (SELECT vec_id, sqrt(sum(v * v)) AS n FROM cells GROUP BY 1), k AS (SELECT unnest(range(6)) AS pos)
-SELECT vec_id, pos, round(CASE WHEN pos < 3 THEN embedding[pos + 1] ELSE embedding[pos - 2] / n END, 6) + 0.0 AS joined,
-pos // 3 AS part FROM embeddings JOIN n USING (vec_id), k""")
+WITH {CELLS}, n AS (SELECT vec_id, sqrt(sum(v * v)) AS n FROM cells GROUP BY 1), k AS (SELECT unnest(range(128)) AS pos)
+SELECT vec_id, pos, round(CASE WHEN pos < 64 THEN embedding[pos + 1] ELSE embedding[pos - 63] / n END, 6) + 0.0 AS joined,
+pos // 64 AS part FROM embeddings JOIN n USING (vec_id), k""")
 def concat_features(t):
     v = vectors(t)
-    raw = v.select("vec_id", F.slice("e", 1, 3).alias("raw"))
-    unit = v.select("vec_id", A.let(A.norm(F.col("e")), lambda n: F.transform(F.slice("e", 1, 3), lambda x: x / n)).alias("unit"))
+    raw = v.select("vec_id", F.col("e").alias("raw"))
+    unit = v.select("vec_id", A.let(A.norm(F.col("e")), lambda n: F.transform("e", lambda x: x / n)).alias("unit"))
     joined = raw.join(unit, "vec_id").select("vec_id", F.posexplode(F.concat("raw", "unit")).alias("pos", "x"))
     return joined.select(
         "vec_id", F.col("pos").cast("long").alias("pos"), r6("x").alias("joined"),
-        F.floor(F.col("pos") / 3).alias("part"),
+        F.floor(F.col("pos") / 64).alias("part"),
     )
 
 

@@ -133,35 +133,33 @@ def binary_records(t):
 
 
 @query("colour_records", "S12", """
-WITH b AS (SELECT vec_id, label, unnest([trunc(abs(x::DOUBLE) * 255) FOR x IN embedding[1:48]]) AS v, generate_subscripts(embedding[1:48], 1) - 1 AS p FROM embeddings)
-SELECT vec_id, label, (p % 16) * 3 + p // 16 AS pos, v::DOUBLE AS v FROM b""")
+WITH e AS (SELECT vec_id, label, list_concat([trunc(abs(x::DOUBLE) * 255) FOR x IN embedding], [0, 0]) AS e FROM embeddings),
+b AS (SELECT vec_id, label, unnest(e) AS v, generate_subscripts(e, 1) - 1 AS p FROM e)
+SELECT vec_id, label, (p % 22) * 3 + p // 22 AS pos, v::DOUBLE AS v FROM b""")
 def colour_records(t):
-    """A label byte and three 4 x 4 planes per vector."""
-    cells = F.transform(F.slice("embedding", 1, 48), lambda x: F.lpad(F.hex((F.abs(x.cast("double")) * 255).cast("int")), 2, "0"))
-    raw = F.unhex(F.concat(F.lpad(F.hex("label"), 2, "0"), F.array_join(cells, "")))
-    out = IM.with_colour_pixels(t.embeddings.select("vec_id", raw.alias("record")), "record", 4, 4)
+    """A label byte and three 2 x 11 planes per vector, the last two bytes zero."""
+    cells = F.transform("embedding", lambda x: F.lpad(F.hex((F.abs(x.cast("double")) * 255).cast("int")), 2, "0"))
+    raw = F.unhex(F.concat(F.lpad(F.hex("label"), 2, "0"), F.array_join(cells, ""), F.lit("0000")))
+    out = IM.with_colour_pixels(t.embeddings.select("vec_id", raw.alias("record")), "record", 2, 11)
     out = explode_rows(out, "pixels", ["vec_id", "label"])
     return out.withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("coco_annotations", "S13 J07", """
-WITH a AS (SELECT l_orderkey * 1000 + l_linenumber * 100 + l_suppkey % 100 AS annotation_id, l_orderkey AS image_id, l_partkey % 20 * 3 AS category, l_discount AS area, l_quantity AS w, l_tax AS x FROM lineitem
-QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) = 1)
-SELECT image_id, 'val/' || image_id || '.jpg' AS file, annotation_id, (19 - category // 3) AS class, x, w FROM a WHERE area > 0""")
+SELECT l_orderkey AS image_id, 'val/' || l_orderkey || '.jpg' AS file, l_partkey * 10000 + l_suppkey AS annotation_id, 19 - l_partkey % 20 AS class, l_tax AS x, l_quantity AS w
+FROM lineitem WHERE l_discount > 0""")
 def coco_annotations(t):
-    """Orders as images, one line item each as its box, in twenty classes listed backwards; one JSON document per order batch."""
+    """Orders as images, line items as their boxes, in twenty classes listed backwards; one document per 256 orders."""
     path = scratch_path(t.spark, "coco")
-    key = F.struct("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
-    first = t.lineitem.groupBy("l_orderkey").agg(F.min_by(F.struct("l_partkey", "l_suppkey", "l_linenumber", "l_discount", "l_quantity", "l_tax"), key).alias("r"))
     note = F.struct(
-        (F.col("l_orderkey") * 1000 + F.col("r.l_linenumber") * 100 + F.col("r.l_suppkey") % 100).alias("id"), F.col("l_orderkey").alias("image_id"),
-        (F.col("r.l_partkey") % 20 * 3).alias("category_id"), F.col("r.l_discount").alias("area"),
-        F.array("r.l_tax", "r.l_tax", "r.l_quantity", "r.l_quantity").alias("bbox"),
+        (F.col("l_partkey") * 10000 + F.col("l_suppkey")).alias("id"), F.col("l_orderkey").alias("image_id"),
+        (F.col("l_partkey") % 20 * 3).alias("category_id"), F.col("l_discount").alias("area"),
+        F.array("l_tax", "l_tax", "l_quantity", "l_quantity").alias("bbox"),
     )
     image = F.struct(F.col("l_orderkey").alias("id"), F.concat(F.lit("http://x/val/"), "l_orderkey", F.lit(".jpg")).alias("coco_url"))
-    rows = first.select(F.floor(F.col("l_orderkey") / 256).alias("b"), image.alias("image"), note.alias("note"))
+    rows = t.lineitem.select(F.floor(F.col("l_orderkey") / 256).alias("b"), image.alias("image"), note.alias("note"))
     none = "array<struct<id: bigint>>"
-    docs = rows.groupBy("b").agg(F.collect_list("image").alias("images"), F.collect_list("note").alias("annotations"))
+    docs = rows.groupBy("b").agg(F.collect_set("image").alias("images"), F.collect_list("note").alias("annotations"))
     docs = docs.withColumn("categories", F.array().cast(none)).drop("b")
     classes = t.spark.createDataFrame([([{"id": 57 - 3 * i} for i in range(20)],)], f"categories {none}")
     docs.unionByName(classes, allowMissingColumns=True).write.json(path)

@@ -22,6 +22,7 @@ from gridloom.operators import vocabulary as V
 from gridloom.plans.registry import query, r6
 from gridloom.plans.texts import TOKENS, VOCAB, tokens, vocabulary
 from gridloom.session import cut_lineage, scratch_path, spread
+from gridloom.sources import generators as G
 
 CENTRES = """c AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
     w AS (SELECT label AS k, pos, avg(v) * 20 AS w FROM c GROUP BY 1, 2),
@@ -235,10 +236,10 @@ def train_slices(t):
 @query("hyper_parameter_search", "T15")
 def hyper_parameter_search(t):
     space = {"rate": ("log", 0.01, 1.0), "hidden": ("int", 4, 16), "momentum": ("choice", [0.0, 0.9]), "decay": ("bool",)}
-    fold = F.pmod("vec_id", F.lit(5))
+    part = G.usage(F.col("vec_id"), train=0.8, validation=0.2)
     build = lambda s: TR.Trial(TR.Mlp(64, s["hidden"], 10), OP.Sgd(s["rate"], momentum=s["momentum"], decay=1e-4 * s["decay"]), seed=1)
     e = t.embeddings
-    best, report = TR.search(e.filter(fold < 4), e.filter(fold == 4), "embedding", "label", space, build, trials=6, epochs=3, seed=5)
+    best, report = TR.search(e.filter(part == "train"), e.filter(part == "validation"), "embedding", "label", space, build, trials=6, epochs=3, seed=5)
     return t.spark.createDataFrame(report[["trial", "rate", "hidden", "momentum", "decay", "loss", "accuracy"]])
 
 

@@ -151,19 +151,19 @@ ANCHORS = """shapes AS (SELECT * FROM (VALUES (0, 0.3, 1.0), (1, 0.5, 1.0), (2,
 
 
 @query("prior_boxes", "V07", f"""
-WITH {ANCHORS}, n AS (SELECT label, count(*) AS uses FROM embeddings GROUP BY 1)
-SELECT label, uses, anchor_id, round(greatest(x, 0), 6) + 0.0 AS x0, round(greatest(y, 0), 6) + 0.0 AS y0, round(least(x + w, 1), 6) AS x1, round(least(y + h, 1), 6) AS y1 FROM anc, n""")
+WITH {ANCHORS}, n AS (SELECT vec_id // 20 AS image, count(*) AS vectors FROM embeddings GROUP BY 1)
+SELECT image, vectors, anchor_id, round(greatest(x, 0), 6) + 0.0 AS x0, round(greatest(y, 0), 6) + 0.0 AS y0, round(least(x + w, 1), 6) AS x1, round(least(y + h, 1), 6) AS y1 FROM anc, n""")
 def prior_boxes(t):
-    """Anchors for every class head in the data."""
+    """Anchors of every image."""
     table = GRID.table(t.spark, clip=True)
-    heads = t.embeddings.groupBy("label").agg(F.count("*").alias("uses"))
-    rows = heads.withColumn("anchor_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GRID.size() - 1).cast("long"))))
-    out = checked_lookup(rows, table, ["anchor_id"], ["label"], how="inner")
-    return out.select("label", "uses", "anchor_id", *[r6(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    images = t.embeddings.groupBy(F.floor(F.col("vec_id") / 20).alias("image")).agg(F.count("*").alias("vectors"))
+    rows = images.withColumn("anchor_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GRID.size() - 1).cast("long"))))
+    out = checked_lookup(rows, table, ["anchor_id"], ["image"], how="inner")
+    return out.select("image", "vectors", "anchor_id", *[r6(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
-# Fewer truth boxes per image: the first three of each vector, five vectors per image.
-TRUTHS = BOXES + """, tr AS (SELECT box_id, box_id // 50 AS image, class, x, y, w * 1.5 AS w, h * 1.5 AS h FROM bx WHERE box_id % 10 < 3)"""
+# All boxes as truth, five vectors per image.
+TRUTHS = BOXES + """, tr AS (SELECT box_id, box_id // 50 AS image, class, x, y, w * 1.5 AS w, h * 1.5 AS h FROM bx)"""
 MATCH = f"""pr AS (SELECT b.image, b.box_id, b.class, a.anchor_id, {iou_sql()} AS iou,
     pow(b.x + b.w / 2 - a.cx, 2) + pow(b.y + b.h / 2 - a.cy, 2) AS far FROM tr b, anc a),
     cl AS (SELECT image, box_id, arg_max(anchor_id, [round(iou, 9), -round(far, 9), -anchor_id]) AS anchor_id, arg_max(iou, [round(iou, 9), -round(far, 9), -anchor_id]) AS iou, 1 AS claimed FROM pr GROUP BY 1, 2),
@@ -172,8 +172,7 @@ MATCH = f"""pr AS (SELECT b.image, b.box_id, b.class, a.anchor_id, {iou_sql()} A
 
 
 def truths(t):
-    b = boxes(t).filter(F.col("box_id") % 10 < 3)
-    return b.select(
+    return boxes(t).select(
         "box_id", F.floor(F.col("box_id") / 50).alias("image"), "class", "x", "y", (F.col("w") * 1.5).alias("w"), (F.col("h") * 1.5).alias("h")
     )
 
@@ -341,40 +340,40 @@ def map_regions(t):
     return R.region_boxes(R.regions(maps(t), "label", tile=8), "label", min_extent=1)
 
 
-# Images of 4 x 4 RGB pixels: the first 48 entries, absolute, times 255.
-PIXELS = """px AS (SELECT vec_id, p // 12 AS i, p // 3 % 4 AS j, p % 3 AS c, p, abs(v) * 255 AS v FROM (SELECT vec_id, unnest(embedding[1:48])::DOUBLE AS v,
-    generate_subscripts(embedding[1:48], 1) - 1 AS p FROM embeddings))"""
+# Images of 4 x 4 pixels with four channels: all entries, absolute, times 255.
+PIXELS = """px AS (SELECT vec_id, p // 16 AS i, p // 4 % 4 AS j, p % 4 AS c, p, abs(v) * 255 AS v FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v,
+    generate_subscripts(embedding, 1) - 1 AS p FROM embeddings))"""
 
 
 def pictures(t):
-    return t.embeddings.select("vec_id", F.transform(F.slice("embedding", 1, 48), lambda x: F.abs(x.cast("double")) * 255).alias("pixels"))
+    return t.embeddings.select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double")) * 255).alias("pixels"))
 
 
 def pixel_cells(t):
     cells = pictures(t).select("vec_id", F.posexplode("pixels").alias("p", "v"))
     p = F.col("p")
     return cells.select(
-        "vec_id", F.floor(p / 12).alias("i"), (F.floor(p / 3) % 4).alias("j"), (p % 3).cast("long").alias("c"), "v"
+        "vec_id", F.floor(p / 16).alias("i"), (F.floor(p / 4) % 4).alias("j"), (p % 4).cast("long").alias("c"), "v"
     )
 
 
 @query("image_to_tensor", "D05", f"""
 WITH {PIXELS} SELECT vec_id, c * 16 + i * 4 + j AS pos, round(v / 255, 6) AS v FROM px""")
 def image_to_tensor(t):
-    out = pictures(t).select("vec_id", F.posexplode(I.to_tensor(F.col("pixels"), 4, 4, 3)).alias("pos", "v"))
+    out = pictures(t).select("vec_id", F.posexplode(I.to_tensor(F.col("pixels"), 4, 4, 4)).alias("pos", "v"))
     return out.select("vec_id", F.col("pos").cast("long").alias("pos"), r6("v").alias("v"))
 
 
 @query("image_normalised", "D04", f"""
-WITH {PIXELS} SELECT vec_id, i, j, c, round((v - [10.0, 20.0, 30.0][c + 1]) / [2.0, 4.0, 5.0][c + 1], 6) + 0.0 AS v FROM px""")
+WITH {PIXELS} SELECT vec_id, i, j, c, round((v - [10.0, 20.0, 30.0, 40.0][c + 1]) / [2.0, 4.0, 5.0, 8.0][c + 1], 6) + 0.0 AS v FROM px""")
 def image_normalised(t):
-    return I.normalize_cells(pixel_cells(t), "c", [10.0, 20.0, 30.0], [2.0, 4.0, 5.0]).withColumn("v", r6("v"))
+    return I.normalize_cells(pixel_cells(t), "c", [10.0, 20.0, 30.0, 40.0], [2.0, 4.0, 5.0, 8.0]).withColumn("v", r6("v"))
 
 
 @query("image_normalised_packed", "D04", f"""
-WITH {PIXELS} SELECT vec_id, p AS pos, round((v - [10.0, 20.0, 30.0][c + 1]) / [2.0, 4.0, 5.0][c + 1], 6) + 0.0 AS v FROM px""")
+WITH {PIXELS} SELECT vec_id, p AS pos, round((v - [10.0, 20.0, 30.0, 40.0][c + 1]) / [2.0, 4.0, 5.0, 8.0][c + 1], 6) + 0.0 AS v FROM px""")
 def image_normalised_packed(t):
-    out = pictures(t).select("vec_id", F.posexplode(I.normalize(F.col("pixels"), [10.0, 20.0, 30.0], [2.0, 4.0, 5.0])).alias("pos", "v"))
+    out = pictures(t).select("vec_id", F.posexplode(I.normalize(F.col("pixels"), [10.0, 20.0, 30.0, 40.0], [2.0, 4.0, 5.0, 8.0])).alias("pos", "v"))
     return out.select("vec_id", F.col("pos").cast("long").alias("pos"), r6("v").alias("v"))
 
 
@@ -389,16 +388,16 @@ def image_crops(t):
 
 @query("image_resize", "V12", f"""
 WITH {PIXELS}, o AS (SELECT oi, oj FROM (SELECT unnest(range(6)) AS oi), (SELECT unnest(range(6)) AS oj)),
-near AS (SELECT vec_id, oi * 18 + oj * 3 + c AS pos, v AS nearest FROM px JOIN o ON i = oi * 4 // 6 AND j = oj * 4 // 6),
+near AS (SELECT vec_id, oi * 24 + oj * 4 + c AS pos, v AS nearest FROM px JOIN o ON i = oi * 4 // 6 AND j = oj * 4 // 6),
 ax AS (SELECT oi AS k, (oi + 0.5) * 4 / 6.0::DOUBLE - 0.5 AS z FROM (SELECT unnest(range(6)) AS oi)),
 w AS (SELECT k, greatest(least(floor(z) + s, 3), 0) AS src, CASE WHEN s = 0 THEN 1 - (z - floor(z)) ELSE z - floor(z) END AS w FROM ax, (SELECT unnest([0, 1]) AS s)),
-lin AS (SELECT vec_id, a.k * 18 + b.k * 3 + c AS pos, sum(v * a.w * b.w) AS bilinear FROM px JOIN w a ON a.src = i JOIN w b ON b.src = j GROUP BY 1, 2)
+lin AS (SELECT vec_id, a.k * 24 + b.k * 4 + c AS pos, sum(v * a.w * b.w) AS bilinear FROM px JOIN w a ON a.src = i JOIN w b ON b.src = j GROUP BY 1, 2)
 SELECT vec_id, pos, round(nearest, 6) AS nearest, round(bilinear, 6) AS bilinear FROM near JOIN lin USING (vec_id, pos)""")
 def image_resize(t):
     four, six = F.lit(4), F.lit(6)
     p = F.col("pixels")
     both = pictures(t).select(
-        "vec_id", I.resize(p, four, four, 3, six, six, "nearest").alias("nearest"), I.resize(p, four, four, 3, six, six).alias("bilinear")
+        "vec_id", I.resize(p, four, four, 4, six, six, "nearest").alias("nearest"), I.resize(p, four, four, 4, six, six).alias("bilinear")
     )
     out = both.select("vec_id", F.posexplode(F.arrays_zip("nearest", "bilinear")).alias("pos", "x"))
     return out.select("vec_id", F.col("pos").cast("long").alias("pos"), r6("x.nearest").alias("nearest"), r6("x.bilinear").alias("bilinear"))
@@ -409,16 +408,18 @@ def image_random_crops(t):
     window = I.random_crop_window(4, 4, 21, F.col("vec_id"))
     framed = pictures(t).select("vec_id", "pixels", *[c.alias(n) for n, c in window.items()])
     six, four = F.lit(6), F.lit(4)
-    out = I.resize(F.col("pixels"), four, four, 3, six, six, "bilinear", *[F.col(c) for c in window])
+    out = I.resize(F.col("pixels"), four, four, 4, six, six, "bilinear", *[F.col(c) for c in window])
     return framed.select("vec_id", *window, out.alias("pixels"))
 
 
 @query("image_augmented", "V14")
 def image_augmented(t):
     p, key = F.col("pixels"), F.col("vec_id")
-    flipped = I.random_flip(I.random_flip(p, 4, 4, 3, 31, key), 4, 4, 3, 32, key, left_right=False)
+    flipped = I.random_flip(I.random_flip(p, 4, 4, 4, 31, key), 4, 4, 4, 32, key, left_right=False)
     out = pictures(t).select("vec_id", flipped.alias("flipped"))
-    return out.select("vec_id", "flipped", I.colour_jitter(F.col("flipped"), 33, key, 0.2, 0.2, 0.2, 0.1).alias("jittered"))
+    # The fourth channel is no colour and stays out of the jitter.
+    rgb = F.filter("flipped", lambda x, i: i % 4 < 3)
+    return out.select("vec_id", "flipped", I.colour_jitter(rgb, 33, key, 0.2, 0.2, 0.2, 0.1).alias("jittered"))
 
 
 @query("instance_masks", "V10", """
