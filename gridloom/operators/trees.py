@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from gridloom.functions.arrays import let
 
 
 def node_table(dump: str) -> pd.DataFrame:
-    """Flat nodes (tree, node, feature, threshold, yes, no, missing, leaf) of a dumped ensemble.
+    """Flat nodes (tree, node, feature, threshold, yes, no, missing, leaf, cover) of a dumped ensemble.
 
     Features are named ``f<number>``; a row goes to ``yes`` when its value is below the threshold.
     """
@@ -29,6 +30,7 @@ def node_table(dump: str) -> pd.DataFrame:
                 "tree": tree, "node": node["nodeid"], "feature": int(str(node["split"]).lstrip("f")) if inner else -1,
                 "threshold": float(node["split_condition"]) if inner else np.nan, "yes": node.get("yes", -1),
                 "no": node.get("no", -1), "missing": node.get("missing", -1), "leaf": float(node.get("leaf", np.nan)),
+                "cover": float(node.get("cover", np.nan)),
             })
             stack.extend(node.get("children", []))
     return pd.DataFrame(rows)
@@ -38,8 +40,9 @@ def predict_trees(spark: SparkSession, features: Column, nodes: pd.DataFrame, mo
                   base_score: float = 0.0, tree_limit: int = 0) -> Column:
     """Score an array of features (NaN or null = missing).
 
-    ``mode``: ``default`` (transformed by the objective), ``margin`` (summed leaves) or ``leaf`` (an array with the
-    leaf node of each tree). ``tree_limit`` uses the first trees only; 0 means all. All rows of an Arrow batch walk
+    ``mode``: ``default`` (transformed by the objective), ``margin`` (summed leaves), ``leaf`` (an array with the
+    leaf node of each tree) or ``contribution`` (an array with the share of each feature in the margin, the
+    expected margin last; needs covers). ``tree_limit`` uses the first trees only; 0 means all. All rows of an Arrow batch walk
     a tree together.
     """
     count = int(nodes["tree"].max()) + 1
@@ -75,6 +78,24 @@ def predict_trees(spark: SparkSession, features: Column, nodes: pd.DataFrame, mo
         flat = pc.fill_null(column.flatten().cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False)
         return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
+    if mode == "contribution":
+        if nodes["cover"].isna().any():
+            raise ValueError("contributions need the cover of every node")
+        paths = spark.sparkContext.broadcast([_leaf_paths(nodes[nodes["tree"] == t].set_index("node")) for t in range(used)])
+
+        @F.arrow_udf("array<double>")
+        def shares(column: pa.Array) -> pa.Array:
+            values = matrix(column)
+            width = values.shape[1] + 1
+            out = np.zeros((len(values), width))
+            out[:, -1] = base_score
+            for tree in paths.value:
+                _add_contributions(values, tree, out)
+            ends = pa.array(np.arange(len(out) + 1, dtype=np.int32) * width)
+            return pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
+
+        return shares(features)
+
     if mode == "leaf":
 
         @F.arrow_udf("array<bigint>")
@@ -99,6 +120,56 @@ def predict_trees(spark: SparkSession, features: Column, nodes: pd.DataFrame, mo
     return 1 / (1 + F.exp(-total))
 
 
+def _leaf_paths(nodes: pd.DataFrame) -> list[tuple[float, dict]]:
+    """Each leaf with its value and, per feature on the way to it, the splits passed and the share of rows
+    that pass them: feature -> (share, [(threshold, wanted side, side of missing values)])."""
+    out = []
+    stack = [(0, {})]
+    while stack:
+        number, passed = stack.pop()
+        node = nodes.loc[number]
+        if node["feature"] < 0:
+            out.append((float(node["leaf"]), passed))
+            continue
+        feature = int(node["feature"])
+        for side in ("yes", "no"):
+            child = int(node[side])
+            share, splits = passed.get(feature, (1.0, []))
+            share *= float(nodes.loc[child, "cover"]) / float(node["cover"])
+            split = (float(node["threshold"]), side == "yes", node["missing"] == node["yes"])
+            stack.append((child, {**passed, feature: (share, [*splits, split])}))
+    return out
+
+
+def _add_contributions(values: np.ndarray, tree: list[tuple[float, dict]], out: np.ndarray) -> None:
+    """Add one tree's Shapley values, where an absent feature splits rows by cover.
+
+    For a leaf only the features on its path matter. The sums over subsets of the other features are the
+    coefficients of a product of linear factors, one per feature, computed for all rows together.
+    """
+    for value, passed in tree:
+        names = list(passed)
+        shares = [passed[f][0] for f in names]
+        hits = []
+        for f in names:
+            x, hit = values[:, f], np.ones(len(values), dtype=bool)
+            for threshold, wants_yes, missing_yes in passed[f][1]:
+                goes_yes = np.where(np.isnan(x), missing_yes, x < threshold)
+                hit &= goes_yes == wants_yes
+            hits.append(hit.astype(float))
+        count = len(names)
+        for place, f in enumerate(names):
+            sizes = [np.ones(len(values))]
+            for other in range(count):
+                if other != place:
+                    stay = [c * shares[other] for c in sizes] + [np.zeros(len(values))]
+                    join = [np.zeros(len(values))] + [c * hits[other] for c in sizes]
+                    sizes = [a + b for a, b in zip(stay, join, strict=True)]
+            weight = sum(c * (math.factorial(k) * math.factorial(count - k - 1) / math.factorial(count)) for k, c in enumerate(sizes))
+            out[:, f] += value * (hits[place] - shares[place]) * weight
+        out[:, -1] += value * float(np.prod(shares))
+
+
 def dense_from_sparse(indices: Column, values: Column, width: int) -> Column:
     """A dense array from parallel index and value arrays; absent positions are NaN (missing)."""
     places = F.sequence(F.lit(0), F.lit(width - 1))

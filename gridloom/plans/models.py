@@ -101,18 +101,18 @@ def tabular_classes(t):
 
 def split(node, feature, limit, yes, no, missing="yes"):
     return {"nodeid": node, "split": f"f{feature}", "split_condition": limit, "yes": yes["nodeid"], "no": no["nodeid"],
-            "missing": (yes if missing == "yes" else no)["nodeid"], "children": [yes, no]}
+            "missing": (yes if missing == "yes" else no)["nodeid"], "cover": yes["cover"] + no["cover"], "children": [yes, no]}
 
 
-def leaf(node, value):
-    return {"nodeid": node, "leaf": value}
+def leaf(node, value, cover=1.0):
+    return {"nodeid": node, "leaf": value, "cover": cover}
 
 
 # A small ensemble over quantity, price and discount (a discount of zero counts as missing).
 ENSEMBLE = json.dumps([
-    split(0, 0, 20.5, split(1, 1, 30000.0, leaf(3, 0.5), leaf(4, -0.25)), leaf(2, 0.125)),
-    split(0, 2, 0.045, leaf(1, 0.75), split(2, 0, 40.0, leaf(5, -0.5), leaf(6, 1.0)), missing="no"),
-    split(0, 1, 60000.0, leaf(1, -1.0), leaf(2, 2.0)),
+    split(0, 0, 20.5, split(1, 1, 30000.0, leaf(3, 0.5, 30.0), leaf(4, -0.25, 10.0)), leaf(2, 0.125, 60.0)),
+    split(0, 2, 0.045, leaf(1, 0.75, 40.0), split(2, 0, 40.0, leaf(5, -0.5, 45.0), leaf(6, 1.0, 15.0)), missing="no"),
+    split(0, 1, 60000.0, leaf(1, -1.0, 80.0), leaf(2, 2.0, 20.0)),
 ])
 
 
@@ -136,6 +136,27 @@ def tree_scores(t):
     )
 
 
+@query("tree_contributions", "M04", """
+WITH x AS (SELECT *, nullif(l_discount, 0) AS d FROM lineitem),
+h AS (SELECT *, (l_quantity < 20.5)::INT::DOUBLE AS a, (l_extendedprice < 30000)::INT::DOUBLE AS b, coalesce(d < 0.045, false)::INT::DOUBLE AS c, (l_quantity < 40)::INT::DOUBLE AS e,
+(l_extendedprice < 60000)::INT::DOUBLE AS f FROM x),
+-- tree one over quantity q and price p, tree two over discount and quantity, tree three over price alone
+v AS (SELECT *, a * (b * 0.5 + (1 - b) * -0.25) + (1 - a) * 0.125 AS qp, a * (0.75 * 0.5 + 0.25 * -0.25) + (1 - a) * 0.125 AS q_only,
+0.4 * (b * 0.5 + (1 - b) * -0.25) + 0.6 * 0.125 AS p_only, 0.4 * (0.75 * 0.5 + 0.25 * -0.25) + 0.6 * 0.125 AS one,
+c * 0.75 + (1 - c) * (e * -0.5 + (1 - e) * 1.0) AS dq, c * 0.75 + (1 - c) * (0.75 * -0.5 + 0.25) AS d_only, 0.4 * 0.75 + 0.6 * (e * -0.5 + (1 - e) * 1.0) AS q2_only,
+0.4 * 0.75 + 0.6 * (0.75 * -0.5 + 0.25) AS two, f * -1.0 + (1 - f) * 2.0 AS p3, 0.8 * -1.0 + 0.2 * 2.0 AS three FROM h)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(((q_only - one) + (qp - p_only)) / 2 + ((q2_only - two) + (dq - d_only)) / 2, 6) + 0.0 AS quantity,
+round(((p_only - one) + (qp - q_only)) / 2 + p3 - three, 6) + 0.0 AS price, round(((d_only - two) + (dq - q2_only)) / 2, 6) + 0.0 AS discount,
+round((one + two + three)::DOUBLE, 6) + 0.0 AS expected FROM v""")
+def tree_contributions(t):
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    discount = F.when(F.col("l_discount") == 0, F.lit(float("nan"))).otherwise(F.col("l_discount"))
+    items = spread(t.lineitem, *keys).select(*keys, F.array("l_quantity", "l_extendedprice", discount).alias("x"))
+    out = items.select(*keys, TX.predict_trees(t.spark, F.col("x"), TX.node_table(ENSEMBLE), "contribution").alias("c"))
+    names = ["quantity", "price", "discount", "expected"]
+    return out.select(*keys, *[r6(F.get("c", F.lit(i))).alias(n) for i, n in enumerate(names)])
+
+
 @query("answer_spans", "M07", """
 WITH c AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
 b AS (SELECT vec_id, arg_max(pos, v) FILTER (pos < 32) AS s, arg_max(pos - 32, v) FILTER (pos >= 32) AS e FROM c GROUP BY 1)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.session import Tables
+from gridloom.session import Tables, ship_package
 
 
 @dataclass(frozen=True)
@@ -19,6 +19,7 @@ class Query:
     sql: str | None
 
     def run(self, spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
         return self.build(Tables(spark, folder))
 
 

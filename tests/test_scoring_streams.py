@@ -1,5 +1,9 @@
 """Scorers, trees and streams: a stream gives what the batch gives."""
 
+import itertools
+import json
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -63,6 +67,42 @@ def test_trees(spark):
     assert np.isnan(sparse[0]) and sparse[2] == 5.0
 
 
+def test_tree_contributions_against_shapley(spark):
+    """Brute force over feature subsets; absent features follow both branches by cover."""
+    dump = json.loads(ENSEMBLE)
+    deep = {"nodeid": 0, "split": "f0", "split_condition": 1.0, "yes": 1, "no": 2, "missing": 2, "cover": 10.0, "children": [
+        {"nodeid": 1, "split": "f1", "split_condition": 0.0, "yes": 3, "no": 4, "missing": 3, "cover": 6.0, "children": [
+            {"nodeid": 3, "split": "f0", "split_condition": 0.5, "yes": 5, "no": 6, "missing": 6, "cover": 2.0, "children": [
+                {"nodeid": 5, "leaf": 3.0, "cover": 0.5}, {"nodeid": 6, "leaf": -2.0, "cover": 1.5}]},
+            {"nodeid": 4, "leaf": 1.0, "cover": 4.0}]},
+        {"nodeid": 2, "split": "f2", "split_condition": 2.0, "yes": 7, "no": 8, "missing": 8, "cover": 4.0, "children": [
+            {"nodeid": 7, "leaf": 0.25, "cover": 1.0}, {"nodeid": 8, "leaf": -1.0, "cover": 3.0}]}]}
+    trees = [deep, dump[1]]
+    rows = [[0.2, -1.0, 3.0], [0.7, 1.0, 0.0], [30.0, float("nan"), float("nan")], [float("nan"), 0.5, 0.01]]
+
+    def expected(node, x, known):
+        if "leaf" in node:
+            return node["leaf"]
+        yes, no = node["children"]
+        f = int(node["split"][1:])
+        if f not in known:
+            return (yes["cover"] * expected(yes, x, known) + no["cover"] * expected(no, x, known)) / node["cover"]
+        side = node["missing"] if np.isnan(x[f]) else node["yes"] if x[f] < node["split_condition"] else node["no"]
+        return expected(yes if side == yes["nodeid"] else no, x, known)
+
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "k int, x array<double>")
+    got = df.select("k", TX.predict_trees(spark, F.col("x"), TX.node_table(json.dumps(trees)), "contribution").alias("c")).orderBy("k").collect()
+    for x, result in zip(rows, got, strict=True):
+        total = lambda known, x=x: sum(expected(t, x, known) for t in trees)
+        shares = []
+        for f in range(3):
+            others = [g for g in range(3) if g != f]
+            subsets = [set(s) for n in range(3) for s in itertools.combinations(others, n)]
+            shares.append(sum(math.factorial(len(s)) * math.factorial(2 - len(s)) / 6 * (total(s | {f}) - total(s)) for s in subsets))
+        assert np.allclose(result["c"], [*shares, total(set())])
+        assert np.isclose(sum(result["c"]), total({0, 1, 2}))
+
+
 @pytest.fixture(scope="module")
 def arrivals(spark, tmp_path_factory):
     rng = np.random.default_rng(4)
