@@ -172,10 +172,13 @@ def hash_order(seed: int, *keys: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 12)
 
 
-def shuffled(df: DataFrame, seed: int, key: str) -> DataFrame:
-    """Random sampler: ``position`` is the place of the row in a seeded random order."""
+def shuffled(df: DataFrame, seed: int, key: str, wide: bool = False) -> DataFrame:
+    """Random sampler: ``position`` is the place of the row in a seeded random order.
+
+    ``wide`` sorts the keys alone, which also leaves the rows spread over all tasks when one slot is enough.
+    """
     keyed = df.withColumn("_order", hash_order(seed, key))
-    return ordered_prefix(keyed, "_order", key, index="position").drop("_order")
+    return ordered_prefix(keyed, "_order", key, index="position", wide=wide).drop("_order")
 
 
 def random_split(df: DataFrame, ratios: list[float], seed: int, key: str) -> DataFrame:

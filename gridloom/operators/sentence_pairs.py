@@ -30,7 +30,7 @@ def swap_half(df: DataFrame, key: str, seed: int) -> DataFrame:
     probability one half; ``consecutive`` is 0 for both when they did.
 
     The input is read more than once; cut its lineage first when it is expensive."""
-    placed = shuffled(df, seed, key).withColumn("_couple", F.floor(F.col("position") / 2))
+    placed = shuffled(df, seed, key, wide=True).withColumn("_couple", F.floor(F.col("position") / 2))
     couple = Window.partitionBy("_couple")
     size, low, high = F.count(F.lit(1)).over(couple), F.min_by("a", "position").over(couple), F.max_by("a", "position").over(couple)
     swapped = (seeded_uniform(seed + 1, "_couple") < 0.5) & (F.col("_n") == 2)
