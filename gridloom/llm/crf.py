@@ -164,7 +164,7 @@ def train(
     states: int,
     size: int,
     context_size: int,
-    epochs: int = 12,
+    epochs: int = 8,
     rate: float = 0.3,
     decay: float = 1e-4,
     batch: int = 128,
@@ -180,22 +180,17 @@ def train(
         return chain
     sums = [np.full_like(p, 1e-6) for p in (chain.weights, chain.context, chain.moves, chain.start)]
     rng = np.random.default_rng(seed)
+    placed = [_placed(w[0]) for w in windows]
     for _ in range(epochs):
         order = rng.permutation(len(windows))
         for at in range(0, len(order), batch):
-            part = [windows[i] for i in order[at : at + batch]]
+            chosen = order[at : at + batch]
+            part = [windows[i] for i in chosen]
             lengths = np.array([len(w[0]) for w in part])
-            # (token, offset, feature) triples of the batch
-            token, offset, feature, base = [], [], [], 0
-            for features, _, _ in part:
-                for t, own in enumerate(features):
-                    for o, u in ((0, t), (1, t + 1), (2, t - 1)):
-                        if 0 <= u < len(features):
-                            token += [base + u] * len(own)
-                            offset += [o] * len(own)
-                            feature += own
-                base += len(features)
-            token, offset, feature = np.array(token), np.array(offset), np.array(feature)
+            base = np.cumsum(lengths) - lengths
+            token = np.concatenate([placed[i][0] + b for i, b in zip(chosen, base, strict=True)])
+            offset = np.concatenate([placed[i][1] for i in chosen])
+            feature = np.concatenate([placed[i][2] for i in chosen])
             context = np.array([w[1] for w in part], dtype=float).reshape(len(part), context_size)
             truth = np.concatenate([w[2] for w in part]).astype(int)
             total = int(lengths.sum())
@@ -220,6 +215,18 @@ def train(
     return chain
 
 
+def _placed(features: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, offset, feature) of all features that a token of the window sees."""
+    token, offset, feature = [], [], []
+    for t, own in enumerate(features):
+        for o, u in ((0, t), (1, t + 1), (2, t - 1)):
+            if 0 <= u < len(features):
+                token += [u] * len(own)
+                offset += [o] * len(own)
+                feature += own
+    return np.array(token, dtype=np.int64), np.array(offset, dtype=np.int64), np.array(feature, dtype=np.int64)
+
+
 def _expected(chain: Chain, scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token marginals, expected moves summed over all sequences, and expected first states, for short windows."""
     k, longest, many = chain.states, int(lengths.max()), len(lengths)

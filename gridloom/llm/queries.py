@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import pii, secrets, simhash
-from gridloom.llm.common import table
+from gridloom.llm import decontaminate, mixing, multi_index, page_text, pii, quality, secrets, simhash, toxicity, warc
+from gridloom.llm.common import fold, table
 from gridloom.session import ship_package
 
 
@@ -34,17 +34,66 @@ def op1_identifiers(spark: SparkSession, folder: str) -> DataFrame:
     return span_columns(pii.find_identifiers(table(spark, folder, "documents")), pii.KINDS)
 
 
+def op2_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return page_text.extract(table(spark, folder, "pages").select("page_id", "url", "html")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def judged(scored: DataFrame, parts: int, rest: int, threshold: float) -> DataFrame:
+    """held_out by the key's fold, and the decision at the threshold."""
+    held = F.coalesce(fold("doc_id", parts) == rest, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(c for c in scored.columns if c not in ("doc_id", "score")))
+
+
+def quality_model(spark: SparkSession, folder: str) -> quality.Machine:
+    """Learned from the labelled documents whose crc32(doc_id) mod 3 is not 1."""
+    return quality.fit(table(spark, folder, "documents"), table(spark, folder, "labels"), fold("doc_id", 3) != 1)
+
+
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return judged(quality.score(table(spark, folder, "documents"), quality_model(spark, folder)), 3, 1, quality.THRESHOLD)
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = toxicity.fit(documents, table(spark, folder, "labels"), fold("doc_id", 4) != 2)
+    return judged(toxicity.score(documents, model), 4, 2, toxicity.THRESHOLD)
+
+
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return mixing.mix(documents, documents, table(spark, folder, "labels"), mixing.TARGETS, columns=["doc_id"])
+
+
+def op9_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return span_columns(secrets.find_secrets(table(spark, folder, "documents")), secrets.KINDS[:3])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_identifiers": op1_identifiers,
+    "op2_page_text": op2_page_text,
+    "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
+    "op5_toxicity": op5_toxicity,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_warc": op7_warc,
+    "op8_mixing": op8_mixing,
+    "op9_multi_index": op9_multi_index,
     "op10_secrets": op10_secrets,
 }
 ORACLE_SQL: dict[str, str] = {}
