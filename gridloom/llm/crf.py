@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import chain as chain_of
 from zlib import crc32
 
 import numpy as np
@@ -33,19 +34,32 @@ def hashed(features: list[str], size: int) -> list[int]:
 
 
 class TokenScores(dict):
-    """token -> row of a growing table with its weights at the three offsets; emptied when it holds ``most`` tokens."""
+    """token -> row of a growing table with its weights at the three offsets; emptied when it holds ``most`` tokens.
 
-    def __init__(self, chain: Chain, features: Callable[[str], list[str]], most: int = 200_000):
+    Plain words outside ``known``, if that is given, share the row that ``form`` names: no training window held them, so
+    nothing was learned about the word itself.
+    """
+
+    def __init__(self, chain: Chain, features: Callable[[str], list[str]], form: Callable[[str], str | None] | None = None, known: frozenset[str] = frozenset(), most: int = 200_000):
         super().__init__()
-        self.chain, self.features, self.most = chain, features, most
+        self.chain, self.features, self.form, self.known, self.most = chain, features, form, known, most
         self.size = chain.weights.shape[1]
-        self.table = np.zeros((1024, OFFSETS, chain.states))
+        self.table = np.zeros((OFFSETS, 1024, chain.states))
+        self.rows = 0
+
+    def clear(self) -> None:
+        super().clear()
+        self.rows = 0
 
     def __missing__(self, token: str) -> int:
-        row = len(self)
-        if row == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[row] = self.chain.weights[:, hashed(self.features(token), self.size)].sum(1)
+        form = self.form(token) if self.form and token not in self.known else None
+        if form is not None and form != token:
+            self[token] = row = self[form]
+            return row
+        row, self.rows = self.rows, self.rows + 1
+        if row == self.table.shape[1]:
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
+        self.table[:, row] = self.chain.weights[:, hashed(self.features(token), self.size)].sum(1)
         self[token] = row
         return row
 
@@ -53,14 +67,15 @@ class TokenScores(dict):
         """Scores (tokens x states) of all sequences one behind the other, and their lengths."""
         if len(self) > self.most:
             self.clear()
-        rows = np.array([r for tokens in sequences for r in map(self.__getitem__, tokens)], dtype=np.int64)
         lengths = np.array([len(s) for s in sequences], dtype=np.int64)
-        scores = self.table[rows, 0]
+        rows = np.fromiter(map(self.__getitem__, chain_of.from_iterable(sequences)), dtype=np.int64, count=int(lengths.sum()))
+        scores = self.table[0].take(rows, axis=0)
         if len(rows):
-            firsts = np.zeros(len(rows), dtype=bool)
-            firsts[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-            scores[1:] += np.where(firsts[1:, None], 0, self.table[rows[:-1], 1])
-            scores[:-1] += np.where(firsts[1:, None], 0, self.table[rows[1:], 2])
+            inner = np.ones(len(rows) - 1, dtype=bool)
+            begins = (np.cumsum(lengths) - lengths)[lengths > 0]
+            inner[begins[1:] - 1] = False
+            scores[1:] += self.table[1].take(rows[:-1], axis=0) * inner[:, None]
+            scores[:-1] += self.table[2].take(rows[1:], axis=0) * inner[:, None]
             scores += np.repeat(context @ self.chain.context, lengths, axis=0)
         return scores, lengths
 
@@ -127,38 +142,82 @@ def marginals(chain: Chain, scores: np.ndarray, lengths: np.ndarray, block: int
 def viterbi(chain: Chain, scores: np.ndarray, lengths: np.ndarray, idle: int = 0) -> np.ndarray:
     """The best state of every token.
 
-    Where ``idle`` leads every other state by more than the moves around a token can give back, the best path passes
-    through it, so sequences are cut there and only the stretches between are searched. The result is exact.
+    Where ``idle`` leads every other state by more than the moves around a token can make up for, the best path passes
+    through it. Sequences are cut at such tokens and only the stretches between them are searched; the result is exact.
     """
     n, k = scores.shape
     path = np.full(n, idle, dtype=np.int64)
-    if n == 0:
+    if n == 0 or k == 1:
         return path
-    others = np.delete(scores, idle, axis=1).max(1)
-    reach = 2 * max(np.ptp(chain.moves), np.ptp(chain.start))
-    sure = scores[:, idle] - others > reach
-    sequence = np.repeat(np.arange(len(lengths)), lengths)
-    open_at = np.flatnonzero(~sure)
-    if not len(open_at):
+    into = np.vstack([chain.moves, chain.start])
+    lead = max((into[:, s] - into[:, idle]).max() + max(0.0, (chain.moves[s] - chain.moves[idle]).max()) for s in range(k) if s != idle)
+    at = np.flatnonzero(scores[:, idle] - np.delete(scores, idle, axis=1).max(1) <= max(0.0, lead))
+    if not len(at):
         return path
-    breaks = np.flatnonzero((np.diff(open_at) > 1) | (np.diff(sequence[open_at]) > 0)) + 1
-    for stretch in np.split(open_at, breaks):
-        lo, hi = stretch[0], stretch[-1] + 1
-        first = lo == 0 or sequence[lo - 1] != sequence[lo]
-        last = hi == n or sequence[hi] != sequence[hi - 1]
-        best = scores[lo] + (chain.start if first else chain.moves[idle])
-        back = np.zeros((hi - lo, k), dtype=np.int64)
-        for t in range(lo + 1, hi):
-            through = best[:, None] + chain.moves
-            back[t - lo] = through.argmax(0)
-            best = through.max(0) + scores[t]
-        state = int((best if last else best + chain.moves[:, idle]).argmax())
-        for t in range(hi - 1, lo - 1, -1):
-            path[t] = state
-            state = back[t - lo, state]
+    sequence = np.repeat(np.arange(len(lengths)), lengths)
+    firsts, lasts = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
+    firsts[1:] = lasts[:-1] = sequence[1:] != sequence[:-1]
+    begins = np.ones(len(at), dtype=bool)
+    begins[1:] = (np.diff(at) > 1) | firsts[at[1:]]
+    ends = np.append(begins[1:], True)
+    own = scores[at] + np.where(begins[:, None], np.where(firsts[at][:, None], chain.start, chain.moves[idle]), 0.0)
+    own += np.where((ends & ~lasts[at])[:, None], chain.moves[:, idle], 0.0)
+    stretches = np.diff(np.append(np.flatnonzero(begins), len(at)))
+    path[at] = _best_paths(Chain(chain.weights, chain.context, chain.moves, np.zeros(k)), own, stretches)
     return path
 
 
+def _best_paths(chain: Chain, scores: np.ndarray, lengths: np.ndarray, block: int = 64) -> np.ndarray:
+    """The best states of whole sequences.
+
+    Blocks as for the marginals: the best way through each block from every state it may be entered with, all blocks
+    at once; a loop over the blocks for the scores at their borders; then every block is traced back from each state it may
+    be left with, and a last loop picks the one that fits. Ties go to the lower state.
+    """
+    n, k = scores.shape
+    if n == 0:
+        return np.zeros(0, dtype=np.int64)
+    firsts = np.zeros(n, dtype=bool)
+    firsts[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+    blocks = -(-n // block)
+    pad = blocks * block - n
+    score_b = np.concatenate([scores, np.zeros((pad, k))]).reshape(blocks, block, k)
+    first_b = np.concatenate([firsts, np.ones(pad, dtype=bool)]).reshape(blocks, block)
+    restart = np.broadcast_to(chain.start, (k, k))
+    blocked = np.where(np.eye(k, dtype=bool), 0.0, -1e18)
+
+    def move(t: int) -> np.ndarray:
+        return np.where(first_b[:, t, None, None], restart, chain.moves)
+
+    through = np.broadcast_to(blocked, (blocks, k, k))
+    for t in range(block):
+        through = (through[:, :, :, None] + move(t)[:, None]).max(2) + score_b[:, t, None, :]
+    entered = np.empty((blocks, k))
+    state = np.zeros(k)
+    for b in range(blocks):
+        entered[b] = state
+        state = (state[:, None] + through[b]).max(0)
+        state = state - state.max()
+    back = np.empty((blocks, block, k), dtype=np.int8)
+    now = entered
+    for t in range(block):
+        ways = now[:, :, None] + move(t)
+        back[:, t] = ways.argmax(1)
+        now = ways.max(1) + score_b[:, t]
+    # path[b, t, j]: the state at t if the block is left with state j.
+    path = np.empty((blocks, block, k), dtype=np.int8)
+    at = np.broadcast_to(np.arange(k), (blocks, k))
+    for t in range(block - 1, -1, -1):
+        path[:, t] = at
+        at = np.take_along_axis(back[:, t], at, axis=1).astype(np.int64)
+    leave = np.empty(blocks, dtype=np.int64)
+    state_at = int(now[-1].argmax())
+    for b in range(blocks - 1, -1, -1):
+        leave[b] = state_at
+        state_at = int(at[b, state_at])
+    return np.take_along_axis(path, leave[:, None, None], axis=2)[:, :, 0].reshape(-1)[:n].astype(np.int64)
+
+
 def train(
     windows: list[tuple[list[list[int]], np.ndarray, list[int]]],
     states: int,

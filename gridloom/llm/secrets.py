@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import random
 import re
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,7 +24,7 @@ _ASSIGN = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=] *[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # the same spans as runs of any length of which those under 16 are dropped
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9]))?|[^\sA-Za-z0-9+/_-]")
+_TOKEN = re.compile(r"[\w+/-]+(?:=+(?!\w))?|[^\s\w+/-]")
 _SIZE = 1 << 14
 
 
@@ -41,28 +40,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-@lru_cache(maxsize=50_000)
-def _shape(token: str) -> str:
-    return re.sub(r"(.)\1+", r"\1", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "0", token[:64]))))
-
-
 def _entropy(token: str) -> float:
     n = len(token)
     return -sum(c / n * math.log2(c / n) for c in (token.count(x) for x in set(token)))
 
 
 def features(token: str) -> list[str]:
-    """Shape, length, mixture of character classes, entropy, and the word itself if it is short."""
+    """Case and length of plain words, the word itself if it is short; mixture, runs and entropy of all else."""
     n = len(token)
-    shape = _shape(token)
-    classes = "".join(k for k, cs in (("a", "abcdefghijklmnopqrstuvwxyz"), ("A", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("0", "0123456789")) if not set(cs).isdisjoint(token))
+    case = "a" if token.islower() else "A" if token.isupper() else "Aa" if token.istitle() else "aA"
+    if token.isalpha() and n < 16:
+        return ["bias", f"p{case}{min(n, 12)}", f"w{token.lower()}"]
+    if n == 1:
+        return ["bias", f"w{token}"]
+    classes = case + "0" * any(c.isdigit() for c in token) + "_" * (not token.isalnum())
     swaps = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:], strict=False))
-    out = ["bias", f"n{min(n, 8) if n < 12 else 8 + min(n // 4, 12)}", f"c{classes}", f"x{min(swaps, 6)}", f"z{n >= 16}{len(classes)}"]
+    out = ["bias", f"n{n if n < 12 else 8 + min(n // 4, 12)}", f"c{classes}", f"x{min(swaps, 6)}", f"k{classes}{min(swaps, 4)}{min(n // 8, 5)}"]
     if n >= 8:
-        out.append(f"e{round(_entropy(token) * 2)}")
-        out.append(f"k{classes}{min(swaps, 4)}{min(n // 8, 5)}")
-    if n <= 12:
-        out += [f"w{token.lower()}", f"s{shape[:8]}"]
+        out.append(f"e{round(_entropy(token[:256]) * 2)}")
     return out
 
 
@@ -131,7 +126,7 @@ def windows(text: str, around: int = 12) -> list[tuple[list[str], list[float], l
     return out
 
 
-def fit(docs: DataFrame, text: str = "text", documents: int = FIT_DOCUMENTS, most: int = FIT_WINDOWS) -> crf.Chain:
+def fit(docs: DataFrame, text: str = "text", documents: int = FIT_DOCUMENTS, most: int = FIT_WINDOWS) -> Tagger:
     """Train the tagger on windows of a bounded sample of ``docs``.
 
     About ``documents`` texts are drawn by hash of the text; of their windows at most ``most`` of each class go to the
@@ -145,7 +140,7 @@ def fit(docs: DataFrame, text: str = "text", documents: int = FIT_DOCUMENTS, mos
     marked = rows.where(F.pmod(F.xxhash64("text"), F.lit(BUCKETS)) < int(BUCKETS * min(1.0, 10 * documents / max(1, n))) + 1).where(hint)
 
     def cut(part: dict) -> dict:
-        found = [w for t in part["text"] for w in windows(t[:20_000])]
+        found = [w for t in part["text"] for w in windows(t)]
         return {"words": [w[0] for w in found], "context": [w[1] for w in found], "states": [w[2] for w in found]}
 
     made = cut_lineage(arrow_map(drawn.unionByName(marked), cut, "words array<string>, context array<double>, states array<int>"))
@@ -155,19 +150,27 @@ def fit(docs: DataFrame, text: str = "text", documents: int = FIT_DOCUMENTS, mos
         chosen += kind.orderBy(F.xxhash64("words"), "words").limit(most).collect()
     size = _SIZE
     data = [([crf.hashed(features(w), size) for w in r["words"]], np.array(r["context"]), list(r["states"])) for r in chosen if r["words"]]
-    return crf.train(data, 3, size, 3, forbidden=[(OUTSIDE, INSIDE)])
+    return Tagger(crf.train(data, 3, size, 3), frozenset(w for r in chosen for w in r["words"]))
+
+
+def form(token: str) -> str | None:
+    """What stands for a plain word that training never saw: one of its case and length. Other tokens stand for themselves."""
+    if token.isalpha() and len(token) < 16:
+        low = "q" * min(len(token), 12)
+        return low if token.islower() else low.upper() if token.isupper() else low.title() if token.istitle() else low + "Q"
+    return None
 
 
 class Tagger:
     """Spans of begin/inside tokens on the best path, next to the base spans."""
 
-    def __init__(self, chain: crf.Chain):
-        self.chain = chain
+    def __init__(self, chain: crf.Chain, known: frozenset[str] = frozenset()):
+        self.chain, self.known = chain, known
         self.scores = None
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int, bool]]]:
         if self.scores is None:
-            self.scores = crf.TokenScores(self.chain, features)
+            self.scores = crf.TokenScores(self.chain, features, form, self.known)
         base = [base_spans(t) for t in texts]
         tokens = [_TOKEN.findall(t) for t in texts]
         context = np.array([file_features(t) for t in texts]).reshape(len(texts), 3)
@@ -197,14 +200,14 @@ def _tagged(text: str, states: np.ndarray) -> list[tuple[int, int]]:
     return [(s, e) for s, e in found if e - s >= 12]
 
 
-def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", chain: crf.Chain | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", tagger: Tagger | None = None) -> DataFrame:
     """(key, spans): secrets of every row, by start and kind; offsets in code points, end exclusive.
 
     Spans of the fixed patterns are marked ``base``; those of kind ``tagged`` come from the tagger and touch no base
     span. A null text counts as empty and has no spans; an empty table gives an empty result; repeated rows and null
-    keys give a row each; other columns are not read. Without ``chain``, one is fitted on a bounded sample.
+    keys give a row each; other columns are not read. Without ``tagger``, one is fitted on a bounded sample.
     """
-    tagger = Tagger(chain or fit(docs, text))
+    tagger = tagger or fit(docs, text)
 
     def rows(part: dict) -> dict:
         spans = tagger.spans([t or "" for t in part["text"]])

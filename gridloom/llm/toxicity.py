@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import crf
 from gridloom.llm.common import arrow_map, labelled_sample
+from gridloom.session import cut_lineage
 
 FIT_ROWS = 8000
 FIT_WINDOWS = 3000
@@ -33,17 +34,16 @@ def features(token: str) -> list[str]:
 def _lexicon(drawn: DataFrame) -> set[str]:
     """Words far more frequent in toxic documents: these label the tokens of the training documents.
 
-    A word counts once per document and once per pair of neighbours, whichever is less, so words that only come along
-    in copies of one text, or often in one document, count little. Taken are words with a z-value above 5 that are five times
+    A word counts once per document, by the least of the hashes of its neighbours there, and documents with equal hashes
+    count once, so words that only come along in copies of one text, or often in one document, count little. Taken are words with a z-value above 5 that are five times
     as frequent in toxic documents, at most ``LEXICON``, those of the highest z-value.
     """
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"((?U)\w+)"), 1)
     each = drawn.select("y", F.xxhash64("text").alias("doc"), tokens.alias("w")).select("y", "doc", "w", F.posexplode("w").alias("at", "word"))
     around = F.xxhash64(F.try_element_at("w", F.col("at")), F.try_element_at("w", F.col("at") + 2))
     around = F.when(F.col("at") > 0, around).otherwise(F.xxhash64(F.lit(""), F.try_element_at("w", F.lit(2))))
-    counts = each.select("y", "doc", "word", around.alias("around")).groupBy("word", "y").agg(
-        F.least(F.count_distinct("doc"), F.count_distinct("around")).alias("n")
-    )
+    once = each.select("y", "doc", "word", around.alias("around")).groupBy("word", "y", "doc").agg(F.min("around").alias("around"))
+    counts = once.groupBy("word", "y").agg(F.count_distinct("around").alias("n"))
     counts = counts.groupBy("word").agg(F.sum(F.col("n") * F.col("y")).alias("bad"), F.sum(F.col("n") * (1 - F.col("y"))).alias("good"))
     total = {r["y"]: r["n"] for r in drawn.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = max(1, total.get(1, 0)), max(1, total.get(0, 0))
@@ -68,15 +68,25 @@ def _windows(text: str, y: int, lexicon: set[str], around: int = 10) -> list[tup
 
 
 class Model:
-    """The chain and the logistic step from a document's marginals to its score."""
+    """The chain and the logistic step from a document's marginals to its score.
 
-    def __init__(self, chain: crf.Chain, weights: np.ndarray):
-        self.chain, self.weights = chain, weights
+    A word that no training window held stands for all of its case and length, unless it begins or ends like a toxic one.
+    """
+
+    def __init__(self, chain: crf.Chain, weights: np.ndarray, known: frozenset[str] = frozenset(), affixes: frozenset[str] = frozenset()):
+        self.chain, self.weights, self.known, self.affixes = chain, weights, known, affixes
         self.tokens = None
 
+    def form(self, token: str) -> str | None:
+        word = token.lower()
+        if word in self.known or word[:4] in self.affixes or word[-4:] in self.affixes:
+            return None
+        low = "q" * min(len(word), 15)
+        return low if token.islower() else low.upper() if token.isupper() else "0" * min(len(word), 15) if token.isdigit() else low.title()
+
     def marginals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.tokens is None:
-            self.tokens = crf.TokenScores(self.chain, features)
+            self.tokens = crf.TokenScores(self.chain, features, self.form)
         scores, lengths = self.tokens.emissions([_TOKEN.findall(t) for t in texts], np.ones((len(texts), 1)))
         return crf.marginals(self.chain, scores, lengths)[:, TOXIC], lengths
 
@@ -134,23 +144,26 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column, rows: int = F
         found = [w for t, y in zip(part["text"], part["y"], strict=True) for w in _windows(t, y, lexicon)]
         return {"words": [w for w, _ in found], "states": [s for _, s in found]}
 
-    made = arrow_map(drawn, cut, "words array<string>, states array<int>")
+    made = cut_lineage(arrow_map(drawn, cut, "words array<string>, states array<int>"))
     chosen = []
     for hit in (True, False):
         kind = made.where(F.array_max("states") > 0 if hit else F.array_max("states") == 0)
         chosen += kind.orderBy(F.xxhash64("words"), "words").limit(most).collect()
     windows = [([crf.hashed(features(w), _SIZE) for w in r["words"]], np.ones(1), list(r["states"])) for r in chosen]
-    model = Model(crf.train(windows, 2, _SIZE, 1), np.zeros(4))
+    known = frozenset(w.lower() for r in chosen for w in r["words"])
+    affixes = frozenset(a for w in lexicon if len(w) >= 4 for a in (w[:4], w[-4:]))
+    model = Model(crf.train(windows, 2, _SIZE, 1), np.zeros(4), known, affixes)
 
     def summed(part: dict) -> dict:
         p, lengths = model.marginals(part["text"])
         ends = np.cumsum(lengths)
         return {"y": part["y"], "x": [Model.summary(p[e - n : e]) for e, n in zip(ends, lengths, strict=True)]}
 
-    known = arrow_map(drawn, summed, "y int, x array<double>").orderBy("y", F.xxhash64("x")).collect()
-    if known:
-        y = np.array([r["y"] for r in known], dtype=float)
-        model = Model(model.chain, _logistic(np.array([r["x"] for r in known]), y, np.array([restore[r["y"]] for r in known])))
+    rows_in = arrow_map(drawn, summed, "y int, x array<double>").orderBy("y", F.xxhash64("x")).collect()
+    if rows_in:
+        y = np.array([r["y"] for r in rows_in], dtype=float)
+        weights = _logistic(np.array([r["x"] for r in rows_in]), y, np.array([restore[r["y"]] for r in rows_in]))
+        model = Model(model.chain, weights, known, affixes)
     return model
 
 
