@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -191,10 +193,20 @@ def suppress(
     """Greedy non-maximum suppression per group over columns x, y, w, h; ties by ``key``.
 
     A box is dropped when its overlap with an already kept, better box reaches ``threshold`` (with
-    ``keep_equal``: exceeds it). Groups of normal size run in one Arrow group each. Larger ones are solved
+    ``keep_equal``: exceeds it). Null and NaN scores come last; boxes with a null, NaN or infinite coordinate are kept and drop
+    none. Groups of normal size run in one Arrow group each. Larger ones are solved
     together by :func:`_suppress_spread`; both give the same boxes.
     """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must lie above 0 and not above 1")
     max_group = MAX_GROUP if max_group is None else max_group
+    # A box without a place meets no other: it is kept, whatever the size of its group.
+    placed = reduce(and_, (F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) for c in "xywh"))
+    loose, df = df.where(~placed), df.where(placed)
+    return _suppress_placed(df, group, key, score, threshold, keep_equal, max_group).unionByName(loose)
+
+
+def _suppress_placed(df: DataFrame, group: list[str], key: str, score: str, threshold: float, keep_equal: bool, max_group: int) -> DataFrame:
     hot = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_group).select(*group)
     if hot.isEmpty():
         return _suppress_local(df, group, key, score, threshold, keep_equal)
@@ -237,18 +249,18 @@ def _suppress_spread(df: DataFrame, group: list[str], key: str, score: str, thre
     ``max_group`` undecided boxes, the rest is finished locally: earlier rounds have already removed what the
     kept boxes suppress.
     """
-    if not 0 < threshold < 1:
-        raise ValueError("the threshold must lie between 0 and 1")
-    spread = math.ceil(math.log2(1.0 / threshold))
+    # Boxes that collide at 1 also collide a little below, where the central parts still have a width.
+    reach = min(threshold, 0.99)
+    spread = math.ceil(math.log2(1.0 / reach))
     flat = df.filter((F.col("w") <= 0) | (F.col("h") <= 0))
     solid = df.filter((F.col("w") > 0) & (F.col("h") > 0))
 
     def cells(origin: str, side: str) -> Column:
         # Boxes overlapping by ``threshold`` also overlap in their central parts of (1 - threshold) of each side.
-        low = F.col(origin) + F.col(side) * (threshold / 2)
-        high = F.col(origin) + F.col(side) * (1 - threshold / 2)
+        low = F.col(origin) + F.col(side) * (reach / 2)
+        high = F.col(origin) + F.col(side) * (1 - reach / 2)
         level = F.floor(F.log2(F.col(side))).cast("int")
-        width = lambda k: F.pow(F.lit(2.0), k + 1) * (1 - threshold)
+        width = lambda k: F.pow(F.lit(2.0), k + 1) * (1 - reach)
         return F.flatten(F.transform(F.sequence(level, level + spread), lambda k: F.transform(
             F.sequence(F.floor(low / width(k) - 1e-9), F.floor(high / width(k) + 1e-9)),
             lambda c: F.struct(k.alias("k"), c.alias("c")),
@@ -256,12 +268,13 @@ def _suppress_spread(df: DataFrame, group: list[str], key: str, score: str, thre
 
     places = solid.withColumn("_cx", F.explode(cells("x", "w"))).withColumn("_cy", F.explode(cells("y", "h")))
     cell = [*group, "_cx", "_cy"]
-    rank = F.struct(F.col(score).alias("s"), (-F.col(key)).alias("k"))
+    # The smallest is the best: high scores, then low keys of any type; null and NaN scores are NaN, which is last.
+    rank = F.struct(F.coalesce(-F.col(score).cast("double"), F.lit(float("nan"))).alias("s"), F.col(key).alias("k"))
     entries = cut_lineage(places.select(*group, "_cx", "_cy", key, rank.alias("_rank"), BX.box(*map(F.col, "xywh")).alias("_b")))
     kept = solid.limit(0).select(*group, key)
     undecided = entries.select(*group, key).distinct()
     while not undecided.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_group).isEmpty():
-        best = cut_lineage(entries.groupBy(*cell).agg(F.max("_rank").alias("_best")))
+        best = cut_lineage(entries.groupBy(*cell).agg(F.min("_rank").alias("_best")))
         seen = checked_lookup(entries, best, cell, [key], how="inner")
         top = seen.groupBy(*group, key).agg(F.bool_and(F.col("_rank") == F.col("_best")).alias("_top")).filter("_top")
         top = cut_lineage(top.select(*group, key))

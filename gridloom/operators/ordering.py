@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -24,14 +26,25 @@ MAX_SLOTS = 16_384
 EXACT_DOUBLE = float(2**53)
 
 
-def order_number(col: Column, kind: DataType) -> Column:
-    """A double that rises (weakly) with the column's own order; of a struct, with its first field."""
+BYTES = 6
+
+
+def _bytes_number(col: Column, first: int) -> Column:
+    """Six bytes of a string from byte ``first`` (0-based) as a number; missing bytes count as the lowest."""
+    head = F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), first + 1, BYTES)), 2 * BYTES, "0")
+    return F.conv(head, 16, 10).cast("double")
+
+
+def order_number(col: Column, kind: DataType, skip: int = 0) -> Column:
+    """A double that rises (weakly) with the column's own order; of a struct, with its first field.
+
+    Of a string: six bytes behind the first ``skip``, which all values must share.
+    """
     if isinstance(kind, StructType):
         return order_number(col[kind[0].name], kind[0].dataType)
     dtype = kind.simpleString()
     if dtype == "string":
-        head = F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
+        return _bytes_number(col, skip)
     if dtype.startswith("timestamp"):
         return F.unix_micros(col.cast("timestamp")).cast("double")
     if dtype == "date":
@@ -39,38 +52,55 @@ def order_number(col: Column, kind: DataType) -> Column:
     return col.cast("double")
 
 
-def _splits(cuts: list[float], isolate: bool) -> list[float]:
+def _directed(number: Column, descending: bool) -> Column:
+    """Rises in the wanted direction. NaN is above all numbers, so it becomes the end it sorts to; null stays null."""
+    number = F.when(F.isnan(number), F.lit(math.inf)).otherwise(number)
+    return -number if descending else number
+
+
+def _shared_bytes(df: DataFrame, column: str) -> int:
+    """How many leading bytes all values of a string column share: those that the least and the greatest share."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    if low is None:
+        return 0
+    low, high = low.encode("utf-8", "surrogatepass"), high.encode("utf-8", "surrogatepass")
+    return next((i for i, (a, b) in enumerate(zip(low, high, strict=False)) if a != b), min(len(low), len(high)))
+
+
+def _splits(cuts: list[float] | None, isolate: bool) -> list[float]:
     points: set[float] = set()
-    for cut in cuts:
+    for cut in cuts or []:
         points.add(cut)
         if isolate:
             points.add(math.nextafter(cut, math.inf))
-    return [-math.inf, *sorted(points), math.inf]
+    return [-math.inf, *sorted(x for x in points if math.isfinite(x)), math.inf]
 
 
 def _slot(df: DataFrame, source: str, target: str, splits: list[float]) -> DataFrame:
+    """Number of the interval a value lies in; nulls get the last number of all."""
     if len(splits) < 3:
-        return df.withColumn(target, F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol=source, outputCol=target, handleInvalid="keep").transform(df)
+        return df.withColumn(target, F.when(F.col(source).isNull(), 1.0).otherwise(0.0))
+    placed = Bucketizer(splits=splits, inputCol=source, outputCol=target, handleInvalid="keep").transform(df)
+    return placed.withColumn(target, F.coalesce(target, F.lit(float(len(splits)))))
 
 
-def _place(df: DataFrame, tasks: int, has_tie: bool, exact: bool) -> DataFrame:
-    """Add ``_slot`` and ``_sub`` from quantiles of ``_lead`` and ``_tie``.
+def _place(df: DataFrame, tasks: int, isolate: bool) -> DataFrame:
+    """Add ``_slot`` and ``_sub`` from quantiles of ``_lead`` and ``_next``.
 
-    ``exact`` says that equal numbers are equal keys. Then a value frequent enough to be several quantiles gets a
-    slot of its own, cut further by the tie-breaker.
+    ``isolate`` says that among equal ``_lead``, rows are ordered (weakly) by ``_next``. Then a value frequent enough
+    to be several quantiles gets a slot of its own, cut further by ``_next``.
     """
     parts = min(MAX_SLOTS, 2 * tasks)
     steps = [i / parts for i in range(1, parts)]
-    lead_cuts, tie_cuts = df.agg(
-        F.percentile_approx("_lead", steps, 10 * parts), F.percentile_approx("_tie", steps, 10 * parts)
-    ).first()
-    df = _slot(df, "_lead", "_slot", _splits(lead_cuts, isolate=exact))
-    hot = [cut for cut, times in Counter(lead_cuts).items() if times > 1]
-    if not (has_tie and exact and hot):
+    lead_cuts = df.agg(F.percentile_approx("_lead", steps, 10 * parts)).first()[0] or []
+    df = _slot(df, "_lead", "_slot", _splits(lead_cuts, isolate))
+    hot = [cut for cut, times in Counter(lead_cuts).items() if times > 1 and math.isfinite(cut)]
+    if not (isolate and hot):
         return df.withColumn("_sub", F.lit(0.0))
-    df = _slot(df, "_tie", "_sub", _splits(tie_cuts, isolate=False))
-    return df.withColumn("_sub", F.when(F.col("_lead").isin(hot), F.col("_sub")).otherwise(0.0))
+    busy = F.col("_lead").isin(hot)
+    next_cuts = df.where(busy).agg(F.percentile_approx("_next", steps, 10 * parts)).first()[0]
+    df = _slot(df, "_next", "_sub", _splits(next_cuts, isolate=False))
+    return df.withColumn("_sub", F.when(busy, F.col("_sub")).otherwise(0.0))
 
 
 def ordered_prefix(
@@ -98,18 +128,23 @@ def ordered_prefix(
         narrow = df.select(*dict.fromkeys([*keys, *sums.values()]))
         placed = ordered_prefix(narrow, lead, tie, within, index, sums, descending, rows_per_slot)
         added = [*([index] if index else []), *sums]
-        return df.join(placed.select(*keys, *added), keys)
+        named = placed.select(*(F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)), *added)
+        same = reduce(and_, (df[k].eqNullSafe(named[f"_key_{i}"]) for i, k in enumerate(keys)))
+        return df.join(named, same).drop(*(f"_key_{i}" for i in range(len(keys))))
     per_slot = rows_per_slot or ROWS_PER_SLOT
     types = {field.name: field.dataType for field in df.schema}
-    sign = -1.0 if descending else 1.0
     lead_key = F.col(lead).desc_nulls_last() if descending else F.col(lead).asc_nulls_last()
     keys = [lead_key] + ([F.col(tie).asc_nulls_last()] if tie else [])
 
-    numbered = df.withColumn("_lead", order_number(F.col(lead), types[lead]) * F.lit(sign))
-    numbered = numbered.withColumn("_tie", order_number(F.col(tie), types[tie]) if tie else F.lit(0.0))
-    total, smallest, largest = numbered.agg(
-        F.count(F.lit(1)), F.min("_lead"), F.max("_lead")
-    ).first()
+    total = df.count()
+    skip = _shared_bytes(df, lead) if total > per_slot and types[lead].simpleString() == "string" else 0
+    numbered = df.withColumn("_lead", _directed(order_number(F.col(lead), types[lead], skip), descending))
+    if types[lead].simpleString() == "string":
+        # Equal heads are told apart by the bytes behind them.
+        following = _directed(_bytes_number(F.col(lead), skip + BYTES), descending)
+    else:
+        following = _directed(order_number(F.col(tie), types[tie]), False) if tie else F.lit(0.0)
+    numbered = numbered.withColumn("_next", following)
 
     measures = {f"_before_{i}": column for i, column in enumerate(sums.values())}
     # The join key of a group: a struct, because null group values must meet each other.
@@ -119,15 +154,17 @@ def ordered_prefix(
         for measure in measures:
             numbered = numbered.withColumn(measure, F.lit(0))
     else:
-        exact = isinstance(types[lead], (NumericType, TimestampType, TimestampNTZType, DateType)) and (
-            smallest is not None and max(abs(smallest), abs(largest)) < EXACT_DOUBLE
-        )
-        numbered = _place(numbered, math.ceil(total / per_slot), tie is not None, exact)
+        isolate = types[lead].simpleString() == "string"
+        if tie and isinstance(types[lead], (NumericType, TimestampType, TimestampNTZType, DateType)):
+            smallest, largest = numbered.agg(F.min("_lead"), F.max("_lead")).first()
+            # Only where equal numbers are equal keys does the tie-breaker order them.
+            isolate = smallest is not None and max(abs(smallest), abs(largest)) < EXACT_DOUBLE
+        numbered = _place(numbered, math.ceil(total / per_slot), isolate)
         if within:
             # Only groups too large for one task are cut; their number is at most total / per_slot.
             large = numbered.groupBy("_g").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > per_slot)
             large = cut_lineage(large.select("_g", F.lit(True).alias("_large")))
-            numbered = checked_lookup(numbered, large, ["_g"], ["_lead", "_tie"])
+            numbered = checked_lookup(numbered, large, ["_g"], ["_lead", "_next"])
             for name in ("_slot", "_sub"):
                 numbered = numbered.withColumn(name, F.when(F.col("_large"), F.col(name)).otherwise(0.0))
             cut = numbered.filter(F.col("_large"))
@@ -138,7 +175,7 @@ def ordered_prefix(
         )
         over = Window.partitionBy("_g").orderBy("_slot", "_sub").rowsBetween(Window.unboundedPreceding, -1)
         slots = slots.select("_g", "_slot", "_sub", *[F.coalesce(F.sum(m).over(over), F.lit(0)).alias(m) for m in ("_n", *measures)])
-        numbered = checked_lookup(numbered, cut_lineage(slots), ["_g", "_slot", "_sub"], ["_lead", "_tie"])
+        numbered = checked_lookup(numbered, cut_lineage(slots), ["_g", "_slot", "_sub"], ["_lead", "_next"])
         numbered = numbered.fillna(0, subset=["_n", *measures])
 
     inside = Window.partitionBy("_g", "_slot", "_sub").orderBy(*keys)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from gridloom.functions.text import MAX_WORD_CHARS, UNKNOWN
-from gridloom.operators.lookup import checked_lookup, row_limit
+from gridloom.operators.lookup import checked_lookup, fits_broadcast, row_limit
 from gridloom.operators.ordering import ordered_prefix
 from gridloom.operators.tensors import explode_rows, pack_cells
 from gridloom.session import cut_lineage
@@ -59,27 +59,31 @@ def encode(
     target: str = "ids",
     max_rows: int | None = None,
 ) -> DataFrame:
-    """Add the ids of ``tokens``; a token without id gets the id of ``unknown``.
+    """Add the ids of ``tokens``; a token without id, and a null one, gets the id of ``unknown``; a null list stays null.
 
-    A vocabulary of at most ``max_rows`` goes to every executor and whole Arrow batches are looked up
-    without any shuffle. A larger one is joined token by token with salted keys.
+    A vocabulary small in rows (``max_rows``) and bytes goes to every executor and whole Arrow batches are looked up
+    without any shuffle. A larger one is joined token by token with salted keys. Both give the same rows; ``key`` must
+    tell rows apart and may be null in one of them.
     """
     vocabulary = vocabulary.select("token", "id")
-    limit = row_limit(max_rows)
-    table = vocabulary.limit(limit + 1).toPandas().sort_values("id")
-    if len(table) <= limit:
+    if fits_broadcast(vocabulary, max_rows):
+        table = vocabulary.toPandas().sort_values("id")
         ids = table["id"].to_numpy()
         unknown_id = int(ids[(table["token"] == unknown).to_numpy()][0])
         shared = df.sparkSession.sparkContext.broadcast((table["token"].tolist(), ids.tolist()))
         return df.withColumn(target, _id_lookup(shared, unknown_id)(F.col(tokens)))
     unknown_id = vocabulary.filter(F.col("token") == unknown).first()["id"]
-    exploded = df.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
-    joined = checked_lookup(exploded, vocabulary, ["token"], [key, "pos"], max_rows=max_rows)
-    joined = joined.withColumn("id", F.coalesce("id", F.lit(unknown_id)))
-    packed = pack_cells(joined, [key], "pos", "id", target)
-    packed = packed.withColumn(target, F.filter(target, lambda x: x.isNotNull()))
-    empty = F.when(F.size(tokens) == 0, F.array().cast("array<long>"))
-    return df.join(packed, key).withColumn(target, F.coalesce(empty, F.col(target)))
+    exploded = explode_rows(df, tokens, [key], value="token")
+    joined = checked_lookup(exploded, vocabulary.withColumnRenamed("id", "_id"), ["token"], [key, "pos"], max_rows=max_rows)
+    packed = pack_cells(joined.withColumn("_id", F.coalesce("_id", F.lit(unknown_id))), [key], "pos", "_id", target)
+    return _joined_back(df, packed, tokens, key, target, "array<long>")
+
+
+def _joined_back(df: DataFrame, packed: DataFrame, tokens: str, key: str, target: str, kind: str) -> DataFrame:
+    """``packed`` (key, target) back to the rows it came from: a null key meets itself, an empty list gives an empty one."""
+    named = packed.select(F.col(key).alias("_key"), F.col(target).alias("_packed"))
+    joined = df.join(named, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return joined.withColumn(target, F.when(F.col(tokens).isNotNull(), F.coalesce("_packed", F.array().cast(kind)))).drop("_key", "_packed")
 
 
 def _id_lookup(shared, unknown_id: int):
@@ -91,10 +95,13 @@ def _id_lookup(shared, unknown_id: int):
             words, ids = shared.value
             state["words"], state["ids"] = pa.array(words, pa.string()), pa.array(ids, pa.int64())
         flat = column.flatten().cast(pa.string())
-        found = state["ids"].take(pc.index_in(flat, value_set=state["words"])).fill_null(unknown_id)
+        # Each word of the batch is hashed once; the vocabulary only where it has words of the batch.
+        coded = flat.dictionary_encode()
+        found = state["ids"].take(pc.index_in(coded.dictionary, value_set=state["words"])).fill_null(unknown_id)
+        found = found.take(coded.indices).fill_null(unknown_id)
         offsets = pc.cumulative_sum(pc.fill_null(pc.list_value_length(column), 0))
         starts = pa.concat_arrays([pa.array([0], pa.int32()), offsets.cast(pa.int32())])
-        return pa.ListArray.from_arrays(starts, found)
+        return pa.ListArray.from_arrays(starts, found, mask=column.is_null())
 
     return lookup
 
@@ -121,19 +128,19 @@ def word_pieces(df: DataFrame, tokens: str, vocabulary: DataFrame, key: str, unk
                 target: str = "pieces", max_rows: int | None = None) -> DataFrame:
     """Greedy longest-prefix pieces with ``##`` continuations; a word that cannot be covered is unknown.
 
-    A vocabulary of at most ``max_rows`` is broadcast: each task remembers the pieces of words it has met, so
-    repeated words cost a dictionary lookup and no shuffle is needed. A larger one is joined with the parts of
-    the distinct words.
+    An empty word has no pieces, a null word is unknown, a null list stays null, and a word's length counts UTF-16 units.
+    A vocabulary small in rows (``max_rows``) and bytes is broadcast: each task remembers the pieces of words it has met,
+    so repeated words cost a dictionary lookup and no shuffle is needed. A larger one is joined with the parts of the
+    distinct words. Both give the same rows; ``key`` must tell rows apart and may be null in one of them.
     """
-    limit = row_limit(max_rows)
-    words = vocabulary.select("token").limit(limit + 1).toPandas()["token"].tolist()
-    if len(words) > limit:
+    if not fits_broadcast(vocabulary.select("token"), max_rows):
         return _pieces_by_join(df, tokens, vocabulary.select("token"), key, unknown, target)
+    words = vocabulary.select("token").toPandas()["token"].tolist()
     shared = df.sparkSession.sparkContext.broadcast(frozenset(words))
     cache: dict[str, list[str]] = {}
 
-    def cover(word: str, known: frozenset) -> list[str]:
-        if len(word.encode("utf-16-le")) // 2 > MAX_WORD_CHARS:
+    def cover(word: str | None, known: frozenset) -> list[str]:
+        if word is None or len(word.encode("utf-16-le")) // 2 > MAX_WORD_CHARS:
             return [unknown]
         found, start = [], 0
         while start < len(word):
@@ -175,7 +182,8 @@ def _pieces_by_join(df: DataFrame, tokens: str, vocabulary: DataFrame, key: str,
     exploded = explode_rows(df, tokens, [key], value="word")
     words = cut_lineage(exploded.select("word").distinct())
     size = F.length("word")
-    short = words.filter(size.between(1, MAX_WORD_CHARS))
+    units = F.octet_length(F.encode("word", "UTF-16LE")) / 2
+    short = words.filter((size >= 1) & (units <= MAX_WORD_CHARS))
     parts = short.withColumn("start", F.explode(F.sequence(F.lit(1), size)))
     parts = parts.withColumn("stop", F.explode(F.sequence(F.col("start"), F.least(size, F.col("start") + longest - 1))))
     part = F.substring("word", F.col("start"), F.col("stop") - F.col("start") + 1)
@@ -197,10 +205,10 @@ def _pieces_by_join(df: DataFrame, tokens: str, vocabulary: DataFrame, key: str,
     )
     table = cut_lineage(covered.filter(F.col("_pieces").isNotNull()).select("word", "_pieces"))
     joined = checked_lookup(exploded, table, ["word"], [key, "pos"])
-    joined = joined.withColumn("_pieces", F.coalesce("_pieces", F.array(F.lit(unknown))))
+    nothing = F.when(F.col("word") == "", F.array().cast("array<string>"))
+    joined = joined.withColumn("_pieces", F.coalesce("_pieces", nothing, F.array(F.lit(unknown))))
     packed = pack_cells(joined, [key], "pos", "_pieces", "_packed").select(key, F.flatten("_packed").alias(target))
-    empty = F.array().cast("array<string>")
-    return df.join(packed, key, "left").withColumn(target, F.coalesce(target, empty))
+    return _joined_back(df, packed, tokens, key, target, "array<string>")
 
 
 def embed(df: DataFrame, tokens: str, vectors: DataFrame, key: str, unknown: str = UNKNOWN,
