@@ -60,6 +60,8 @@ _BRACKET_AT = re.compile(r"\s?[\[({<]\s?(?:at|@|arroba)\s?[\])}>]\s?", re.I)
 _BRACKET_DOT = re.compile(rf"\s?[\[({{<]\s?(?:\.|{_POINT})\s?[\])}}>]\s?", re.I)
 _BARE_HINT = re.compile(rf"[ @](?:{_POINT}) ", re.I)
 _BARE = re.compile(rf"(?<=[A-Za-z0-9])( at | arroba |@)[A-Za-z0-9-]+(?:(?: (?:{_POINT}) |\.)[A-Za-z0-9-]+)+", re.I)
+# Name endings that make a bare "at ... dot ..." an address and not prose.
+_ENDINGS = frozenset("com org net edu gov info biz io de fr es uk eu co ai dev app ch us example test".split())
 _BARE_DOT = re.compile(rf" (?:{_POINT}) ", re.I)
 
 
@@ -176,7 +178,7 @@ def _undo_at_dot(state: Rewritten) -> None:
     edits = []
     for m in _BARE.finditer(state.text):
         dots = [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(state.text, m.end(1), m.end())]
-        if dots and (m[1] != "@" or dots):
+        if dots and re.split(r"[ .]", m[0])[-1].lower() in _ENDINGS:
             edits += ([] if m[1] == "@" else [(m.start(1), m.end(1), "@")]) + dots
     state.edit(edits)
 

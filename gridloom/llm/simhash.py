@@ -12,7 +12,7 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import arrow_map, own_name
@@ -133,6 +133,16 @@ def linked_prints(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     return pairs.unionByName(stars)
 
 
+def _members(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """(key, fp, root, component_id) for every row; ``root`` is the smallest fingerprint of the component."""
+    written = cut_lineage(fingerprints(docs, key, text, words))
+    distinct = cut_lineage(written.groupBy("fp").agg(F.min("key").alias("low")))
+    roots = connected_components(linked_prints(distinct))
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return written.join(rooted.select("fp", "root").join(lows, "root"), "fp")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """(key, fingerprint, component_id): one row per row of ``docs``.
 
@@ -141,38 +151,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     fingerprint zero too. Null keys are never a component id unless a component has no other. Repeated rows give
     repeated results; an empty table gives none; other columns are not read.
     """
-    written = cut_lineage(fingerprints(docs, key, text, words))
-    distinct = cut_lineage(written.groupBy("fp").agg(F.min("key").alias("low")))
-    roots = connected_components(linked_prints(distinct))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    # Only fingerprints with links change their component.
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    lowest = rooted.select("fp", "root").join(lows, "root").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return written.join(lowest, "fp").select(F.col("key").alias(key), digits.alias("fingerprint"), "component_id")
+    return _members(docs, key, text, words).select(F.col("key").alias(key), digits.alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """The row with the smallest key of every group of near duplicates, with all its columns.
+    """One row of every group of near duplicates, with all its columns: the one with the smallest key.
 
-    Of rows that share that key one stays. Rows without a key stay only where no row of their group has one, again one
-    of them. Only keys are shuffled to decide; the texts move once, to meet their decision.
+    Only keys and fingerprints are shuffled to decide; where keys are unique the texts move once, to meet their
+    decision. Where a key occurs more than once or is null, rows are told apart by their fingerprint too; of rows equal
+    in both, the one with the least hash of all columns stays. A row without a key stays only where no row of its group has
+    one. An empty table gives an empty one.
     """
-    member = cut_lineage(near_duplicates(docs, key, text, words))
-    kept = member.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key), "fingerprint").distinct()
+    member = cut_lineage(_members(docs, key, text, words))
+    kept = member.where(F.col("key").eqNullSafe(F.col("component_id")))
     first = own_name(docs.columns)
-    chosen = docs.join(kept.select(F.col(key).alias(first)).distinct(), F.col(key).eqNullSafe(F.col(first)), "left_semi")
-    repeated = kept.count() < member.where(F.col(key).eqNullSafe(F.col("component_id"))).count()
-    if repeated or member.where(F.col(key).isNull()).limit(1).count():
-        return _first_of_key(chosen, key, text, words)
-    return chosen
-
-
-def _first_of_key(rows: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """One row per key; rows without a key are told apart by their fingerprint."""
-    columns = rows.columns
-    print_of = F.udf(lambda t: fingerprint(t or "", words) - (1 << 63), "long")
-    mark, order = own_name(columns), own_name([*columns, own_name(columns)])
-    marked = rows.withColumn(mark, F.when(F.col(key).isNull(), print_of(F.col(text))))
-    ranked = marked.groupBy(key, mark).agg(F.min_by(F.struct(*columns), F.struct(F.xxhash64(*columns), F.col(text))).alias(order))
-    return ranked.select(f"{order}.*")
+    unclear = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col("key").isNull()).limit(1).count()
+    if not unclear:
+        chosen = kept.select(F.col("key").alias(first))
+        return docs.join(chosen, docs[key] == chosen[first], "left_semi")
+    mark = own_name([*docs.columns, first])
+    print_of = F.pandas_udf(lambda s: s.map(lambda t: np.uint64(fingerprint(t or "", words)).astype(np.int64)), "long")
+    one = kept.groupBy("root").agg(F.min("fp").alias("fp"), F.min("key").alias(first))
+    marked = docs.withColumn(mark, print_of(F.col(text)))
+    chosen = marked.join(one, marked[key].eqNullSafe(one[first]) & (marked[mark] == one["fp"]), "left_semi")
+    order = Window.partitionBy(key, mark).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    return chosen.withColumn(first, F.row_number().over(order)).where(F.col(first) == 1).drop(first, mark)
