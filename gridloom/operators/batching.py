@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import arrays as A
 from gridloom.operators.lookup import checked_lookup
-from gridloom.operators.ordering import ordered_prefix
+from gridloom.operators.ordering import hash_order, ordered_prefix
 from gridloom.operators.tensors import explode_rows
 from gridloom.session import cut_lineage
 
@@ -18,6 +18,8 @@ def length_bucket(df: DataFrame, length: str, buckets: int) -> DataFrame:
     Limits lie ``step`` apart below the longest length and never under the shortest.
     """
     low, high = df.agg(F.min(length), F.max(length)).first()
+    if low is None:
+        return df.withColumn("bucket_key", F.lit(None).cast("int"))
     step = max((1 + high - low) // buckets, 1)
     keys = sorted({max(high - (buckets - i - 1) * step, low) for i in range(buckets)})
     bucket = F.lit(keys[-1])
@@ -26,8 +28,19 @@ def length_bucket(df: DataFrame, length: str, buckets: int) -> DataFrame:
     return df.withColumn("bucket_key", bucket)
 
 
-def bucket_batches(df: DataFrame, length: str, buckets: int, size: int, key: str) -> DataFrame:
-    """Fixed-bucket sampler: batches hold rows of one length bucket in the order (length, key)."""
+def bucket_batches(df: DataFrame, length: str, buckets: int, size: int, key: str, seed: int | None = None) -> DataFrame:
+    """Fixed-bucket sampler: batches hold rows of one length bucket in the order (length, key).
+
+    With ``seed`` the rows of a bucket are dealt to its batches in random order, and ``position`` is the place of the batch
+    among all batches in random order.
+    """
+    if seed is not None:
+        keyed = length_bucket(df, length, buckets).withColumn("_order", hash_order(seed, key))
+        placed = ordered_prefix(keyed, "_order", key, within=["bucket_key"], index="_row").drop("_order")
+        placed = placed.withColumn("batch_no", F.floor(F.col("_row") / size)).withColumn("pos", F.col("_row") % size).drop("_row")
+        named = placed.select("bucket_key", "batch_no").distinct().withColumn("_batch", F.struct("bucket_key", "batch_no"))
+        order = ordered_prefix(cut_lineage(named.withColumn("_order", hash_order(seed, "bucket_key", "batch_no"))), "_order", "batch_no", index="position")
+        return checked_lookup(placed.withColumn("_batch", F.struct("bucket_key", "batch_no")), order.select("_batch", "position"), ["_batch"], [key]).drop("_batch")
     placed = ordered_prefix(length_bucket(df, length, buckets), length, key, within=["bucket_key"], index="_row")
     return placed.withColumn("batch_no", F.floor(F.col("_row") / size)).withColumn("pos", F.col("_row") % size).drop("_row")
 

@@ -145,6 +145,116 @@ def colour_records(t):
     return out.withColumn("pos", F.col("pos").cast("long"))
 
 
+@query("review_files", "S07", """
+SELECT d.doc_id, quality AS label, (d.doc_id % 10)::INT AS score, md5(text) AS digest FROM documents d JOIN labels USING (doc_id)""")
+def review_files(t):
+    """A file per labelled document in a folder per class, read back whole."""
+    path = scratch_path(t.spark, "reviews")
+    name = F.concat(F.when(F.col("quality") == 1, "pos").otherwise("neg"), F.lit("/"), "doc_id", F.lit("_"), (F.col("doc_id") % 10).cast("string"), F.lit(".txt"))
+    rows = t.documents.join(t.labels, "doc_id").select(name.alias("name"), F.encode("text", "UTF-8").alias("content"))
+    K.write_files(rows, path, "name", "content")
+    return TX.read_reviews(t.spark, path).select("doc_id", "label", "score", F.md5("text").alias("digest"))
+
+
+def gray_bytes(array: str = "embedding"):
+    """A vector as unsigned bytes, hex-coded."""
+    return F.array_join(F.transform(array, lambda x: F.lpad(F.hex((F.abs(x.cast("double")) * 255).cast("int")), 2, "0")), "")
+
+
+def bitmap(pixels, side: int = 8):
+    """A bitmap file of 24 bits a pixel, rows bottom up, gray; the side must be a multiple of four."""
+    size = 3 * side * side
+    little = lambda n, width: n.to_bytes(width, "little").hex()
+    head = "424d" + little(54 + size, 4) + "00000000" + little(54, 4) + little(40, 4) + little(side, 4) + little(side, 4) + little(1, 2) + little(24, 2)
+    head += "00000000" + little(size, 4) + "00000000" * 4
+    rows = F.reverse(F.sequence(F.lit(0), F.lit(side - 1)))
+    body = F.transform(rows, lambda r: F.regexp_replace(F.substring(pixels, r * 2 * side + 1, F.lit(2 * side)), "(..)", "$1$1$1"))
+    return F.unhex(F.concat(F.lit(head), F.array_join(body, "")))
+
+
+IMAGE_FILES = """c AS (SELECT label AS class, vec_id, unnest([trunc(abs(x::DOUBLE) * 255) FOR x IN embedding])::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings)"""
+
+
+@query("image_files", "S09", f"""
+WITH {IMAGE_FILES} SELECT vec_id, 'class' || class AS class, dense_rank() OVER (ORDER BY 'class' || class) - 1 AS label, count(*) * 3 AS cells, sum(v) * 3 AS total, sum(v * (p + 1)) AS weighted
+FROM c GROUP BY vec_id, class""")
+def image_files(t):
+    """An 8 x 8 picture per vector in a folder per class; classes are numbered by name."""
+    path = scratch_path(t.spark, "images")
+    name = F.concat(F.lit("class"), "label", F.lit("/"), "vec_id", F.lit(".bmp"))
+    K.write_files(t.embeddings.select(name.alias("name"), bitmap(gray_bytes()).alias("content")), path, "name", "content")
+    return _image_sums(IM.read_image_folder(t.spark, path))
+
+
+def _image_sums(read):
+    # Red, green and blue are equal; the weight of a pixel is its place.
+    weighted = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0.0), lambda s, p: s + F.get("pixels", p * 3) * (p + 1))
+    number = F.regexp_extract("path", r"/(\d+)\.bmp$", 1).cast("long")
+    return read.select(number.alias("vec_id"), "class", "label", F.size("pixels").cast("long").alias("cells"), A.total(F.col("pixels")).alias("total"), weighted.alias("weighted"))
+
+
+@query("listed_image_files", "S10", f"""
+WITH {IMAGE_FILES} SELECT vec_id, 'class' || class AS class, (9 - class)::BIGINT AS label, count(*) * 3 AS cells, sum(v) * 3 AS total, sum(v * (p + 1)) AS weighted
+FROM c WHERE class <> 4 GROUP BY vec_id, class""")
+def listed_image_files(t):
+    """The same with a class list in a file: it numbers the classes backwards and leaves one out."""
+    path = scratch_path(t.spark, "listed")
+    name = F.concat(F.lit("img/class"), "label", F.lit("/"), "vec_id", F.lit(".bmp"))
+    K.write_files(t.embeddings.select(name.alias("name"), bitmap(gray_bytes()).alias("content")), path, "name", "content")
+    labels = t.embeddings.agg(F.sort_array(F.collect_set("label"), asc=False).alias("l"))
+    lines = F.transform("l", lambda c: F.concat(F.when(c == 4, F.lit("other")).otherwise(F.concat(F.lit("class"), c.cast("string"))), F.lit(" of pictures")))
+    K.write_files(labels.select(F.lit("synset.txt").alias("name"), F.encode(F.array_join(lines, "\n"), "UTF-8").alias("content")), path, "name", "content")
+    return _image_sums(IM.read_image_folder(t.spark, f"{path}/img", classes=IM.read_class_list(t.spark, f"{path}/synset.txt")))
+
+
+@query("idx_files", "S11", """
+SELECT vec_id % 4 AS file, row_number() OVER (PARTITION BY vec_id % 4 ORDER BY vec_id) - 1 AS index, label, list_sum([trunc(abs(x::DOUBLE) * 255) FOR x IN embedding])::DOUBLE AS total FROM embeddings""")
+def idx_files(t):
+    """Four image files and four label files of 8 x 8 pictures."""
+    path = scratch_path(t.spark, "idx")
+    file = F.col("vec_id") % 4
+    packed = t.embeddings.groupBy(file.alias("file")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", gray_bytes().alias("b")))), lambda s: s["b"]), "").alias("pictures"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", F.lpad(F.hex("label"), 2, "0").alias("b")))), lambda s: s["b"]), "").alias("labels"),
+    )
+    for kind, head in (("pictures", 16), ("labels", 8)):
+        name = F.concat(F.lit(f"{kind}/part-"), "file", F.lit(".idx"))
+        K.write_files(packed.select(name.alias("name"), F.unhex(F.concat(F.lit("00" * head), kind)).alias("content")), path, "name", "content")
+    out = IM.read_idx(t.spark, f"{path}/pictures", f"{path}/labels", 64)
+    return out.select(F.col("file").cast("long").alias("file"), "index", "label", A.total(F.col("pixels")).alias("total"))
+
+
+@query("colour_record_files", "S12", """
+WITH e AS (SELECT vec_id % 3 AS file, row_number() OVER (PARTITION BY vec_id % 3 ORDER BY vec_id) - 1 AS index, label, [trunc(abs(x::DOUBLE) * 255) FOR x IN embedding] AS v FROM embeddings)
+SELECT file, index, label, list_sum(v)::DOUBLE * 48 AS total, v[1]::DOUBLE AS first, v[64]::DOUBLE AS last FROM e""")
+def colour_record_files(t):
+    """Records of a label byte and 3,072 bytes in three files: each vector repeated to fill its planes."""
+    path = scratch_path(t.spark, "colours")
+    record = F.concat(F.lpad(F.hex("label"), 2, "0"), F.repeat(gray_bytes(), F.lit(48)))
+    packed = t.embeddings.groupBy((F.col("vec_id") % 3).alias("file")).agg(F.sort_array(F.collect_list(F.struct("vec_id", record.alias("r")))).alias("r"))
+    content = F.unhex(F.array_join(F.transform("r", lambda s: s["r"]), ""))
+    K.write_files(packed.select(F.concat(F.lit("batch_"), "file", F.lit(".bin")).alias("name"), content.alias("content")), path, "name", "content")
+    out = IM.read_colour_records(t.spark, path)
+    file = F.regexp_extract("path", r"batch_(\d+)\.bin$", 1).cast("long")
+    return out.select(file.alias("file"), "index", "label", A.total(F.col("pixels")).alias("total"), F.get("pixels", F.lit(0)).alias("first"), F.element_at("pixels", -1).alias("last"))
+
+
+@query("source_tree", "S17", r"""
+WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\r\n|\r|\n')) AS raw FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, regexp_replace(raw, '[\s\x0B]+$', '') AS line FROM l)
+SELECT doc_id, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM k WHERE line <> '' GROUP BY 1""")
+def source_tree(t):
+    """Documents as source files two folders deep, next to files of another kind, read as lines."""
+    path = scratch_path(t.spark, "tree")
+    where = F.concat("source", F.lit("/"), "lang", F.lit("/Doc"), "doc_id")
+    docs = t.documents.select(where.alias("w"), F.encode("text", "UTF-8").alias("content"))
+    K.write_files(docs.select(F.concat("w", F.lit(".java")).alias("name"), "content"), path, "name", "content")
+    K.write_files(docs.limit(5).select(F.concat("w", F.lit(".txt")).alias("name"), "content"), path, "name", "content")
+    read = TX.read_code(t.spark, path).withColumn("doc_id", F.regexp_extract("path", r"Doc(\d+)\.java$", 1).cast("long"))
+    lines = F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + F.length(x))
+    return read.where(F.size("lines") > 0).select("doc_id", F.size("lines").cast("long").alias("lines"), lines.alias("chars"))
+
+
 @query("coco_annotations", "S13 J07", """
 SELECT l_orderkey AS image_id, 'val/' || l_orderkey || '.jpg' AS file, l_partkey * 10000 + l_suppkey AS annotation_id, 19 - l_partkey % 20 AS class, l_tax AS x, l_quantity AS w
 FROM lineitem WHERE l_discount > 0""")

@@ -168,22 +168,20 @@ def answer_spans(t):
 
 
 @query("document_sentiment", "M10 F36", f"""
-WITH {TOKENS}, {VOCAB}, e AS (SELECT doc_id, coalesce(id, 3) AS id FROM tok LEFT JOIN vocab USING (token) WHERE pos < 64),
-s AS (SELECT doc_id, sum(id % 7) / (7.0::DOUBLE * count(*)) * 4 AS neg, sum(id % 5) / (5.0::DOUBLE * count(*)) * 4 AS pos FROM e GROUP BY 1)
+WITH {TOKENS}, {VOCAB}, e AS (SELECT doc_id, coalesce(id, 3) AS id FROM tok LEFT JOIN vocab USING (token)),
+s AS (SELECT d.doc_id, coalesce(sum(id % 7) / (7.0::DOUBLE * count(id)) * 4, 0) AS neg, coalesce(sum(id % 5) / (5.0::DOUBLE * count(id)) * 4, 0) AS pos
+FROM documents d LEFT JOIN e USING (doc_id) GROUP BY 1)
 SELECT doc_id, CASE WHEN neg >= pos THEN 'Negative' ELSE 'Positive' END AS class, round(1 / (1 + exp(-abs(pos - neg))), 6) AS prob FROM s""")
 def document_sentiment(t):
-    base = tokens(t).filter(F.size("tokens") > 0)
+    """Scores of every token of every text; a text without tokens scores zero both ways."""
+    base = tokens(t)
     ids = V.encode(base, "tokens", vocabulary(base), "doc_id")
-    fixed = ids.select(
-        "doc_id", A.fit(F.col("ids"), F.lit(2).cast("long"), 64).alias("ids"),
-        A.fit(F.transform("ids", lambda x: F.lit(1)), F.lit(0), 64).alias("mask"),
-    )
 
     def score(base_):
-        weighted = F.zip_with("ids", "mask", lambda x, m: m * (x % base_))
-        return F.aggregate(weighted, F.lit(0).cast("long"), lambda s, x: s + x) / (float(base_) * F.aggregate("mask", F.lit(0), lambda s, x: s + x)) * 4
+        whole = F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x % base_)
+        return F.when(F.size("ids") > 0, whole / (float(base_) * F.size("ids")) * 4).otherwise(0.0)
 
-    out = fixed.select("doc_id", TM.sentiment(F.array(score(7), score(5))).alias("x"))
+    out = ids.select("doc_id", TM.sentiment(F.array(score(7), score(5))).alias("x"))
     return out.select("doc_id", "x.class", r6("x.prob").alias("prob"))
 
 
@@ -266,8 +264,9 @@ def hyper_parameter_search(t):
 
 @query("text_classifier", "T16 M05")
 def text_classifier(t):
-    data = tokens(t).join(t.labels, "doc_id").withColumn("label", F.col("quality").cast("double"))
-    model = TM.fit_classifier(data, "tokens", "label", buckets=1 << 14, epochs=10)
+    """Learned from the labelled texts, applied to all; ``label`` is null where there is none."""
+    data = tokens(t).join(t.labels, "doc_id", "left").withColumn("label", F.col("quality").cast("double"))
+    model = TM.fit_classifier(data.where("label IS NOT NULL"), "tokens", "label", buckets=1 << 14, epochs=10)
     out = TM.classify(data.select("doc_id", "tokens", "label"), model, ["poor", "good"], 1)
     best = F.get("top", F.lit(0))
     return out.select("doc_id", "label", best["class"].alias("class"), r6(best["prob"]).alias("prob"))

@@ -98,15 +98,20 @@ def unicode_nfc(t):
     return t.documents.select("doc_id", F.md5(X.unicode_normal(F.col("text"), "NFC")).alias("digest"))
 
 
-@query("truncate_and_terminate", "F27 F28 F29", rf"""
+@query("truncated_tokens", "F27", rf"""
+WITH s AS (SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN}') AS t FROM documents) SELECT doc_id, array_to_string(t[1:8], ' ') AS cut FROM s""")
+def truncated_tokens(t):
+    return tokens(t).select("doc_id", X.join_tokens(X.truncate_tokens(F.col("tokens"), 8)).alias("cut"))
+
+
+@query("truncate_and_terminate", "F28 F29", rf"""
 WITH s AS (SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN}') AS t FROM documents)
-SELECT doc_id, array_to_string(t[1:8], ' ') AS cut, array_to_string(list_concat(['<bos>'], t[1:8], ['<eos>']), ' ') AS closed,
-array_to_string(list_transform(t[1:8], lambda x: x || '!'), ' ') AS mapped FROM s""")
+SELECT doc_id, md5(array_to_string(list_concat(['<bos>'], t, ['<eos>']), ' ')) AS closed,
+md5(array_to_string(list_transform(t, lambda x: x || '!'), ' ')) AS mapped FROM s""")
 def truncate_and_terminate(t):
-    cut = X.truncate_tokens(F.col("tokens"), 8)
     return tokens(t).select(
-        "doc_id", X.join_tokens(cut).alias("cut"), X.join_tokens(X.terminate_tokens(cut)).alias("closed"),
-        X.join_tokens(X.map_tokens(cut, lambda x: F.concat(x, F.lit("!")))).alias("mapped"),
+        "doc_id", F.md5(X.join_tokens(X.terminate_tokens(F.col("tokens")))).alias("closed"),
+        F.md5(X.join_tokens(X.map_tokens(F.col("tokens"), lambda x: F.concat(x, F.lit("!"))))).alias("mapped"),
     )
 
 
@@ -411,20 +416,20 @@ def masked_instances(t):
 
 
 @query("corpus_shards", "D19", """
-SELECT count(*) AS docs, count(DISTINCT doc_id) AS distinct_docs, 4 AS shards FROM documents""")
+SELECT doc_id % 4 AS shard, count(*) AS docs, count(DISTINCT doc_id) AS distinct_docs, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1""")
 def corpus_shards(t):
-    shards = t.documents.select("doc_id").repartition(4, "doc_id").withColumn("shard", F.spark_partition_id())
-    per = shards.groupBy("shard").agg(F.count("*").alias("docs"), F.countDistinct("doc_id").alias("d"))
-    return per.agg(
-        F.sum("docs").alias("docs"), F.sum("d").alias("distinct_docs"), F.countDistinct("shard").cast("int").alias("shards")
+    """Four disjoint shards by key, as a worker reads its own; together they hold every document once."""
+    shards = t.documents.withColumn("shard", F.pmod("doc_id", F.lit(4)))
+    return shards.groupBy("shard").agg(
+        F.count("*").alias("docs"), F.count_distinct("doc_id").alias("distinct_docs"), F.sum(F.length("text")).alias("chars")
     )
 
 
-WORD_VECTORS = """vectors AS (SELECT token, id, embedding AS vector FROM vocab JOIN embeddings ON vec_id = id % 500)"""
+WORD_VECTORS = """vectors AS (SELECT token, id, embedding AS vector FROM vocab JOIN embeddings ON vec_id = id % (SELECT count(*) FROM embeddings))"""
 
 
 def word_vectors(t, vocab):
-    return vocab.withColumn("vec_id", F.col("id") % 500).join(t.embeddings, "vec_id").select(
+    return vocab.withColumn("vec_id", F.col("id") % t.embeddings.count()).join(t.embeddings, "vec_id").select(
         "token", "id", F.col("embedding").cast("array<double>").alias("vector")
     )
 
@@ -455,14 +460,15 @@ def sentence_embedding(t):
 
 @query("document_features", "D15 F30 D13 J01 D10 J09", f"""
 WITH {TOKENS}, {VOCAB}, e AS (SELECT doc_id, pos, coalesce(id, 3) AS id FROM tok LEFT JOIN vocab USING (token)),
-d AS (SELECT doc_id, quality, toxic, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS batch_id FROM documents JOIN labels USING (doc_id)),
+d AS (SELECT doc_id, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS batch_id FROM documents LEFT JOIN labels USING (doc_id)),
 s AS (SELECT doc_id, batch_id, quality, toxic, count(pos) AS valid_length, coalesce(sum(id), 0)::BIGINT AS id_sum,
 coalesce(sum(id * (pos + 1)), 0)::BIGINT AS id_check FROM d LEFT JOIN e USING (doc_id) GROUP BY ALL)
 SELECT *, max(valid_length) OVER (PARTITION BY batch_id) AS width FROM s""")
 def document_features(t):
     base = tokens(t)
     vocab = vocabulary(base)
-    labelled = O.batches(base.join(t.labels, "doc_id"), 32, "doc_id", wide=True)
+    # Documents without a label stay, with -1.
+    labelled = O.batches(base.join(t.labels, "doc_id", "left").fillna(-1, ["quality", "toxic"]), 32, "doc_id", wide=True)
     ids = V.encode(labelled, "tokens", vocab, "doc_id")
     out = B.pad_batches(ids, "ids", "batch_id", F.lit(2).cast("long"))
 

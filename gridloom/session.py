@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,25 +56,58 @@ def ship_package(spark: SparkSession) -> None:
 
 _SHIPPED: set[str] = set()
 _OWN_FOLDERS: dict[str, str] = {}
+_SCRATCH: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Only a session without that setting (tests, a laptop) gets a folder of its own.
+    Only a session whose executors are threads of this process (tests, a laptop) may go without; it gets a folder
+    of its own. Elsewhere a local folder would lose rows silently, so a missing setting is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        app = spark.sparkContext.applicationId
-        folder = _OWN_FOLDERS.setdefault(app, "") or tempfile.mkdtemp(prefix="gridloom-")
-        _OWN_FOLDERS[app] = folder
-    return folder
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    given = spark.sparkContext.getCheckpointDir()
+    if given:
+        return given
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_FOLDERS:
+        _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="gridloom-")
+    return _OWN_FOLDERS[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def scratch_paths(spark: SparkSession) -> list[str]:
+    """Scratch tables of this application that have not been dropped."""
+    return list(_SCRATCH.get(spark.sparkContext.applicationId, []))
+
+
+def drop_scratch(spark: SparkSession, keep: int = 0) -> None:
+    """Delete all scratch tables but the first ``keep``, wherever the shared folder is."""
+    made = _SCRATCH.get(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in made[keep:]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    del made[keep:]
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables written inside are deleted at the end: use up the results of queries within."""
+    before = len(scratch_paths(spark))
+    try:
+        yield
+    finally:
+        drop_scratch(spark, keep=before)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -102,13 +102,23 @@ def bytes_to_array(record: Column) -> Column:
 
 
 def read_idx(spark: SparkSession, images: str, labels: str, size: int = 784) -> DataFrame:
-    """Digit images in IDX files: (index, label, pixels); headers of 16 and 8 bytes are skipped."""
+    """Digit images in IDX files: (file, index, label, pixels); headers of 16 and 8 bytes are skipped.
+
+    Image and label files are paired by the order of their names, records by their number in the file.
+    """
     read = spark.read.format("binaryFile")
-    pictures = split_records(read.load(images).select("path", "content"), "path", "content", size, 16)
-    answers = split_records(read.load(labels).select("path", "content"), "path", "content", 1, 8)
+
+    def records(path: str, length: int, skip: int) -> DataFrame:
+        names = sorted(r["path"] for r in read.load(path).select("path").collect())
+        number = {name: i for i, name in enumerate(names)}
+        files = read.load(path).select("path", "content")
+        pairs = spark.createDataFrame(list(number.items()) or [("", -1)], "path string, file int")
+        return split_records(files.join(F.broadcast(pairs), "path").select("file", "content"), "file", "content", length, skip)
+
+    pictures, answers = records(images, size, 16), records(labels, 1, 8)
     digit = F.conv(F.hex("record"), 16, 10).cast("int")
-    return pictures.select("index", bytes_to_array(F.col("record")).alias("pixels")).join(
-        answers.select("index", digit.alias("label")), "index"
+    return pictures.select("file", "index", bytes_to_array(F.col("record")).alias("pixels")).join(
+        answers.select("file", "index", digit.alias("label")), ["file", "index"]
     )
 
 
@@ -129,10 +139,9 @@ def with_colour_pixels(df: DataFrame, record: str, height: int = 32, width: int
 
 
 def read_colour_records(spark: SparkSession, path: str) -> DataFrame:
-    """Fixed-length colour records, split over tasks at record borders: (label, pixels)."""
-    length = 1 + 3 * 32 * 32
-    records = spark.sparkContext.binaryRecords(path, length).map(lambda raw: (bytearray(raw),))
-    return with_colour_pixels(spark.createDataFrame(records, "record binary"), "record").drop("record")
+    """Fixed-length colour records: (path, index, label, pixels)."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return with_colour_pixels(split_records(files, "path", "content", 1 + 3 * 32 * 32), "record").drop("record")
 
 
 COCO_SCHEMA = """images array<struct<id: bigint, coco_url: string>>,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +33,25 @@ def write_predictions(df: DataFrame, path: str, key: str, classes: str) -> None:
 def append_metrics(df: DataFrame, path: str) -> None:
     """Append (name, value, unit, ts) rows to a metric log, one folder per name."""
     df.write.mode("append").partitionBy("name").parquet(path)
+
+
+def write_files(df: DataFrame, folder: str, name: str, content: str) -> None:
+    """One file per row below ``folder``: ``name`` is its path there, ``content`` its bytes.
+
+    Tasks write through Arrow's file systems (local, HDFS, S3 and others). A repeated attempt writes the same file again.
+    """
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        for batch in batches:
+            for row in batch.to_pylist():
+                place = f"{root}/{row['name']}"
+                store.create_dir(place.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(place) as out:
+                    out.write(row["content"])
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]}, schema=pa.schema([("n", pa.int64())]))
+
+    rows = df.select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content"))
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()

@@ -33,9 +33,9 @@ def _named(spark, path, schema, partitions, **options) -> DataFrame:
 
 
 def read_headerless_tsv(spark: SparkSession, path: str, schema: dict[str, str]) -> DataFrame:
-    """Tab-separated without a header, columns by position."""
+    """Tab-separated without a header, columns by position, values trimmed."""
     ddl = ", ".join(f"`{n}` {kind}" for n, kind in schema.items())
-    return spark.read.options(sep="\t", mode="FAILFAST").schema(ddl).csv(path)
+    return spark.read.options(sep="\t", mode="FAILFAST", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).schema(ddl).csv(path)
 
 
 def write_with_usage(df: DataFrame, path: str, usage: Column) -> None:

@@ -29,7 +29,7 @@ def review_path_parts(path: Column) -> dict[str, Column]:
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     """One file per document below ``pos`` and ``neg`` folders: (text, label, doc_id, score)."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*_*.txt").text(path, wholetext=True)
-    located = files.select(F.col("value").alias("text"), F.input_file_name().alias("path"))
+    located = files.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
     located = located.filter(F.col("path").rlike(r"/(pos|neg)/\d+_\d+\.txt$"))
     return located.select("text", *[c.alias(n) for n, c in review_path_parts(F.col("path")).items()])
 
@@ -56,4 +56,4 @@ def read_token_list(spark: SparkSession, path: str) -> DataFrame:
 def read_code(spark: SparkSession, path: str, suffix: str = ".java") -> DataFrame:
     """Lines of all source files of a tree: (path, lines); blank lines and trailing blanks dropped."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True)
-    return files.select(F.input_file_name().alias("path"), code_lines(F.col("value")).alias("lines"))
+    return files.select(F.col("_metadata.file_path").alias("path"), code_lines(F.col("value")).alias("lines"))
