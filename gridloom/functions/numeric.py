@@ -151,9 +151,15 @@ def prelu(x: Column, slope: Column) -> Column:
     return F.when(x > 0, x).otherwise(slope * x)
 
 
+def seeded_bits(seed: int, *keys) -> Column:
+    """52 bits that depend only on the seed and the keys: the head of the MD5 of their texts, which any engine can repeat."""
+    texts = [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *texts).cast("binary")), 1, 13), 16, 10).cast("long")
+
+
 def seeded_uniform(seed: int, *keys) -> Column:
     """A number in [0, 1) that depends only on the seed and the keys."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) * F.lit(2.0**-53)
+    return seeded_bits(seed, *keys) * F.lit(2.0**-52)
 
 
 def dropout(x: Column, rate: float, seed: int, *keys) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DateType, NumericType, StructType, TimestampNTZType, TimestampType
 
+from gridloom.functions.numeric import seeded_bits
 from gridloom.operators.lookup import checked_lookup
 from gridloom.session import cut_lineage
 
@@ -206,7 +207,7 @@ def sub_range(df: DataFrame, start: int, stop: int, lead: str, tie: str | None =
 
 def hash_order(seed: int, *keys: Column | str) -> Column:
     """A 52-bit pseudo-random order key that depends on the row only, never on its partition."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 12)
+    return seeded_bits(seed, *keys)
 
 
 def shuffled(df: DataFrame, seed: int, key: str, wide: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from gridloom.operators import evaluation as E
 from gridloom.operators import ordering as O
 from gridloom.operators import series as SE
 from gridloom.operators import tensors as T
-from gridloom.plans.registry import query, r6
+from gridloom.plans.registry import draw_sql, query, r6
 
 # Class scores: the first ten entries of an embedding, times ten; the label is the truth. Batches of 25
 # vectors, two epochs, every fifth vector validates.
@@ -211,7 +211,10 @@ def recent_buffer(t):
     return SE.recent(t.events, "user_id", "ts", "event_id", 5).select("user_id", "event_id", "value")
 
 
-@query("buffer_sample", "W08")
+@query("buffer_sample", "W08", f"""
+WITH n AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events),
+d AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {draw_sql(4, "event_id")}, event_id) AS d FROM n WHERE r <= 5)
+SELECT user_id, event_id, value FROM d WHERE d <= 2""")
 def buffer_sample(t):
     return SE.sample_recent(t.events, "user_id", "ts", "event_id", 5, 2, seed=4).select("user_id", "event_id", "value")
 

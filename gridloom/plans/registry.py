@@ -42,3 +42,12 @@ def r6(col: Column | str) -> Column:
     """Round to six digits without negative zero, the form compared with the check SQL."""
     col = F.col(col) if isinstance(col, str) else col
     return F.round(col.cast("double"), 6) + F.lit(0.0)
+
+
+def draw_sql(seed: int, *keys: str) -> str:
+    """The check SQL of ``functions.numeric.seeded_bits``."""
+    return f"('0x' || md5(concat_ws('|', {', '.join([str(seed), *keys])}))[1:13])::BIGINT"
+
+
+def uniform_sql(seed: int, *keys: str) -> str:
+    return f"({draw_sql(seed, *keys)} * pow(2.0, -52))"

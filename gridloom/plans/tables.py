@@ -11,7 +11,7 @@ from gridloom.operators import features as FE
 from gridloom.operators import ordering as O
 from gridloom.operators import tensors as T
 from gridloom.operators import transforms as ST
-from gridloom.plans.registry import query, r6
+from gridloom.plans.registry import draw_sql, query, r6, uniform_sql
 from gridloom.session import scratch_path
 from gridloom.sources import generators as G
 from gridloom.sources import tabular as TB
@@ -63,18 +63,17 @@ def random_split_sizes(t):
     return parts.groupBy("split").agg(F.count("*").alias("rows"), F.countDistinct("o_orderkey").alias("distinct_keys"))
 
 
-@query("random_split_rows", "U04 D06")
+@query("random_split_rows", "U04 D06", f"""
+WITH p AS (SELECT *, row_number() OVER (ORDER BY {draw_sql(3, "o_orderkey")}, o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, (pos >= trunc(0.5::DOUBLE * n))::INT + (pos >= trunc(0.5::DOUBLE * n) + trunc(0.4::DOUBLE * n))::INT AS split FROM p""")
 def random_split_rows(t):
     return O.random_split(t.orders, [5, 4, 1], 3, "o_orderkey")
 
 
-@query("random_order", "D06 X06", """
-SELECT count(*) AS rows, count(*) AS positions, 0::BIGINT AS first, count(*) - 1 AS last FROM orders""")
+@query("random_order", "D06 X06", f"""
+SELECT o_orderkey, row_number() OVER (ORDER BY {draw_sql(5, "o_orderkey")}, o_orderkey) - 1 AS position FROM orders""")
 def random_order(t):
-    placed = O.shuffled(t.orders.select("o_orderkey"), 5, "o_orderkey")
-    return placed.agg(
-        F.count("*").alias("rows"), F.countDistinct("position").alias("positions"), F.min("position").alias("first"), F.max("position").alias("last")
-    )
+    return O.shuffled(t.orders.select("o_orderkey"), 5, "o_orderkey")
 
 
 @query("sequential_batches", "W02 D06", """
@@ -220,7 +219,9 @@ def gelu_and_erfinv(t):
     )
 
 
-@query("dropout_cells", "F12")
+@query("dropout_cells", "F12", f"""
+WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, (generate_subscripts(embedding, 1) - 1)::INT AS pos FROM embeddings)
+SELECT vec_id, pos, CASE WHEN {uniform_sql(9, "vec_id", "pos")} < 0.25 THEN 0.0::DOUBLE ELSE v / 0.75::DOUBLE END AS v FROM c""")
 def dropout_cells(t):
     c = T.explode_cells(t.embeddings, "embedding", ["vec_id"])
     return c.withColumn("v", N.dropout(F.col("v"), 0.25, 9, "vec_id", "pos"))
@@ -248,29 +249,36 @@ def number_ranges(t):
     return out
 
 
-@query("random_values", "S23")
+@query("random_values", "S23", f"""
+SELECT c_custkey, -1 + {uniform_sql(1, "c_custkey")} * 2 AS uniform, round(sqrt(-2 * ln(1 - {uniform_sql(2, "c_custkey")})) * cos(2 * pi() * {uniform_sql(3, "c_custkey")}), 6) + 0.0 AS normal,
+floor({uniform_sql(3, "c_custkey")} * 6)::BIGINT AS integer FROM customer""")
 def random_values(t):
-    c = t.customer.select("c_custkey")
-    drawn = c.select(
-        "c_custkey", G.random_uniform(1, "c_custkey", low=-1.0).alias("uniform"), G.random_normal(2, "c_custkey").alias("normal"),
+    return t.customer.select(
+        "c_custkey", G.random_uniform(1, "c_custkey", low=-1.0).alias("uniform"), r6(G.random_normal(2, "c_custkey")).alias("normal"),
         G.random_integer(3, "c_custkey", high=6).alias("integer"),
     )
-    return G.truncated_normal(drawn, "c_custkey", 4, target="truncated")
 
 
-@query("multinomial_draws", "S23")
+@query("truncated_values", "S23")
+def truncated_values(t):
+    return G.truncated_normal(t.customer.select("c_custkey"), "c_custkey", 4, target="truncated")
+
+
+@query("multinomial_draws", "S23", f"""
+WITH u AS (SELECT {uniform_sql(6, "o_orderkey")} AS u FROM orders), o AS (SELECT CASE WHEN u < 0.2 THEN 0 WHEN u < 0.5 THEN 1 ELSE 2 END AS outcome FROM u)
+SELECT k::INT AS outcome, (SELECT count(*) FROM o WHERE outcome = k) AS n FROM (SELECT unnest(range(3)) AS k)""")
 def multinomial_draws(t):
     return G.multinomial(t.orders.select("o_orderkey"), "o_orderkey", [0.2, 0.3, 0.5], 6)
 
 
-@query("usage_partitions", "S24", """SELECT count(*) AS rows, 3::BIGINT AS usages, count(*) AS distinct_rows FROM customer""")
+@query("usage_partitions", "S24", f"""
+SELECT c_custkey, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'validation' ELSE 'test' END AS usage FROM (SELECT c_custkey, {uniform_sql(0, "c_custkey")} AS u FROM customer)""")
 def usage_partitions(t):
+    """Rows written by usage; each usage is read from its own folder."""
     path = scratch_path(t.spark, "usage")
     TB.write_with_usage(t.customer.select("c_custkey"), path, G.usage(F.col("c_custkey")))
-    names = ("train", "validation", "test")
-    parts = [TB.read_usage(t.spark, path, u).withColumn("usage", F.lit(u)) for u in names]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return every.agg(F.count("*").alias("rows"), F.countDistinct("usage").alias("usages"), F.countDistinct("c_custkey").alias("distinct_rows"))
+    parts = [TB.read_usage(t.spark, path, u).withColumn("usage", F.lit(u)) for u in ("train", "validation", "test")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("schedules", "T11 X08", """

@@ -11,7 +11,7 @@ from gridloom.operators import ordering as O
 from gridloom.operators import sentence_pairs as S
 from gridloom.operators import tensors as T
 from gridloom.operators import vocabulary as V
-from gridloom.plans.registry import query, r6
+from gridloom.plans.registry import draw_sql, query, r6, uniform_sql
 from gridloom.session import cut_lineage, spread
 
 PUNCT = r"[\p{P}$+<=>^`|~]"
@@ -396,7 +396,12 @@ def masked_totals(t):
     )
 
 
-@query("next_sentence_pairs", "W04 D16")
+@query("next_sentence_pairs", "W04 D16", f"""
+WITH {PAIR_SQL}, k AS (SELECT *, doc_id || '-' || pair_no AS pair_id FROM p), o AS (SELECT *, row_number() OVER (ORDER BY {draw_sql(7, "pair_id")}, pair_id) - 1 AS i FROM k),
+c AS (SELECT *, i // 2 AS couple, count(*) OVER (PARTITION BY i // 2) AS n, first_value(a) OVER w AS low, last_value(a) OVER w AS high FROM o
+WINDOW w AS (PARTITION BY i // 2 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+s AS (SELECT *, n = 2 AND {uniform_sql(8, "couple")} < 0.5 AS swapped FROM c)
+SELECT doc_id, pair_no::INT AS pair_no, CASE WHEN swapped THEN 0 ELSE 1 END AS consecutive, md5(CASE WHEN swapped AND i % 2 = 0 THEN high WHEN swapped THEN low ELSE a END) AS a, md5(b) AS b FROM s""")
 def next_sentence_pairs(t):
     return next_sentences(t).select("doc_id", "pair_no", "consecutive", F.md5("a").alias("a"), F.md5("b").alias("b"))
 

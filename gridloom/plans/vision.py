@@ -12,7 +12,8 @@ from gridloom.operators import ordering as O
 from gridloom.operators import regions as R
 from gridloom.operators import tensors as T
 from gridloom.operators.lookup import checked_lookup
-from gridloom.plans.registry import query, r6
+from gridloom.operators.tensors import explode_rows
+from gridloom.plans.registry import query, r6, uniform_sql
 
 # Ten boxes per vector, six entries each; twenty vectors make an image, the vector label is the class.
 BOXES = """raw AS (SELECT vec_id, label, n, [embedding[n * 6 + k + 1]::DOUBLE FOR k IN range(6)] AS e FROM embeddings, (SELECT unnest(range(10)) AS n)),
@@ -403,6 +404,26 @@ def image_resize(t):
     return out.select("vec_id", F.col("pos").cast("long").alias("pos"), r6("x.nearest").alias("nearest"), r6("x.bilinear").alias("bilinear"))
 
 
+@query("random_crop_windows", "V12", f"""
+WITH u AS (SELECT vec_id, 0.08 + 0.92 * {uniform_sql(21, "vec_id")} AS share, exp(ln(0.75) + ln((4 / 3.0::DOUBLE) / 0.75) * {uniform_sql(22, "vec_id")}) AS aspect, {uniform_sql(23, "vec_id")} AS y, {uniform_sql(24, "vec_id")} AS x FROM embeddings),
+s AS (SELECT *, greatest(1, least(4, floor(sqrt(share * 16 * aspect) + 0.5)))::INT AS crop_width, greatest(1, least(4, floor(sqrt(share * 16 / aspect) + 0.5)))::INT AS crop_height FROM u)
+SELECT vec_id, floor(y * (5 - crop_height))::INT AS top, floor(x * (5 - crop_width))::INT AS left, crop_height, crop_width FROM s""")
+def random_crop_windows(t):
+    window = I.random_crop_window(4, 4, 21, F.col("vec_id"))
+    return t.embeddings.select("vec_id", *[c.alias(n) for n, c in window.items()])
+
+
+@query("random_flips", "V14", f"""
+WITH c AS (SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS p, unnest(embedding)::DOUBLE AS v, {uniform_sql(31, "vec_id")} < 0.5 AS across, {uniform_sql(32, "vec_id")} < 0.5 AS down FROM embeddings),
+q AS (SELECT *, CASE WHEN down THEN 3 - p // 16 ELSE p // 16 END AS i, CASE WHEN across THEN 3 - (p // 4) % 4 ELSE (p // 4) % 4 END AS j FROM c)
+SELECT vec_id, (i * 16 + j * 4 + p % 4)::INT AS pos, v FROM q""")
+def random_flips(t):
+    pixels = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("pixels"))
+    key = F.col("vec_id")
+    flipped = I.random_flip(I.random_flip(F.col("pixels"), 4, 4, 4, 31, key), 4, 4, 4, 32, key, left_right=False)
+    return explode_rows(pixels.select("vec_id", flipped.alias("pixels")), "pixels", ["vec_id"], value="v")
+
+
 @query("image_random_crops", "V12")
 def image_random_crops(t):
     window = I.random_crop_window(4, 4, 21, F.col("vec_id"))
