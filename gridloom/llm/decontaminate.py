@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -57,7 +58,7 @@ class Block:
             edits = int(len(ids) * (1 - least) / 2)
             self.needed.append(max(1, len(rare) - seed * edits))
         self.sizes = sorted({min(seed, len(ids)) for _, ids in self.items})
-        self.known = {n: np.array(sorted(g for g in self.places if self._size(g) == n), dtype=np.int64) for n in self.sizes}
+        self.known = {n: np.array(sorted(g for g in self.places if self._size(g) == n), dtype=np.int64 if self.base**n < 2**62 else object) for n in self.sizes}
 
     def _size(self, code: int) -> int:
         n = 0
@@ -82,11 +83,16 @@ class Block:
 
     def matches(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(item, score, first word, end word) for every item with a copy in the text; the best copy of each."""
-        ids = np.fromiter((self.vocabulary.get(w, 0) for w in words(text)), dtype=np.int64)
+        ids = np.array(list(map(self.vocabulary.get, words(text), repeat(0))), dtype=np.int64)
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for n in self.sizes:
-            codes = self.codes(ids, n)
-            for at in np.flatnonzero(np.isin(codes, self.known[n])) if len(codes) else ():
+            codes, known = self.codes(ids, n), self.known[n]
+            # Only places whose words all occur in the items are looked up, by bisection.
+            full = np.flatnonzero(codes != 0)
+            if not len(full) or not len(known):
+                continue
+            near = np.minimum(np.searchsorted(known, codes[full]), len(known) - 1)
+            for at in full[known[near] == codes[full]]:
                 for number, place in self.places[int(codes[at])]:
                     hits[number].append((int(at), place))
         found = []
