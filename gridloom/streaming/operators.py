@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.scoring import Scorer, score
@@ -48,9 +48,11 @@ def window_metrics(events: DataFrame, ts: str, name: str, value: str, width: str
 
 
 def session_stream(events: DataFrame, key: str, ts: str, gap: str, delay: str = "10 minutes") -> DataFrame:
-    """Sessions per key that end after ``gap`` without rows. Sessions are merged inside each task before the
-    shuffle, so that a frequent key does not send all its rows."""
-    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    """Sessions per key that end after ``gap`` without rows.
+
+    With ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` set, as :func:`gridloom.session.build_session`
+    does, sessions are merged inside each task before the shuffle, so that a frequent key does not send all its rows.
+    """
     return (
         events.withWatermark(ts, delay)
         .groupBy(F.session_window(ts, gap).alias("s"), key)
@@ -64,29 +66,38 @@ def answer_once(answers: DataFrame, key: str, ts: str, delay: str = "1 hour") ->
     return answers.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def recent_buffer(stream: DataFrame, label: str, key: str, ts: str, tie: str, size: int) -> DataFrame:
+def recent_buffer(stream: DataFrame, label: str, key: str, ts: str, tie: str, size: int, folder: str | None = None) -> DataFrame:
     """The newest ``size`` rows per key, kept in a table that each micro-batch replaces by a new version.
 
     A batch first keeps its own newest rows per key, so only those meet the old version. Versions carry the
-    batch number: a repeated batch rebuilds the same version from the one before.
+    batch number: a repeated batch rebuilds the same version from the one before. Versions older than that are deleted.
+    With ``folder`` a later call, also of another process, goes on where the last one stopped.
     """
     spark = stream.sparkSession
-    path = scratch_path(spark, label)
-    versions = spark.createDataFrame([], stream.schema).withColumn("version", F.lit(0).cast("long"))
-    versions.write.partitionBy("version").parquet(path)
-
-    def newest(before: int | None) -> DataFrame:
-        """The latest written version, or the latest one older than a batch; read from the table itself, so
-        that a restarted stream goes on where it stopped."""
-        held = spark.read.schema(versions.schema).parquet(path)
-        if before is not None:
-            held = held.filter(F.col("version") < before)
-        last = held.agg(F.max("version")).first()[0]
-        return held.filter(F.col("version") == F.lit(-1 if last is None else last)).drop("version")
+    folder = folder or scratch_path(spark, label)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/versions")
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def versions() -> list[int]:
+        if not store.exists(place):
+            return []
+        names = (status.getPath().getName() for status in store.listStatus(place))
+        # A version counts once it is whole.
+        return sorted(int(n) for n in names if n.isdigit() and store.exists(_path(spark, f"{folder}/versions/{n}/_SUCCESS")))
+
+    def read(number: int | None) -> DataFrame:
+        return spark.createDataFrame([], stream.schema) if number is None else spark.read.schema(stream.schema).parquet(f"{folder}/versions/{number}")
 
     def handle(batch: DataFrame, number: int) -> None:
-        fresh = recent(batch, key, ts, tie, size).unionByName(newest(number))
-        recent(fresh, key, ts, tie, size).write.mode("overwrite").parquet(f"{path}/version={number}")
+        before = [v for v in versions() if v < number]
+        fresh = recent(batch, key, ts, tie, size).unionByName(read(before[-1] if before else None))
+        recent(fresh, key, ts, tie, size).write.mode("overwrite").parquet(f"{folder}/versions/{number}")
+        for old in before[:-1]:
+            store.delete(_path(spark, f"{folder}/versions/{old}"), True)
+
+    run_batches(stream, label, handle, folder=folder)
+    return read(max(versions(), default=None))
+
 
-    run_batches(stream, label, handle)
-    return newest(None)
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from gridloom.session import scratch_path
 
@@ -24,21 +25,34 @@ def folder_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Process all available input into a parquet table of the shared folder and read it back."""
+def start_table(stream: DataFrame, folder: str, mode: str = "append", **trigger) -> StreamingQuery:
+    """Start writing a stream to ``<folder>/rows``, with its state in ``<folder>/state``.
+
+    ``trigger`` is that of ``DataStreamWriter.trigger``, such as ``processingTime="1 minute"``; none means as fast as
+    possible. Started again with the same folder, the stream goes on where it stopped.
+    """
+    writer = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/state")
+    return (writer.trigger(**trigger) if trigger else writer).start(f"{folder}/rows")
+
+
+def start_batches(stream: DataFrame, folder: str, handle: Callable[[DataFrame, int], None], mode: str = "append", **trigger) -> StreamingQuery:
+    """Start a stream through a micro-batch function, with its state in ``<folder>/state``."""
+    writer = stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", f"{folder}/state")
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def run_to_table(stream: DataFrame, label: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Process all available input into a parquet table and read it back.
+
+    Without ``folder`` the table lies in the shared folder and starts empty; with one, a later call goes on from there.
+    """
     spark = stream.sparkSession
-    path, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
-    query = (
-        stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start(path)
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    folder = folder or scratch_path(spark, label)
+    start_table(stream, folder, mode, availableNow=True).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def run_batches(stream: DataFrame, label: str, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+def run_batches(stream: DataFrame, label: str, handle: Callable[[DataFrame, int], None], mode: str = "append", folder: str | None = None) -> None:
     """Process all available input through a micro-batch function."""
-    state = scratch_path(stream.sparkSession, f"{label}-state")
-    query = (
-        stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", state).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    folder = folder or scratch_path(stream.sparkSession, label)
+    start_batches(stream, folder, handle, mode, availableNow=True).awaitTermination()

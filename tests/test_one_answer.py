@@ -96,3 +96,51 @@ def test_equal_heads_do_not_share_a_slot(spark):
     numbered = numbered.withColumn("_next", _bytes_number(F.col("v"), skip + BYTES))
     sizes = [r["count"] for r in _place(numbered, 40, True).groupBy("_slot", "_sub").count().collect()]
     assert max(sizes) <= 40
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    import os
+
+    from gridloom.session import cut_lineage, scratch_paths, scratch_scope
+
+    before = scratch_paths(spark)
+    with scratch_scope(spark):
+        cut_lineage(spark.range(5)).count()
+        made = scratch_paths(spark)[len(before):]
+        assert made and all(os.path.exists(p) for p in made)
+    assert scratch_paths(spark) == before and not any(os.path.exists(p) for p in made)
+
+
+def test_percentiles_skip_nulls_and_keep_null_groups(spark):
+    from gridloom.operators.evaluation import floor_rank_percentiles, percentiles
+
+    rows = [("a", i, float(i)) for i in range(3)] + [("a", 10 + i, None) for i in range(7)] + [(None, 1, 5.0), ("b", 1, None)]
+    rows += [("hot", i, float(i % 7)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, id long, v double")
+    got = {r["g"]: r["p50"] for r in percentiles(df, ["g"], "v", "id", {"p50": 0.5}).collect()}
+    assert got == {"a": 1.0, None: 5.0, "b": None, "hot": 3.0}
+    ranks = {r["g"]: (r["p50"], r["p100"]) for r in floor_rank_percentiles(df, "g", "v", "id", [50, 100]).collect()}
+    assert ranks["a"] == (1.0, 2.0) and ranks[None] == (5.0, 5.0) and ranks["b"] == (None, None)
+
+
+def test_length_buckets(spark):
+    from gridloom.operators.batching import bucket_batches, length_bucket
+
+    df = spark.range(50).selectExpr("id", "cast(id % 9 as int) AS n")
+    assert length_bucket(df.limit(0), "n", 3).count() == 0
+    plain = bucket_batches(df, "n", 3, 4, "id").collect()
+    mixed = bucket_batches(df, "n", 3, 4, "id", seed=1).collect()
+    assert sorted((r["bucket_key"], r["batch_no"], r["pos"]) for r in plain) == sorted((r["bucket_key"], r["batch_no"], r["pos"]) for r in mixed)
+    places = {(r["bucket_key"], r["batch_no"]): r["position"] for r in mixed}
+    assert sorted(places.values()) == list(range(len(places))) and list(places.values()) != sorted(places.values())
+
+
+def test_idx_files_are_paired_by_name(spark, tmp_path):
+    from gridloom.sources.images import read_idx
+
+    for k in range(2):
+        for kind, body in (("images", bytes(16) + bytes([k, k, 9, 9])), ("labels", bytes(8) + bytes([k, 7]))):
+            (tmp_path / kind).mkdir(exist_ok=True)
+            (tmp_path / kind / f"part-{k}").write_bytes(body)
+    rows = sorted((r["file"], r["index"], r["label"], r["pixels"]) for r in read_idx(spark, str(tmp_path / "images"), str(tmp_path / "labels"), 2).collect())
+    assert rows == [(0, 0, 0, [0, 0]), (0, 1, 7, [9, 9]), (1, 0, 1, [1, 1]), (1, 1, 7, [9, 9])]

@@ -155,3 +155,22 @@ def test_dead_letters(spark, arrivals):
     good, bad = S.split_failures(S.score_stream(stream, Half(), ["id"], guard=True), "d")
     assert (good.count(), bad.count()) == (588, 12)
     assert bad.select("error").distinct().collect()[0]["error"] == "negative"
+
+
+def test_streams_go_on_after_a_stop(spark, arrivals, tmp_path):
+    """Half of the files, a stop, then the rest: nothing is lost or repeated."""
+    df, path = arrivals
+    inbox, table, buffer = str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "buffer")
+    early, late = df.filter("s < 9000"), df.filter("s >= 9000")
+    for part in (early, late):
+        part.coalesce(1).write.mode("append").parquet(inbox)
+        scored = R.run_to_table(S.score_stream(R.folder_stream(spark, inbox), Half(), ["id"]), "t", folder=table)
+        kept = S.recent_buffer(R.folder_stream(spark, inbox), "t", "user", "ts", "id", 4, folder=buffer)
+    assert scored.count() == scored.select("id").distinct().count() == 600
+    expected = SE.recent(df, "user", "ts", "id", 4).select("user", "id").toPandas()
+    key = ["user", "id"]
+    assert kept.select("user", "id").toPandas().sort_values(key).to_numpy().tolist() == expected.sort_values(key).to_numpy().tolist()
+    query = R.start_table(R.folder_stream(spark, inbox).select("id"), str(tmp_path / "on"), processingTime="1 second")
+    query.processAllAvailable()
+    query.stop()
+    assert spark.read.parquet(str(tmp_path / "on" / "rows")).count() == 600
