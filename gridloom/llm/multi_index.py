@@ -28,6 +28,7 @@ FIT_VECTORS = 8192
 PROBE_VECTORS = 256
 CHUNK = 2048
 CELL_TARGET = 64
+SLACK = 0.04  # added to the measured radius, in squared distance
 
 
 @dataclass
@@ -136,7 +137,7 @@ def fit(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, rows
         seen += r["n"]
         if seen >= recall * total:
             # Half as much again: links that the probes did not meet lie a little farther out.
-            index.radius = min(1.5 * r["gap"] + 0.01, 4.0)
+            index.radius = min(1.5 * r["gap"] + SLACK, 4.0)
             break
     return index
 
