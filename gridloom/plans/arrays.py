@@ -360,10 +360,9 @@ WITH {CELLS}, n AS (SELECT vec_id, sqrt(sum(v * v)) AS n FROM cells GROUP BY 1),
 SELECT vec_id, pos, round(CASE WHEN pos < 64 THEN embedding[pos + 1] ELSE embedding[pos - 63] / n END, 6) + 0.0 AS joined,
 pos // 64 AS part FROM embeddings JOIN n USING (vec_id), k""")
 def concat_features(t):
-    v = vectors(t)
-    raw = v.select("vec_id", F.col("e").alias("raw"))
-    unit = v.select("vec_id", A.let(A.norm(F.col("e")), lambda n: F.transform("e", lambda x: x / n)).alias("unit"))
-    joined = raw.join(unit, "vec_id").select("vec_id", F.posexplode(F.concat("raw", "unit")).alias("pos", "x"))
+    unit = A.let(A.norm(F.col("e")), lambda n: F.transform("e", lambda x: x / n))
+    both = vectors(t).select("vec_id", F.concat("e", unit).alias("both"))
+    joined = T.explode_rows(both, "both", ["vec_id"], value="x")
     return joined.select(
         "vec_id", F.col("pos").cast("long").alias("pos"), r6("x").alias("joined"),
         F.floor(F.col("pos") / 64).alias("part"),
@@ -398,9 +397,11 @@ row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, pos) - 1 AS place_desc F
 def sort_rows(t):
     e = F.col("e")
     v = vectors(t).select("vec_id", F.sort_array("e").alias("s"), A.arg_sort(e).alias("up"), A.arg_sort(e, False).alias("down"))
-    up = v.select("vec_id", F.posexplode(F.arrays_zip("s", "up")).alias("place", "x"))
-    down = v.select("vec_id", F.posexplode("down").alias("place_desc", "origin"))
-    out = up.select("vec_id", "place", F.col("x.s").alias("v"), F.col("x.up").alias("origin")).join(down, ["vec_id", "origin"])
+    # The place in falling order is the inverse of that permutation.
+    cells = v.select("vec_id", "down", F.arrays_zip("s", "up").alias("cells"))
+    out = T.explode_rows(cells, "cells", ["vec_id", "down"], "place", "x")
+    place_desc = F.array_position("down", F.col("x.up")) - 1
+    out = out.select("vec_id", "place", F.col("x.up").alias("origin"), place_desc.alias("place_desc"), F.col("x.s").alias("v"))
     return out.select("vec_id", *[F.col(c).cast("long").alias(c) for c in ("place", "origin", "place_desc")], "v")
 
 
