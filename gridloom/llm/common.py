@@ -30,15 +30,43 @@ def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]],
 
         arrow = to_arrow_schema(target)
         for batch in batches:
-            step = max(1, int(batch.num_rows * at_once / max(1, batch.nbytes)))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
+            for part in _slices(batch, at_once):
                 out = rows({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, target)
 
 
+def _slices(batch: pa.RecordBatch, at_once: int) -> Iterator[pa.RecordBatch]:
+    step = max(1, int(batch.num_rows * at_once / max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def keep_rows(df: DataFrame, text: str, good: Callable[[list[str | None]], list[bool]], at_once: int = 1 << 20) -> DataFrame:
+    """The rows whose text is ``good``, whole; rows go through a task in slices, so it never holds more than a batch."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, at_once):
+                yield part.filter(pa.array(good(part.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def replace_text(df: DataFrame, text: str, new: Callable[[str | None], str | None], at_once: int = 1 << 20) -> DataFrame:
+    """All rows with ``new`` applied to their text, in slices as above."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, at_once):
+                yield part.set_column(at, part.schema.field(at), pa.array([new(t) for t in part.column(at).to_pylist()], part.schema.field(at).type))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def fold(column: str, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts``; null for a null key."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts

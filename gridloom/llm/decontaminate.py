@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import arrow_map, own_name
+from gridloom.llm.common import arrow_map, keep_rows
 
 SEED_WORDS = 3
 RARE = 4
@@ -201,10 +201,8 @@ def keep_clean(
     least: float = LEAST_SCORE, block_bytes: int = BLOCK_BYTES, block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
     """The rows of ``docs`` without a copy of a test item, with all their columns. Null texts are clean."""
-    mark = own_name(docs.columns)
     out = docs
     for block_rows in _blocks(items, item_key, item_text, block_bytes, block_items):
         sent = docs.sparkSession.sparkContext.broadcast(Block(block_rows, least))
-        clean = F.pandas_udf(lambda s, sent=sent: s.map(lambda t: not sent.value.matches(t)).astype(bool), "boolean")
-        out = out.withColumn(mark, clean(F.col(text))).where(F.col(mark)).drop(mark)
+        out = keep_rows(out, text, lambda texts, sent=sent: [not sent.value.matches(t) for t in texts])
     return out

@@ -12,7 +12,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import arrow_map
+from gridloom.llm.common import arrow_map, replace_text
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
@@ -240,5 +240,4 @@ def redacted(text: str | None) -> str | None:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with identifiers replaced in ``text``. Null stays null, every row and column stays."""
-    replaced = F.pandas_udf(lambda s: s.map(redacted), "string")
-    return docs.withColumn(text, replaced(F.col(text)))
+    return replace_text(docs, text, redacted)

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import arrow_map, labelled_sample
+from gridloom.llm.common import arrow_map, keep_rows, labelled_sample
 
 WORD_BUCKETS = 1 << 13
 RANK = 8
@@ -175,5 +175,4 @@ class _Scorer:
 def keep_good(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the machine doesn't reject, with all their columns. Null texts are judged as empty ones."""
     scorer = _Scorer(machine)
-    good = F.pandas_udf(lambda s: s.map(lambda t: scorer.scores([t], [None])[0] >= THRESHOLD).astype(bool), "boolean")
-    return docs.where(good(F.col(text)))
+    return keep_rows(docs, text, lambda texts: [s >= THRESHOLD for s in scorer.scores(texts, [None] * len(texts))])
