@@ -43,14 +43,14 @@ def _slices(batch: pa.RecordBatch, at_once: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, step)
 
 
-def keep_rows(df: DataFrame, text: str, good: Callable[[list[str | None]], list[bool]], at_once: int = 1 << 20) -> DataFrame:
-    """The rows whose text is ``good``, whole; rows go through a task in slices, so it never holds more than a batch."""
-    at = df.columns.index(text)
+def keep_rows(df: DataFrame, columns: list[str], good: Callable[..., list[bool]], at_once: int = 1 << 20) -> DataFrame:
+    """The rows that are ``good`` by the values of ``columns``, whole; they go through a task in slices of a batch."""
+    at = [df.columns.index(c) for c in columns]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, at_once):
-                yield part.filter(pa.array(good(part.column(at).to_pylist()), pa.bool_()))
+                yield part.filter(pa.array(good(*(part.column(i).to_pylist() for i in at)), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
@@ -73,7 +73,7 @@ def fold(column: str, parts: int) -> Column:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, training: Column, rows: int) -> tuple[DataFrame, dict[int, float]]:
-    """About ``rows`` labelled documents as a written table (text, y), half of each class where there are enough.
+    """About ``rows`` labelled documents as a written table (text, n_chars, y), half of each class where there are enough.
 
     ``training`` is a condition on the columns of ``labels``. Keys are drawn by hash, so a rerun draws the same.
     Also returned: for each class, labelled rows per drawn row, to restore the true proportions.
@@ -87,7 +87,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, trainin
         chosen |= (F.col("y") == y) & (bucket < int(part * BUCKETS) + 1)
     # About `rows` keys by construction, so the broadcast is bounded.
     keys = known.where(chosen).dropDuplicates(["doc_id"])
-    drawn = documents.select("doc_id", "text").join(F.broadcast(keys), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y")
+    drawn = documents.select("doc_id", "text", "n_chars").join(F.broadcast(keys), "doc_id")
+    drawn = drawn.select(F.coalesce("text", F.lit("")).alias("text"), F.col("n_chars").cast("long").alias("n_chars"), "y")
     return cut_lineage(drawn), {y: 1 / part for y, part in share.items()}
 
 

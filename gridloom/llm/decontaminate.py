@@ -204,5 +204,5 @@ def keep_clean(
     out = docs
     for block_rows in _blocks(items, item_key, item_text, block_bytes, block_items):
         sent = docs.sparkSession.sparkContext.broadcast(Block(block_rows, least))
-        out = keep_rows(out, text, lambda texts, sent=sent: [not sent.value.matches(t) for t in texts])
+        out = keep_rows(out, [text], lambda texts, sent=sent: [not sent.value.matches(t) for t in texts])
     return out

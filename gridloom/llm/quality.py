@@ -133,7 +133,7 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column, rows: int = F
 
     def featured(part: dict) -> dict:
         buckets = WordBuckets()
-        found = [describe(t or "", None, buckets) for t in part["text"]]
+        found = [describe(t or "", n, buckets) for t, n in zip(part["text"], part["n_chars"], strict=True)]
         return {"y": part["y"], "ids": [i.tolist() for i, _ in found], "stats": [s.tolist() for _, s in found]}
 
     known = arrow_map(drawn, featured, "y int, ids array<int>, stats array<double>").orderBy(F.xxhash64("ids", "stats"), "y").collect()
@@ -145,8 +145,8 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column, rows: int = F
     return machine
 
 
-def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text", n_chars: str | None = None) -> DataFrame:
-    """(key, score): the chance of label 1 for every row, from its text (and ``n_chars``, if that column is named) alone.
+def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
+    """(key, score): the chance of label 1 for every row, from its text and its ``n_chars`` (None or null: counted) alone.
 
     A null text counts as empty; empty texts are scored like any other, so all of them alike. Repeated rows get
     equal scores, null keys stay; no other column is read. No row is compared with another, so nothing is shuffled.
@@ -172,7 +172,7 @@ class _Scorer:
         return (1 / (1 + np.exp(-np.clip(margins, -30, 30)))).tolist()
 
 
-def keep_good(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, machine: Machine, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """The rows of ``docs`` that the machine doesn't reject, with all their columns. Null texts are judged as empty ones."""
     scorer = _Scorer(machine)
-    return keep_rows(docs, text, lambda texts: [s >= THRESHOLD for s in scorer.scores(texts, [None] * len(texts))])
+    return keep_rows(docs, [text, n_chars], lambda texts, counted: [s >= THRESHOLD for s in scorer.scores(texts, counted)])

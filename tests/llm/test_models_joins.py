@@ -37,7 +37,7 @@ def test_quality_edge_cases(spark, make_docs, edge_rows):
     machine = quality.fit(docs, none, fold("doc_id", 3) != 1)
     rows = quality.score(docs, machine).collect()
     assert len(rows) == len(edge_rows) and all(abs(r["score"] - 0.5) < 0.01 for r in rows)
-    assert quality.score(docs, machine, n_chars="n_chars").count() == len(edge_rows)
+    assert quality.score(docs, machine, n_chars=None).count() == len(edge_rows)
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (None, 1, 1), (2, None, None), (7, 1, 0)], "doc_id long, quality int, toxic int")
     machine = quality.fit(docs, labels, fold("doc_id", 3) != 9)
     scores = {r["doc_id"]: r["score"] for r in quality.score(docs, machine).collect()}
@@ -214,7 +214,7 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     documents = {r["doc_id"]: r for r in table(spark, SMALL, "documents").collect()}
     machine = quality_model(spark, SMALL)
     scorer = quality._Scorer(machine)
-    good = [i for i, r in documents.items() if scorer.scores([r["text"]], [None])[0] >= 0.5]
+    good = [i for i, r in documents.items() if scorer.scores([r["text"]], [r["n_chars"]])[0] >= 0.5]
     prints = {i: simhash.fingerprint(documents[i]["text"] or "") for i in good}
     low = {i: i for i in good}
     values = np.array([prints[i] for i in good], dtype=np.uint64)
