@@ -9,7 +9,7 @@ import sys
 import time
 
 from gridloom.plans import all_queries
-from gridloom.session import build_session
+from gridloom.session import build_session, scratch_scope
 
 HEADLINE = [
     "document_features", "one_hot_returnflag", "feature_vectors", "min_max_scaled", "z_scores", "vocabulary", "encode_tokens",
@@ -34,9 +34,10 @@ def main(names: list[str]) -> None:
     for name in names or HEADLINE:
         spent = []
         for _ in range(repeats):
-            start = time.perf_counter()
-            known[name].run(spark, folder).write.format("noop").mode("overwrite").save()
-            spent.append(time.perf_counter() - start)
+            with scratch_scope(spark):
+                start = time.perf_counter()
+                known[name].run(spark, folder).write.format("noop").mode("overwrite").save()
+                spent.append(time.perf_counter() - start)
             spark.catalog.clearCache()
         times[name] = round(min(spent), 3)
         print(name, times[name], file=sys.stderr, flush=True)

@@ -71,7 +71,7 @@ def compare(left: pd.DataFrame, right: pd.DataFrame) -> str | None:
 
 def main(names: list[str]) -> int:
     from gridloom.plans import all_queries
-    from gridloom.session import build_session
+    from gridloom.session import build_session, scratch_scope
 
     spark = build_session("8")
     spark.sparkContext.setLogLevel("ERROR")
@@ -81,7 +81,8 @@ def main(names: list[str]) -> int:
     for name, query in todo.items():
         start = time.time()
         try:
-            left = query.run(spark, FOLDER).toPandas()
+            with scratch_scope(spark):
+                left = query.run(spark, FOLDER).toPandas()
             spent = time.time() - start
             if query.sql is None:
                 problem = None if len(left) else "no rows"
