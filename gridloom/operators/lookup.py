@@ -42,14 +42,16 @@ def checked_lookup(
     spread_by: list[str],
     how: str = "left",
     max_rows: int | None = None,
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join a big, possibly skewed left side to a table with unique keys ``on``.
 
     Right side small in rows and bytes: broadcast. Otherwise both sides are shuffled on the key and a salt taken from
     ``spread_by``, so that the rows of a frequent key go to ``salts`` tasks. Unmatched and null keys are
-    spread the same way.
+    spread the same way. Without ``salts`` their number is a quarter of the shuffle partitions, 32 at least, so a busy key
+    is spread wider on a larger cluster.
     """
+    salts = salts or max(SALTS, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
     if fits_broadcast(right, max_rows):
         return left.join(F.broadcast(right), on, how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))

@@ -34,8 +34,9 @@ def classify(df: DataFrame, model: PipelineModel, names: list[str], k: int) -> D
 
 
 def fit_word_vectors(df: DataFrame, tokens: str, size: int = 32, window: int = 5, min_count: int = 10, epochs: int = 1,
-                     partitions: int = 8, seed: int = 1) -> Word2VecModel:
-    """Skip-gram word vectors."""
+                     partitions: int | None = None, seed: int = 1) -> Word2VecModel:
+    """Skip-gram word vectors, learned in as many partitions as the cluster has cores unless told otherwise."""
+    partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
     learner = Word2Vec(
         vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, numPartitions=partitions, seed=seed,
         inputCol=tokens, outputCol="_vec",

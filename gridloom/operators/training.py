@@ -174,7 +174,9 @@ def fit(
     if slices > 1:
         path = scratch_path(df.sparkSession, "slices")
         part = F.floor(seeded_uniform(seed, key) * slices).cast("int")
-        df.select(features, label, part.alias("slice")).repartition("slice", F.pmod(F.xxhash64(key), F.lit(64))).write.partitionBy("slice").parquet(path)
+        # As many write tasks as shuffle partitions, whatever the number of slices.
+        rows = df.select(F.col(features).alias(features), F.col(label).alias(label), part.alias("slice"), F.xxhash64(key).alias("_h"))
+        rows.repartition("slice", "_h").drop("_h").write.partitionBy("slice").parquet(path)
         stored = df.sparkSession.read.parquet(path)
         batches = [stored.filter(F.col("slice") == i) for i in range(slices)]
         held = None

@@ -32,7 +32,7 @@ def csv_with_header(t):
 def csv_gzip(t):
     path = scratch_path(t.spark, "gz")
     t.orders.write.options(header=True, compression="gzip").csv(path)
-    return TB.read_csv(t.spark, path, {"o_orderkey": "long", "o_totalprice": "double", "o_orderstatus": "string"}, partitions=8)
+    return TB.read_csv(t.spark, path, {"o_orderkey": "long", "o_totalprice": "double", "o_orderstatus": "string"}, partitions=t.spark.sparkContext.defaultParallelism)
 
 
 @query("tsv_without_quotes", "S03", r"""
