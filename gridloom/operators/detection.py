@@ -141,13 +141,19 @@ def match_priors(truths: DataFrame, grid: PriorGrid, image: str, truth: str, thr
         number = (F.col("_i") * grid.columns + F.col("_j")) * len(grid.shapes) + F.col("_s.k")
         return df.select(image, truth, number.alias("anchor_id"), BX.iou(anchor, b).alias("iou"))
 
-    best = scored(
-        shaped.withColumn("_i", nearest(F.col("_cy"), 0, grid.rows)).withColumn("_j", nearest(F.col("_cx"), 1, grid.columns))
-    )
-    # Equal overlaps (a box inside several anchors) go to the nearest centre, then to the lowest id.
-    order = F.struct(F.round("iou", 9).alias("o"), (-F.col("anchor_id")).alias("a"), "iou")
-    claims = best.groupBy(image, truth).agg(F.max(order).alias("_m"))
-    claims = claims.select(image, truth, (-F.col("_m.a")).alias("anchor_id"), F.col("_m.iou").alias("iou"), F.lit(1).alias("claimed"))
+    # A box's best anchor is found in its own row. Equal overlaps (a box inside several anchors) go to the nearest centre,
+    # then to the lowest id.
+    def placed(shape: Column) -> Column:
+        i, j = nearest(F.col("_cy"), 0, grid.rows), nearest(F.col("_cx"), 1, grid.columns)
+        cx, cy = grid.centre(i, j)
+        overlap = BX.iou(BX.box(cx - shape["w"] / 2, cy - shape["h"] / 2, shape["w"], shape["h"]), b)
+        number = (i * grid.columns + j) * len(grid.shapes) + shape["k"]
+        return F.struct(F.round(overlap, 9).alias("o"), (-number).alias("a"), overlap.alias("iou"))
+
+    centred = truths.select(image, truth, BX.box(*map(F.col, "xywh")).alias("_b"))
+    centred = centred.withColumns({"_cx": b["x"] + b["w"] / 2, "_cy": b["y"] + b["h"] / 2})
+    best = centred.select(image, truth, F.array_max(F.transform(grid.shape_array(), placed)).alias("_m"))
+    claims = best.select(image, truth, (-F.col("_m.a")).alias("anchor_id"), F.col("_m.iou").alias("iou"), F.lit(1).alias("claimed"))
     near = shaped.withColumn("_i", F.explode(reach(0, grid.rows, F.col("_cy"), b["h"], F.col("_s.h"))))
     near = near.withColumn("_j", F.explode(reach(1, grid.columns, F.col("_cx"), b["w"], F.col("_s.w"))))
     over = scored(near).filter(F.col("iou") >= threshold).withColumn("claimed", F.lit(0))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -152,22 +151,26 @@ def word_pieces(df: DataFrame, tokens: str, vocabulary: DataFrame, key: str, unk
             start = stop
         return found
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def pieces(column: pd.Series) -> pd.Series:
-        known = shared.value
-
-        def of_words(row):
-            out: list[str] = []
-            for word in row:
-                parts = cache.get(word)
-                if parts is None:
-                    if len(cache) >= WORD_CACHE:
-                        cache.clear()
-                    parts = cache[word] = cover(word, known)
-                out.extend(parts)
-            return out
-
-        return column.map(lambda row: None if row is None else of_words(row))
+    def cached(word: str, known: frozenset) -> list[str]:
+        parts = cache.get(word)
+        if parts is None:
+            if len(cache) >= WORD_CACHE:
+                cache.clear()
+            parts = cache[word] = cover(word, known)
+        return parts
+
+    @F.arrow_udf(ArrayType(StringType()))
+    def pieces(column: pa.Array) -> pa.Array:
+        # Each distinct word of the batch is covered once; rows are put together by their offsets.
+        coded = column.flatten().cast(pa.string()).dictionary_encode()
+        covered = [cached(word, shared.value) for word in coded.dictionary.to_pylist()]
+        lists = pa.array([*covered, [unknown]], pa.list_(pa.string()))
+        expanded = lists.take(pc.fill_null(coded.indices, len(covered)))
+        zero = pa.array([0], pa.int64())
+        reached = pa.concat_arrays([zero, pc.cumulative_sum(pc.list_value_length(expanded).cast(pa.int64()))])
+        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(column), 0).cast(pa.int64()))
+        starts = reached.take(pa.concat_arrays([zero, ends])).cast(pa.int32())
+        return pa.ListArray.from_arrays(starts, expanded.flatten(), mask=column.is_null())
 
     return df.withColumn(target, pieces(F.col(tokens)))
 
