@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import arrow_map, own_name
 from gridloom.llm.components import connected_components
+from gridloom.operators.lookup import fits_broadcast
 from gridloom.session import cut_lineage
 
 WORDS = 3
@@ -168,8 +169,10 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     first = own_name(docs.columns)
     unclear = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col("key").isNull()).limit(1).count()
     if not unclear:
-        chosen = kept.select(F.col("key").alias(first))
-        return docs.join(chosen, docs[key] == chosen[first], "left_semi")
+        # The copies are fewer than what stays; where their measured size allows, the texts are not moved at all.
+        dropped = cut_lineage(member.where(F.col("key") != F.col("component_id")).select(F.col("key").alias(first)))
+        side = F.broadcast(dropped) if fits_broadcast(dropped) else dropped
+        return docs.join(side, docs[key] == side[first], "left_anti")
     mark = own_name([*docs.columns, first])
     print_of = F.pandas_udf(lambda s: s.map(lambda t: np.uint64(fingerprint(t or "", words)).astype(np.int64)), "long")
     one = kept.groupBy("root").agg(F.min("fp").alias("fp"), F.min("key").alias(first))
