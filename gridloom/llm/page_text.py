@@ -1,8 +1,8 @@
 """Main text of web pages as the best-scoring contiguous stretch of words and tags.
 
 Every word and every tag of a page has a weight: words positive, tags negative, as learned from pages whose article is
-marked up. The stretch with the highest sum is the content; whole blocks are then read from it, without the parts that
-are never article text.
+marked up. The stretch with the highest sum is the content, on pages that mark an article too: the mark only changes
+what words and tags score. Whole blocks are then read from it, without the parts that are never article text.
 """
 
 from __future__ import annotations
@@ -43,6 +43,7 @@ _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|aria-label)(?:\s*=\s
 _WORD, _LINK, _NOISE_WORD = "word", "link word", "noise word"
 DEFAULT = {_WORD: 1.0, _LINK: 0.2, _NOISE_WORD: -1.0}
 OTHER_TAG = -1.0
+IN_ARTICLE = 1.0
 FIT_CLIP = 6.0
 
 
@@ -61,8 +62,8 @@ def _noisy(name: str, attrs: str) -> bool:
 def parse(page: str) -> list[tuple[str, int, int, int, str]]:
     """The page as pieces (type, number of words, article, block, text) in page order.
 
-    ``type`` is a kind of words or a tag; ``article`` numbers the article element around it, 0 outside; ``block`` numbers
-    the block the text belongs to. Elements left open end with the page, ends without a start are only tags.
+    ``type`` is a kind of words or a tag; ``article`` numbers the outermost article element around it, 0 outside; ``block``
+    numbers the block the text belongs to. Elements left open end with the page, ends without a start are only tags.
     """
     out: list[tuple[str, int, int, int, str]] = []
     stack: list[tuple[str, bool, int]] = []  # name, noise, article
@@ -121,7 +122,7 @@ def parse(page: str) -> list[tuple[str, int, int, int, str]]:
                 out.append((_NOISE_WORD if noise else _WORD, 0, article, block, "\n"))
             if name not in _VOID and not m["attrs"].endswith("/"):
                 own = _noisy(name, m["attrs"]) or (name == "header" and not article)
-                if name in _ARTICLE and not (noise or own):
+                if name in _ARTICLE and not (article or noise or own):
                     articles += 1
                     article = articles
                 stack.append((name, noise or own, article))
@@ -183,27 +184,37 @@ def best_stretch(scores: np.ndarray) -> tuple[int, int]:
     return start, end + 1
 
 
+def token_scores(pieces: list[tuple[str, int, int, int, str]], weights: dict[str, float]) -> np.ndarray:
+    """The score of every piece. Marks of articles count as evidence only.
+
+    Inside of one a tag costs ``IN_ARTICLE`` less and words that are left out anyway cost nothing; on a page that marks
+    one, words outside of it count as little as those of links.
+    """
+    other, marked = weights.get("<other", OTHER_TAG), any(p[2] for p in pieces)
+
+    def score(kind: str, words: int, article: int) -> float:
+        if kind[0] == "<":
+            weight = weights.get(kind, other)
+            return min(0.0, weight + IN_ARTICLE) if article else weight
+        if article and kind == _NOISE_WORD:
+            return 0.0
+        if marked and not article and kind == _WORD:
+            kind = _LINK
+        return weights[kind] * words
+
+    return np.array([score(*p[:3]) for p in pieces])
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The main text of a page: its blocks in page order, parted by an empty line; empty if there is none."""
     pieces = parse(page or "")
     if not pieces:
         return ""
-    other = weights.get("<other", OTHER_TAG)
-    scores = np.array([weights[kind] * words if kind[0] != "<" else weights.get(kind, other) for kind, words, _, _, _ in pieces])
-    start, end = best_stretch(scores)
+    start, end = best_stretch(token_scores(pieces, weights))
     if start == end:
         return ""
-    # Where the page marks articles, the stretch stays within the one that holds most of it, and takes all of that one.
-    held: dict[int, int] = {}
-    for kind, words, article, _, _ in pieces[start:end]:
-        if article and kind in (_WORD, _LINK):
-            held[article] = held.get(article, 0) + words
-    if held and 2 * max(held.values()) >= sum(p[1] for p in pieces[start:end] if p[0] in (_WORD, _LINK)):
-        article = min(held, key=lambda a: (-held[a], a))
-        chosen = [p for p in pieces if p[2] == article]
-    else:
-        blocks = {p[3] for p in pieces[start:end] if p[0] in (_WORD, _LINK) and p[1]}
-        chosen = [p for p in pieces if p[3] in blocks]
+    blocks = {p[3] for p in pieces[start:end] if p[0] in (_WORD, _LINK) and p[1]}
+    chosen = [p for p in pieces if p[3] in blocks]
     texts: list[tuple[int, list[str]]] = []
     for kind, _, _, block, piece in chosen:
         if kind not in (_WORD, _LINK):

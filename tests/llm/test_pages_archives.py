@@ -41,6 +41,20 @@ def test_pages_without_marked_articles():
         assert page_text.main_text(nothing, page_text.DEFAULT) == ""
 
 
+def test_article_marks_are_evidence_not_the_rule():
+    long = "plain words of a long text " * 4
+    nested = f"<body><nav>menu</nav><main><h1>The title</h1><p>Some words before it.</p><article><p>{long}</p></article></main><footer>end</footer></body>"
+    assert page_text.main_text(nested, page_text.DEFAULT) == f"The title\n\nSome words before it.\n\n{long.strip()}"
+    assert {p[2] for p in page_text.parse(nested)} == {0, 1}
+    parts = f"<body><article><p>First part. {long}</p></article><article><p>Second part. {long}</p></article></body>"
+    assert page_text.main_text(parts, page_text.DEFAULT) == f"First part. {long.strip()}\n\nSecond part. {long.strip()}"
+    weights = page_text.DEFAULT | {"<li": -6.0, "<ul": -6.0}
+    links = f"<article><p>{long}</p><ul>" + "<li><a href=x>more</a>" * 5 + "</ul></article>"
+    assert page_text.main_text(links, weights) == long.strip()
+    teaser = f"<body><article><p>One teaser of a few words</p></article><div><p>{long * 20}</p></div></body>"
+    assert long.strip() in page_text.main_text(teaser, page_text.DEFAULT)
+
+
 def test_stretch_equals_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(300):
