@@ -25,12 +25,23 @@ def words(text: str | None) -> list[str]:
     return _TOKEN.findall((text or "").lower())
 
 
+def seeds_left(m: int, least: float, n: int) -> int:
+    """How many n-grams of an item of ``m`` words every alignment with a score of ``least`` per word leaves whole.
+
+    With M equal words the score leaves room for M - least * m others, replaced, added or left out in any mix. Each of them
+    ends a run of equal words, and a run loses n - 1 n-grams.
+    """
+    slack = ((equal, int(equal - least * m + 1e-9)) for equal in range(1, m + 1) if equal >= least * m - 1e-9)
+    return min((equal - (n - 1) * (others + 1) for equal, others in slack), default=0)
+
+
 class Block:
-    """A block of test items as word ids, with an index of their rare n-grams.
+    """A block of test items as word ids, with an index of their n-grams.
 
-    An n-gram is rare if at most ``RARE`` items of the block hold it; an item without any rare one keeps all of its own.
-    Rarity is taken over the items, not over the training texts: a test item that was copied into a third of them keeps
-    its seeds. Items shorter than a seed are sought as a whole.
+    Seeds are the longest n-grams, up to ``seed`` words, of which every copy that scores ``least`` keeps some
+    (``seeds_left``). An n-gram is rare if at most ``RARE`` items of the block hold it. Others are no seeds as long as a
+    copy keeps a rare one without them, so which are rare changes the work and not the result. Rarity is taken over the
+    items, not over the training texts: a test item that was copied into a third of them keeps its seeds.
     """
 
     def __init__(self, items: list[tuple[int, str | None]], least: float = LEAST_SCORE, seed: int = SEED_WORDS):
@@ -44,20 +55,22 @@ class Block:
         self.base = len(self.vocabulary) + 1
         grams = []
         held: Counter = Counter()
-        for _, ids in self.items:
-            own = self.codes(ids, min(seed, len(ids)))
+        lengths = [next((n for n in range(min(seed, len(ids)), 1, -1) if seeds_left(len(ids), least, n) > 0), 1) for _, ids in self.items]
+        for (_, ids), n in zip(self.items, lengths, strict=True):
+            own = self.codes(ids, n).tolist()
             grams.append(own)
-            held.update(set(own.tolist()))
+            held.update(set(own))
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.needed: list[int] = []
-        for number, ((_, ids), own) in enumerate(zip(self.items, grams, strict=True)):
-            rare = [(at, g) for at, g in enumerate(own.tolist()) if held[g] <= RARE] or list(enumerate(own.tolist()))
-            for at, g in rare:
-                self.places[g].append((number, at))
-            # Each word edited away loses `seed` seeds at most, and a score this high leaves room for so many edits.
-            edits = int(len(ids) * (1 - least) / 2)
-            self.needed.append(max(1, len(rare) - seed * edits))
-        self.sizes = sorted({min(seed, len(ids)) for _, ids in self.items})
+        self.bags: list[tuple[np.ndarray, np.ndarray]] = []
+        for number, ((_, ids), own, n) in enumerate(zip(self.items, grams, lengths, strict=True)):
+            left = max(1, seeds_left(len(ids), least, n))
+            common = sorted((at for at, g in enumerate(own) if held[g] > RARE), key=lambda at: -held[own[at]])[: left - 1]
+            for at in sorted(set(range(len(own))) - set(common)):
+                self.places[own[at]].append((number, at))
+            self.needed.append(left - len(common))
+            self.bags.append(np.unique(ids, return_counts=True))
+        self.sizes = sorted(set(lengths))
         self.known = {n: np.array(sorted(g for g in self.places if self._size(g) == n), dtype=np.int64 if self.base**n < 2**62 else object) for n in self.sizes}
 
     def _size(self, code: int) -> int:
@@ -81,6 +94,13 @@ class Block:
             full &= part > 0
         return np.where(full, out, 0)
 
+    def _shared(self, window: np.ndarray, number: int) -> int:
+        """Words that the window and the item share, in any order: no alignment has more equal words."""
+        own, counts = self.bags[number]
+        at = np.minimum(np.searchsorted(own, window), len(own) - 1)
+        found = np.bincount(at[own[at] == window], minlength=len(own))
+        return int(np.minimum(found, counts).sum())
+
     def matches(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(item, score, first word, end word) for every item with a copy in the text; the best copy of each."""
         ids = np.array(list(map(self.vocabulary.get, words(text), repeat(0))), dtype=np.int64)
@@ -99,6 +119,8 @@ class Block:
         for number, own in hits.items():
             item, target = self.items[number]
             m = len(target)
+            # Words that a copy may have more, or leave out, in all.
+            slack = int((1 - self.least) * m + 1e-9)
             best = (0.0, 0, 0)
             tried: set[tuple[int, int]] = set()
             # Seeds of one copy start it at about the same word: runs of starts, each seed kept.
@@ -106,11 +128,11 @@ class Block:
             lo = 0
             while lo < len(starts):
                 hi = lo + 1
-                while hi < len(starts) and starts[hi] - starts[hi - 1] <= max(2, m // 4):
+                while hi < len(starts) and starts[hi] - starts[hi - 1] <= slack:
                     hi += 1
                 if hi - lo >= self.needed[number]:
-                    window = (max(0, starts[lo] - m // 4 - 1), min(len(ids), starts[hi - 1] + m + m // 4 + 1))
-                    if window not in tried:
+                    window = (max(0, starts[lo] - slack), min(len(ids), starts[hi - 1] + m + slack))
+                    if window not in tried and self._shared(ids[window[0] : window[1]], number) >= self.least * m:
                         tried.add(window)
                         score, s, e = align(ids[window[0] : window[1]], target)
                         if (score, -window[0] - s) > (best[0], -best[1]):
@@ -169,7 +191,7 @@ def contaminated(
     """(key, item key, score, start, end): every row of ``docs`` with a copy of a test item, and where it lies.
 
     ``score`` is the alignment score divided by the words of the item; ``least`` of 0.6 admits one word in five
-    replaced. ``start`` and ``end`` count words. Words are lower-cased runs of letters, digits and underscores.
+    replaced, or two added for every five. ``start`` and ``end`` count words. Words are lower-cased runs of letters, digits and underscores.
     The join on seeds happens where the texts are, against one block of items at a time, so texts are not shuffled and
     no seed, however common, gathers rows. Null and empty texts or items match nothing; repeated items give a row each,
     as do repeated texts; empty tables give an empty result; other columns are not read.

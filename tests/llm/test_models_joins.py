@@ -68,6 +68,42 @@ def test_alignment_equals_the_plain_recurrence():
 WORDS = [f"w{i}" for i in range(300)]
 
 
+def test_every_mix_of_edits_that_scores_enough_is_found():
+    """Replaced, added and left out words at separate places and in one stretch, in items of 1 to 40 words."""
+    rng = np.random.default_rng(6)
+    items = [(i, " ".join(rng.choice(WORDS, n))) for i, n in enumerate([*range(1, 14), *[20] * 12, *[30] * 4, 40])]
+    items += [(100 + i, "what is the best of the " + " ".join(rng.choice(WORDS, 6))) for i in range(20)]
+    texts = []
+    for _, text in items:
+        own, m = text.split(), len(text.split())
+        spread = list(own)
+        for k in range(min(m - 1, int(0.4 * m)), 0, -1):
+            spread.insert(2 * k, "more")
+        texts += [spread, own[: m // 2] + ["more"] * int(0.4 * m) + own[m // 2 :]]
+        for _ in range(3):
+            copy = list(own)
+            for _ in range(int(rng.integers(0, int(0.4 * m) + 2))):
+                at, kind = int(rng.integers(0, max(1, len(copy)))), rng.integers(0, 4)
+                if kind == 0 and copy:
+                    copy[at] = "changed"
+                elif kind == 1 and copy:
+                    del copy[at]
+                else:
+                    copy.insert(at, "more")
+            texts.append(copy)
+    blocks = [decontaminate.Block(items), *(decontaminate.Block(items[k::3]) for k in range(3))]
+    hits = 0
+    for copy in texts:
+        text = " ".join([*rng.choice(WORDS, 10), *copy, *rng.choice(WORDS, 10)])
+        words = text.split()
+        truth = {i: smith_waterman(words, it.split()) / len(it.split()) for i, it in items}
+        truth = {i: s for i, s in truth.items() if s >= 0.6}
+        hits += len(truth)
+        assert {i: s for i, s, _, _ in blocks[0].matches(text)} == truth
+        assert {i: s for block in blocks[1:] for i, s, _, _ in block.matches(text)} == truth
+    assert hits > 150
+
+
 def test_copies_are_found_and_clean_texts_left_alone(spark, make_docs):
     rng = np.random.default_rng(4)
     items = [(i, " ".join(rng.choice(WORDS, 30))) for i in range(25)]
