@@ -129,25 +129,29 @@ def windows(text: str, around: int = 12) -> list[tuple[list[str], list[float], l
 def fit(docs: DataFrame, text: str = "text", documents: int = FIT_DOCUMENTS, most: int = FIT_WINDOWS) -> Tagger:
     """Train the tagger on windows of a bounded sample of ``docs``.
 
-    About ``documents`` texts are drawn by hash of the text; of their windows at most ``most`` of each class go to the
-    driver, each of at most 24 tokens. What the fixed patterns find labels the tokens.
+    About ``documents`` different texts are drawn by hash of the text, each once; of their different windows at most
+    ``most`` of each class go to the driver, each of at most 24 tokens. What the fixed patterns find labels the tokens.
     """
     rows = docs.select(F.col(text).alias("text")).where(F.length("text") > 0)
-    n = rows.count()
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(BUCKETS)) < int(BUCKETS * min(1.0, documents / max(1, n))) + 1)
+    n = rows.agg(F.count_distinct(F.xxhash64("text"))).first()[0]
+    bucket = F.pmod(F.xxhash64("text"), F.lit(BUCKETS))
+    drawn = bucket < int(BUCKETS * min(1.0, documents / max(1, n))) + 1
     # Texts with a base pattern are rare, so they get a share of their own.
     hint = F.col("text").rlike("(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA|[0-9a-f]{16}")
-    marked = rows.where(F.pmod(F.xxhash64("text"), F.lit(BUCKETS)) < int(BUCKETS * min(1.0, 10 * documents / max(1, n))) + 1).where(hint)
+    marked = (bucket < int(BUCKETS * min(1.0, 10 * documents / max(1, n))) + 1) & hint
+    texts = rows.where(drawn | marked).dropDuplicates(["text"])
 
     def cut(part: dict) -> dict:
         found = [w for t in part["text"] for w in windows(t)]
         return {"words": [w[0] for w in found], "context": [w[1] for w in found], "states": [w[2] for w in found]}
 
-    made = cut_lineage(arrow_map(drawn.unionByName(marked), cut, "words array<string>, context array<double>, states array<int>"))
+    made = arrow_map(texts, cut, "words array<string>, context array<double>, states array<int>")
+    # Equal windows count once, with the least of their contexts, so that a rerun takes the same.
+    made = cut_lineage(made.groupBy("words", "states").agg(F.min("context").alias("context")))
     chosen = []
     for secret in (True, False):
         kind = made.where(F.array_max("states") > 0 if secret else F.array_max("states") == 0)
-        chosen += kind.orderBy(F.xxhash64("words"), "words").limit(most).collect()
+        chosen += kind.orderBy(F.xxhash64("words"), "words", "states").limit(most).collect()
     size = _SIZE
     data = [([crf.hashed(features(w), size) for w in r["words"]], np.array(r["context"]), list(r["states"])) for r in chosen if r["words"]]
     return Tagger(crf.train(data, 3, size, 3), frozenset(w for r in chosen for w in r["words"]))

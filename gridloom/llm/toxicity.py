@@ -134,8 +134,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 def fit(documents: DataFrame, labels: DataFrame, training: Column, rows: int = FIT_ROWS, most: int = FIT_WINDOWS) -> Model:
     """Train on about ``rows`` labelled documents, half of each class.
 
-    Their strongly toxic words label the tokens; at most ``most`` windows of 20 tokens with and without toxic ones train the
-    chain on the driver; the marginals of the same documents, summed up per document, train the last step.
+    Their strongly toxic words label the tokens; at most ``most`` different windows of 20 tokens with and without toxic ones train
+    the chain on the driver, so copies of one text take no places of others; the marginals of the same documents, summed up per document, train the last step.
     """
     drawn, restore = labelled_sample(documents, labels, "toxic", training, rows)
     lexicon = _lexicon(drawn)
@@ -144,11 +144,11 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column, rows: int = F
         found = [w for t, y in zip(part["text"], part["y"], strict=True) for w in _windows(t, y, lexicon)]
         return {"words": [w for w, _ in found], "states": [s for _, s in found]}
 
-    made = cut_lineage(arrow_map(drawn, cut, "words array<string>, states array<int>"))
+    made = cut_lineage(arrow_map(drawn, cut, "words array<string>, states array<int>").dropDuplicates(["words", "states"]))
     chosen = []
     for hit in (True, False):
         kind = made.where(F.array_max("states") > 0 if hit else F.array_max("states") == 0)
-        chosen += kind.orderBy(F.xxhash64("words"), "words").limit(most).collect()
+        chosen += kind.orderBy(F.xxhash64("words"), "words", "states").limit(most).collect()
     windows = [([crf.hashed(features(w), _SIZE) for w in r["words"]], np.ones(1), list(r["states"])) for r in chosen]
     known = frozenset(w.lower() for r in chosen for w in r["words"])
     affixes = frozenset(a for w in lexicon if len(w) >= 4 for a in (w[:4], w[-4:]))

@@ -92,3 +92,23 @@ def test_toxicity_edge_cases(spark, make_docs, edge_rows):
     assert len(rows) == len(edge_rows) and all(0 <= r["score"] <= 1 for r in rows)
     assert len({r["score"] for r in rows if r["doc_id"] in (2, 3, 4)}) == 1
     assert toxicity.score(make_docs([]), model).count() == 0
+
+
+def test_copies_of_a_text_take_no_places_of_other_windows(spark, make_docs, monkeypatch):
+    """A third of the rows are copies of one text: the chains still train on as many different windows as there is room for."""
+    seen = []
+    train = crf.train
+    monkeypatch.setattr(crf, "train", lambda windows, *rest: seen.append([(str(w[0]), str(w[2])) for w in windows]) or train(windows, *rest))
+    rng = np.random.default_rng(8)
+    words = [f"word{i}" for i in range(400)]
+
+    def texts(middle):
+        each = [" ".join([*rng.choice(words, 30), middle(i), *rng.choice(words, 30)]) for i in range(60)]
+        return each + [each[0]] * 60
+
+    rows = list(enumerate(texts(lambda i: "badword") + texts(lambda i: "calm")))
+    labels = spark.createDataFrame([(i, 1, int(i < 120)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    toxicity.fit(make_docs(rows), labels, fold("doc_id", 4) != 9, most=40)
+    secrets.fit(make_docs(list(enumerate(texts(lambda i: f"token = abcdefghijkl{i:04d}")))), most=40)
+    for windows in seen:
+        assert len(windows) == len(set(windows)) == 80
