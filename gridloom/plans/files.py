@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import arrays as A
@@ -16,6 +17,8 @@ from gridloom.sources import sinks as K
 from gridloom.sources import tabular as TB
 from gridloom.sources import text as TX
 
+PER_FILE = 2048
+
 
 @query("csv_with_header", "S01", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
 def csv_with_header(t):
@@ -207,36 +210,52 @@ def listed_image_files(t):
     return _image_sums(IM.read_image_folder(t.spark, f"{path}/img", classes=IM.read_class_list(t.spark, f"{path}/synset.txt")))
 
 
+def _pieces(vectors, files):
+    """Vectors dealt to ``files`` files by id, each cut by id into pieces of at most PER_FILE vectors; ``part`` names the piece."""
+    cut = vectors.withColumn("file", F.col("vec_id") % files).withColumn("piece", F.expr(f"vec_id div {files * PER_FILE}"))
+    return cut.withColumn("part", F.concat("file", F.lit("-"), F.lpad(F.col("piece").cast("string"), 19, "0")))
+
+
+def _places(cut):
+    """One row per piece: its number by name, and the number in its file of its first record."""
+    before = Window.partitionBy("file").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy("file", "piece", "part").agg(F.count(F.lit(1)).alias("n"))
+    number = (F.row_number().over(Window.orderBy("part")) - 1).alias("number")
+    return counts.select("part", "file", number, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_index"))
+
+
 @query("idx_files", "S11", """
 SELECT vec_id % 4 AS file, row_number() OVER (PARTITION BY vec_id % 4 ORDER BY vec_id) - 1 AS index, label, list_sum([trunc(abs(x::DOUBLE) * 255) FOR x IN embedding])::DOUBLE AS total FROM embeddings""")
 def idx_files(t):
-    """Four image files and four label files of 8 x 8 pictures."""
+    """Four image files and four label files of 8 x 8 pictures, in pieces of bounded size."""
     path = scratch_path(t.spark, "idx")
-    file = F.col("vec_id") % 4
-    packed = t.embeddings.groupBy(file.alias("file")).agg(
+    cut = _pieces(t.embeddings, 4)
+    packed = cut.groupBy("part").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", gray_bytes().alias("b")))), lambda s: s["b"]), "").alias("pictures"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", F.lpad(F.hex("label"), 2, "0").alias("b")))), lambda s: s["b"]), "").alias("labels"),
     )
     for kind, head in (("pictures", 16), ("labels", 8)):
-        name = F.concat(F.lit(f"{kind}/part-"), "file", F.lit(".idx"))
+        name = F.concat(F.lit(f"{kind}/part-"), "part", F.lit(".idx"))
         K.write_files(packed.select(name.alias("name"), F.unhex(F.concat(F.lit("00" * head), kind)).alias("content")), path, "name", "content")
     out = IM.read_idx(t.spark, f"{path}/pictures", f"{path}/labels", 64)
-    return out.select(F.col("file").cast("long").alias("file"), "index", "label", A.total(F.col("pixels")).alias("total"))
+    out = out.withColumnRenamed("file", "number").join(_places(cut), "number")
+    return out.select(F.col("file").cast("long").alias("file"), (F.col("first_index") + F.col("index")).alias("index"), "label", A.total(F.col("pixels")).alias("total"))
 
 
 @query("colour_record_files", "S12", """
 WITH e AS (SELECT vec_id % 3 AS file, row_number() OVER (PARTITION BY vec_id % 3 ORDER BY vec_id) - 1 AS index, label, [trunc(abs(x::DOUBLE) * 255) FOR x IN embedding] AS v FROM embeddings)
 SELECT file, index, label, list_sum(v)::DOUBLE * 48 AS total, v[1]::DOUBLE AS first, v[64]::DOUBLE AS last FROM e""")
 def colour_record_files(t):
-    """Records of a label byte and 3,072 bytes in three files: each vector repeated to fill its planes."""
+    """Records of a label byte and 3,072 bytes in three files, in pieces of bounded size: each vector repeated to fill its planes."""
     path = scratch_path(t.spark, "colours")
     record = F.concat(F.lpad(F.hex("label"), 2, "0"), F.repeat(gray_bytes(), F.lit(48)))
-    packed = t.embeddings.groupBy((F.col("vec_id") % 3).alias("file")).agg(F.sort_array(F.collect_list(F.struct("vec_id", record.alias("r")))).alias("r"))
+    cut = _pieces(t.embeddings, 3)
+    packed = cut.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("vec_id", record.alias("r")))).alias("r"))
     content = F.unhex(F.array_join(F.transform("r", lambda s: s["r"]), ""))
-    K.write_files(packed.select(F.concat(F.lit("batch_"), "file", F.lit(".bin")).alias("name"), content.alias("content")), path, "name", "content")
+    K.write_files(packed.select(F.concat(F.lit("batch_"), "part", F.lit(".bin")).alias("name"), content.alias("content")), path, "name", "content")
     out = IM.read_colour_records(t.spark, path)
-    file = F.regexp_extract("path", r"batch_(\d+)\.bin$", 1).cast("long")
-    return out.select(file.alias("file"), "index", "label", A.total(F.col("pixels")).alias("total"), F.get("pixels", F.lit(0)).alias("first"), F.element_at("pixels", -1).alias("last"))
+    out = out.withColumn("part", F.regexp_extract("path", r"batch_([^/]*)\.bin$", 1)).join(_places(cut), "part")
+    return out.select(F.col("file").cast("long").alias("file"), (F.col("first_index") + F.col("index")).alias("index"), "label", A.total(F.col("pixels")).alias("total"), F.get("pixels", F.lit(0)).alias("first"), F.element_at("pixels", -1).alias("last"))
 
 
 @query("source_tree", "S17", r"""

@@ -1,9 +1,10 @@
 """The ways taken by large inputs, forced on small ones by tiny limits, against the same SQL."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.operators import detection, lookup, ordering, regions
-from gridloom.plans import all_queries
+from gridloom.plans import all_queries, files
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -32,3 +33,20 @@ def test_query_with_tiny_limits(spark, tiny_limits, name):
     query = all_queries()[name]
     problem = compare(query.run(spark, FOLDER).toPandas(), connect(FOLDER).execute(query.sql).df())
     assert problem is None, problem
+
+
+@pytest.mark.parametrize("name, most", [("idx_files", 50 * 64 + 16), ("colour_record_files", 50 * 3073)])
+def test_packed_files_stay_small(spark, monkeypatch, name, most):
+    """The number of files follows the rows; the rows that are read back are those of one file per remainder."""
+    sizes = []
+
+    def write(df, folder, name, content):
+        sizes.extend(r[0] for r in df.select(F.octet_length(content)).collect())
+        return write_files(df, folder, name, content)
+
+    write_files = files.K.write_files
+    monkeypatch.setattr(files.K, "write_files", write)
+    monkeypatch.setattr(files, "PER_FILE", 50, raising=False)
+    query, folder = all_queries()[name], FOLDER
+    assert compare(query.run(spark, folder).toPandas(), connect(folder).execute(query.sql).df()) is None
+    assert max(sizes) <= most and len(sizes) > 8
