@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridloom.session import cut_lineage
 
@@ -67,6 +69,35 @@ def replace_text(df: DataFrame, text: str, new: Callable[[str | None], str | Non
     return df.mapInArrow(run, df.schema)
 
 
+def add_columns(df: DataFrame, source: str, made: str, new: Callable[[Any], tuple], at_once: int = 1 << 20) -> DataFrame:
+    """All columns but ``source``, and the columns ``made`` (a schema) as ``new`` of it, in slices as above.
+
+    Other columns of the made ones' names are replaced.
+    """
+    fields = df.sparkSession.createDataFrame([], made).schema
+    taken = {f.name.lower() for f in fields} | {source.lower()}
+    names = [c for c in df.columns if c.lower() not in taken]
+    at, kept = df.columns.index(source), [df.columns.index(c) for c in names]
+    schema = StructType([*(df.schema[c] for c in names), *fields])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            for part in _slices(batch, at_once):
+                columns = zip(*map(new, part.column(at).to_pylist()), strict=True)
+                values = [pa.array(v, f.type) for v, f in zip(columns, list(arrow)[len(names) :], strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *values], names=arrow.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def add_column(df: DataFrame, source: str, target: str, kind: str, new: Callable[[Any], Any]) -> DataFrame:
+    """One column made in this way."""
+    return add_columns(df, source, f"`{target}` {kind}", lambda value: (new(value),))
+
+
 def fold(column: str, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts``; null for a null key."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts

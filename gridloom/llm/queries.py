@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, mixing, multi_index, page_text, pii, quality, secrets, simhash, toxicity, warc
+from gridloom.llm import byte_bpe, decontaminate, mixing, multi_index, page_text, phrases, pii, quality, secrets, simhash, token_align, toxicity, warc
 from gridloom.llm.common import fold, table
 from gridloom.session import ship_package
 
@@ -84,6 +84,33 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return span_columns(secrets.find_secrets(table(spark, folder, "documents")), secrets.KINDS[:3])
 
 
+def vocabulary_file(name: str) -> str:
+    """The place of a published vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+def op12_token_align(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = vocabulary_file("piece_bpe_32k.model")
+    aligned = token_align.align(table(spark, folder, "documents").select("doc_id", "text"), vocabulary_file("byte_bpe_50k.json"), pieces)
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("").alias("groups_sha256")
+    digested = aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "times")
+    return token_align.associate(digested, token_align.b_width(pieces)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    file = vocabulary_file("byte_bpe_50k.json")
+    encoded = byte_bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), file)
+    sized = encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    decoded = byte_bpe.decode(sized, file, text="decoded")
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_identifiers": op1_identifiers,
     "op2_page_text": op2_page_text,
@@ -95,8 +122,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_multi_index": op9_multi_index,
     "op10_secrets": op10_secrets,
+    "op11_phrases": op11_phrases,
+    "op12_token_align": op12_token_align,
+    "op13_byte_bpe": op13_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_phrases": phrases.ORACLE_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
