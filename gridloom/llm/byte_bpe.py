@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.common import add_column
 
@@ -292,20 +292,31 @@ class Decoder:
         return held.decode("utf-8", "replace")
 
 
-_LOADED: dict[bytes, tuple[Vocabulary, _Remembered]] = {}
+_LOADED: dict[str, tuple[Vocabulary, _Remembered]] = {}
 
 
-def loaded(content: str) -> tuple[Vocabulary, _Remembered]:
-    """Vocabulary and remembered pieces of a file, once per worker process; only the last two files stay."""
-    key = hashlib.sha256(content.encode()).digest()
+def digest(*contents: bytes) -> str:
+    return hashlib.sha256(b"".join(contents)).hexdigest()
+
+
+def loaded(key: str, content: Callable[[], bytes]) -> tuple[Vocabulary, _Remembered]:
+    """Vocabulary and remembered pieces of a file with the digest ``key``, once per worker process; only the last two files stay."""
     if key not in _LOADED:
         while len(_LOADED) > 1:
             _LOADED.pop(next(iter(_LOADED)))
-        vocabulary = Vocabulary(content)
+        vocabulary = Vocabulary(content().decode())
         _LOADED[key] = vocabulary, _Remembered(vocabulary)
     return _LOADED[key]
 
 
+def sent(spark: SparkSession, file: str) -> Callable[[], tuple[Vocabulary, _Remembered]]:
+    """The file, read on the driver (a few megabytes) and broadcast, as a function for the workers."""
+    with open(file, "rb") as source:
+        content = source.read()
+    key, shared = digest(content), spark.sparkContext.broadcast(content)
+    return lambda: loaded(key, lambda: shared.value)
+
+
 def encoded_chunks(text: str, encoder: Encoder) -> Iterator[bytes]:
     for at in range(0, len(text), CHUNK):
         yield encoder.feed(text[at : at + CHUNK])
@@ -315,14 +326,14 @@ def encoded_chunks(text: str, encoder: Encoder) -> Iterator[bytes]:
 def encode(df: DataFrame, file: str, text: str = "text", ids: str = "ids", special: bool = True) -> DataFrame:
     """All columns of ``df`` but ``text``, and the ids of every whole text as packed little-endian unsigned 32-bit integers.
 
-    A null text is empty: no ids. ``file`` is read on the driver (a few megabytes) and broadcast. A column ``ids`` of ``df`` is
+    A null text is empty: no ids. A column ``ids`` of ``df`` is
     replaced. ``special`` as in ``Encoder``.
     """
-    content = df.sparkSession.sparkContext.broadcast(open(file, encoding="utf-8").read())
+    known = sent(df.sparkSession, file)
 
     def packed(value: str | None) -> bytes:
-        vocabulary, known = loaded(content.value)
-        return b"".join(encoded_chunks(value or "", Encoder(vocabulary, special, known)))
+        vocabulary, pieces = known()
+        return b"".join(encoded_chunks(value or "", Encoder(vocabulary, special, pieces)))
 
     return add_column(df, text, ids, "binary", packed)
 
@@ -332,10 +343,10 @@ def decode(df: DataFrame, file: str, ids: str = "ids", text: str = "text") -> Da
 
     Null ids are empty. An id that the vocabulary lacks is an error. A column ``text`` of ``df`` is replaced.
     """
-    content = df.sparkSession.sparkContext.broadcast(open(file, encoding="utf-8").read())
+    known = sent(df.sparkSession, file)
 
     def whole(value: bytes | None) -> str:
-        decoder, data = Decoder(loaded(content.value)[0]), value or b""
+        decoder, data = Decoder(known()[0]), value or b""
         return "".join([*(decoder.feed(data[at : at + 4 * CHUNK]) for at in range(0, len(data), 4 * CHUNK)), decoder.finish()])
 
     return add_column(df, ids, text, "string", whole)

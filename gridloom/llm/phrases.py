@@ -265,10 +265,9 @@ def tries(phrases: DataFrame, n: int, base: int) -> Iterator[Broadcast]:
         return pd.DataFrame([Trie(rows[columns].to_numpy(np.int64), base).packed()])
 
     dealt = phrases.withColumn("block", F.pmod(F.xxhash64(*columns), F.lit(parts)))
-    built = cut_lineage(dealt.groupBy("block").applyInPandas(build, "offset binary, check binary, accept binary, phrases binary").withColumn("number", F.monotonically_increasing_id()))
-    for row in built.select("number").collect():
-        arrays = built.where(F.col("number") == row["number"]).first().asDict()
-        broadcast = phrases.sparkSession.sparkContext.broadcast((arrays, base, n))
+    built = cut_lineage(dealt.groupBy("block").applyInPandas(build, "offset binary, check binary, accept binary, phrases binary"))
+    for row in built.toLocalIterator():
+        broadcast = phrases.sparkSession.sparkContext.broadcast(({k: bytes(v) for k, v in row.asDict().items()}, base, n))
         yield broadcast
         broadcast.unpersist()
 
@@ -407,7 +406,8 @@ ORACLE_SQL = rf"""
 WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 pieces AS (SELECT lang, d, unnest(x) AS piece, generate_subscripts(x, 1) AS p FROM (SELECT lang, d, regexp_split_to_array(t, '[.,;:!?
-]') AS x FROM docs)),
+
+]') AS x FROM docs)),
 words AS (SELECT lang, d, p, unnest(x) AS w1, generate_subscripts(x, 1) AS i
     FROM (SELECT lang, d, p, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda w: w <> '') AS x FROM pieces)),
 runs AS (SELECT lang, w1, lead(w1) OVER s AS w2, lead(w1, 2) OVER s AS w3 FROM words WINDOW s AS (PARTITION BY d, p ORDER BY i)),

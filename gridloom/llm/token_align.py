@@ -8,8 +8,6 @@ walked token by token; it changes the shift.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,10 +72,10 @@ def links(a: list[int], b: list[int], found: list[tuple[int, int, int, int]]) ->
 class Pair:
     """Two tokenizers in a worker: ids of a text, bytes and spelled-out numbers of the ids."""
 
-    def __init__(self, byte_file: str, piece_model: bytes):
+    def __init__(self, vocabulary: byte_bpe.Vocabulary, known: dict[str, bytes], piece_model: bytes):
         import sentencepiece
 
-        self.vocabulary, self.known = byte_bpe.loaded(byte_file)
+        self.vocabulary, self.known = vocabulary, known
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
         self.width = self.pieces.get_piece_size()
         self.a = [self.vocabulary.tokens.get(i, b"") for i in range(max(self.vocabulary.tokens) + 1)]
@@ -113,15 +111,7 @@ class Pair:
         return len(a_list), len(b_list), len(groups), len(left), ";".join(groups), pairs, times.astype(np.int32)
 
 
-_PAIRS: dict[bytes, Pair] = {}
-
-
-def _loaded(byte_file: str, piece_model: bytes) -> Pair:
-    key = hashlib.sha256(byte_file.encode() + piece_model).digest()
-    if key not in _PAIRS:
-        _PAIRS.clear()
-        _PAIRS[key] = Pair(byte_file, piece_model)
-    return _PAIRS[key]
+_PAIRS: dict[str, Pair] = {}
 
 
 def align(df: DataFrame, byte_file: str, piece_file: str, text: str = "text") -> DataFrame:
@@ -132,9 +122,17 @@ def align(df: DataFrame, byte_file: str, piece_file: str, text: str = "text") ->
     adds its space itself; strings of special tokens are plain text. A null or empty text, and one that a tokenizer does not
     give back byte for byte, has no tokens: zeros and empty values. Both files are read on the driver and broadcast (megabytes).
     """
-    context = df.sparkSession.sparkContext
-    first, second = context.broadcast(open(byte_file, encoding="utf-8").read()), context.broadcast(open(piece_file, "rb").read())
-    return add_columns(df, text, MADE, lambda value: _loaded(first.value, second.value).align(value))
+    known = byte_bpe.sent(df.sparkSession, byte_file)
+    with open(byte_file, "rb") as one, open(piece_file, "rb") as two:
+        key, pieces = byte_bpe.digest(one.read(), model := two.read()), df.sparkSession.sparkContext.broadcast(model)
+
+    def aligned(value: str | None) -> tuple:
+        if key not in _PAIRS:
+            _PAIRS.clear()
+            _PAIRS[key] = Pair(*known(), pieces.value)
+        return _PAIRS[key].align(value)
+
+    return add_columns(df, text, MADE, aligned)
 
 
 def b_width(piece_file: str) -> int:
