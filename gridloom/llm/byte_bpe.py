@@ -19,6 +19,7 @@ import json
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import regex
@@ -30,6 +31,8 @@ from gridloom.llm.common import add_column
 CHUNK, LONG = 1 << 16, 1 << 12
 #: Pieces whose ids are remembered, and the longest of them in characters.
 REMEMBERED, REMEMBERED_CHARS = 1 << 18, 64
+#: Pieces of at most so many bytes are merged without a heap.
+FEW = 32
 
 # Characters that newer Unicode tables call letters or numbers, but the tables behind the published vocabulary do not.
 NEWER = (
@@ -123,6 +126,24 @@ def lookahead(merges: list[tuple[bytes, bytes]]) -> int:
 
 def merged(data: bytes, ranks: dict[tuple[bytes, bytes], int]) -> list[bytes]:
     """The tokens of ``data``: the merge of the lowest rank first, from the left among equal ones."""
+    return _few_merged(data, ranks) if len(data) <= FEW else _many_merged(data, ranks)
+
+
+def _few_merged(data: bytes, ranks: dict[tuple[bytes, bytes], int]) -> list[bytes]:
+    """For a word, looking at all pairs again after each merge is the fastest."""
+    parts, none = [data[i : i + 1] for i in range(len(data))], len(ranks)
+    while len(parts) > 1:
+        found = list(map(ranks.get, zip(parts, parts[1:]), repeat(none)))
+        low = min(found)
+        if low == none:
+            break
+        i = found.index(low)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return parts
+
+
+def _many_merged(data: bytes, ranks: dict[tuple[bytes, bytes], int]) -> list[bytes]:
+    """For long pieces, pairs wait in a heap."""
     parts: list[bytes | None] = [data[i : i + 1] for i in range(len(data))]
     after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
     heap = [(rank, i) for i in range(len(parts) - 1) if (rank := ranks.get((parts[i], parts[i + 1]))) is not None]

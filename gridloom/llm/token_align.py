@@ -8,7 +8,11 @@ walked token by token; it changes the shift.
 
 from __future__ import annotations
 
+import re
+from itertools import chain
+
 import numpy as np
+import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,31 +57,51 @@ def stretches(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def links(a: list[int], b: list[int], found: list[tuple[int, int, int, int]]) -> tuple[list[int], list[int]]:
-    """Indexes of all pairs of tokens whose byte ranges overlap."""
-    left, right = [], []
-    for i, i_end, j, j_end in found:
-        if a[i] == b[j]:
-            left.extend(range(i, i_end))
-            right.extend(range(j, j_end))
-            continue
-        while i < i_end:
-            left.append(i)
-            right.append(j)
-            x, y = a[i], b[j]
-            i, j = i + (x <= y), j + (y <= x)
-    return left, right
+def links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of all pairs of tokens whose byte ranges overlap: one for each stretch of bytes without an end of either inside."""
+    ends = np.concatenate([a, b])
+    ends.sort(kind="stable")
+    ends = ends[np.concatenate([[True], ends[1:] != ends[:-1]])] if len(ends) else ends
+    return np.searchsorted(a, ends), np.searchsorted(b, ends)
+
+
+class _Words(dict):
+    """Spaces and the characters behind them up to the next space -> their ids.
+
+    No piece of the vocabulary has a space behind another character (checked), so no merge crosses the place before such a
+    space, and the parts of a text can be encoded one by one.
+    """
+
+    def __init__(self, model: sentencepiece.SentencePieceProcessor):
+        super().__init__()
+        self.model, self.space = model, model.piece_to_id("▁")
+        pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
+        self.apart = not any("▁" in p.lstrip("▁") for p in pieces)
+
+    def __missing__(self, part: str) -> list[int]:
+        found = self.model.encode(part[1:], num_threads=1) if part != " " else [self.space]
+        if len(part) <= byte_bpe.REMEMBERED_CHARS:
+            if len(self) >= byte_bpe.REMEMBERED:
+                self.clear()
+            self[part] = found
+        return found
+
+    def encode(self, text: str) -> list[int]:
+        if not self.apart or "▁" in text:
+            return self.model.encode(text, num_threads=1)
+        return list(chain.from_iterable(map(self.__getitem__, _PART.findall(f" {text}"))))
+
+
+_PART = re.compile(" +[^ ]*")
 
 
 class Pair:
     """Two tokenizers in a worker: ids of a text, bytes and spelled-out numbers of the ids."""
 
     def __init__(self, vocabulary: byte_bpe.Vocabulary, known: dict[str, bytes], piece_model: bytes):
-        import sentencepiece
-
         self.vocabulary, self.known = vocabulary, known
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
-        self.width = self.pieces.get_piece_size()
+        self.words, self.width = _Words(self.pieces), self.pieces.get_piece_size()
         self.a = [self.vocabulary.tokens.get(i, b"") for i in range(max(self.vocabulary.tokens) + 1)]
         self.b = [self._bytes(i) for i in range(self.width)]
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in side], np.int64) for side in (self.a, self.b))
@@ -93,11 +117,12 @@ class Pair:
         whole = f" {text}"
         data = whole.encode()
         a = np.frombuffer(b"".join(byte_bpe.encoded_chunks(whole, byte_bpe.Encoder(self.vocabulary, False, self.known))), "<u4").astype(np.int64)
-        b = np.array(self.pieces.encode(text, num_threads=1), np.int64)
-        a_list, b_list = a.tolist(), b.tolist()
+        a_list, b_list = a.tolist(), self.words.encode(text)
+        b = np.array(b_list, np.int64)
         if b"".join(map(self.a.__getitem__, a_list)) != data or b"".join(map(self.b.__getitem__, b_list)) != data:
             return NOTHING
-        a_ends, b_ends = np.cumsum(self.a_sizes[a]).tolist(), np.cumsum(self.b_sizes[b]).tolist()
+        ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        a_ends, b_ends = ends[0].tolist(), ends[1].tolist()
         found = stretches(a_ends, b_ends)
         a_names, b_names = list(map(self.names.__getitem__, a_list)), list(map(self.names.__getitem__, b_list))
         groups: list[str] = []
@@ -106,7 +131,7 @@ class Pair:
                 groups.extend(map("|".join, zip(a_names[i:i_end], b_names[j:j_end], strict=True)))
             else:
                 groups.append(f"{','.join(a_names[i:i_end])}|{','.join(b_names[j:j_end])}")
-        left, right = links(a_ends, b_ends, found)
+        left, right = links(*ends)
         pairs, times = np.unique(a[left] * self.width + b[right], return_counts=True)
         return len(a_list), len(b_list), len(groups), len(left), ";".join(groups), pairs, times.astype(np.int32)
 
@@ -136,8 +161,6 @@ def align(df: DataFrame, byte_file: str, piece_file: str, text: str = "text") ->
 
 
 def b_width(piece_file: str) -> int:
-    import sentencepiece
-
     return sentencepiece.SentencePieceProcessor(model_file=piece_file).get_piece_size()
 
 

@@ -195,6 +195,16 @@ def test_alignment_query_equals_pairwise_ranges(spark):
     assert sorted(tuple(r[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")) for r in got) == plain_alignment(rows)
 
 
+def test_words_encode_as_whole_texts():
+    draw, model = random.Random(8), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    words = token_align._Words(model)
+    assert words.apart
+    parts = [*"aab   \n\té日本😀\x00.,!1234", "the", "hello", "   ", "▁", "<s>", "Ã", "\u00a0", "\u3000", "ing"]
+    for _ in range(3000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(1, 40)))
+        assert words.encode(text) == model.encode(text), repr(text)
+
+
 def test_stretches_of_all_kinds():
     draw = random.Random(3)
     for _ in range(500):
@@ -207,7 +217,7 @@ def test_stretches_of_all_kinds():
             ends += a[i:i_end] if a[i] == b[j] else [a[i_end - 1]]
             assert a[i] != b[j] or a[i:i_end] == b[j:j_end]
         assert ends == sorted(set(a) & set(b))
-        left, right = token_align.links(a, b, found)
+        left, right = (x.tolist() for x in token_align.links(np.array(a), np.array(b)))
         spans = [[(x, y) for x, y in zip([0, *e[:-1]], e, strict=True)] for e in (a, b)]
         assert list(zip(left, right, strict=True)) == [(i, j) for i, (x, y) in enumerate(spans[0]) for j, (u, v) in enumerate(spans[1]) if x < v and u < y]
 
