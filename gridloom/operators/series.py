@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.ordering import hash_order, ordered_prefix
+from gridloom.session import cut_lineage
 
 
 def convolve(
@@ -45,21 +46,38 @@ def sample_recent(df: DataFrame, key: str, ts: str, tie: str, size: int, draw: i
     return recent(df, key, ts, tie, size).withColumn("_d", F.row_number().over(order)).filter(F.col("_d") <= draw).drop("_d")
 
 
-def sessions(df: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
-    """Sessions per key: a new one starts when more than ``gap_seconds`` passed since the last row.
+def sessions(df: DataFrame, key: str, ts: str, gap_seconds: int, chunk: int = 4096) -> DataFrame:
+    """Sessions per key: (key, session, start, last, rows); a new one starts when more than ``gap_seconds`` passed since the last row.
 
-    Rows in the same time slot of that width always share a session, so they are combined before the
-    shuffle and only one row per (key, slot) reaches the window.
+    Rows in the same time slot of that width always share a session, so they are combined before the shuffle. Then time is cut into
+    chunks of ``chunk`` slots. Inside the chunk of a key neighbouring sessions are merged; those that touch neither edge are done,
+    and the first and last go on to chunks ``chunk`` times as wide, until one chunk covers all. So a window holds at most twice
+    ``chunk`` rows, also of a key that holds most of the table. Rows without a time belong to no session; null keys are a key.
     """
     gap = gap_seconds * 1_000_000
-    micros = F.unix_micros(ts)
-    slots = df.groupBy(key, F.floor(micros / gap).alias("_slot")).agg(
-        F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count(F.lit(1)).alias("_n")
-    )
-    order = Window.partitionBy(key).orderBy("_slot")
-    fresh = F.unix_micros("_first") - F.unix_micros(F.lag("_last").over(order)) > gap
-    numbered = slots.withColumn("_new", F.coalesce(fresh, F.lit(True)).cast("int"))
-    numbered = numbered.withColumn("session", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    return numbered.groupBy(key, "session").agg(
-        F.min("_first").alias("start"), F.max("_last").alias("last"), F.sum("_n").alias("rows")
-    )
+    timed = df.where(F.col(ts).isNotNull())
+    parts = cut_lineage(timed.groupBy(key, F.floor(F.unix_micros(ts) / gap).alias("_at")).agg(
+        F.min(ts).alias("start"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("rows")
+    ))
+    low, high = parts.agg(F.min("_at"), F.max("_at")).first()
+    done, width = None, chunk
+    while True:
+        top = low is None or low // width == high // width
+        here = parts.withColumn("_cell", F.floor(F.col("_at") / width))
+        order = Window.partitionBy(key, "_cell").orderBy("_at", "start")
+        fresh = F.unix_micros("start") - F.unix_micros(F.lag("last").over(order)) > gap
+        marked = here.withColumn("_new", F.coalesce(fresh, F.lit(True)).cast("int"))
+        marked = marked.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        merged = marked.groupBy(key, "_cell", "_run").agg(
+            F.min("_at").alias("_at"), F.min("start").alias("start"), F.max("last").alias("last"), F.sum("rows").alias("rows")
+        )
+        if top:
+            closed = merged.select(key, "start", "last", "rows")
+            done = closed if done is None else done.union(closed)
+            break
+        edge = (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(Window.partitionBy(key, "_cell")))
+        written = cut_lineage(merged.select(key, "_at", "start", "last", "rows", edge.alias("_edge")))
+        closed = written.where(~F.col("_edge")).select(key, "start", "last", "rows")
+        done = closed if done is None else done.union(closed)
+        parts, width = written.where("_edge").drop("_edge"), width * chunk
+    return ordered_prefix(cut_lineage(done), "start", within=[key], index="session").select(key, "session", "start", "last", "rows")

@@ -8,6 +8,7 @@ from gridloom.operators import series as SE
 from gridloom.plans.models import CENTRES, PropsScorer, centre_scorer
 from gridloom.plans.registry import query, r6
 from gridloom.session import scratch_path
+from gridloom.streaming import keyed as KS
 from gridloom.streaming import operators as S
 from gridloom.streaming import runs as R
 
@@ -74,13 +75,47 @@ def stream_sessions(t):
 @query("stream_recent_buffer", "R05 W08", """
 SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 5""")
 def stream_recent_buffer(t):
-    """The events arrive in eight files, one per micro-batch."""
+    """The events arrive in eight files, one per micro-batch; the buffers are read from the state store."""
     path = scratch_path(t.spark, "arrivals")
-    t.events.repartition(8, "event_id").write.parquet(path)
-    out = S.recent_buffer(R.folder_stream(t.spark, path), "buffer", "user_id", "ts", "event_id", 5)
+    t.events.select("user_id", "event_id", "ts", "value").repartition(8, "event_id").write.parquet(path)
+    out = KS.run_buffer(R.folder_stream(t.spark, path), scratch_path(t.spark, "buffer"), "user_id", "ts", "event_id", 5)
     return out.select("user_id", "event_id", "value")
 
 
+@query("stream_forgotten_buffer", "R05", """
+WITH last AS (SELECT user_id, max(ts) AS newest FROM events GROUP BY 1), m AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE AS mark FROM events),
+k AS (SELECT user_id FROM last, m WHERE date_trunc('millisecond', newest) + INTERVAL 6 HOUR > mark)
+SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events JOIN k USING (user_id)) WHERE r <= 3""")
+def stream_forgotten_buffer(t):
+    """Users without an event for six hours of the stream's own time are forgotten."""
+    events = event_stream(t).select("user_id", "event_id", "ts", "value")
+    out = KS.run_buffer(events, scratch_path(t.spark, "forgetful"), "user_id", "ts", "event_id", 3, idle="6 hours")
+    return out.select("user_id", "event_id", "value")
+
+
+# Every seventh job gets no answer; others get one after 0 to 4 minutes, every eleventh a second one at that time; every thirteenth answer names another job.
+ANSWER_SQL = """a AS (SELECT DISTINCT CASE WHEN event_id % 13 = 5 THEN -event_id - 1 ELSE event_id END AS job, ts + to_minutes((event_id % 5)::INT) AS at FROM events WHERE event_id % 7 <> 0)"""
+
+
+@query("stream_job_answers", "R06", f"""
+WITH {ANSWER_SQL} SELECT coalesce(e.event_id, a.job) AS job, e.ts AS requested, a.at AS answered_at,
+    CASE WHEN a.at IS NULL THEN 'unanswered' WHEN e.ts IS NULL THEN 'unrequested' ELSE 'answered' END AS status
+FROM events e FULL OUTER JOIN a ON a.job = e.event_id AND a.at BETWEEN e.ts AND e.ts + INTERVAL 3 MINUTE""")
+def stream_job_answers(t):
+    """Jobs and answers as two streams; a last beat of both, a day later, closes what is open."""
+    jobs, answers = scratch_path(t.spark, "jobs"), scratch_path(t.spark, "answers")
+    events = t.events.select(F.col("event_id").alias("job"), "ts")
+    beat = events.agg(F.lit(None).cast("long").alias("job"), (F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    events.union(beat).write.parquet(jobs)
+    named = F.when(F.col("job") % 13 == 5, -F.col("job") - 1).otherwise(F.col("job"))
+    late = F.col("ts") + F.make_dt_interval(mins=(F.col("job") % 5).cast("int"))
+    times = F.when(F.col("job") % 11 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    given = events.where("job % 7 <> 0").select(named.alias("job"), late.alias("ts"), F.explode(times)).drop("col")
+    given.union(beat).write.parquet(answers)
+    out = KS.run_matches(R.folder_stream(t.spark, jobs, 1000), R.folder_stream(t.spark, answers, 1000), scratch_path(t.spark, "matches"), "job", "ts", "3 minutes")
+    return out.where("job IS NOT NULL").select("job", plain("requested"), plain("answered_at"), "status")
+
+
 @query("stream_answers_once", "R06", "SELECT event_id, user_id FROM events")
 def stream_answers_once(t):
     doubled = event_stream(t).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))

@@ -14,6 +14,7 @@ from gridloom.functions.arrays import let
 from gridloom.operators.lookup import checked_lookup
 from gridloom.operators.ordering import ordered_prefix
 from gridloom.session import cut_lineage
+from gridloom.sources.ranges import list_files, numbered_files, numbered_lines, read_records, unsigned_bytes
 
 # File name endings of images.
 EXTENSIONS = ["jpg", "jpeg", "png", "bmp", "wbmp", "gif"]
@@ -54,9 +55,8 @@ def read_image_folder(spark: SparkSession, root: str, max_depth: int = 1, classe
 
 def read_class_list(spark: SparkSession, path: str) -> DataFrame:
     """(class, label, text) of a class list: first word per line, numbered by line."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("label", "line"))
-    kept = lines.filter(F.trim("line") != "")
-    return kept.select(F.regexp_extract("line", r"^(\S+)", 1).alias("class"), F.col("label").cast("long"), F.col("line").alias("text"))
+    kept = numbered_lines(spark, path).filter(F.trim("line") != "")
+    return kept.select(F.regexp_extract("line", r"^(\S+)", 1).alias("class"), F.col("number").alias("label"), F.col("line").alias("text"))
 
 
 def _rgb(data: Column, channels: Column) -> Column:
@@ -93,27 +93,18 @@ def split_records(files: DataFrame, key: str, content: str, length: int, skip: i
 
 def bytes_to_array(record: Column) -> Column:
     """Unsigned byte values as an array of doubles."""
-
-    @F.pandas_udf("array<double>")
-    def convert(values: pd.Series) -> pd.Series:
-        return values.map(lambda raw: np.frombuffer(raw, dtype=np.uint8).astype(float))
-
-    return convert(record)
+    return unsigned_bytes(record)
 
 
 def read_idx(spark: SparkSession, images: str, labels: str, size: int = 784) -> DataFrame:
     """Digit images in IDX files: (file, index, label, pixels); headers of 16 and 8 bytes are skipped.
 
-    Image and label files are paired by the order of their names, records by their number in the file.
+    Image and label files are paired by the order of their names, records by their number in the file. Files are read by byte range.
     """
-    read = spark.read.format("binaryFile")
 
     def records(path: str, length: int, skip: int) -> DataFrame:
-        names = sorted(r["path"] for r in read.load(path).select("path").collect())
-        number = {name: i for i, name in enumerate(names)}
-        files = read.load(path).select("path", "content")
-        pairs = spark.createDataFrame(list(number.items()) or [("", -1)], "path string, file int")
-        return split_records(files.join(F.broadcast(pairs), "path").select("file", "content"), "file", "content", length, skip)
+        named = cut_lineage(numbered_files(list_files(spark, path).select("path")))
+        return checked_lookup(read_records(spark, path, length, skip), named, ["path"], ["index"], how="inner").select("file", "index", "record")
 
     pictures, answers = records(images, size, 16), records(labels, 1, 8)
     digit = F.conv(F.hex("record"), 16, 10).cast("int")
@@ -140,8 +131,7 @@ def with_colour_pixels(df: DataFrame, record: str, height: int = 32, width: int
 
 def read_colour_records(spark: SparkSession, path: str) -> DataFrame:
     """Fixed-length colour records: (path, index, label, pixels)."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return with_colour_pixels(split_records(files, "path", "content", 1 + 3 * 32 * 32), "record").drop("record")
+    return with_colour_pixels(read_records(spark, path, 1 + 3 * 32 * 32), "record").drop("record")
 
 
 COCO_SCHEMA = """images array<struct<id: bigint, coco_url: string>>,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import code_lines
+from gridloom.sources.ranges import numbered_lines
 
 LABEL_PREFIX = "__label__"
 
@@ -48,8 +49,7 @@ def read_labelled_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_token_list(spark: SparkSession, path: str) -> DataFrame:
     """(token, id) of a vocabulary file with one token per line; ids follow the line order."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("id", "token"))
-    named = lines.select(F.trim("token").alias("token"), F.col("id").cast("long").alias("id"))
+    named = numbered_lines(spark, path).select(F.trim("line").alias("token"), F.col("number").alias("id"))
     return named.filter(F.col("token") != "")
 
 
