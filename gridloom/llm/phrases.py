@@ -25,7 +25,7 @@ from gridloom.session import cut_lineage
 
 LEAST, LONGEST, TOP = 10, 3, 2000
 #: Most words of a dictionary block and most phrases of a trie: each block is one pass over the corpus.
-DICTIONARY, BLOCK = 1 << 19, 1 << 20
+DICTIONARY, BLOCK = 1 << 19, 1 << 19
 #: Bytes of text that a task works on at once.
 AT_ONCE = 4 << 20
 #: Bytes between pieces, and between words; A-Z becomes a-z.
@@ -70,8 +70,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _blocks(df: DataFrame, most: int, *key: str) -> list[Column]:
-    """Conditions that cut ``df`` into parts of about half of ``most`` rows by hash of the key."""
-    parts = max(1, math.ceil(df.count() / (most // 2))) if df.count() > most else 1
+    """Conditions that cut ``df`` into parts of about four fifths of ``most`` rows by hash of the key; one part if all fit."""
+    rows = df.count()
+    parts = math.ceil(rows / (0.8 * most)) if rows > most else 1
     return [F.pmod(F.xxhash64(*key), F.lit(parts)) == i for i in range(parts)]
 
 
@@ -256,8 +257,8 @@ def names(n: int, first: int = 1) -> list[str]:
     return [f"w{i}" for i in range(first, first + n)]
 
 
-def tries(phrases: DataFrame, n: int, base: int) -> Iterator[Broadcast]:
-    """Broadcast tries of all ``phrases`` (ids in w1 to wn), one after another; each is built in a task, from ``BLOCK`` phrases at most."""
+def built_tries(phrases: DataFrame, n: int, base: int) -> DataFrame:
+    """Tries of all ``phrases`` (ids in w1 to wn) as a written table of arrays; each is built in a task, from about ``BLOCK`` phrases at most."""
     columns = names(n)
     parts = len(_blocks(phrases, BLOCK, *columns))
 
@@ -265,11 +266,15 @@ def tries(phrases: DataFrame, n: int, base: int) -> Iterator[Broadcast]:
         return pd.DataFrame([Trie(rows[columns].to_numpy(np.int64), base).packed()])
 
     dealt = phrases.withColumn("block", F.pmod(F.xxhash64(*columns), F.lit(parts)))
-    built = cut_lineage(dealt.groupBy("block").applyInPandas(build, "offset binary, check binary, accept binary, phrases binary"))
+    return cut_lineage(dealt.groupBy("block").applyInPandas(build, "offset binary, check binary, accept binary, phrases binary"))
+
+
+def tries(built: DataFrame, n: int, base: int) -> Iterator[Broadcast]:
+    """The tries, broadcast one after another."""
     for row in built.toLocalIterator():
-        broadcast = phrases.sparkSession.sparkContext.broadcast(({k: bytes(v) for k, v in row.asDict().items()}, base, n))
+        broadcast = built.sparkSession.sparkContext.broadcast(({k: bytes(v) for k, v in row.asDict().items()}, base, n))
         yield broadcast
-        broadcast.unpersist()
+        broadcast.destroy()
 
 
 def proposed(corpus: DataFrame, n: int, least: int) -> DataFrame:
@@ -375,9 +380,10 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     levels: dict[int, DataFrame] = {}
     for n in range(2, longest + 1):
         candidates = cut_lineage(proposed(ids, n, least))
-        levels[n] = counted(ids, tries(candidates, n, base), n)
+        built = built_tries(candidates, n, base)
+        levels[n] = counted(ids, tries(built, n, base), n)
         if n < longest:
-            ids = marked(ids, tries(candidates, n, base))
+            ids = marked(ids, tries(built, n, base))
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     best = None
     for n in range(2, longest + 1):
