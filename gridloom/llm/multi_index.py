@@ -28,6 +28,8 @@ FIT_VECTORS = 8192
 PROBE_VECTORS = 256
 CHUNK = 2048
 CELL_TARGET = 64
+MOST_WORDS = 8192
+PER_WORD = 8
 SLACK = 0.04  # added to the measured radius, in squared distance
 
 
@@ -90,26 +92,30 @@ def codebook(x: np.ndarray, size: int, rounds: int = 15, seed: int = 3) -> np.nd
 
 
 def unit_rows(vectors: list) -> np.ndarray:
+    """Rows of length one; divided by their largest component first, so that no square leaves the range of a double."""
     x = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def fit(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, rows: int = FIT_VECTORS, probes: int = PROBE_VECTORS) -> Index | None:
     """Learn codebooks and the radius from distinct ``vectors`` (id, label, v).
 
-    About ``rows`` vectors drawn by hash train the codebooks on the driver. The radius is measured: about ``probes`` drawn
-    vectors per round are compared with all vectors of their label by brute force, in parallel, and the radius is the
-    smallest that reaches the cells of the share ``recall`` of the links found. Vectors without links say nothing about it,
-    so probes are drawn from those that share a rough cell with another; without any link the radius is that of a cosine.
+    About ``rows`` vectors drawn by hash, and ``PER_WORD`` for each codeword at least, train the codebooks on the driver. Codebooks grow with
+    the root of the table up to ``MOST_WORDS``, which keep cells at ``CELL_TARGET`` vectors up to about four billion vectors. The radius is
+    measured: about 16 times ``probes`` vectors drawn by hash are compared with all vectors of their label by brute force, in parallel, and the
+    radius is half as much again as the smallest that reaches the cells of the share ``recall`` of the links found. Vectors
+    without links say nothing about it; without any link the radius is that of a cosine.
     """
     n = vectors.count()
     if not n:
         return None
     bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS))
+    size = int(2 ** np.clip(np.round(np.log2(max(1.0, np.sqrt(n / CELL_TARGET)))), 0, np.log2(MOST_WORDS)))
+    rows = max(rows, PER_WORD * size)
     drawn = vectors.where(bucket < int(BUCKETS * min(1.0, rows / n)) + 1).select("id", "v").orderBy("id").collect()
     x = unit_rows([r["v"] for r in drawn])
     half = max(1, x.shape[1] // 2)
-    size = int(2 ** np.clip(np.round(np.log2(max(1.0, np.sqrt(n / CELL_TARGET)))), 0, 10))
     index = Index(codebook(x[:, :half], size), codebook(x[:, half:], size), 0.0)
     farthest = 2 * (1 - cosine)  # squared distance of unit vectors at the least cosine
     many = vectors.where(F.pmod(F.xxhash64("id", F.lit("probe")), F.lit(BUCKETS)) < int(BUCKETS * min(1.0, 16 * probes / n)) + 1).select("id", "label", "v").orderBy("id").collect()
@@ -216,8 +222,9 @@ def near_duplicates(
 
     ``n_links`` counts the other rows linked directly, ``component_id`` is the smallest key reachable, the row's own
     included, ``kept`` marks the row of that key. Equal vectors are put together first and count as often as they
-    occur, so copies cost nothing. Null or zero vectors, those with null or non-finite components, those of a length of
-    their own within the table, and rows with a null label link with nothing. Null keys take part in links and
+    occur, so copies cost nothing. Vectors of different lengths never link; each length has its links, with one index for all lengths between
+    two powers of two (the shorter filled up with zeros). Null or zero vectors, those with null or non-finite components, and
+    rows with a null label link with nothing. Null keys take part in links and
     counts and are a component id only where there is no other. An empty table gives an empty result; other columns are
     not read.
     """
@@ -228,16 +235,21 @@ def near_duplicates(
     named = rows.withColumn("ok", usable).withColumn("v", F.when(F.col("ok"), F.transform("v", lambda x: x + F.lit(0.0))))
     good = named.where("ok")
     distinct = good.groupBy("label", "v").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("copies"))
-    width = distinct.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
     distinct = distinct.withColumn("id", F.xxhash64("label", "v"))
-    whole = cut_lineage(distinct.withColumn("fits", F.size("v") == (width["w"] if width else 0)))
-    fitting = whole.where("fits").select("id", "label", "v", "copies")
-    index = fit(fitting, cosine, recall)
+    whole = cut_lineage(distinct.withColumn("family", F.ceil(F.log2(F.size("v"))).cast("int")))
     alone = F.col("copies") - 1
-    if index is None:
+    counts = edges = None
+    # At most 32 families of lengths, one in almost every table.
+    for family in whole.groupBy("family").agg(F.max(F.size("v")).alias("width")).orderBy("family").collect():
+        filled = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(family["width"]) - F.size("v")))
+        # A label and a length together: rows of another length are those of another label.
+        fitting = whole.where(F.col("family") == family["family"]).select("id", F.xxhash64("label", F.size("v")).alias("label"), filled.alias("v"), "copies")
+        index = fit(fitting, cosine, recall)
+        found = links(fitting, index, cosine)
+        counts, edges = found if counts is None else (counts.union(found[0]), edges.union(found[1]))
+    if counts is None:
         classes = whole.select("id", "copies", "low", alone.alias("n_links"), F.col("low").alias("component_id"))
     else:
-        counts, edges = links(fitting, index, cosine)
         counts, roots = cut_lineage(counts), connected_components(edges)
         joined = whole.join(counts, "id", "left").join(roots, whole["id"] == roots["node"], "left")
         rooted = joined.select("id", "low", (alone + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("root"))

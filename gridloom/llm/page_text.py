@@ -10,12 +10,15 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import arrow_map
+from gridloom.llm.common import add_column, arrow_map
 
 # Elements whose content is not markup, that are never content, that begin a block, that have no content.
 _RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "noembed", "noframes", "xmp", "svg", "math")
@@ -33,11 +36,9 @@ _NOISE = re.compile(
     re.I,
 )
 _NOISE_ROLES = frozenset({"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"})
-_MARKUP = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<(?P<raw>" + "|".join(_RAW) + r")\b(?P<rawattrs>[^>]*)>|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_RAW_NAME = re.compile(r"(" + "|".join(_RAW) + r")\b", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_QUOTED = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|aria-label)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 _WORD, _LINK, _NOISE_WORD = "word", "link word", "noise word"
@@ -59,73 +60,157 @@ def _noisy(name: str, attrs: str) -> bool:
     return False
 
 
+class _TagEnds:
+    """Where tags end: the first ``>`` outside of quotes. One pass from the right answers for every start."""
+
+    def __init__(self, page: str):
+        self.at = [m.start() for m in _QUOTED.finditer(page)]
+        self.end = [-1] * (len(self.at) + 1)
+        following = {'"': -1, "'": -1}
+        for i in range(len(self.at) - 1, -1, -1):
+            mark = page[self.at[i]]
+            if mark == ">":
+                self.end[i] = self.at[i]
+            else:
+                close, following[mark] = following[mark], i
+                self.end[i] = self.end[close + 1] if close >= 0 else -1
+
+    def behind(self, start: int) -> int:
+        """The place of the ``>`` of a tag whose name ends at ``start``, -1 if it has none."""
+        return self.end[bisect_left(self.at, start)]
+
+
+def markup(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, kind, name, attributes) of all markup in page order: kind is ``raw``, ``tag``, ``end`` or ``other``.
+
+    A ``<`` that begins no markup is text. A raw element reaches to its end tag; without one, scripts and styles take the rest of the page
+    and others are only their tag. Every character is looked at a bounded number of times.
+    """
+    last, at, n = page.rfind(">"), page.find("<"), len(page)
+    ends: _TagEnds | None = None
+    endless: set[str] = set()
+    while at >= 0:
+        following, stop = page[at + 1 : at + 2], -1
+        if page.startswith("<!--", at):
+            close = page.find("-->", at + 4)
+            stop = close + 3 if close >= 0 else n
+            yield at, stop, "other", "", ""
+        elif at > last:
+            # Only a comment can still begin.
+            at = page.find("<!--", at)
+            continue
+        elif raw := _RAW_NAME.match(page, at + 1):
+            close, name = page.find(">", raw.end()) + 1, raw[1].lower()
+            if close:
+                stop = close
+                found = None if name in endless else re.compile(rf"</{name}\b[^>]*>", re.I).search(page, close)
+                if found:
+                    stop = found.end()
+                else:
+                    endless.add(name)
+                    stop = n if name in ("script", "style") else close
+                yield at, stop, "raw", name, ""
+        elif following == "/" and (name := _NAME.match(page, at + 2)):
+            stop = page.find(">", name.end()) + 1
+            if stop:
+                yield at, stop, "end", name[0].lower(), ""
+        elif following and following in "!?/":
+            stop = page.find(">", at + 2) + 1
+            if stop:
+                yield at, stop, "other", "", ""
+        elif name := _NAME.match(page, at + 1):
+            ends = ends or _TagEnds(page)
+            close = ends.behind(name.end())
+            if close >= 0:
+                stop = close + 1
+                yield at, stop, "tag", name[0].lower(), page[name.end() : close]
+        at = page.find("<", stop if stop > at else at + 1)
+
+
+class _Open:
+    """The open elements: name, whether their words are noise, article; counted by name, blocks at hand."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, int]] = []
+        self.count: Counter[str] = Counter()
+        self.blocks: list[int] = []
+
+    def top(self) -> tuple[bool, int]:
+        return self.stack[-1][1:] if self.stack else (False, 0)
+
+    def push(self, name: str, noise: bool, article: int) -> None:
+        if name in _BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, noise, article))
+        self.count[name] += 1
+
+    def cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.count[self.stack.pop()[0]] -= 1
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
+
+    def close(self, name: str) -> None:
+        """The innermost element of that name and all inside it; an end without a start closes nothing."""
+        if self.count[name]:
+            while self.stack[-1][0] != name:
+                self.cut(len(self.stack) - 1)
+            self.cut(len(self.stack) - 1)
+
+    def close_before(self, name: str) -> None:
+        """A new block ends an open paragraph, a new item the item before it; inline elements left open end too."""
+        closes = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(name, ())
+        if self.blocks and (self.stack[self.blocks[-1]][0] == "p" or self.stack[self.blocks[-1]][0] in closes):
+            self.cut(self.blocks[-1])
+
+
 def parse(page: str) -> list[tuple[str, int, int, int, str]]:
     """The page as pieces (type, number of words, article, block, text) in page order.
 
     ``type`` is a kind of words or a tag; ``article`` numbers the outermost article element around it, 0 outside; ``block``
-    numbers the block the text belongs to. Elements left open end with the page, ends without a start are only tags.
+    numbers the block the text belongs to. Elements left open end with the page, ends without a start are only tags. Words anywhere
+    inside a link are a link's. The time grows with the length of the page, however broken it is.
     """
     out: list[tuple[str, int, int, int, str]] = []
-    stack: list[tuple[str, bool, int]] = []  # name, noise, article
-    block, articles, at, n = 0, 0, 0, len(page)
-
-    def state() -> tuple[bool, int]:
-        return (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+    opened = _Open()
+    block = articles = at = 0
 
     def text(lo: int, hi: int) -> None:
-        if lo < hi and (piece := page[lo:hi]):
-            noise, article = state()
-            words = len(piece.split())
-            kind = _NOISE_WORD if noise else _LINK if any(s[0] == "a" for s in stack[-4:]) else _WORD
-            out.append((kind, words, article, block, piece))
+        if lo < hi:
+            piece = page[lo:hi]
+            noise, article = opened.top()
+            kind = _NOISE_WORD if noise else _LINK if opened.count["a"] else _WORD
+            out.append((kind, len(piece.split()), article, block, piece))
 
     def tag(name: str) -> None:
-        out.append((name, 0, state()[1], block, ""))
-
-    while at < n:
-        m = _MARKUP.search(page, at)
-        if not m:
-            text(at, n)
-            break
-        text(at, m.start())
-        at = m.end()
-        if m["raw"]:
-            name = m["raw"].lower()
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+        out.append((name, 0, opened.top()[1], block, ""))
+
+    for start, stop, kind, name, attrs in markup(page):
+        text(at, start)
+        at = stop
+        if kind == "raw":
             tag(f"<{name}")
-            at = end.end() if end else (n if name in ("script", "style") else at)
-        elif m["end"]:
-            name = m["end"].lower()
+        elif kind == "end":
             if name in _BLOCK:
                 block += 1
             tag(f"</{name}")
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                del stack[depth:]
-        elif m["tag"]:
-            name = m["tag"].lower()
-            noise, article = state()
+            opened.close(name)
+        elif kind == "tag":
             if name in _BLOCK:
                 block += 1
-            if name in ("p", "li", "dd", "dt", "tr", "td", "th", "option") or name in _BLOCK:
-                # A new block ends an open paragraph, a new item the item before it; inline elements left open end too.
-                closes = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(name, ())
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in closes or stack[i][0] == "p":
-                        del stack[i:]
-                        break
-                    if stack[i][0] in _BLOCK:
-                        break
-                noise, article = state()
+            if name in _BLOCK or name == "option":
+                opened.close_before(name)
+            noise, article = opened.top()
             tag(f"<{name}")
             if name == "br":
                 out.append((_NOISE_WORD if noise else _WORD, 0, article, block, "\n"))
-            if name not in _VOID and not m["attrs"].endswith("/"):
-                own = _noisy(name, m["attrs"]) or (name == "header" and not article)
+            if name not in _VOID and not attrs.endswith("/"):
+                own = _noisy(name, attrs) or (name == "header" and not article)
                 if name in _ARTICLE and not (article or noise or own):
                     articles += 1
                     article = articles
-                stack.append((name, noise or own, article))
+                opened.push(name, noise or own, article)
+    text(at, len(page))
     return out
 
 
@@ -234,6 +319,4 @@ def extract(pages: DataFrame, weights: dict[str, float] | None = None, content:
     any case) gives way to the result.
     """
     weights = weights or fit(pages, content)
-    text = F.pandas_udf(lambda s: s.map(lambda page: main_text(page, weights)), "string")
-    kept = [c for c in pages.columns if c.lower() not in (content.lower(), "text")]
-    return pages.select(*(F.col(f"`{c}`") for c in kept), text(F.col(content)).alias("text"))
+    return add_column(pages, content, "text", "string", lambda page: main_text(page, weights))

@@ -60,8 +60,16 @@ _BRACKET_AT = re.compile(r"\s?[\[({<]\s?(?:at|@|arroba)\s?[\])}>]\s?", re.I)
 _BRACKET_DOT = re.compile(rf"\s?[\[({{<]\s?(?:\.|{_POINT})\s?[\])}}>]\s?", re.I)
 _BARE_HINT = re.compile(rf"[ @](?:{_POINT}) ", re.I)
 _BARE = re.compile(rf"(?<=[A-Za-z0-9])( at | arroba |@)[A-Za-z0-9-]+(?:(?: (?:{_POINT}) |\.)[A-Za-z0-9-]+)+", re.I)
-# Name endings that make a bare "at ... dot ..." an address and not prose.
-_ENDINGS = frozenset("com org net edu gov info biz io de fr es uk eu co ai dev app ch us example test".split())
+# Endings that make a bare "at ... dot ..." an address and not prose, besides all of two letters but these words.
+_ENDINGS = frozenset("com org net edu gov info biz dev app cloud online shop site store xyz club blog tech mobi name pro int mil coop museum example test".split())
+_WORDS = frozenset("ab an da du he if ob of on or ou où so to un up we wo ya yo zu".split())
+
+
+def _is_ending(last: str) -> bool:
+    last = last.lower()
+    return last in _ENDINGS or (len(last) == 2 and last.isascii() and last.isalpha() and last not in _WORDS)
+
+
 _BARE_DOT = re.compile(rf" (?:{_POINT}) ", re.I)
 
 
@@ -91,7 +99,7 @@ def _luhn(digits: str) -> bool:
 def identifiers(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of every plain identifier, by start and kind."""
     found = [(s, 0, e) for s, e in _emails(text)]
-    found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -178,7 +186,7 @@ def _undo_at_dot(state: Rewritten) -> None:
     edits = []
     for m in _BARE.finditer(state.text):
         dots = [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(state.text, m.end(1), m.end())]
-        if dots and re.split(r"[ .]", m[0])[-1].lower() in _ENDINGS:
+        if dots and _is_ending(re.split(r"[ .]", m[0])[-1]):
             edits += ([] if m[1] == "@" else [(m.start(1), m.end(1), "@")]) + dots
     state.edit(edits)
 

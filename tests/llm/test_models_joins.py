@@ -237,13 +237,60 @@ def test_traversal_visits_cells_in_order():
     assert sums == sorted(sums) and len(seen) == len(set(seen)) == int((a[:, None] + b <= 0.7).sum())
 
 
-def test_recall_on_the_given_vectors(spark):
-    vectors = table(spark, "/root/testdata/check_s", "embeddings").where("label < 2")
-    rows = [(r["vec_id"], r["label"], r["embedding"]) for r in vectors.collect()]
-    x = multi_index.unit_rows([r[2] for r in rows])
-    label = np.array([r[1] for r in rows])
-    truth = ((x @ x.T >= 0.93) & (label[:, None] == label)).sum() - len(rows)
-    assert multi_index.near_duplicates(vectors).agg(F.sum("n_links")).first()[0] >= 0.99 * truth
+def planted_vectors(n, seed=11, width=16):
+    """Clusters of many sizes with cosines from 0.93 to 1 around their centres' neighbourhood, under several labels."""
+    draw = np.random.default_rng(seed)
+    rows = []
+    while len(rows) < n:
+        centre = draw.normal(size=width)
+        centre /= np.linalg.norm(centre)
+        label = int(draw.integers(0, 4))
+        for _ in range(int(draw.choice([1, 1, 1, 2, 3, 8, 40]))):
+            noise = draw.normal(size=width)
+            noise -= (noise @ centre) * centre
+            noise /= np.linalg.norm(noise)
+            turn = np.arccos(draw.uniform(0.955, 1.0))
+            rows.append((len(rows), (draw.uniform(0.5, 3) * (np.cos(turn) * centre + np.sin(turn) * noise)).tolist(), label))
+    return rows[:n]
+
+
+def brute_links(rows, cosine=0.93):
+    """(links by key, pairs) with every row against every row of its label and length."""
+    groups = {}
+    for key, v, label in rows:
+        groups.setdefault((label, len(v)), []).append((key, v))
+    counts = {}
+    for members in groups.values():
+        x = np.array([v for _, v in members])
+        x = x / np.abs(x).max(1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near = (x @ x.T >= cosine).sum(1) - 1
+        counts |= {key: int(c) for (key, _), c in zip(members, near, strict=True)}
+    return counts
+
+
+def test_recall_on_planted_vectors(spark):
+    rows = planted_vectors(12_000)
+    found = {r["vec_id"]: r["n_links"] for r in multi_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    want = brute_links(rows)
+    assert sum(want.values()) > 20_000 and all(found[k] <= want[k] for k in want)
+    assert sum(found.values()) / sum(want.values()) >= 0.99
+
+
+def test_vectors_of_two_lengths(spark):
+    rows = [(k, v, 1) for k, v, _ in planted_vectors(500, 2, 8)] + [(1000 + k, v, 1) for k, v, _ in planted_vectors(490, 3, 5)] + [(5000, [1.0] * 300, 1), (5001, [2.0], 1), (5002, [3.0], 1)]
+    found = {r["vec_id"]: r["n_links"] for r in multi_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    want = brute_links(rows)
+    assert sum(found.values()) >= 0.99 * sum(want.values()) and all(found[k] <= want[k] for k in want)
+    assert found[5001] == found[5002] == 1 and found[5000] == 0
+
+
+def test_vectors_near_the_ends_of_the_range(spark):
+    rows = [(1, [1e200, 2e200, 1e199]), (2, [1.01e200, 2e200, 1e199]), (3, [1e-200, 2e-200, 1e-201]), (4, [-1e-200, 2e-200, 0.0]), (5, [5e-324, 0.0, 0.0]), (6, [1e300, 0.0, 0.0])]
+    table = spark.createDataFrame([(k, v, 0) for k, v in rows], "vec_id long, embedding array<double>, label int")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in multi_index.near_duplicates(table).collect()}
+    assert found == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5)}
+
 
 
 def test_pipeline_equals_its_stages_by_hand(spark):

@@ -1,5 +1,8 @@
 """Main text of pages; packaged archives."""
 
+import re
+import time
+import random
 import hashlib
 import base64
 import struct
@@ -148,3 +151,29 @@ def test_damaged_payload_is_noticed():
     assert warc.parse_record(raw)["payload"] == b"payload"
     with pytest.raises(ValueError):
         warc.parse_record(raw.replace(b"payload\r\n", b"PAYLOAD\r\n"))
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 350_000, "<svg>" * 200_000, "<span>" * 80_000 + "</b>" * 120_000, "<span>" * 80_000 + "<hr>" * 120_000, '<a "' * 250_000, "<a '\"" * 200_000 + ">",
+    "</p" * 330_000, "<!" * 500_000, "<p><b>" * 160_000, "<" * 1_000_000, "<script" * 140_000, "<!--" * 250_000, "<p>" + "<i>" * 300_000 + "</p>" * 20_000,
+])
+def test_broken_pages_of_a_megabyte(page):
+    started = time.perf_counter()
+    page_text.main_text(page + " words", page_text.DEFAULT)
+    assert time.perf_counter() - started < 20
+
+
+def test_words_deep_inside_a_link_are_its_words():
+    pieces = page_text.parse("<a><b><i><u><s><em>deep</em></s></u></i></b></a> plain")
+    assert [(p[0], p[4].strip()) for p in pieces if p[1]] == [("link word", "deep"), ("word", "plain")]
+
+
+def test_tag_ends_are_those_of_a_pattern():
+    draw = random.Random(6)
+    attributes = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+    for _ in range(2000):
+        page = "".join(draw.choice("ab <>'\"=") for _ in range(draw.randint(0, 25)))
+        ends = page_text._TagEnds(page)
+        for at in range(len(page) + 1):
+            m = attributes.match(page, at)
+            assert ends.behind(at) == (m.end() - 1 if m else -1)

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from gridloom.llm import pii, queries
 
 
@@ -74,3 +76,16 @@ def test_empty_table_and_redaction(spark, make_docs, edge_rows):
     assert out.columns == docs.columns and out.count() == len(edge_rows)
     texts = {r["doc_id"]: r["text"] for r in out.collect()}
     assert texts[1] == "Hello there, write to <EMAIL> or <PHONE> now." and texts[2] is None and texts[3] == ""
+
+
+@pytest.mark.parametrize("digits", [5_000, 50_000])
+def test_long_runs_of_digits(digits):
+    zeros, nines = "0" * digits, "9" * digits
+    found = pii.identifiers(f"{zeros}.1.1.1 and {nines}.1.1.1 and 1.{zeros}7.255.000255")
+    assert [(k, e - s) for s, k, e in found if k == 1] == [(1, digits + 6), (1, digits + 14)]
+
+
+@pytest.mark.parametrize(("text", "disguised"), [("anna at host dot it", True), ("anna at host dot at", True), ("anna at host dot cloud", True), ("anna at host dot of", False), ("anna at noon dot maybe", False)])
+def test_endings_of_bare_addresses(spark, text, disguised):
+    row = pii.find_identifiers(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert bool(row["spans"]) is disguised
