@@ -15,6 +15,8 @@ from gridloom.operators.ordering import ordered_prefix
 from gridloom.session import cut_lineage
 
 RANGE_BYTES = 8 << 20
+#: Beyond so many ranges a task reads several, one after another.
+MOST_TASKS = 20_000
 # Schemes that Arrow's file systems open; files of others are read whole by Spark.
 RANGED = frozenset({"file", "hdfs", "s3", "s3a", "gs", "gcs", "abfs", "abfss"})
 
@@ -51,7 +53,9 @@ def read_records(spark: SparkSession, path: str, length: int, skip: int = 0, ran
     spans = files.withColumn("_n", total).where("_n > 0").select("path", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / per_range).cast("long"))).alias("_r"))
     ranges = spans.select("path", (F.col("_r") * per_range).alias("first"), F.least(F.lit(per_range), F.col("_n") - F.col("_r") * per_range).alias("n"))
     ranged = F.regexp_extract("path", r"^([a-z0-9]+):", 1).isin(sorted(RANGED))
-    near = ranges.where(ranged).repartition("path", "first").mapInArrow(_range_reader(length, skip), "path string, index long, record binary")
+    # A given number of partitions, as ranges are tiny rows that adaptive execution would put into one task.
+    tasks = min(max(ranges.count(), 1), MOST_TASKS)
+    near = ranges.where(ranged).repartition(tasks, "path", "first").mapInArrow(_range_reader(length, skip), "path string, index long, record binary")
     if not files.where(~ranged).limit(1).count():
         return near
     whole = spark.read.format("binaryFile").load(path).select("path", "content").where(~ranged)
