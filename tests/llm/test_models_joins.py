@@ -254,7 +254,7 @@ def planted_vectors(n, seed=11, width=16):
     return rows[:n]
 
 
-def brute_links(rows, cosine=0.93):
+def planted_links(rows, cosine=0.93):
     """(links by key, pairs) with every row against every row of its label and length."""
     groups = {}
     for key, v, label in rows:
@@ -272,7 +272,7 @@ def brute_links(rows, cosine=0.93):
 def test_recall_on_planted_vectors(spark):
     rows = planted_vectors(12_000)
     found = {r["vec_id"]: r["n_links"] for r in multi_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
-    want = brute_links(rows)
+    want = planted_links(rows)
     assert sum(want.values()) > 20_000 and all(found[k] <= want[k] for k in want)
     assert sum(found.values()) / sum(want.values()) >= 0.99
 
@@ -280,7 +280,7 @@ def test_recall_on_planted_vectors(spark):
 def test_vectors_of_two_lengths(spark):
     rows = [(k, v, 1) for k, v, _ in planted_vectors(500, 2, 8)] + [(1000 + k, v, 1) for k, v, _ in planted_vectors(490, 3, 5)] + [(5000, [1.0] * 300, 1), (5001, [2.0], 1), (5002, [3.0], 1)]
     found = {r["vec_id"]: r["n_links"] for r in multi_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
-    want = brute_links(rows)
+    want = planted_links(rows)
     assert sum(found.values()) >= 0.99 * sum(want.values()) and all(found[k] <= want[k] for k in want)
     assert found[5001] == found[5002] == 1 and found[5000] == 0
 
