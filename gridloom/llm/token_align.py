@@ -9,21 +9,30 @@ walked token by token; it changes the shift.
 from __future__ import annotations
 
 import re
-from itertools import chain
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import byte_bpe
-from gridloom.llm.common import add_columns, arrow_map, own_name
+from gridloom.llm.common import add_columns, own_name
 from gridloom.session import cut_lineage
 
 #: Pairs that hold this part of all links or more are looked up inside the tasks; there can be no more of them than this.
 COMMON = 1 << 17
 MADE = "n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<int>"
 NOTHING = (0, 0, 0, 0, "", [], [])
+#: Parts of a text remembered by the piece model, in each of two generations.
+REMEMBERED = 1 << 17
+#: Texts with a run of so many characters without a space, or of white space, are encoded by the streaming encoder.
+LONG_RUN = 2_000
+#: Distinct id pairs that a task adds up before it hands their sums on.
+SUMMED = 1 << 20
 
 
 def stretches(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
@@ -59,81 +68,138 @@ def stretches(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
 
 def links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of all pairs of tokens whose byte ranges overlap: one for each stretch of bytes without an end of either inside."""
-    ends = np.concatenate([a, b])
-    ends.sort(kind="stable")
-    ends = ends[np.concatenate([[True], ends[1:] != ends[:-1]])] if len(ends) else ends
-    return np.searchsorted(a, ends), np.searchsorted(b, ends)
+    if not len(a):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    marks = np.zeros((2, int(a[-1]) + 1), np.int8)
+    marks[0, a] = marks[1, b] = 1
+    at = np.flatnonzero(marks[0] | marks[1])
+    # Tokens of a side that end before a stretch ends: the index of the token it lies in.
+    left, right = marks[0, at], marks[1, at]
+    return np.cumsum(left, dtype=np.int64) - left, np.cumsum(right, dtype=np.int64) - right
 
 
 class _Words(dict):
-    """Spaces and the characters behind them up to the next space -> their ids.
+    """Spaces and the characters behind them up to the next space -> their ids, packed, and ``OTHER`` behind them where they do
+    not give the part back. (Packed ids are no containers, which the garbage collector would visit again and again.)
 
     No piece of the vocabulary has a space behind another character (checked), so no merge crosses the place before such a
-    space, and the parts of a text can be encoded one by one.
+    space, and the parts of a text can be encoded one by one. A full dictionary becomes the older generation; parts met
+    again move back, so frequent ones are never encoded anew.
     """
 
+    OTHER = -1
+
     def __init__(self, model: sentencepiece.SentencePieceProcessor):
         super().__init__()
-        self.model, self.space = model, model.piece_to_id("▁")
+        self.model, self.space, self.older = model, model.piece_to_id("▁"), {}
+        self.tokens = piece_bytes(model)
         pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
         self.apart = not any("▁" in p.lstrip("▁") for p in pieces)
 
-    def __missing__(self, part: str) -> list[int]:
-        found = self.model.encode(part[1:], num_threads=1) if part != " " else [self.space]
-        if len(part) <= byte_bpe.REMEMBERED_CHARS:
-            if len(self) >= byte_bpe.REMEMBERED:
-                self.clear()
-            self[part] = found
-        return found
+    def same(self, ids: list[int], whole: str) -> bool:
+        return b"".join(map(self.tokens.__getitem__, ids)) == whole.encode()
+
+    def _learn(self, parts: set[str]) -> None:
+        """Entries for parts that have none, from the older generation or the model."""
+        if len(self) + len(parts) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self.update((part, self.older[part]) for part in parts if part in self.older)
+        for part in [part for part in parts if part not in self]:
+            ids = self.model.encode(part[1:], num_threads=1) if part != " " else [self.space]
+            self[part] = array("i", ids if self.same(ids, part) else [*ids, self.OTHER]).tobytes()
+
+    def parts(self, text: str) -> tuple[list[int], bool]:
+        """Ids of a space and the text, and whether they stand for the same bytes."""
+        if not self.apart or "▁" in text:
+            ids = self.model.encode(text, num_threads=1)
+            return ids, self.same(ids, f" {text}")
+        parts = _PART.findall(f" {text}")
+        if missing := {part for part in parts if part not in self}:
+            self._learn(missing)
+            # The learning may have begun a new generation.
+            self.update((part, self.older[part]) for part in parts if part not in self)
+        ids = array("i", b"".join(map(self.__getitem__, parts))).tolist()
+        for part in missing:
+            if len(part) > byte_bpe.REMEMBERED_CHARS:
+                del self[part]
+        if self.OTHER not in ids:
+            return ids, True
+        ids = [i for i in ids if i != self.OTHER]
+        return ids, self.same(ids, f" {text}")
 
     def encode(self, text: str) -> list[int]:
-        if not self.apart or "▁" in text:
-            return self.model.encode(text, num_threads=1)
-        return list(chain.from_iterable(map(self.__getitem__, _PART.findall(f" {text}"))))
+        return self.parts(text)[0]
+
+
+def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
+    """The bytes that each piece of a model stands for."""
+    pieces = ((i, model.id_to_piece(i)) for i in range(model.get_piece_size()))
+    return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces]
 
 
 _PART = re.compile(" +[^ ]*")
 
 
+def quick_encoding(vocabulary: byte_bpe.Vocabulary) -> tiktoken.Encoding | None:
+    """The compiled encoder of the same vocabulary, where ids rise with the ranks of the merges and all single bytes are tokens."""
+    made = [vocabulary.ids[u + v] for u, v in vocabulary.ranks]
+    whole = all(bytes([b]) in vocabulary.ids for b in range(256)) and len(made) + 256 == len(vocabulary.ids)
+    if not whole or any(x >= y for x, y in zip(made, made[1:])):
+        return None
+    return tiktoken.Encoding("pair", pat_str=CUT, mergeable_ranks=vocabulary.ids, special_tokens={})
+
+
+# Fixed value: the published pattern of the byte-level vocabulary.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SPACES = re.compile(rf"\s{{{LONG_RUN}}}")
+
+
 class Pair:
     """Two tokenizers in a worker: ids of a text, bytes and spelled-out numbers of the ids."""
 
     def __init__(self, vocabulary: byte_bpe.Vocabulary, known: dict[str, bytes], piece_model: bytes):
-        self.vocabulary, self.known = vocabulary, known
+        self.vocabulary, self.known, self.quick = vocabulary, known, quick_encoding(vocabulary)
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
-        self.words, self.width = _Words(self.pieces), self.pieces.get_piece_size()
+        self.width = self.pieces.get_piece_size()
         self.a = [self.vocabulary.tokens.get(i, b"") for i in range(max(self.vocabulary.tokens) + 1)]
-        self.b = [self._bytes(i) for i in range(self.width)]
+        self.words = _Words(self.pieces)
+        self.b = self.words.tokens
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in side], np.int64) for side in (self.a, self.b))
         self.names = [str(i) for i in range(max(len(self.a), self.width))]
+        self.opened, self.closed = [f"{name}|" for name in self.names[: len(self.a)]], [f"{name};" for name in self.names[: self.width]]
 
-    def _bytes(self, i: int) -> bytes:
-        piece = self.pieces.id_to_piece(i)
-        return bytes([int(piece[3:5], 16)]) if self.pieces.is_byte(i) else piece.replace("▁", " ").encode()
+    def encode_a(self, whole: str) -> list[int] | None:
+        """Ids of the byte-level vocabulary; None where they stand for other bytes."""
+        if self.quick and max(map(len, whole.split()), default=0) < LONG_RUN and not _SPACES.search(whole):
+            # Its tokens cut the bytes into parts, so they give them back.
+            return self.quick.encode_ordinary(whole)
+        ids = np.frombuffer(b"".join(byte_bpe.encoded_chunks(whole, byte_bpe.Encoder(self.vocabulary, False, self.known))), "<u4").tolist()
+        return ids if b"".join(map(self.a.__getitem__, ids)) == whole.encode() else None
 
     def align(self, text: str | None) -> tuple:
         if not text:
             return NOTHING
-        whole = f" {text}"
-        data = whole.encode()
-        a = np.frombuffer(b"".join(byte_bpe.encoded_chunks(whole, byte_bpe.Encoder(self.vocabulary, False, self.known))), "<u4").astype(np.int64)
-        a_list, b_list = a.tolist(), self.words.encode(text)
-        b = np.array(b_list, np.int64)
-        if b"".join(map(self.a.__getitem__, a_list)) != data or b"".join(map(self.b.__getitem__, b_list)) != data:
+        a_list, (b_list, same) = self.encode_a(f" {text}"), self.words.parts(text)
+        if a_list is None or not same:
             return NOTHING
+        a, b = np.array(a_list, np.int64), np.array(b_list, np.int64)
         ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
         a_ends, b_ends = ends[0].tolist(), ends[1].tolist()
-        found = stretches(a_ends, b_ends)
-        a_names, b_names = list(map(self.names.__getitem__, a_list)), list(map(self.names.__getitem__, b_list))
-        groups: list[str] = []
-        for i, i_end, j, j_end in found:
+        groups, n_groups = [], 0
+        for i, i_end, j, j_end in stretches(a_ends, b_ends):
             if a_ends[i] == b_ends[j]:
-                groups.extend(map("|".join, zip(a_names[i:i_end], b_names[j:j_end], strict=True)))
+                spelled = [""] * (2 * (i_end - i))
+                spelled[::2] = map(self.opened.__getitem__, a_list[i:i_end])
+                spelled[1::2] = map(self.closed.__getitem__, b_list[j:j_end])
+                groups += spelled
+                n_groups += i_end - i
             else:
-                groups.append(f"{','.join(a_names[i:i_end])}|{','.join(b_names[j:j_end])}")
+                groups.append(f"{','.join([self.names[x] for x in a_list[i:i_end]])}|{','.join([self.names[x] for x in b_list[j:j_end]])};")
+                n_groups += 1
         left, right = links(*ends)
         pairs, times = np.unique(a[left] * self.width + b[right], return_counts=True)
-        return len(a_list), len(b_list), len(groups), len(left), ";".join(groups), pairs, times.astype(np.int32)
+        return len(a_list), len(b_list), n_groups, len(left), "".join(groups)[:-1], pairs, times.astype(np.int32)
 
 
 _PAIRS: dict[str, Pair] = {}
@@ -164,10 +230,49 @@ def b_width(piece_file: str) -> int:
     return sentencepiece.SentencePieceProcessor(model_file=piece_file).get_piece_size()
 
 
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs and times of all rows of a batch one behind another, and the row number of each."""
+    pairs, times = batch.column("pairs"), batch.column("times")
+    sizes = pairs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return pairs.flatten().to_numpy(zero_copy_only=False), times.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _added(pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the times of each distinct pair."""
+    order = np.argsort(pairs, kind="stable")
+    pairs, times = pairs[order], times[order]
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
+    return pairs[first], np.add.reduceat(times, first) if len(first) else times
+
+
+def _partial_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a task by pair; a pair comes again only after ``SUMMED`` distinct ones were held."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def given() -> Iterator[pa.RecordBatch]:
+        pairs, times = _added(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        for at in range(0, len(pairs), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + (1 << 16)]), pa.array(times[at : at + (1 << 16)])], names=["pair", "n"])
+
+    for batch in batches:
+        pairs, times, _ = _flat(batch)
+        held.append(_added(pairs, times))
+        size += len(held[-1][0])
+        if size >= 2 * SUMMED:
+            held = [_added(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+            size = len(held[0][0])
+            if size >= SUMMED:
+                yield from given()
+                held, size = [], 0
+    if held:
+        yield from given()
+
+
 def pair_counts(aligned: DataFrame, width: int) -> DataFrame:
     """(pair, n, best): links of each id pair over all rows, and whether its id of b has no pair with more."""
-    each = aligned.select(F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("x.pairs", "x.times")
-    counts = cut_lineage(each.groupBy(F.col("pairs").alias("pair")).agg(F.sum("times").alias("n")))
+    parts = aligned.select("pairs", "times").mapInArrow(_partial_counts, "pair long, n long")
+    counts = cut_lineage(parts.groupBy("pair").agg(F.sum("n").alias("n")))
     # One row for each id of b at most: the size of a vocabulary.
     top = counts.groupBy((F.col("pair") % width).alias("b")).agg(F.max("n").alias("top"))
     return counts.join(F.broadcast(top), F.col("pair") % width == F.col("b")).select("pair", "n", (F.col("n") == F.col("top")).alias("best"))
@@ -188,22 +293,29 @@ def associate(aligned: DataFrame, width: int) -> DataFrame:
     common = sorted(tuple(r) for r in counts.where(often).collect())
     table = rows.sparkSession.sparkContext.broadcast([np.array(x, np.int64) for x in (zip(*common, strict=True) if common else ([], [], []))])
 
-    def looked_up(part: dict[str, list]) -> dict[str, list]:
+    def looked_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row of sums of each text (no pair), and a row of each pair that is joined (no sums)."""
         keys, n, best = table.value
-        out: dict[str, list] = {"row": part[row], "count_sum": [], "n_best": [], "pairs": [], "times": []}
-        for pairs, times in zip(part["pairs"], part["times"], strict=True):
-            pairs, times = np.array(pairs, np.int64), np.array(times, np.int64)
+        for batch in batches:
+            pairs, times, of = _flat(batch)
             at = np.minimum(np.searchsorted(keys, pairs), max(len(keys) - 1, 0))
             here = keys[at] == pairs if len(keys) else np.zeros(len(pairs), bool)
-            out["count_sum"].append(int((n[at[here]] * times[here]).sum()))
-            out["n_best"].append(int((best[at[here]] * times[here]).sum()))
-            out["pairs"].append(pairs[~here])
-            out["times"].append(times[~here])
-        return out
-
-    parts = cut_lineage(arrow_map(rows.select(row, "pairs", "times"), looked_up, "row long, count_sum long, n_best long, pairs array<long>, times array<long>"))
-    rest = parts.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
-    joined = rest.join(counts.where(~often), "pair").select("row", (F.col("n") * F.col("times")).alias("count_sum"), (F.col("best").cast("long") * F.col("times")).alias("n_best"))
-    sums = parts.select("row", "count_sum", "n_best").union(joined).groupBy("row").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))
+            sums = np.zeros((2, batch.num_rows), np.int64)
+            for to, value in zip(sums, (n, best), strict=True):
+                np.add.at(to, of[here], value[at[here]] * times[here])
+            ids = batch.column("row").to_numpy()
+            rest, blank = int((~here).sum()), pa.nulls
+            columns = [
+                pa.array(np.concatenate([ids, ids[of[~here]]])),
+                *(pa.concat_arrays([pa.array(to), blank(rest, pa.int64())]) for to in sums),
+                *(pa.concat_arrays([blank(len(ids), pa.int64()), pa.array(x[~here])]) for x in (pairs, times)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "count_sum", "n_best", "pair", "times"])
+
+    made = "row long, count_sum long, n_best long, pair long, times long"
+    parts = cut_lineage(rows.select(F.col(row).alias("row"), "pairs", "times").mapInArrow(looked_up, made))
+    joined = parts.where("pair is not null").select("row", "pair", "times").join(counts.where(~often), "pair")
+    joined = joined.select("row", (F.col("n") * F.col("times")).alias("count_sum"), (F.col("best").cast("long") * F.col("times")).alias("n_best"))
+    sums = parts.where("pair is null").select("row", "count_sum", "n_best").union(joined).groupBy("row").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))
     kept = rows.drop("pairs", "times", "count_sum", "n_best")
     return kept.join(sums.withColumnRenamed("row", row), row).drop(row)
