@@ -50,6 +50,11 @@ def is_right(scores: Column, label: Column) -> Column:
     return (A.arg_max(scores) == label).cast("int")
 
 
+def is_right_one_hot(scores: Column, label: Column) -> Column:
+    """The greatest score stands where the greatest entry of the label array does (the first on ties); null if either is null."""
+    return (A.arg_max(scores) == A.arg_max(label)).cast("int")
+
+
 def is_right_binary(pred: Column, label: Column, threshold: float = 0.0) -> Column:
     return ((pred >= F.lit(threshold)).cast("int") == label).cast("int")
 

@@ -19,7 +19,7 @@ def regions(cells: DataFrame, map_key: str, tile: int = TILE, max_edges: int | N
 
     Each tile is labelled on its own (at most ``tile * tile`` cells per group). Labels that touch across a
     tile edge are then merged over the much smaller graph of tile regions: per map in one group while no map has
-    more than ``max_edges`` touching pairs, else by an iterated minimum over all tasks.
+    more than ``max_edges`` touching pairs, else by an iterated minimum over all tasks. A null map is a map like any other.
     """
     number = "bigint(i) * 4294967296 + bigint(j)"
     base = cells.select(map_key, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
@@ -47,22 +47,23 @@ def regions(cells: DataFrame, map_key: str, tile: int = TILE, max_edges: int | N
     tiled = base.withColumn("_ti", F.floor(F.col("i") / tile)).withColumn("_tj", F.floor(F.col("j") / tile))
     kind = base.schema[map_key].dataType.simpleString()
     local = tiled.groupBy(map_key, "_ti", "_tj").applyInPandas(label, f"`{map_key}` {kind}, i long, j long, region long")
-    local = cut_lineage(local)
+    # Joins compare maps as structs, which are equal even where they hold null.
+    local = cut_lineage(local.withColumn("_map", F.struct(map_key)))
 
     def across(axis: str) -> DataFrame:
         edge = local.filter((F.col(axis) % tile == tile - 1)).withColumn(axis, F.col(axis) + 1)
         other = local.filter((F.col(axis) % tile == 0)).withColumnRenamed("region", "other")
-        return edge.join(other, [map_key, "i", "j"]).select(map_key, F.col("region").alias("a"), F.col("other").alias("b"))
+        return edge.join(other.drop(map_key), ["_map", "i", "j"]).select("_map", F.col("region").alias("a"), F.col("other").alias("b"))
 
     touching = cut_lineage(across("i").unionByName(across("j")).distinct())
     if touching.isEmpty():
-        return local
+        return local.drop("_map")
     max_edges = MAX_EDGES if max_edges is None else max_edges
-    crowded = touching.groupBy(map_key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_edges)
+    crowded = touching.groupBy("_map").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_edges)
     merge = _merge_local if crowded.isEmpty() else merge_labels
-    roots = merge(touching, map_key).withColumnRenamed("node", "region")
-    joined = checked_lookup(local, roots, [map_key, "region"], ["i", "j"])
-    return joined.withColumn("region", F.coalesce("root", "region")).drop("root")
+    roots = merge(touching, "_map").withColumnRenamed("node", "region")
+    joined = checked_lookup(local, roots, ["_map", "region"], ["i", "j"])
+    return joined.select(map_key, "i", "j", F.coalesce("root", "region").alias("region"))
 
 
 def _merge_local(edges: DataFrame, key: str) -> DataFrame:
@@ -80,7 +81,7 @@ def _merge_local(edges: DataFrame, key: str) -> DataFrame:
             root = root[root]
             if (root == before).all():
                 break
-        return pd.DataFrame({key: part[key].iloc[0], "node": names, "root": names[root]})
+        return pd.DataFrame({key: [part[key].iloc[0]] * len(names), "node": names, "root": names[root]})
 
     kind = edges.schema[key].dataType.simpleString()
     return edges.groupBy(key).applyInPandas(merge, f"`{key}` {kind}, node long, root long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -121,7 +122,8 @@ class Diverged(RuntimeError):
 def gradient_sums(df: DataFrame, features: str, label: str, work: list[tuple[Model, Parameters]], depth: int = 2):
     """For every (model, parameters): rows, loss, right answers and gradients summed over all rows.
 
-    Each task returns one row with its partial sums; they are added in a tree, so the driver receives a few.
+    Each task returns one row with its partial sums; they are added in a tree, so the driver receives a few. A table
+    without rows has sums of zero.
     """
     shared = df.sparkSession.sparkContext.broadcast(work)
 
@@ -137,7 +139,8 @@ def gradient_sums(df: DataFrame, features: str, label: str, work: list[tuple[Mod
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(sums)], pa.binary())], names=["sums"])
 
     parts = df.select(features, label).mapInArrow(partial, "sums binary")
-    return parts.rdd.map(lambda row: pickle.loads(bytes(row["sums"]))).treeReduce(_add, depth)
+    found = parts.rdd.map(lambda row: pickle.loads(bytes(row["sums"]))).treeAggregate(None, _add_known, _add_known, depth)
+    return found or [(0, 0.0, 0, {name: np.zeros_like(value) for name, value in p.items()}) for _, p in work]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -154,9 +157,14 @@ def _add(a, b):
     ]
 
 
+def _add_known(a, b):
+    """Sums of two parts, of which either may have none."""
+    return b if a is None else a if b is None else _add(a, b)
+
+
 def evaluate_model(df: DataFrame, features: str, label: str, work: list[tuple[Model, Parameters]]) -> list[tuple[float, float]]:
-    """(loss, accuracy) per model."""
-    return [(loss / n, right / n) for n, loss, right, _ in gradient_sums(df, features, label, work)]
+    """(loss, accuracy) per model; NaN for a table without rows."""
+    return [(loss / n, right / n) if n else (math.nan, math.nan) for n, loss, right, _ in gradient_sums(df, features, label, work)]
 
 
 def fit(
@@ -168,7 +176,8 @@ def fit(
 
     With ``slices`` > 1 the rows are written once, split by a hash of ``key``, and every step reads one slice (a
     mini-batch); otherwise each step uses all rows, kept in memory or on disk. ``listeners`` are called with
-    an event name (begin, step, epoch, end) and its details.
+    an event name (begin, step, epoch, end) and its details. A slice without rows is no step, so an empty table leaves the
+    parameters and the history as they were.
     """
     tell = listeners or []
     if slices > 1:
@@ -177,7 +186,8 @@ def fit(
         # As many write tasks as shuffle partitions, whatever the number of slices.
         rows = df.select(F.col(features).alias(features), F.col(label).alias(label), part.alias("slice"), F.xxhash64(key).alias("_h"))
         rows.repartition("slice", "_h").drop("_h").write.partitionBy("slice").parquet(path)
-        stored = df.sparkSession.read.parquet(path)
+        # A table without rows leaves no file to read a schema from.
+        stored = df.sparkSession.read.schema(rows.drop("_h").schema).parquet(path)
         batches = [stored.filter(F.col("slice") == i) for i in range(slices)]
         held = None
     else:
@@ -192,6 +202,8 @@ def fit(
                 if not live:
                     return trials
                 sums = gradient_sums(batch, features, label, [(t.model, t.parameters) for t in live])
+                if not sums[0][0]:
+                    continue
                 for trial, (rows, loss, right, gradients) in zip(live, sums, strict=True):
                     record = {"epoch": epoch, "step": number, "loss": loss / rows, "accuracy": right / rows, "rows": rows}
                     if np.isnan(loss):
@@ -199,7 +211,7 @@ def fit(
                         if stop_on_divergence:
                             raise Diverged(trial.failed)
                         continue
-                    if epoch == 0 and number == 0 and all(not np.any(g) for g in gradients.values()):
+                    if not trial.history and all(not np.any(g) for g in gradients.values()):
                         raise ValueError("all gradients are zero in the first step")
                     trial.history.append(record)
                     for name, gradient in gradients.items():
@@ -210,7 +222,8 @@ def fit(
                 live = [t for t in trials if t.failed is None]
                 checked = evaluate_model(validate, features, label, [(t.model, t.parameters) for t in live])
                 for trial, (loss, accuracy) in zip(live, checked, strict=True):
-                    trial.history[-1].update(validate_loss=loss, validate_accuracy=accuracy)
+                    if trial.history:
+                        trial.history[-1].update(validate_loss=loss, validate_accuracy=accuracy)
             for listen in tell:
                 listen("epoch", {"epoch": epoch, "trials": trials})
         for listen in tell:

@@ -107,7 +107,10 @@ def _id_lookup(shared, unknown_id: int):
 
 def decode(df: DataFrame, ids: str, vocabulary: DataFrame, key: str, stop: str | None = None,
            unknown: str = UNKNOWN, target: str = "tokens", max_rows: int | None = None) -> DataFrame:
-    """Tokens of ``ids``; with ``stop`` the list ends before the first stop token."""
+    """Tokens of ``ids``; with ``stop`` the list ends before the first stop token.
+
+    Every row stays: a null list stays null, an empty one stays empty, and the key may be null in one row.
+    """
     vocabulary = vocabulary.select("id", "token")
     exploded = df.select(key, F.posexplode_outer(ids).alias("pos", "id"))
     joined = checked_lookup(exploded, vocabulary, ["id"], [key, "pos"], max_rows=max_rows)
@@ -120,7 +123,7 @@ def decode(df: DataFrame, ids: str, vocabulary: DataFrame, key: str, stop: str |
         packed = packed.withColumn(
             target, F.when(place > 0, F.slice(target, F.lit(1), (place - 1).cast("int"))).otherwise(F.col(target))
         )
-    return df.join(packed, key)
+    return _joined_back(df, packed, ids, key, target, "array<string>")
 
 
 def word_pieces(df: DataFrame, tokens: str, vocabulary: DataFrame, key: str, unknown: str = "[UNK]",

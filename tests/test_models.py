@@ -140,3 +140,14 @@ def test_gram_and_matmul(spark):
     w = spark.createDataFrame([(c, k, float(c + k)) for c in range(4) for k in range(2)], "c int, k int, v double")
     product = T.matmul(cells, w, "r", "c", "k").toPandas().pivot(index="r", columns="k", values="v").to_numpy()
     assert np.allclose(product, x @ np.array([[0, 1], [1, 2], [2, 3], [3, 4]]))
+
+
+@pytest.mark.parametrize("rows,slices", [(0, 1), (0, 4), (2, 8)])
+def test_tables_and_slices_without_rows(points, rows, slices):
+    trial = TR.Trial(TR.Mlp(2, 4, 2), OP.Sgd(0.1), seed=3)
+    before = {name: value.copy() for name, value in trial.parameters.items()}
+    some = points.where(f"id < {rows}")
+    TR.fit(some, "x", "y", [trial], 1, key="id", slices=slices, validate=points.limit(0))
+    assert sum(step["rows"] for step in trial.history) == rows
+    assert any(not np.array_equal(before[k], v) for k, v in trial.parameters.items()) == (rows > 0)
+    assert all(np.isnan(x) for x in TR.evaluate_model(points.limit(0), "x", "y", [(trial.model, trial.parameters)])[0])

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.detection import suppress
 from gridloom.operators.ordering import ordered_prefix
-from gridloom.operators.vocabulary import encode, word_pieces
+from gridloom.operators.regions import regions
+from gridloom.operators.vocabulary import decode, encode, word_pieces
 
 LISTS = [
     (1, ["a", "b", "zz"]), (2, []), (3, None), (4, [None, "a"]), (None, ["b", "", "a"]), (6, ["\U0001f600" * 120, "ab"]), (7, ["a"] * 5), (8, ["" ]),
@@ -144,3 +145,19 @@ def test_idx_files_are_paired_by_name(spark, tmp_path):
             (tmp_path / kind / f"part-{k}").write_bytes(body)
     rows = sorted((r["file"], r["index"], r["label"], r["pixels"]) for r in read_idx(spark, str(tmp_path / "images"), str(tmp_path / "labels"), 2).collect())
     assert rows == [(0, 0, 0, [0, 0]), (0, 1, 7, [9, 9]), (1, 0, 1, [1, 1]), (1, 1, 7, [9, 9])]
+
+
+@pytest.mark.parametrize("limit", [0, None])
+def test_decode_keeps_every_row(spark, limit):
+    rows = [(1, [7, 8, 9]), (2, []), (3, None), (None, [8, 99])]
+    words = spark.createDataFrame([(7, "a"), (8, "b"), (9, "<eos>")], "id long, token string")
+    got = decode(spark.createDataFrame(rows, "k int, ids array<long>"), "ids", words, "k", stop="<eos>", unknown="?", max_rows=limit)
+    assert {r["k"]: r["tokens"] for r in got.collect()} == {1: ["a", "b"], 2: [], 3: None, None: ["b", "?"]}
+
+
+@pytest.mark.parametrize("most", [0, 1_000])
+def test_cells_of_a_null_map_are_one_map(spark, most):
+    cells = [(m, 0, j) for m in (None, 7) for j in range(6)]
+    got = regions(spark.createDataFrame(cells, "m int, i int, j int"), "m", 3, most)
+    assert got.columns == ["m", "i", "j", "region"]
+    assert sorted((str(r["m"]), r["j"], r["region"]) for r in got.collect()) == sorted((str(m), j, 0) for m, _, j in cells)
