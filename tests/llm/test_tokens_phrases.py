@@ -291,3 +291,28 @@ def test_trie_finds_what_a_set_finds():
             got |= dict(zip(at[ends >= 0].tolist(), ends[ends >= 0].tolist(), strict=True))
         want = {i: known[key] for i in range(len(ids)) if (key := tuple(ids[i : i + n].tolist())) in known}
         assert got == want and want
+
+
+def test_both_encoders_of_the_aligner_agree():
+    with open(BYTES) as one, open(PIECES, "rb") as two:
+        vocabulary, model = byte_bpe.Vocabulary(one.read()), two.read()
+    pair = token_align.Pair(vocabulary, byte_bpe._Remembered(vocabulary), model)
+    slow = token_align.Pair(vocabulary, pair.known, model)
+    slow.quick = None
+    draw = random.Random(11)
+    texts = ["".join(draw.choice("abcdeinorst"[: draw.choice([3, 11])]) for _ in range(draw.randint(1, 40))) for _ in range(3000)]
+    texts += [f"x{c}1{c}!{c} {c}y  {c}" for c in map(chr, [*range(0x3000), *range(0x3000, 0xD800, 97), *range(0xE000, 0x110000, 211)])]
+    texts += ["x" * 3000, "a" + " " * 3000 + "b", "<|endoftext|> it's  \n\n end "]
+    assert pair.quick is not None
+    for text in texts:
+        assert pair.encode_a(text) == slow.encode_a(text), repr(text)
+
+
+def test_remembered_parts_over_generations(monkeypatch):
+    monkeypatch.setattr(token_align, "REMEMBERED", 8)
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    words, draw = token_align._Words(model), random.Random(4)
+    for _ in range(500):
+        text = " ".join(draw.choice("abcdefghijklmnop") * draw.choice([1, 2, 90]) for _ in range(draw.randint(1, 12)))
+        assert words.parts(text) == (model.encode(text), True)
+        assert all(len(part) <= byte_bpe.REMEMBERED_CHARS for part in words)
