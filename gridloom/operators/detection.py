@@ -213,13 +213,15 @@ def suppress(
 
 
 def _suppress_placed(df: DataFrame, group: list[str], key: str, score: str, threshold: float, keep_equal: bool, max_group: int) -> DataFrame:
-    hot = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_group).select(*group)
+    # Groups are compared as structs, which are equal even where they hold null.
+    grouped = df.withColumn("_group", F.struct(*group))
+    hot = grouped.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_group).select("_group")
     if hot.isEmpty():
         return _suppress_local(df, group, key, score, threshold, keep_equal)
     hot = cut_lineage(hot)
-    normal = checked_lookup(df, hot, group, [key], how="left_anti")
-    large = checked_lookup(df, hot, group, [key], how="left_semi")
-    kept = _suppress_spread(large, group, key, score, threshold, keep_equal, max_group)
+    normal = checked_lookup(grouped, hot, ["_group"], [key], how="left_anti").select(*df.columns)
+    large = checked_lookup(grouped, hot, ["_group"], [key], how="left_semi")
+    kept = _suppress_spread(large, group, key, score, threshold, keep_equal, max_group).select(*df.columns)
     return _suppress_local(normal, group, key, score, threshold, keep_equal).unionByName(kept)
 
 
@@ -247,6 +249,8 @@ def _suppress_spread(df: DataFrame, group: list[str], key: str, score: str, thre
                      max_group: int) -> DataFrame:
     """The same result by rounds of grouped maxima, for groups of any size.
 
+    ``df`` has the group columns also as one struct, ``_group``, by which rows are joined.
+
     Two boxes can only collide if their sides differ by less than a factor 1/threshold and they share a
     point. Each box is entered in the grid cells it touches, at the grid sizes fitting its sides, so that
     colliding boxes share a cell. In each round the best undecided box of all its cells is kept, and boxes
@@ -273,28 +277,29 @@ def _suppress_spread(df: DataFrame, group: list[str], key: str, score: str, thre
         )))
 
     places = solid.withColumn("_cx", F.explode(cells("x", "w"))).withColumn("_cy", F.explode(cells("y", "h")))
-    cell = [*group, "_cx", "_cy"]
+    cell = ["_group", "_cx", "_cy"]
     # The smallest is the best: high scores, then low keys of any type; null and NaN scores are NaN, which is last.
     rank = F.struct(F.coalesce(-F.col(score).cast("double"), F.lit(float("nan"))).alias("s"), F.col(key).alias("k"))
-    entries = cut_lineage(places.select(*group, "_cx", "_cy", key, rank.alias("_rank"), BX.box(*map(F.col, "xywh")).alias("_b")))
-    kept = solid.limit(0).select(*group, key)
-    undecided = entries.select(*group, key).distinct()
-    while not undecided.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_group).isEmpty():
+    entries = cut_lineage(places.select("_group", "_cx", "_cy", key, rank.alias("_rank"), BX.box(*map(F.col, "xywh")).alias("_b")))
+    kept = solid.limit(0).select("_group", key)
+    undecided = entries.select("_group", key).distinct()
+    while not undecided.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_group).isEmpty():
         best = cut_lineage(entries.groupBy(*cell).agg(F.min("_rank").alias("_best")))
         seen = checked_lookup(entries, best, cell, [key], how="inner")
-        top = seen.groupBy(*group, key).agg(F.bool_and(F.col("_rank") == F.col("_best")).alias("_top")).filter("_top")
-        top = cut_lineage(top.select(*group, key))
+        top = seen.groupBy("_group", key).agg(F.bool_and(F.col("_rank") == F.col("_best")).alias("_top")).filter("_top")
+        top = cut_lineage(top.select("_group", key))
         kept = kept.unionByName(top)
-        winners = entries.join(top, [*group, key], "left_semi").select(*cell, F.col(key).alias("_winner"), F.col("_b").alias("_kept"))
+        winners = entries.join(top, ["_group", key], "left_semi").select(*cell, F.col(key).alias("_winner"), F.col("_b").alias("_kept"))
         met = checked_lookup(entries, cut_lineage(winners), cell, [key], how="inner")
         overlap = BX.iou(F.col("_kept"), F.col("_b"))
         hit = (overlap > threshold) if keep_equal else (overlap >= threshold)
-        gone = met.filter((F.col("_winner") == F.col(key)) | hit).select(*group, key).distinct()
-        entries = cut_lineage(entries.join(gone, [*group, key], "left_anti"))
-        undecided = entries.select(*group, key).distinct()
-    sure = solid.join(kept, [*group, key], "left_semi")
-    rest = solid.join(undecided, [*group, key], "left_semi")
-    return sure.unionByName(_suppress_local(rest, group, key, score, threshold, keep_equal)).unionByName(flat)
+        gone = met.filter((F.col("_winner") == F.col(key)) | hit).select("_group", key).distinct()
+        entries = cut_lineage(entries.join(gone, ["_group", key], "left_anti"))
+        undecided = entries.select("_group", key).distinct()
+    sure = solid.join(kept, ["_group", key], "left_semi")
+    rest = solid.join(undecided, ["_group", key], "left_semi")
+    left = _suppress_local(rest.drop("_group"), group, key, score, threshold, keep_equal)
+    return sure.drop("_group").unionByName(left).unionByName(flat.drop("_group"))
 
 
 def top_scores(df: DataFrame, image: list[str], score: str, key: str, k: int) -> DataFrame:

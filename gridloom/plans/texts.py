@@ -440,8 +440,9 @@ def word_vectors(t, vocab):
 
 
 @query("embedded_tokens", "J02 M11", f"""
-WITH {TOKENS}, {VOCAB}, {WORD_VECTORS} SELECT doc_id, pos, coalesce(v.vector, u.vector)[1]::DOUBLE AS first, coalesce(v.vector, u.vector)[64]::DOUBLE AS last
-FROM tok LEFT JOIN vectors v USING (token), (SELECT vector FROM vectors WHERE token = '<unk>') u""")
+WITH {TOKENS}, {VOCAB}, {WORD_VECTORS}, two AS (SELECT token, vector[1]::DOUBLE AS first, vector[64]::DOUBLE AS last FROM vectors)
+SELECT doc_id, pos, coalesce(v.first, u.first) AS first, coalesce(v.last, u.last) AS last
+FROM tok LEFT JOIN two v USING (token), (SELECT first, last FROM two WHERE token = '<unk>') u""")
 def embedded_tokens(t):
     base = tokens(t)
     vectors = cut_lineage(word_vectors(t, vocabulary(base)))

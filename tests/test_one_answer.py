@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.operators import detection
 from gridloom.operators.detection import suppress
 from gridloom.operators.ordering import ordered_prefix
 from gridloom.operators.regions import regions
@@ -60,6 +61,20 @@ def test_suppress(spark, threshold, kind):
     assert {(1, "100"), (1, "101"), (1, "102")} <= {(g, str(i)) for g, i in small}
 
 
+def test_a_large_null_group_is_not_solved_in_one_task(spark, monkeypatch):
+    boxes = [(g, i, float(i % 7), float(3 * i), 0.0, 4.0, 4.0) for g in (None, 2) for i in range(12)]
+    df = spark.createDataFrame(boxes, "g long, id long, score double, x double, y double, w double, h double")
+    small, sizes, local = rows_of(suppress(df, ["g"], "id", "score", 0.1), "g", "id"), [], detection._suppress_local
+
+    def counted(part, group, *rest):
+        sizes.extend(r["count"] for r in part.groupBy(*group).count().collect())
+        return local(part, group, *rest)
+
+    monkeypatch.setattr(detection, "_suppress_local", counted)
+    assert rows_of(suppress(df, ["g"], "id", "score", 0.1, max_group=3), "g", "id") == small
+    assert max(sizes, default=0) <= 3 and {g for g, _ in small} == {None, 2}
+
+
 def test_suppress_threshold_is_checked_first(spark):
     df = spark.createDataFrame([], "g long, id long, score double, x double, y double, w double, h double")
     for threshold in (0.0, 1.5):
