@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.lookup import checked_lookup
@@ -27,7 +28,9 @@ LEAST, LONGEST, TOP = 10, 3, 2000
 #: Most words of a dictionary block and most phrases of a trie: each block is one pass over the corpus.
 DICTIONARY, BLOCK = 1 << 19, 1 << 19
 #: Bytes of text that a task works on at once.
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
+#: Rows of word ids, of some ``AT_ONCE`` bytes each, that the file reader and Arrow hold at once.
+ROWS_AT_ONCE = 4
 #: Bytes between pieces, and between words; A-Z becomes a-z.
 _TABLE = bytes(10 if b in b".,;:!?\n\v\f\r" else 32 if b in b" \t" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -56,6 +59,23 @@ def _by_language(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[
                 yield lang, part["text"].filter(pc.equal(part["lang"], lang)).to_pylist()
 
 
+@contextmanager
+def few_rows(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside read and pass on ``ROWS_AT_ONCE`` rows at a time; the session's settings are put back behind them.
+
+    A row of word ids is as long as thousands of rows of other tables, for which the usual sizes of a batch are made.
+    """
+    settings = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name in settings:
+            spark.conf.set(name, ROWS_AT_ONCE)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, f): occurrences of every word; the row with a null word holds those of all words of the language."""
 
@@ -91,7 +111,8 @@ def number_words(docs: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFram
         numbered.append(cut_lineage(spark.createDataFrame(part.select(["id", "lang", "word", "f"]))))
         table = spark.sparkContext.broadcast({lang: _of_language(part, lang) for lang in pc.unique(part["lang"]).to_pylist()})
         last = number == len(blocks) - 1
-        state = cut_lineage(_filled(state, table, number == 0, last))
+        with few_rows(spark) if number else nullcontext():
+            state = cut_lineage(_filled(state, table, number == 0, last))
         first += part.num_rows
     known = numbered[0]
     for more in numbered[1:]:
@@ -379,11 +400,13 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     base = math.isqrt(words.agg(F.max("id")).first()[0] or 0) + 1
     levels: dict[int, DataFrame] = {}
     for n in range(2, longest + 1):
-        candidates = cut_lineage(proposed(ids, n, least))
+        with few_rows(docs.sparkSession):
+            candidates = cut_lineage(proposed(ids, n, least))
         built = built_tries(candidates, n, base)
-        levels[n] = counted(ids, tries(built, n, base), n)
-        if n < longest:
-            ids = marked(ids, tries(built, n, base))
+        with few_rows(docs.sparkSession):
+            levels[n] = counted(ids, tries(built, n, base), n)
+            if n < longest:
+                ids = marked(ids, tries(built, n, base))
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     best = None
     for n in range(2, longest + 1):
