@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.lookup import checked_lookup
-from gridloom.operators.ordering import ordered_prefix
+from gridloom.operators.selection import at_ranks
 
 
 def accumulate(
@@ -51,53 +47,29 @@ def mean_of_batches(df: DataFrame, loss: Column, batch: list[str], within: list[
 def floor_rank_percentiles(df: DataFrame, name: str, value: str, tie: str, percents: list[int]) -> DataFrame:
     """``sorted[n * p / 100]`` with integer division, clamped to the last value, exact for groups of any size.
 
-    Nulls are not values: they count nowhere, and a group of nulls only has null percentiles.
+    Nulls are not values: they count nowhere, and a group of nulls only has null percentiles. ``tie`` deals out the rows of a busy group.
     """
-    names, df = df.select(name).distinct(), df.where(F.col(value).isNotNull())
-    placed = ordered_prefix(df.select(name, value, tie), value, tie, within=[name], index="_i")
-    sizes = df.groupBy(F.col(name).alias("_name")).agg(F.count(F.lit(1)).alias("_n"))
-    # A few groups may hold all rows; their sizes are looked up, not shuffled to.
-    hit = _with_sizes(placed, sizes, {name: "_name"}, tie)
-
-    def at(p: int) -> Column:
-        rank = F.least(F.floor(F.col("_n") * p / 100), F.col("_n") - 1)
-        return F.max(F.when(F.col("_i") == rank, F.col(value))).alias(f"p{p}")
-
-    return _all_groups(names, hit.groupBy(name).agg(*[at(p) for p in percents]), [name])
-
-
-def _with_sizes(placed: DataFrame, sizes: DataFrame, names: dict[str, str], spread_by: str) -> DataFrame:
-    """Join group sizes by keys that may be null, through a struct, which equals itself even where it holds nulls."""
-    keyed = sizes.select(F.struct(*[F.col(v).alias(k) for k, v in names.items()]).alias("_g"), "_n")
-    return checked_lookup(placed.withColumn("_g", F.struct(*names)), keyed, ["_g"], [spread_by], how="inner").drop("_g")
-
-
-def _all_groups(names: DataFrame, found: DataFrame, groups: list[str]) -> DataFrame:
-    """``found`` with a row of nulls for every group it lacks."""
-    marked = found.select(*[F.col(g).alias(f"_{g}") for g in groups], *[c for c in found.columns if c not in groups])
-    same = reduce(and_, (names[g].eqNullSafe(marked[f"_{g}"]) for g in groups), F.lit(True))
-    return names.join(marked, same, "left").select(*found.columns)
+    n = F.col("_n")
+    found = at_ranks(df, [name], value, tie, [F.least(F.floor(n * p / 100), n - 1) for p in percents])
+    return found.select(name, *[F.get("_at", F.lit(i)).alias(f"p{p}") for i, p in enumerate(percents)])
 
 
 def percentiles(df: DataFrame, groups: list[str], value: str, tie: str, shares: dict[str, float]) -> DataFrame:
     """Percentiles with linear interpolation between neighbours, exact for groups of any size.
 
-    The built-in percentile keeps all distinct values of a group in one task; here the values are placed by
-    :func:`ordered_prefix` and the two neighbours of each percentile are picked out. Nulls are not values; null groups are
-    groups, and a group without values has null percentiles.
+    The built-in percentile keeps all distinct values of a group in one task; here :func:`at_ranks` finds the two neighbours of
+    each percentile. Nulls are not values; null groups are groups, and a group without values has null percentiles. ``tie`` deals
+    out the rows of a busy group.
     """
-    names, df = df.select(*groups).distinct(), df.where(F.col(value).isNotNull())
-    placed = ordered_prefix(df.select(*groups, value, tie), value, tie, within=groups, index="_i")
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    sized = _with_sizes(placed, sizes.withColumnsRenamed({g: f"_{g}" for g in groups}), {g: f"_{g}" for g in groups}, tie)
-
-    def at(share: float) -> Column:
-        rank = (F.col("_n") - 1) * F.lit(share)
-        weight = F.greatest(F.lit(0.0), 1 - F.abs(F.col("_i") - rank))
-        return F.sum(F.when(weight > 0, weight * F.col(value)))
-
-    found = sized.groupBy(*groups).agg(*[at(share).alias(name) for name, share in shares.items()])
-    return _all_groups(names, found, groups) if groups else found
+    ranks = {name: (F.col("_n") - 1) * F.lit(share) for name, share in shares.items()}
+    found = at_ranks(df, groups, value, tie, [end for rank in ranks.values() for end in (F.floor(rank), F.ceil(rank))])
+
+    def between(i: int, rank: Column) -> Column:
+        low, high = (F.get("_at", F.lit(2 * i + side)).cast("double") for side in (0, 1))
+        part = rank - F.floor(rank)
+        return F.when(part == 0, low).otherwise(low * (1 - part) + high * part)
+
+    return found.select(*groups, *[between(i, rank).alias(name) for i, (name, rank) in enumerate(ranks.items())])
 
 
 def latest(df: DataFrame, name: str, value: str, ts: str, tie: str) -> DataFrame:
