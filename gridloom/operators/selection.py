@@ -41,7 +41,7 @@ def at_ranks(df: DataFrame, groups: list[str], value: str, spread_by: str, ranks
 
     ``ranks`` are 0-based and below ``_n``, from which they may be computed. Nulls aren't values: a group without values has ``_n``
     0 and null entries. Null groups are groups. ``spread_by`` deals out the rows of a busy group where there are too many groups to broadcast. Without ``groups``
-    the table is one group, also if it is empty.
+    the table is one group, also if it is empty. ``df`` is read several times and must give the same rows each time.
     """
     fenced = FENCED if fenced is None else fenced
     kind = df.schema[value].dataType.simpleString()
