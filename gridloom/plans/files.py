@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import arrays as A
 from gridloom.operators import features as FE
+from gridloom.operators.lookup import checked_lookup
 from gridloom.operators.tensors import explode_rows
 from gridloom.plans.registry import query, r6
 from gridloom.session import scratch_path
@@ -238,7 +239,7 @@ def idx_files(t):
         name = F.concat(F.lit(f"{kind}/part-"), "part", F.lit(".idx"))
         K.write_files(packed.select(name.alias("name"), F.unhex(F.concat(F.lit("00" * head), kind)).alias("content")), path, "name", "content")
     out = IM.read_idx(t.spark, f"{path}/pictures", f"{path}/labels", 64)
-    out = out.withColumnRenamed("file", "number").join(_places(cut), "number")
+    out = checked_lookup(out.withColumnRenamed("file", "number"), _places(cut), ["number"], ["index"], how="inner")
     return out.select(F.col("file").cast("long").alias("file"), (F.col("first_index") + F.col("index")).alias("index"), "label", A.total(F.col("pixels")).alias("total"))
 
 
@@ -254,7 +255,9 @@ def colour_record_files(t):
     content = F.unhex(F.array_join(F.transform("r", lambda s: s["r"]), ""))
     K.write_files(packed.select(F.concat(F.lit("batch_"), "part", F.lit(".bin")).alias("name"), content.alias("content")), path, "name", "content")
     out = IM.read_colour_records(t.spark, path)
-    out = out.withColumn("part", F.regexp_extract("path", r"batch_([^/]*)\.bin$", 1)).join(_places(cut), "part")
+    out = out.withColumn("part", F.regexp_extract("path", r"batch_([^/]*)\.bin$", 1))
+    # The pieces' side is the one to broadcast: a plan may take the records, read from rows of file ranges, for a few bytes.
+    out = checked_lookup(out, _places(cut), ["part"], ["index"], how="inner")
     return out.select(F.col("file").cast("long").alias("file"), (F.col("first_index") + F.col("index")).alias("index"), "label", A.total(F.col("pixels")).alias("total"), F.get("pixels", F.lit(0)).alias("first"), F.element_at("pixels", -1).alias("last"))
 
 
@@ -291,7 +294,7 @@ def coco_annotations(t):
     docs = rows.groupBy("b").agg(F.collect_set("image").alias("images"), F.collect_list("note").alias("annotations"))
     docs = docs.withColumn("categories", F.array().cast(none)).drop("b")
     classes = t.spark.createDataFrame([([{"id": 57 - 3 * i} for i in range(20)],)], f"categories {none}")
-    docs.unionByName(classes, allowMissingColumns=True).write.json(path)
+    docs.unionByName(classes, allowMissingColumns=True).write.json(path, compression="gzip")
     document = t.spark.read.schema(IM.COCO_SCHEMA).json(path)
     return IM.coco_boxes(document).select("image_id", "file", "annotation_id", F.col("class").cast("long").alias("class"), "x", "w")
 

@@ -108,7 +108,8 @@ def read_idx(spark: SparkSession, images: str, labels: str, size: int = 784) ->
 
     pictures, answers = records(images, size, 16), records(labels, 1, 8)
     digit = F.conv(F.hex("record"), 16, 10).cast("int")
-    return pictures.select("file", "index", bytes_to_array(F.col("record")).alias("pixels")).join(
+    # Both sides grow with the files, which a plan can't see from the rows of file ranges: neither is to be broadcast.
+    return pictures.select("file", "index", bytes_to_array(F.col("record")).alias("pixels")).hint("merge").join(
         answers.select("file", "index", digit.alias("label")), ["file", "index"]
     )
 
