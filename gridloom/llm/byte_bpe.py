@@ -17,9 +17,9 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import repeat
 
 import numpy as np
 import regex
@@ -33,6 +33,8 @@ CHUNK, LONG = 1 << 16, 1 << 12
 REMEMBERED, REMEMBERED_CHARS = 1 << 18, 64
 #: Pieces of at most so many bytes are merged without a heap.
 FEW = 32
+#: Above every number of a merge.
+_NO_MERGE = 1 << 62
 
 # Characters that newer Unicode tables call letters or numbers, but the tables behind the published vocabulary do not.
 NEWER = (
@@ -103,6 +105,14 @@ class Vocabulary:
             u, v = (bytes(alphabet[c] for c in part) for part in (merge.split(" ") if isinstance(merge, str) else merge))
             self.ranks[u, v] = rank
         self.lookahead = lookahead(list(self.ranks))
+        # The same merges by number: a token's id, or a number behind all ids for bytes that only merges know.
+        numbers = dict(self.ids)
+        self.known = max(numbers.values(), default=-1) + 1
+        for token in [*(bytes([b]) for b in range(256)), *(part for u, v in self.ranks for part in (u, v, u + v))]:
+            numbers.setdefault(token, self.known + len(numbers))
+        self.singles, self.width = [numbers[bytes([b])] for b in range(256)], max(numbers.values()) + 1
+        # Pair -> rank times the width, plus the number of what the merge makes.
+        self.joins = {numbers[u] * self.width + numbers[v]: rank * self.width + numbers[u + v] for (u, v), rank in self.ranks.items()}
 
 
 def lookahead(merges: list[tuple[bytes, bytes]]) -> int:
@@ -125,25 +135,7 @@ def lookahead(merges: list[tuple[bytes, bytes]]) -> int:
 
 
 def merged(data: bytes, ranks: dict[tuple[bytes, bytes], int]) -> list[bytes]:
-    """The tokens of ``data``: the merge of the lowest rank first, from the left among equal ones."""
-    return _few_merged(data, ranks) if len(data) <= FEW else _many_merged(data, ranks)
-
-
-def _few_merged(data: bytes, ranks: dict[tuple[bytes, bytes], int]) -> list[bytes]:
-    """For a word, looking at all pairs again after each merge is the fastest."""
-    parts, none = [data[i : i + 1] for i in range(len(data))], len(ranks)
-    while len(parts) > 1:
-        found = list(map(ranks.get, zip(parts, parts[1:]), repeat(none)))
-        low = min(found)
-        if low == none:
-            break
-        i = found.index(low)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return parts
-
-
-def _many_merged(data: bytes, ranks: dict[tuple[bytes, bytes], int]) -> list[bytes]:
-    """For long pieces, pairs wait in a heap."""
+    """The tokens of ``data``: the merge of the lowest rank first, from the left among equal ones; pairs wait in a heap."""
     parts: list[bytes | None] = [data[i : i + 1] for i in range(len(data))]
     after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
     heap = [(rank, i) for i in range(len(parts) - 1) if (rank := ranks.get((parts[i], parts[i + 1]))) is not None]
@@ -164,6 +156,26 @@ def _many_merged(data: bytes, ranks: dict[tuple[bytes, bytes], int]) -> list[byt
     return [p for p in parts if p is not None]
 
 
+def few_merged(data: bytes, vocabulary: Vocabulary) -> list[int]:
+    """Ids of the tokens of a word: the lowest rank is looked for anew after each merge, which changes the ranks of two pairs."""
+    parts, get, width, none = list(map(vocabulary.singles.__getitem__, data)), vocabulary.joins.get, vocabulary.width, _NO_MERGE
+    found = [get(u * width + v, none) for u, v in zip(parts, parts[1:])]
+    while found:
+        low = min(found)
+        if low == none:
+            break
+        i, made = found.index(low), low % width
+        parts[i : i + 2] = [made]
+        del found[i]
+        if i:
+            found[i - 1] = get(parts[i - 1] * width + made, none)
+        if i < len(found):
+            found[i] = get(made * width + parts[i + 1], none)
+    if parts and max(parts) >= vocabulary.known:
+        raise KeyError("the vocabulary lacks a token that its merges make")
+    return parts
+
+
 class _Remembered(dict):
     """Piece -> its ids packed as little-endian unsigned 32-bit integers; unknown pieces are merged when asked for."""
 
@@ -175,7 +187,8 @@ class _Remembered(dict):
         return np.array([self.vocabulary.ids[t] for t in tokens], "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.packed(merged(piece.encode(), self.vocabulary.ranks))
+        data = piece.encode()
+        found = array("I", few_merged(data, self.vocabulary)).tobytes() if len(data) <= FEW else self.packed(merged(data, self.vocabulary.ranks))
         if len(piece) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
                 self.clear()

@@ -316,3 +316,35 @@ def test_remembered_parts_over_generations(monkeypatch):
         text = " ".join(draw.choice("abcdefghijklmnop") * draw.choice([1, 2, 90]) for _ in range(draw.randint(1, 12)))
         assert words.parts(text) == (model.encode(text), True)
         assert all(len(part) <= byte_bpe.REMEMBERED_CHARS for part in words)
+
+
+def test_words_are_merged_by_number_with_few_lookups(vocabulary):
+    known, draw = vocabulary[0], random.Random(6)
+
+    class Counting(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            self.asked += 1
+            return super().get(key, default)
+
+    joins, known.joins = known.joins, Counting(known.joins)
+    try:
+        for _ in range(2_000):
+            data = "".join(draw.choices("etaoin shrdlu'é日\U0001f600\0ABC019", k=draw.randint(0, 9))).encode()[: byte_bpe.FEW]
+            before = known.joins.asked
+            ids = byte_bpe.few_merged(data, known)
+            assert [known.tokens[i] for i in ids] == byte_bpe.merged(data, known.ranks)
+            # The pairs at the beginning, and two for each merge.
+            assert known.joins.asked - before <= max(0, len(data) - 1) + 2 * (len(data) - len(ids))
+    finally:
+        known.joins = joins
+
+
+def test_a_merge_to_no_token_is_an_error():
+    letters = byte_bpe.byte_alphabet()
+    model = {"type": "BPE", "vocab": {c: i for i, c in enumerate(letters)}, "merges": ["a b"]}
+    lacks = byte_bpe.Vocabulary(json.dumps({"model": model, "pre_tokenizer": {"type": "ByteLevel"}}))
+    assert byte_bpe.few_merged(b"ba", lacks) == [lacks.ids[b"b"], lacks.ids[b"a"]]
+    with pytest.raises(KeyError):
+        byte_bpe.few_merged(b"ab", lacks)
