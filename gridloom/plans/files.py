@@ -12,7 +12,7 @@ from gridloom.operators import features as FE
 from gridloom.operators.lookup import checked_lookup
 from gridloom.operators.tensors import explode_rows
 from gridloom.plans.registry import query, r6
-from gridloom.session import scratch_path
+from gridloom.session import scratch_path, spread
 from gridloom.sources import images as IM
 from gridloom.sources import sinks as K
 from gridloom.sources import tabular as TB
@@ -270,7 +270,7 @@ def source_tree(t):
     path = scratch_path(t.spark, "tree")
     where = F.concat("source", F.lit("/"), "lang", F.lit("/Doc"), "doc_id")
     docs = t.documents.select(where.alias("w"), F.encode("text", "UTF-8").alias("content"))
-    K.write_files(docs.select(F.concat("w", F.lit(".java")).alias("name"), "content"), path, "name", "content")
+    K.write_files(spread(docs, "w").select(F.concat("w", F.lit(".java")).alias("name"), "content"), path, "name", "content")
     K.write_files(docs.limit(5).select(F.concat("w", F.lit(".txt")).alias("name"), "content"), path, "name", "content")
     read = TX.read_code(t.spark, path).withColumn("doc_id", F.regexp_extract("path", r"Doc(\d+)\.java$", 1).cast("long"))
     lines = F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + F.length(x))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from gridloom.operators.batching import export_matrix
 
 JSON_CLASSES = 5
+#: Folders that a task remembers to have made.
+FOLDERS = 10_000
 
 
 def write_matrix(df: DataFrame, path: str, data: list[str], labels: list[str]) -> None:
@@ -45,10 +47,15 @@ def write_files(df: DataFrame, folder: str, name: str, content: str) -> None:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        made = set()
         for batch in batches:
             for row in batch.to_pylist():
                 place = f"{root}/{row['name']}"
-                store.create_dir(place.rpartition("/")[0], recursive=True)
+                if (parent := place.rpartition("/")[0]) not in made:
+                    store.create_dir(parent, recursive=True)
+                    # A name may have a folder of its own, so few are remembered.
+                    made = made if len(made) < FOLDERS else set()
+                    made.add(parent)
                 with store.open_output_stream(place) as out:
                     out.write(row["content"])
             yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]}, schema=pa.schema([("n", pa.int64())]))

@@ -173,3 +173,29 @@ def test_prediction_json(spark, tmp_path):
     K.write_predictions(df, str(tmp_path / "p"), "id", "top")
     text = spark.read.text(str(tmp_path / "p")).first()["value"]
     assert len(json.loads(json.loads(text)["classes"])) == 5
+
+
+def test_small_files_are_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    for i in range(1500):
+        (tmp_path / f"D{i}.java").write_bytes([b"a \n\nb", b"", b"\xef\xbb\xbfx\r\n"][i % 3])
+    tasks, cut = [], TX.cut_lineage
+    monkeypatch.setattr(TX, "cut_lineage", lambda df: tasks.append(df.rdd.getNumPartitions()) or cut(df))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    found = {r["path"].rsplit("/", 1)[1]: r["lines"] for r in TX.read_code(spark, str(tmp_path)).collect()}
+    # Spark leaves out files without a byte.
+    assert found["D0.java"] == ["a", "b"] and found["D2.java"] == ["\ufeffx"] and len(found) == 1000
+    # By Spark's usual cost of a file there are 47 and more.
+    assert tasks[0] <= 2 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
+def test_whole_files_are_what_the_text_reader_gives(spark, tmp_path):
+    for i, content in enumerate([b"", b"\xef\xbb\xbfx\r\n", b"\xff\xfe y", "é日\0".encode()]):
+        (tmp_path / f"{i} ä_1.txt").write_bytes(content)
+    with gzip.open(tmp_path / "z_1.txt.gz", "wb") as out:
+        out.write(b"packed")
+    for pattern in ("*.txt", "*.txt.gz"):
+        text = spark.read.option("pathGlobFilter", pattern).text(str(tmp_path), wholetext=True)
+        want = text.select(F.hex("value"), "_metadata.file_path").collect()
+        got = TX.whole_files(spark, str(tmp_path), pattern).select(F.hex("text"), "path").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) == (3 if pattern == "*.txt" else 1)
