@@ -11,9 +11,11 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame
@@ -44,7 +46,9 @@ def stretches(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
     while i < n and j < m:
         at, size = i, 1
         shift = j - i
-        while i + size <= n and i + shift + size <= m and a[i : i + size] == b[i + shift : i + shift + size]:
+        if a[i] == b[j]:
+            i, size = i + 1, 2
+        while size > 1 and i + size <= n and i + shift + size <= m and a[i : i + size] == b[i + shift : i + shift + size]:
             i += size
             size *= 2
         while size > 1:
@@ -79,59 +83,63 @@ def links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Words(dict):
-    """Spaces and the characters behind them up to the next space -> their ids, packed, and ``OTHER`` behind them where they do
-    not give the part back. (Packed ids are no containers, which the garbage collector would visit again and again.)
+    """Spaces and the characters behind them up to the next space -> their ids, packed. (Packed ids are no containers, which the
+    garbage collector would visit again and again.)
 
     No piece of the vocabulary has a space behind another character (checked), so no merge crosses the place before such a
     space, and the parts of a text can be encoded one by one. A full dictionary becomes the older generation; parts met
     again move back, so frequent ones are never encoded anew.
     """
 
-    OTHER = -1
-
     def __init__(self, model: sentencepiece.SentencePieceProcessor):
         super().__init__()
         self.model, self.space, self.older = model, model.piece_to_id("▁"), {}
         self.tokens = piece_bytes(model)
+        self.table = pa.array(self.tokens, pa.binary())
         pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
         self.apart = not any("▁" in p.lstrip("▁") for p in pieces)
 
-    def same(self, ids: list[int], whole: str) -> bool:
-        return b"".join(map(self.tokens.__getitem__, ids)) == whole.encode()
-
-    def _learn(self, parts: set[str]) -> None:
-        """Entries for parts that have none, from the older generation or the model."""
-        if len(self) + len(parts) > REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        self.update((part, self.older[part]) for part in parts if part in self.older)
-        for part in [part for part in parts if part not in self]:
-            ids = self.model.encode(part[1:], num_threads=1) if part != " " else [self.space]
-            self[part] = array("i", ids if self.same(ids, part) else [*ids, self.OTHER]).tobytes()
-
-    def parts(self, text: str) -> tuple[list[int], bool]:
+    def __missing__(self, part: str) -> bytes:
+        found = self.older.get(part)
+        if found is None:
+            found = array("i", self.model.encode(part[1:], num_threads=1) if part != " " else [self.space]).tobytes()
+        if len(part) <= byte_bpe.REMEMBERED_CHARS:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[part] = found
+        return found
+
+    def ids(self, text: str) -> tuple[np.ndarray, bool]:
         """Ids of a space and the text, and whether they stand for the same bytes."""
         if not self.apart or "▁" in text:
-            ids = self.model.encode(text, num_threads=1)
-            return ids, self.same(ids, f" {text}")
-        parts = _PART.findall(f" {text}")
-        if missing := {part for part in parts if part not in self}:
-            self._learn(missing)
-            # The learning may have begun a new generation.
-            self.update((part, self.older[part]) for part in parts if part not in self)
-        ids = array("i", b"".join(map(self.__getitem__, parts))).tolist()
-        for part in missing:
-            if len(part) > byte_bpe.REMEMBERED_CHARS:
-                del self[part]
-        if self.OTHER not in ids:
-            return ids, True
-        ids = [i for i in ids if i != self.OTHER]
-        return ids, self.same(ids, f" {text}")
+            ids = np.array(self.model.encode(text, num_threads=1), np.int32)
+        else:
+            ids = np.frombuffer(b"".join(map(self.__getitem__, _PART.findall(f" {text}"))), np.int32)
+        return ids, joined(self.table, ids) == f" {text}".encode()
+
+    def parts(self, text: str) -> tuple[list[int], bool]:
+        ids, same = self.ids(text)
+        return ids.tolist(), same
 
     def encode(self, text: str) -> list[int]:
         return self.parts(text)[0]
 
 
+def joined(table: pa.Array, places: np.ndarray) -> str | bytes:
+    """The strings of a table at ``places``, one behind another."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(places)], pa.int32()), table.take(pa.array(places)))
+    return pc.binary_join(whole, pa.scalar("", table.type))[0].as_py()
+
+
+def closing(n: int, first: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """Which of ``n`` tokens end a group: all but those before the last one of the ranges ``first`` to ``behind``."""
+    step = np.zeros(n + 1, np.int8)
+    step[first] += 1
+    step[behind - 1] -= 1
+    return np.cumsum(step[:n], dtype=np.int8) == 0
+
+
 def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
     """The bytes that each piece of a model stands for."""
     pieces = ((i, model.id_to_piece(i)) for i in range(model.get_piece_size()))
@@ -166,8 +174,9 @@ class Pair:
         self.words = _Words(self.pieces)
         self.b = self.words.tokens
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in side], np.int64) for side in (self.a, self.b))
-        self.names = [str(i) for i in range(max(len(self.a), self.width))]
-        self.opened, self.closed = [f"{name}|" for name in self.names[: len(self.a)]], [f"{name};" for name in self.names[: self.width]]
+        self.names = max(len(self.a), self.width)
+        # Ids spelled out inside a group, at the end of its part of a, at the end of its part of b.
+        self.spelled = pa.array([f"{i}{mark}" for mark in ",|;" for i in range(self.names)], pa.string())
 
     def encode_a(self, whole: str) -> list[int] | None:
         """Ids of the byte-level vocabulary; None where they stand for other bytes."""
@@ -180,26 +189,26 @@ class Pair:
     def align(self, text: str | None) -> tuple:
         if not text:
             return NOTHING
-        a_list, (b_list, same) = self.encode_a(f" {text}"), self.words.parts(text)
+        a_list, (b, same) = self.encode_a(f" {text}"), self.words.ids(text)
         if a_list is None or not same:
             return NOTHING
-        a, b = np.array(a_list, np.int64), np.array(b_list, np.int64)
+        a, b = np.array(a_list, np.int64), b.astype(np.int64)
         ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
-        a_ends, b_ends = ends[0].tolist(), ends[1].tolist()
-        groups, n_groups = [], 0
-        for i, i_end, j, j_end in stretches(a_ends, b_ends):
-            if a_ends[i] == b_ends[j]:
-                spelled = [""] * (2 * (i_end - i))
-                spelled[::2] = map(self.opened.__getitem__, a_list[i:i_end])
-                spelled[1::2] = map(self.closed.__getitem__, b_list[j:j_end])
-                groups += spelled
-                n_groups += i_end - i
-            else:
-                groups.append(f"{','.join([self.names[x] for x in a_list[i:i_end]])}|{','.join([self.names[x] for x in b_list[j:j_end]])};")
-                n_groups += 1
+        found = np.fromiter(chain.from_iterable(stretches(ends[0].tolist(), ends[1].tolist())), np.int64).reshape(-1, 4)
+        groups, n_groups = self.spell(a, b, found[ends[0][found[:, 0]] != ends[1][found[:, 2]]])
         left, right = links(*ends)
         pairs, times = np.unique(a[left] * self.width + b[right], return_counts=True)
-        return len(a_list), len(b_list), n_groups, len(left), "".join(groups)[:-1], pairs, times.astype(np.int32)
+        return len(a), len(b), n_groups, len(left), groups, pairs, times.astype(np.int32)
+
+    def spell(self, a: np.ndarray, b: np.ndarray, irregular: np.ndarray) -> tuple[str, int]:
+        """The groups as text, and their number. Outside the irregular ones every token of a is a group with one of b."""
+        a_last, b_last = closing(len(a), irregular[:, 0], irregular[:, 1]), closing(len(b), irregular[:, 2], irregular[:, 3])
+        a_stops, b_stops = np.flatnonzero(a_last) + 1, np.flatnonzero(b_last) + 1
+        # A token of a stands behind the tokens of b of earlier groups, one of b behind those of a of its own group too.
+        places = np.empty(len(a) + len(b), np.int64)
+        places[np.arange(len(a)) + np.append(0, b_stops)[np.cumsum(a_last) - a_last]] = a + self.names * a_last
+        places[np.arange(len(b)) + a_stops[np.cumsum(b_last) - b_last]] = b + 2 * self.names * b_last
+        return joined(self.spelled, places)[:-1], len(a_stops)
 
 
 _PAIRS: dict[str, Pair] = {}

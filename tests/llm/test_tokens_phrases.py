@@ -348,3 +348,32 @@ def test_a_merge_to_no_token_is_an_error():
     assert byte_bpe.few_merged(b"ba", lacks) == [lacks.ids[b"b"], lacks.ids[b"a"]]
     with pytest.raises(KeyError):
         byte_bpe.few_merged(b"ab", lacks)
+
+
+def test_groups_are_spelled_as_walked_and_parts_encoded_once():
+    with open(BYTES) as one, open(PIECES, "rb") as two:
+        vocabulary, model = byte_bpe.Vocabulary(one.read()), two.read()
+    pair, draw = token_align.Pair(vocabulary, byte_bpe._Remembered(vocabulary), model), random.Random(5)
+    for _ in range(300):
+        total = draw.randint(1, 60)
+        ends = [np.array(sorted({*(draw.randint(1, total) for _ in range(draw.randint(0, 60))), total})) for _ in range(2)]
+        a, b = (np.array([draw.randrange(30_000) for _ in e]) for e in ends)
+        walked, i, j = [], 0, 0
+        for end in sorted(set(ends[0].tolist()) & set(ends[1].tolist())):
+            i_end, j_end = (int(np.searchsorted(e, end)) + 1 for e in ends)
+            walked.append(f"{','.join(map(str, a[i:i_end]))}|{','.join(map(str, b[j:j_end]))}")
+            i, j = i_end, j_end
+        found = np.array(token_align.stretches(*(e.tolist() for e in ends)))
+        irregular = found[ends[0][found[:, 0]] != ends[1][found[:, 2]]]
+        assert pair.spell(a, b, irregular) == (";".join(walked), len(walked))
+    real, asked = pair.words.model, []
+
+    class Asked:
+        def encode(self, part, **options):
+            asked.append(part)
+            return real.encode(part, **options)
+
+    pair.words.model = Asked()
+    text = "some words and some more words and words"
+    assert pair.words.parts(text) == (real.encode(text), True) and pair.words.parts(text) == (real.encode(text), True)
+    assert sorted(asked) == sorted(set(text.split()))
