@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.lookup import checked_lookup
-from gridloom.session import cut_lineage
+from gridloom.session import cut_lineage, drop_written, scratch_paths
 
 LEAST, LONGEST, TOP = 10, 3, 2000
 #: Most words of a dictionary block and most phrases of a trie: each block is one pass over the corpus.
@@ -31,6 +31,10 @@ DICTIONARY, BLOCK = 1 << 19, 1 << 19
 AT_ONCE = 2 << 20
 #: Rows of word ids, of some ``AT_ONCE`` bytes each, that the file reader and Arrow hold at once.
 ROWS_AT_ONCE = 4
+#: Phrases that a task adds up at once, and that a part of all proposed phrases is made for.
+KEYS = 1 << 21
+#: Rows in which a task sends the counts of a trie.
+SLOTS = 64
 #: Bytes between pieces, and between words; A-Z becomes a-z.
 _TABLE = bytes(10 if b in b".,;:!?\n\v\f\r" else 32 if b in b" \t" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -102,7 +106,7 @@ def number_words(docs: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFram
     ``words`` are the frequent words. Ids start at 1; 0 stands for any stretch of other words and for the end of a piece. Texts
     keep no identity: a row holds what a task read at once. One pass for each block of the dictionary.
     """
-    spark, state, numbered, first = docs.sparkSession, docs, [], 1
+    spark, state, before, numbered, first = docs.sparkSession, docs, None, [], 1
     blocks = _blocks(words, DICTIONARY, "lang", "word")
     for number, block in enumerate(blocks):
         # A block has `DICTIONARY` words at most.
@@ -112,7 +116,11 @@ def number_words(docs: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFram
         table = spark.sparkContext.broadcast({lang: _of_language(part, lang) for lang in pc.unique(part["lang"]).to_pylist()})
         last = number == len(blocks) - 1
         with few_rows(spark) if number else nullcontext():
-            state = cut_lineage(_filled(state, table, number == 0, last))
+            state, path = cut_lineage(_filled(state, table, number == 0, last)), scratch_paths(spark)[-1]
+        table.destroy()
+        if before:
+            drop_written(spark, before)
+        before = path
         first += part.num_rows
     known = numbered[0]
     for more in numbered[1:]:
@@ -138,7 +146,7 @@ def _filled(state: DataFrame, table: Broadcast, begin: bool, last: bool) -> Data
             for batch in batches:
                 for row in batch.to_pylist():
                     codes, words, follows = cut([row["text"]])
-                    yield row["lang"], row["text"], codes, words, follows, np.array(row["ids"], np.int32)
+                    yield row["lang"], row["text"], codes, words, follows, _numbers(row["ids"], row["size"], np.int32)
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text, codes, words, follows, ids in words_of(batches):
@@ -147,11 +155,27 @@ def _filled(state: DataFrame, table: Broadcast, begin: bool, last: bool) -> Data
                 found = pc.fill_null(pc.add(pc.index_in(words, value_set=known), at), 0).to_numpy(zero_copy_only=False)
                 ids = np.where(ids == 0, found[codes], ids).astype(np.int32)
             if last:
-                yield pa.RecordBatch.from_arrays([pa.array([_stretches(ids, follows)], pa.list_(pa.int32()))], names=["ids"])
+                ids = _stretches(ids, follows)
+            row = [pa.array([len(ids)], pa.int32()), pa.array([_pressed(ids)], pa.binary())]
+            if last:
+                yield pa.RecordBatch.from_arrays(row, names=["size", "ids"])
             else:
-                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([text], pa.string()), pa.array([ids], pa.list_(pa.int32()))], names=["lang", "text", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([text], pa.string()), *row], names=["lang", "text", "size", "ids"])
+
+    return state.mapInArrow(fill, "size int, ids binary" if last else "lang string, text string, size int, ids binary")
+
 
-    return state.mapInArrow(fill, "ids array<int>" if last else "lang string, text string, ids array<int>")
+def _pressed(numbers: np.ndarray) -> bytes:
+    """Whole numbers as compressed bytes: all first bytes, then all second ones and so on. JVM rows carry them without a step for each number."""
+    width = numbers.dtype.itemsize
+    return pa.compress(np.ascontiguousarray(numbers.astype(f"<i{width}").view(np.uint8).reshape(-1, width).T), codec="zstd", asbytes=True)
+
+
+def _numbers(data: bytes, size: int, kind: type) -> np.ndarray:
+    """What ``_pressed`` was given: ``size`` numbers of a kind."""
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, size * width, codec="zstd", asbytes=True) if size else b"", np.uint8).reshape(width, size)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(f"<i{width}")
 
 
 def _stretches(ids: np.ndarray, follows: np.ndarray) -> np.ndarray:
@@ -166,10 +190,13 @@ def _stretches(ids: np.ndarray, follows: np.ndarray) -> np.ndarray:
 def _task_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids and marks of the rows of a task, each with a 0 behind it; no marks are zeros."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            ids = np.append(batch["ids"][i].values.to_numpy(zero_copy_only=False), np.int32(0))
-            given = "marks" in batch.schema.names and batch["marks"][i].is_valid
-            yield ids, np.append(batch["marks"][i].values.to_numpy(zero_copy_only=False), np.int8(0)) if given else np.zeros(len(ids), np.int8)
+        for row in batch.to_pylist():
+            size = row["size"]
+            ids, marks = np.zeros(size + 1, np.int32), np.zeros(size + 1, np.int8)
+            ids[:size] = _numbers(row["ids"], size, np.int32)
+            if row.get("marks") is not None:
+                marks[:size] = np.unpackbits(np.frombuffer(row["marks"], np.uint8), count=size)
+            yield ids, marks
 
 
 class Trie:
@@ -262,15 +289,16 @@ class Trie:
             at, state = at[more], state[more]
 
 
-    def packed(self) -> dict[str, bytes]:
-        return {name: np.ascontiguousarray(getattr(self, name), np.int32).tobytes() for name in ("offset", "check", "accept", "phrases")}
+    def packed(self) -> dict[str, bytes | int]:
+        return {name: _pressed(np.ascontiguousarray(getattr(self, name), np.int32).reshape(-1)) for name in ("offset", "check", "accept", "phrases")} | {"size": self.size, "many": len(self.phrases)}
 
     @classmethod
     def unpacked(cls, parts: dict, base: int, width: int) -> Trie:
         trie = cls.__new__(cls)
-        for name in ("offset", "check", "accept", "phrases"):
-            setattr(trie, name, np.frombuffer(parts[name], np.int32))
-        trie.base, trie.size, trie.phrases = base, len(trie.offset), trie.phrases.reshape(-1, width)
+        trie.base, trie.size = base, parts["size"]
+        for name in ("offset", "check", "accept"):
+            setattr(trie, name, _numbers(parts[name], trie.size, np.int32))
+        trie.phrases = _numbers(parts["phrases"], parts["many"] * width, np.int32).reshape(-1, width)
         return trie
 
 
@@ -287,43 +315,137 @@ def built_tries(phrases: DataFrame, n: int, base: int) -> DataFrame:
         return pd.DataFrame([Trie(rows[columns].to_numpy(np.int64), base).packed()])
 
     dealt = phrases.withColumn("block", F.pmod(F.xxhash64(*columns), F.lit(parts)))
-    return cut_lineage(dealt.groupBy("block").applyInPandas(build, "offset binary, check binary, accept binary, phrases binary"))
+    return cut_lineage(dealt.groupBy("block").applyInPandas(build, "offset binary, check binary, accept binary, phrases binary, size int, many int"))
 
 
 def tries(built: DataFrame, n: int, base: int) -> Iterator[Broadcast]:
     """The tries, broadcast one after another."""
     for row in built.toLocalIterator():
-        broadcast = built.sparkSession.sparkContext.broadcast(({k: bytes(v) for k, v in row.asDict().items()}, base, n))
+        broadcast = built.sparkSession.sparkContext.broadcast((row.asDict(), base, n))
         yield broadcast
         broadcast.destroy()
 
 
-def proposed(corpus: DataFrame, n: int, least: int) -> DataFrame:
-    """(w1 to wn): the phrases of ``n`` words that stand ``least`` times or more where their parts are frequent.
+def distinct(keys: list[np.ndarray], times: np.ndarray, most: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct keys in order, each as one or several columns, and their summed times, no further than ``most``."""
+    if not len(times):
+        return keys, times
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+    return [k[new] for k in keys], np.minimum(np.add.reduceat(times[order].astype(np.int64), np.flatnonzero(new)), most).astype(np.int32)
 
-    Two words need ids. More need marks: the phrase of the first and that of the last ``n - 1`` words are frequent. Support is
-    summed only up to the threshold, so a row of a task adds ``least`` at most.
+
+class Packing:
+    """Phrases of ``n`` ids below ``size`` as 64-bit keys (several columns where one is too narrow), and sorted keys as bytes.
+
+    The first column is packed as differences: a key takes some three bytes.
     """
-    columns = names(n)
+
+    def __init__(self, n: int, size: int):
+        self.size, self.each = size, max(1, int(63 / math.log2(max(2, size))))
+        while self.each > 1 and size**self.each >= 1 << 63:
+            self.each -= 1
+        self.spans = [range(at, min(n, at + self.each)) for at in range(0, n, self.each)]
+
+    def keys(self, ids: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """Keys of the phrases that begin at the given positions."""
+        found = []
+        for span in self.spans:
+            key = np.zeros(len(at), np.int64)
+            for k in span:
+                key = key * self.size + ids[at + k]
+            found.append(key)
+        return found
+
+    def words(self, keys: list[np.ndarray]) -> list[np.ndarray]:
+        """One column of ids a word."""
+        found = []
+        for span, key in zip(self.spans, keys, strict=True):
+            found += [key // self.size ** (len(span) - 1 - k) % self.size for k in range(len(span))]
+        return [ids.astype(np.int32) for ids in found]
+
+    @staticmethod
+    def parts(keys: list[np.ndarray], parts: int) -> np.ndarray:
+        """The part of every key, by a hash that every task works out alike."""
+        mixed = np.zeros(len(keys[0]), np.uint64)
+        for key in keys:
+            mixed = (mixed ^ key.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        return ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+
+    @staticmethod
+    def pack(keys: list[np.ndarray], times: np.ndarray) -> bytes:
+        return _pressed(np.concatenate([np.diff(keys[0], prepend=0), *keys[1:], times.astype(np.int64)]))
+
+    def unpack(self, data: bytes, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+        first, *others, times = _numbers(data, size * (len(self.spans) + 1), np.int64).reshape(len(self.spans) + 1, size)
+        return [np.cumsum(first), *others], times
+
+
+def proposals(corpus: DataFrame, n: int, least: int, size: int, parts: int) -> DataFrame:
+    """(part, size, packed): the phrases of ``n`` words that may be frequent, each with its support in what a task read at once."""
+    packing = Packing(n, size)
+
+    def rows_of(keys: list[np.ndarray], times: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part = packing.parts(keys, parts)
+        order = np.argsort(part, kind="stable")
+        spans = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
+        for at in range(0, len(spans), 1 << 10):
+            here = spans[at : at + (1 << 10)]
+            packed = [packing.pack([k[span] for k in keys], times[span]) for span in here]
+            yield pa.RecordBatch.from_arrays([pa.array([part[span[0]] for span in here], pa.int32()), pa.array([len(span) for span in here], pa.int32()), pa.array(packed, pa.binary())], names=["part", "size", "packed"])
 
     def support(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
         for ids, marks in _task_rows(batches):
             good = marks != 0 if n > 2 else ids != 0
             at = np.flatnonzero(good[:-1] & good[1:])
-            key = ids[at].astype(np.int64)
-            for k in range(1, n):
-                key = np.unique(key, return_inverse=True)[1] * (1 << 32) + ids[at + k]
-            _, where, times = np.unique(key, return_index=True, return_counts=True)
-            found = [pa.array(ids[at[where] + k], pa.int32()) for k in range(n)]
-            yield pa.RecordBatch.from_arrays([*found, pa.array(np.minimum(times, least), pa.int64())], names=[*columns, "s"])
+            for first in range(0, len(at), KEYS):
+                keys = packing.keys(ids, at[first : first + KEYS])
+                held.append(distinct(keys, np.ones(len(keys[0]), np.int32), least))
+                many += len(held[-1][1])
+                if many > KEYS:
+                    held = [_together(held, least)]
+                    many = len(held[0][1])
+                    if many > KEYS // 2:
+                        yield from rows_of(*held[0])
+                        held, many = [], 0
+        if many:
+            yield from rows_of(*_together(held, least))
+
+    return corpus.mapInArrow(support, "part int, size int, packed binary")
+
+
+def proposed(corpus: DataFrame, n: int, least: int, size: int, positions: int) -> DataFrame:
+    """(w1 to wn): the phrases of ``n`` words that stand ``least`` times or more where their parts are frequent.
 
-    schema = ", ".join([*(f"{c} int" for c in columns), "s long"])
-    return corpus.mapInArrow(support, schema).groupBy(*columns).agg(F.sum("s").alias("s")).where(F.col("s") >= least).select(*columns)
+    Two words need ids, which are below ``size``. More need marks: the phrase of the first and that of the last ``n - 1`` words are
+    frequent. Support is summed only up to the threshold. A task adds up what it reads, ``KEYS`` phrases at a time, and sends the
+    sorted phrases packed, one row for each part; a part gets about ``KEYS`` of the corpus' ``positions`` at most.
+    """
+    columns, packing = names(n), Packing(n, size)
+    parts = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(positions / KEYS))
+
+    def enough(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, times = _together([packing.unpack(data, many) for data, many in zip(rows["packed"], rows["size"], strict=True)], least)
+        return pd.DataFrame(dict(zip(columns, packing.words([k[times >= least] for k in keys]), strict=True)))
+
+    return proposals(corpus, n, least, size, parts).groupBy("part").applyInPandas(enough, ", ".join(f"{c} int" for c in columns))
+
+
+def _together(held: list[tuple[list[np.ndarray], np.ndarray]], most: int) -> tuple[list[np.ndarray], np.ndarray]:
+    keys = [np.concatenate(column) for column in zip(*(k for k, _ in held), strict=True)]
+    return distinct(keys, np.concatenate([t for _, t in held]), most)
 
 
 def counted(corpus: DataFrame, blocks: Iterable[Broadcast], n: int) -> DataFrame:
-    """(w1 to wn, f): all occurrences of the phrases of the tries, as a written table."""
-    columns, found = names(n), None
+    """(w1 to wn, f): all occurrences of the phrases of the tries, as a written table.
+
+    A task sends its counts by number of the phrase, packed in ``SLOTS`` rows at most; those of a slot are added up one after another.
+    """
+    columns, found, packing = names(n), None, Packing(1, 1 << 31)
     schema = ", ".join([*(f"{c} int" for c in columns), "f long"])
     for block in blocks:
 
@@ -334,19 +456,42 @@ def counted(corpus: DataFrame, blocks: Iterable[Broadcast], n: int) -> DataFrame
                 for _, state in trie.states(ids):
                     ends = trie.accept[state]
                     total += np.bincount(ends[ends >= 0], minlength=len(total))
-            some = np.flatnonzero(total)
-            for at in range(0, len(some), 1 << 16):
-                here = some[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(trie.phrases[here, k]) for k in range(n)), pa.array(total[here])], names=[*columns, "f"])
+            width = math.ceil(len(total) / SLOTS)
+            slots = [(i, at) for i in range(SLOTS) if len(at := np.flatnonzero(total[i * width : (i + 1) * width]))]
+            packed = [packing.pack([at], total[i * width + at]) for i, at in slots]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in slots], pa.int32()), pa.array([len(at) for _, at in slots], pa.int32()), pa.array(packed, pa.binary())], names=["slot", "size", "packed"])
+
+        def add(batches: Iterable[pa.RecordBatch], block: Broadcast = block) -> Iterator[pa.RecordBatch]:
+            phrases = Trie.unpacked(*block.value).phrases
+            width = math.ceil(len(phrases) / SLOTS)
+
+            def table(slot: int, total: np.ndarray) -> pa.RecordBatch:
+                some = np.flatnonzero(total)
+                rows = phrases[slot * width + some]
+                return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(n)), pa.array(total[some])], names=[*columns, "f"])
 
-        sums = cut_lineage(corpus.mapInArrow(count, schema).groupBy(*columns).agg(F.sum("f").alias("f")))
+            slot, total = -1, np.zeros(0, np.int64)
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if row["slot"] != slot:
+                        if slot >= 0:
+                            yield table(slot, total)
+                        slot, total = row["slot"], np.zeros(width, np.int64)
+                    (at,), times = packing.unpack(row["packed"], row["size"])
+                    total[at] += times
+            if slot >= 0:
+                yield table(slot, total)
+
+        sent = corpus.mapInArrow(count, "slot int, size int, packed binary")
+        sums = cut_lineage(sent.repartition("slot").sortWithinPartitions("slot").mapInArrow(add, schema))
         found = sums if found is None else found.union(sums)
     return found if found is not None else corpus.sparkSession.createDataFrame([], schema)
 
 
 def marked(corpus: DataFrame, blocks: Iterable[Broadcast]) -> DataFrame:
-    """The corpus with a mark at every position where a phrase of the tries begins."""
-    corpus = corpus.select("ids", F.lit(None).cast("array<tinyint>").alias("marks"))
+    """The corpus with a mark at every position where a phrase of the tries begins; one copy of it is kept, whatever the number of tries."""
+    spark, before = corpus.sparkSession, None
+    corpus = corpus.select("size", "ids", F.lit(None).cast("binary").alias("marks"))
     for block in blocks:
 
         def mark(batches: Iterable[pa.RecordBatch], block: Broadcast = block) -> Iterator[pa.RecordBatch]:
@@ -355,9 +500,13 @@ def marked(corpus: DataFrame, blocks: Iterable[Broadcast]) -> DataFrame:
                 marks = marks.copy()
                 for at, state in trie.states(ids):
                     marks[at[trie.accept[state] >= 0]] = 1
-                yield pa.RecordBatch.from_arrays([pa.array([ids[:-1]], pa.list_(pa.int32())), pa.array([marks[:-1]], pa.list_(pa.int8()))], names=["ids", "marks"])
+                row = [pa.array([len(ids) - 1], pa.int32()), pa.array([_pressed(ids[:-1])], pa.binary()), pa.array([np.packbits(marks[:-1]).tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, names=["size", "ids", "marks"])
 
-        corpus = cut_lineage(corpus.mapInArrow(mark, "ids array<int>, marks array<tinyint>"))
+        corpus, path = cut_lineage(corpus.mapInArrow(mark, "size int, ids binary, marks binary")), scratch_paths(spark)[-1]
+        if before:
+            drop_written(spark, before)
+        before = path
     return corpus
 
 
@@ -398,10 +547,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     totals = counts.where("word is null").select("lang", F.col("f").alias("n"))
     ids, words = number_words(corpus, counts.where("word is not null"))
     base = math.isqrt(words.agg(F.max("id")).first()[0] or 0) + 1
+    positions = totals.agg(F.sum("n")).first()[0] or 0
     levels: dict[int, DataFrame] = {}
     for n in range(2, longest + 1):
         with few_rows(docs.sparkSession):
-            candidates = cut_lineage(proposed(ids, n, least))
+            candidates = cut_lineage(proposed(ids, n, least, base * base, positions))
         built = built_tries(candidates, n, base)
         with few_rows(docs.sparkSession):
             levels[n] = counted(ids, tries(built, n, base), n)

@@ -17,6 +17,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from gridloom.llm import byte_bpe, phrases, queries, token_align
+from gridloom.session import scratch_paths
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 DOCS = "doc_id long, text string, lang string, ids string, pairs string, n_a string, count_sum string, w1 string, f string, rank string"
@@ -293,6 +294,54 @@ def test_trie_finds_what_a_set_finds():
         assert got == want and want
 
 
+@pytest.mark.parametrize(("n", "size"), [(2, 5), (2, 1 << 31), (3, 1 << 20), (3, 1 << 30), (4, 1 << 31)])
+def test_packed_phrases_come_back(n, size):
+    draw = np.random.default_rng(n)
+    ids = draw.integers(max(0, size - 40), size, 5_000).astype(np.int32)
+    at = np.arange(len(ids) - n)
+    packing = phrases.Packing(n, size)
+    keys, times = phrases.distinct(packing.keys(ids, at), np.ones(len(at), np.int32), 7)
+    again, counts = packing.unpack(packing.pack(keys, times), len(times))
+    got = dict(zip(map(tuple, np.stack(packing.words(again), 1).tolist()), counts.tolist(), strict=True))
+    assert got == {key: min(f, 7) for key, f in Counter(tuple(ids[i : i + n].tolist()) for i in at).items()}
+    parts = packing.parts(keys, 8)
+    assert parts.min() >= 0 and parts.max() < 8
+    assert packing.unpack(packing.pack([k[:0] for k in keys], times[:0]), 0)[1].size == 0
+
+
+def id_rows(spark, rows):
+    return spark.createDataFrame([(len(r), phrases._pressed(np.array(r, np.int32)), None) for r in rows], "size int, ids binary, marks binary").repartition(2)
+
+
+def test_rare_phrases_are_sent_packed(spark, monkeypatch):
+    draw = np.random.default_rng(2)
+    rows = [[*draw.integers(1, 50_000, 20_000).tolist(), 7, 8] for _ in range(8)]
+    corpus = id_rows(spark, rows)
+    sent = phrases.proposals(corpus, 2, 3, 50_000, 4).toPandas()
+    assert len(sent) <= 2 * 4 and sent["packed"].map(len).sum() < 5 * sent["size"].sum()
+    pairs = Counter(pair for r in rows for pair in zip(r, r[1:], strict=False))
+    for keys in (phrases.KEYS, 3_000):
+        monkeypatch.setattr(phrases, "KEYS", keys)
+        found = {tuple(r) for r in phrases.proposed(corpus, 2, 3, 50_000, 160_000).collect()}
+        assert found == {pair for pair, f in pairs.items() if f >= 3} and (7, 8) in found
+
+
+def test_one_copy_of_the_corpus_stays_and_counts_are_sent_in_slots(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "BLOCK", 50)
+    draw = np.random.default_rng(3)
+    rows = [draw.integers(0, 30, 3_000).tolist() for _ in range(6)]
+    corpus, wanted = id_rows(spark, rows), spark.createDataFrame([(i, j) for i in range(1, 15) for j in range(1, 15)], "w1 int, w2 int")
+    built = phrases.built_tries(wanted, 2, 6)
+    assert built.count() > 2
+    before = scratch_paths(spark)
+    marks = phrases.marked(corpus.select("size", "ids"), phrases.tries(built, 2, 6))
+    assert len(scratch_paths(spark)) == len(before) + 1
+    pairs = Counter(pair for r in rows for pair in zip(r, r[1:], strict=False) if 1 <= min(pair) and max(pair) < 15)
+    assert sum(int(m[:-1].sum()) for _, m in phrases._task_rows(marks.toArrow().to_batches())) == pairs.total()
+    counts = phrases.counted(corpus, phrases.tries(built, 2, 6), 2)
+    assert {(r["w1"], r["w2"]): r["f"] for r in counts.collect()} == pairs
+
+
 def test_both_encoders_of_the_aligner_agree():
     with open(BYTES) as one, open(PIECES, "rb") as two:
         vocabulary, model = byte_bpe.Vocabulary(one.read()), two.read()
