@@ -1,15 +1,27 @@
-"""Supervised text classification and word vectors with MLlib."""
+"""Supervised text classification with MLlib and word vectors."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram, SQLTransformer, Word2Vec, Word2VecModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import HashingTF, NGram, SQLTransformer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import arrays as A
+from gridloom.operators import vocabulary as V
+from gridloom.operators import word_vectors as W
+from gridloom.operators.ordering import ordered_prefix
+from gridloom.session import cut_lineage
+
+LEARNING_RATE = 0.025
+#: Words up to this many, and 200 MB, are looked up in the tasks.
+SHARED_WORDS = 4_000_000
 
 
 def fit_classifier(df: DataFrame, tokens: str, label: str, word_ngrams: int = 2, buckets: int = 1 << 16, epochs: int = 20,
@@ -33,15 +45,78 @@ def classify(df: DataFrame, model: PipelineModel, names: list[str], k: int) -> D
     return scored.withColumn("top", pairs).select(*df.columns, "top")
 
 
+class WordVectors:
+    """Fitted word vectors, kept as a table."""
+
+    def __init__(self, table: DataFrame):
+        self._table = table
+
+    def getVectors(self) -> DataFrame:  # noqa: N802 (as in MLlib)
+        """(word, vector), one row per word."""
+        return self._table
+
+
 def fit_word_vectors(df: DataFrame, tokens: str, size: int = 32, window: int = 5, min_count: int = 10, epochs: int = 1,
-                     partitions: int | None = None, seed: int = 1) -> Word2VecModel:
-    """Skip-gram word vectors, learned in as many partitions as the cluster has cores unless told otherwise."""
-    partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
-    learner = Word2Vec(
-        vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, numPartitions=partitions, seed=seed,
-        inputCol=tokens, outputCol="_vec",
-    )
-    return learner.fit(df)
+                     partitions: int | None = None, seed: int = 1) -> WordVectors:
+    """Skip-gram word vectors with hierarchical softmax, learned in as many partitions as the cluster has cores unless told otherwise.
+
+    The method and its settings are those of MLlib's Word2Vec: every partition goes through its rows from the same vectors,
+    and vectors are the means over the partitions that met them. There the tasks of an executor write to one copy of the
+    vectors and wait for each other's cache lines; here every task has its own copy and takes the steps of ``CENTRES``
+    centre words at once, so that time grows with the words divided by the cores. Results do not depend on timing.
+    Through the driver go the words and their counts, and between epochs the vectors.
+    """
+    spark = df.sparkSession
+    partitions = partitions or spark.sparkContext.defaultParallelism
+    counts = V.token_counts(df, tokens).filter((F.col("freq") >= min_count) & F.col("token").isNotNull())
+    words = cut_lineage(ordered_prefix(cut_lineage(counts), "freq", "token", index="id", descending=True))
+    freq = words.select("id", "freq").toArrow().sort_by("id")["freq"].to_numpy()
+    if not len(freq):
+        raise ValueError("no word is frequent enough: the vocabulary is empty")
+    tree = spark.sparkContext.broadcast(W.huffman_tree(freq))
+    total = epochs * int(freq.sum()) + 1
+    rows = V.known_ids(df, tokens, words, max_rows=SHARED_WORDS)
+    # The rows are dealt out as they are, each partition about as many.
+    rows = (cut_lineage(rows) if epochs > 1 else rows).repartition(partitions)
+    learned = None
+    for epoch in range(epochs):
+        before = V._shared_table(df, learned.toArrow()) if learned is not None else None
+        found = rows.mapInArrow(_learner(tree, before, size, window, seed, epoch, partitions, total, epochs), "node boolean, id long, vector array<float>")
+        found = found.withColumn("new", F.lit(True))
+        if learned is not None:
+            found = found.unionByName(learned.withColumn("new", F.lit(False)))
+        # The mean over the tasks that met a vector; one that none met stays as it was.
+        each = [F.coalesce(F.avg(F.when(F.col("new"), F.col("vector")[i])), F.max(F.col("vector")[i])).cast("float") for i in range(size)]
+        learned = cut_lineage(found.groupBy("node", "id").agg(F.array(*each).alias("vector")))
+    # A word that stands alone in all its sentences keeps its first vector.
+    met = learned.where("NOT node").select("id", "vector")
+    joined = words.join(met, "id", "left").withColumn("vector", F.coalesce("vector", _first(size, seed)("id")))
+    return WordVectors(cut_lineage(joined.select(F.col("token").alias("word"), "vector")).select("word", array_to_vector(F.col("vector")).alias("vector")))
+
+
+def _learner(tree, before, size: int, window: int, seed: int, epoch: int, partitions: int, total: int, epochs: int):
+    """The steps of one task; the learning rate falls in a line with the words done, as if all partitions were at the same place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = W.SkipGram(*tree.value, size, window, seed, [seed, epoch, TaskContext.get().partitionId()])
+        if before is not None:
+            table = V._opened(before, {})
+            node, ids = (table[name].to_numpy(zero_copy_only=False) for name in ("node", "id"))
+            vectors = table["vector"].flatten().to_numpy().reshape(-1, size)
+            model.words[ids[~node]], model.nodes[ids[node]] = vectors[~node], vectors[node]
+        passed = epoch * (total - 1) // epochs
+        rate = lambda done: LEARNING_RATE * max(1 - (partitions * done + passed) / total, 1e-4)
+        yield from W.learn_batches(batches, model, rate, epoch + 1 < epochs)
+
+    return run
+
+
+def _first(size: int, seed: int):
+    @F.arrow_udf("array<float>")
+    def first(ids: pa.Array) -> pa.Array:
+        return W.vector_array(W.first_vectors(ids.to_numpy(), size, seed))
+
+    return first
 
 
 def sentiment(logits: Column) -> Column:
