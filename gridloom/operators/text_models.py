@@ -17,9 +17,11 @@ from gridloom.functions import arrays as A
 from gridloom.operators import vocabulary as V
 from gridloom.operators import word_vectors as W
 from gridloom.operators.ordering import ordered_prefix
-from gridloom.session import cut_lineage
+from gridloom.session import cut_lineage, scratch_path
 
 LEARNING_RATE = 0.025
+#: What the tasks learned is put together so many times an epoch.
+MERGES = 4
 #: Words up to this many, and 200 MB, are looked up in the tasks.
 SHARED_WORDS = 4_000_000
 
@@ -60,11 +62,11 @@ def fit_word_vectors(df: DataFrame, tokens: str, size: int = 32, window: int = 5
                      partitions: int | None = None, seed: int = 1) -> WordVectors:
     """Skip-gram word vectors with hierarchical softmax, learned in as many partitions as the cluster has cores unless told otherwise.
 
-    The method and its settings are those of MLlib's Word2Vec: every partition goes through its rows from the same vectors,
-    and vectors are the means over the partitions that met them. There the tasks of an executor write to one copy of the
-    vectors and wait for each other's cache lines; here every task has its own copy and takes the steps of ``CENTRES``
-    centre words at once, so that time grows with the words divided by the cores. Results do not depend on timing.
-    Through the driver go the words and their counts, and between epochs the vectors.
+    Steps, windows, tree and learning rate are those of MLlib's Word2Vec: every partition goes through its rows from the same
+    vectors, and what they learned is put together. There the tasks of an executor write to one copy of the vectors, hold
+    each other up and depend on timing; here every task has its own copy and takes the steps of ``word_vectors.CENTRES`` centre
+    words at once, so that time grows with the words divided by the cores. As a task alone sees little, an epoch is put
+    together ``MERGES`` times, and by ``_merged`` instead of by means. Through the driver go the words and counts once, and the vectors each time.
     """
     spark = df.sparkSession
     partitions = partitions or spark.sparkContext.defaultParallelism
@@ -74,39 +76,60 @@ def fit_word_vectors(df: DataFrame, tokens: str, size: int = 32, window: int = 5
     if not len(freq):
         raise ValueError("no word is frequent enough: the vocabulary is empty")
     tree = spark.sparkContext.broadcast(W.huffman_tree(freq))
-    total = epochs * int(freq.sum()) + 1
-    rows = V.known_ids(df, tokens, words, max_rows=SHARED_WORDS)
-    # The rows are dealt out as they are, each partition about as many.
-    rows = (cut_lineage(rows) if epochs > 1 else rows).repartition(partitions)
-    learned = None
-    for epoch in range(epochs):
+    rows = V.known_ids(df, tokens, words, max_rows=SHARED_WORDS).select(F.col("ids").cast("array<int>").alias("ids"))
+    path = scratch_path(spark, "sentences")
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    numbered.withColumn("part", F.pmod("row", F.lit(MERGES))).write.partitionBy("part").parquet(path)
+    dealt = spark.read.schema("ids array<int>, row long, part int").parquet(path)
+    total, learned = epochs * int(freq.sum()) + 1, None
+    for merge in range(epochs * MERGES):
         before = V._shared_table(df, learned.toArrow()) if learned is not None else None
-        found = rows.mapInArrow(_learner(tree, before, size, window, seed, epoch, partitions, total, epochs), "node boolean, id long, vector array<float>")
-        found = found.withColumn("new", F.lit(True))
-        if learned is not None:
-            found = found.unionByName(learned.withColumn("new", F.lit(False)))
-        # The mean over the tasks that met a vector; one that none met stays as it was.
-        each = [F.coalesce(F.avg(F.when(F.col("new"), F.col("vector")[i])), F.max(F.col("vector")[i])).cast("float") for i in range(size)]
-        learned = cut_lineage(found.groupBy("node", "id").agg(F.array(*each).alias("vector")))
+        passed = merge * (total - 1) // (epochs * MERGES)
+        learner = _learner(tree, before, size, window, [seed, merge], partitions, passed, total)
+        # Rows are dealt out and ordered by their number, so that the same input gives the same vectors.
+        some = dealt.where(F.col("part") == merge % MERGES).repartition(partitions, "row").sortWithinPartitions("row").select("ids")
+        learned = _merged(some.mapInArrow(learner, "node boolean, id long, change array<float>, way double"), learned, size)
+        if before is not None:
+            before.destroy()
     # A word that stands alone in all its sentences keeps its first vector.
-    met = learned.where("NOT node").select("id", "vector")
-    joined = words.join(met, "id", "left").withColumn("vector", F.coalesce("vector", _first(size, seed)("id")))
-    return WordVectors(cut_lineage(joined.select(F.col("token").alias("word"), "vector")).select("word", array_to_vector(F.col("vector")).alias("vector")))
+    met = learned.where("NOT node").select("id", "change")
+    first = words.join(met, "id", "left").select(F.col("token").alias("word"), "change", _first(size, seed)("id").alias("first"))
+    moved = F.when(F.col("change").isNull(), F.col("first")).otherwise(F.zip_with("first", "change", lambda a, b: a + b))
+    return WordVectors(cut_lineage(first.select("word", moved.alias("vector"))).select("word", array_to_vector("vector").alias("vector")))
+
 
+def _merged(found: DataFrame, learned: DataFrame | None, size: int) -> DataFrame:
+    """Changes of all tasks on top of the earlier ones.
 
-def _learner(tree, before, size: int, window: int, seed: int, epoch: int, partitions: int, total: int, epochs: int):
+    Small changes of several tasks add up as steps do; tasks that each went all the way to where the steps lead agree on one
+    such change. In between, a vector gets the part of the way that one task would have gone with the steps of all.
+    """
+    found = found.withColumn("new", F.lit(True))
+    if learned is not None:
+        found = found.unionByName(learned.withColumn("way", F.lit(0.0)).withColumn("new", F.lit(False)))
+    gone, together = F.sum(-F.expm1(-F.col("way"))), -F.expm1(-F.sum("way"))
+    part = F.when(gone > 0, together / gone).otherwise(1.0)
+    sums = [F.sum(F.when(F.col("new"), F.col("change")[i]).otherwise(0.0)) for i in range(size)]
+    old = [F.sum(F.when(~F.col("new"), F.col("change")[i]).otherwise(0.0)) for i in range(size)]
+    change = F.array(*[(a + b * part).cast("float") for a, b in zip(old, sums, strict=True)])
+    return cut_lineage(found.groupBy("node", "id").agg(change.alias("change")))
+
+
+def _learner(tree, before, size: int, window: int, stream: list[int], partitions: int, passed: int, total: int):
     """The steps of one task; the learning rate falls in a line with the words done, as if all partitions were at the same place."""
 
+    def rate(done: int) -> float:
+        return LEARNING_RATE * max(1 - (partitions * done + passed) / total, 1e-4)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = W.SkipGram(*tree.value, size, window, seed, [seed, epoch, TaskContext.get().partitionId()])
+        model = W.SkipGram(*tree.value, size, window, stream[0], [*stream, TaskContext.get().partitionId()])
         if before is not None:
             table = V._opened(before, {})
             node, ids = (table[name].to_numpy(zero_copy_only=False) for name in ("node", "id"))
-            vectors = table["vector"].flatten().to_numpy().reshape(-1, size)
-            model.words[ids[~node]], model.nodes[ids[node]] = vectors[~node], vectors[node]
-        passed = epoch * (total - 1) // epochs
-        rate = lambda done: LEARNING_RATE * max(1 - (partitions * done + passed) / total, 1e-4)
-        yield from W.learn_batches(batches, model, rate, epoch + 1 < epochs)
+            change = table["change"].flatten().to_numpy().reshape(-1, size)
+            model.words[ids[~node]] += change[~node]
+            model.nodes[ids[node]] += change[node]
+        yield from W.learn_batches(batches, model, rate)
 
     return run
 

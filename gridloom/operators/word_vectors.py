@@ -76,6 +76,8 @@ class SkipGram:
         self.words = np.concatenate([first_vectors(np.arange(n), size, seed), np.zeros((1, size), np.float32)])
         self.nodes = np.zeros((n, size), np.float32)
         self.word_met, self.node_met = np.zeros(n + 1, bool), np.zeros(n, bool)
+        #: How far each vector has gone towards where its steps lead: learning rate / 4 x the squared lengths it met, all in all.
+        self.word_way, self.node_way = np.zeros(n + 1), np.zeros(n)
         self._word_sum, self._node_sum = np.zeros(n + 1, np.float32), np.zeros(n, np.float32)
         self._random = np.random.default_rng(stream)
 
@@ -129,8 +131,9 @@ class SkipGram:
             word_step[k : k + count] += slot_step[:, k]
             node_lengths[k : k + count] += path_lengths[:, k]
         near_lengths = np.einsum("bk,bk->b", _windows(np.einsum("bd,bd->b", near, near)[:, None], count, slots)[:, :, 0], inside)
-        _add(self.words, self._word_sum, around, word_step, node_lengths, rate)
-        _add(self.nodes, self._node_sum, path.ravel(), node_step.reshape(-1, size), np.repeat(near_lengths, path.shape[1]), rate)
+        met = np.repeat(near_lengths, path.shape[1])
+        _add(self.words, self._word_sum, self.word_way, around, word_step, node_lengths, rate)
+        _add(self.nodes, self._node_sum, self.node_way, path.ravel(), node_step.reshape(-1, size), met, rate)
         self.words[self.n] = self.nodes[self.n - 1] = 0
 
 
@@ -148,12 +151,13 @@ def _windows(rows: np.ndarray, count: int, slots: int) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(rows, (count, slots, rows.shape[1]), (rows.strides[0], *rows.strides))
 
 
-def _add(vectors: np.ndarray, sums: np.ndarray, at: np.ndarray, steps: np.ndarray, lengths: np.ndarray, rate: float) -> None:
+def _add(vectors: np.ndarray, sums: np.ndarray, way: np.ndarray, at: np.ndarray, steps: np.ndarray, lengths: np.ndarray, rate: float) -> None:
     """Add each row of ``steps`` to its vector, less where the summed squared ``lengths`` say that they would overshoot."""
+    lengths *= np.float32(rate / 4)
     sums[at] = 0
     np.add.at(sums, at, lengths)
+    np.add.at(way, at, lengths.astype(np.float64))
     share = sums.take(at)
-    share *= np.float32(rate / 4)
     over = np.flatnonzero(share > 1)
     if len(over):
         steps[over] /= share[over, None]
@@ -163,20 +167,23 @@ def _add(vectors: np.ndarray, sums: np.ndarray, at: np.ndarray, steps: np.ndarra
     np.add.at(vectors.reshape(-1), ((at * size)[:, None] + np.arange(size)).ravel(), steps.ravel())
 
 
-def learn_batches(batches: Iterator[pa.RecordBatch], model: SkipGram, rate, nodes_too: bool) -> Iterator[pa.RecordBatch]:
-    """Learn from batches of one list column of word ids; give out the vectors that were met: (node, id, vector)."""
-    done = 0
+def learn_batches(batches: Iterator[pa.RecordBatch], model: SkipGram, rate) -> Iterator[pa.RecordBatch]:
+    """Learn from batches of one list column of word ids; give out the changes of all vectors met: (node, id, change, way)."""
+    words, nodes, done = model.words.copy(), model.nodes.copy(), 0
     for batch in batches:
         column = batch.column(0)
         ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        model.learn(ids, column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), lambda k, before=done: rate(before + k))
+        lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        model.learn(ids, lengths, lambda k, before=done: rate(before + k))
         done += len(ids)
-    for node, vectors, met in ((False, model.words, model.word_met), (True, model.nodes, model.node_met))[: 1 + nodes_too]:
-        rows = np.flatnonzero(met[: model.n - node])
+    of_words = (False, model.words - words, model.word_way, model.word_met[: model.n])
+    for node, change, way, met in (of_words, (True, model.nodes - nodes, model.node_way, model.node_met[: model.n - 1])):
+        rows = np.flatnonzero(met)
         for start in range(0, len(rows), ROWS_OUT):
             part = rows[start : start + ROWS_OUT]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(part), node)), pa.array(part), vector_array(vectors[part])], names=["node", "id", "vector"]
+                [pa.array(np.full(len(part), node)), pa.array(part), vector_array(change[part]), pa.array(way[part] / model.size)],
+                names=["node", "id", "change", "way"],
             )
 
 
