@@ -77,63 +77,65 @@ class SkipGram:
         self.nodes = np.zeros((n, size), np.float32)
         self.word_met, self.node_met = np.zeros(n + 1, bool), np.zeros(n, bool)
         #: How far each vector has gone towards where its steps lead: learning rate / 4 x the squared lengths it met, all in all.
-        self.word_way, self.node_way = np.zeros(n + 1), np.zeros(n)
+        self.word_way, self.node_way = np.zeros(n + 1, np.float32), np.zeros(n, np.float32)
         self._word_sum, self._node_sum = np.zeros(n + 1, np.float32), np.zeros(n, np.float32)
         self._random = np.random.default_rng(stream)
 
     def learn(self, ids: np.ndarray, lengths: np.ndarray, rate) -> None:
-        """All steps of sentences of ``lengths`` words that follow each other in ``ids``; ``rate``: words done to learning rate."""
+        """All steps of sentences of ``lengths`` words that follow each other in ``ids``; ``rate``: words done to learning rate.
+
+        A block holds centre words of one reach, so that no place in it stays empty but at the ends of sentences.
+        """
         window, total = self.window, len(ids)
         ends = _sentence_ends(lengths)
         padded = np.concatenate([np.full(window, self.n), ids, np.full(window, self.n)])
-        offsets = np.arange(-window, window + 1)
+        most = self.centres + self.centres // 2
+        offsets = [np.delete(np.arange(-r, r + 1), r) for r in range(window + 1)]
         for start in range(0, total, LAID_OUT):
             centre = np.arange(start, min(start + LAID_OUT, total))
             sentence = np.searchsorted(ends, centre, "right")
             reach = self._random.integers(1, window + 1, len(centre))
-            low = np.maximum(centre - reach, np.where(sentence > 0, ends[sentence - 1], 0))
-            high = np.minimum(centre + reach, ends[sentence] - 1)
-            met = centre[:, None] + offsets
-            inside = ((met >= low[:, None]) & (met <= high[:, None]) & (offsets != 0)).astype(np.float32)
+            low, high = np.where(sentence > 0, ends[sentence - 1], 0), ends[sentence] - 1
+            company = high > low
             distinct, place = np.unique(ids[centre], return_inverse=True)
             nodes, sides = tree_paths(self.parent, self.side, distinct)
             depth = (nodes != self.n - 1).sum(1)
-            company = inside.any(1)
             self.word_met[ids[centre[company]]] = True
             self.node_met[nodes[np.unique(place[company])]] = True
-            for s in range(0, len(centre), self.centres):
-                block = place[s : s + self.centres]
-                deep = depth[block].max()
-                around = padded[start + s : start + s + len(block) + 2 * window]
-                self._step(around, nodes.take(block, 0)[:, :deep], sides.take(block, 0)[:, :deep], inside[s : s + len(block)], rate(start + s))
+            for first in range(0, len(centre), self.centres * window):
+                now = rate(start + first)
+                for r in range(1, window + 1):
+                    alike = first + np.flatnonzero(reach[first : first + self.centres * window] == r)
+                    for s in range(0, len(alike), most):
+                        block = alike[s : s + most]
+                        met = centre[block, None] + offsets[r]
+                        inside = ((met >= low[block, None]) & (met <= high[block, None])).astype(np.float32)
+                        of = place[block]
+                        deep = depth[of].max()
+                        self._step(padded.take(met + window), nodes.take(of, 0)[:, :deep], sides.take(of, 0)[:, :deep], inside, now)
 
     def _step(self, around: np.ndarray, path: np.ndarray, sides: np.ndarray, inside: np.ndarray, rate: float) -> None:
-        (count, slots), size = inside.shape, self.size
+        count, size = len(path), self.size
         if path.size == 0:
             return
         near, nodes = self.words.take(around, 0), self.nodes.take(path, 0)
-        windows = _windows(near, count, slots)
         # 1 - code - sigmoid(f) is half of side - tanh(f / 2).
-        error = np.matmul(nodes, (windows * np.float32(0.5)).transpose(0, 2, 1))
+        error = np.matmul(nodes, (near * np.float32(0.5)).transpose(0, 2, 1))
         far = max(error.max(), -error.min()) >= MOST_PRODUCT / 2
         kept = np.abs(error) < MOST_PRODUCT / 2 if far else None
         np.tanh(error, out=error)
         np.subtract(sides[:, :, None], error, out=error)
         if far:
             error *= kept
-        weight = inside * np.float32(rate / 2)
-        node_step = np.matmul(error, windows * weight[:, :, None])
-        slot_step = np.matmul(error.transpose(0, 2, 1), nodes) * weight[:, :, None]
-        word_step, node_lengths = np.zeros_like(near), np.zeros(len(around), np.float32)
+        weight = (inside * np.float32(rate / 2))[:, :, None]
+        node_step = np.matmul(error, near * weight)
+        word_step = np.matmul(error.transpose(0, 2, 1), nodes)
+        word_step *= weight
         flat = nodes.reshape(count, -1)
-        path_lengths = np.einsum("bi,bi->b", flat, flat)[:, None] * inside
-        for k in range(slots):
-            word_step[k : k + count] += slot_step[:, k]
-            node_lengths[k : k + count] += path_lengths[:, k]
-        near_lengths = np.einsum("bk,bk->b", _windows(np.einsum("bd,bd->b", near, near)[:, None], count, slots)[:, :, 0], inside)
-        met = np.repeat(near_lengths, path.shape[1])
-        _add(self.words, self._word_sum, self.word_way, around, word_step, node_lengths, rate)
-        _add(self.nodes, self._node_sum, self.node_way, path.ravel(), node_step.reshape(-1, size), met, rate)
+        word_met = np.einsum("bi,bi->b", flat, flat)[:, None] * inside
+        node_met = np.repeat((np.einsum("bkd,bkd->bk", near, near) * inside).sum(1), path.shape[1])
+        _add(self.words, self._word_sum, self.word_way, around.ravel(), word_step.reshape(-1, size), word_met.ravel(), rate)
+        _add(self.nodes, self._node_sum, self.node_way, path.ravel(), node_step.reshape(-1, size), node_met, rate)
         self.words[self.n] = self.nodes[self.n - 1] = 0
 
 
@@ -146,21 +148,14 @@ def _sentence_ends(lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes)
 
 
-def _windows(rows: np.ndarray, count: int, slots: int) -> np.ndarray:
-    """The ``slots`` rows from each of the first ``count`` on, without a copy."""
-    return np.lib.stride_tricks.as_strided(rows, (count, slots, rows.shape[1]), (rows.strides[0], *rows.strides))
-
-
 def _add(vectors: np.ndarray, sums: np.ndarray, way: np.ndarray, at: np.ndarray, steps: np.ndarray, lengths: np.ndarray, rate: float) -> None:
     """Add each row of ``steps`` to its vector, less where the summed squared ``lengths`` say that they would overshoot."""
     lengths *= np.float32(rate / 4)
     sums[at] = 0
     np.add.at(sums, at, lengths)
-    np.add.at(way, at, lengths.astype(np.float64))
+    np.add.at(way, at, lengths)
     share = sums.take(at)
-    over = np.flatnonzero(share > 1)
-    if len(over):
-        steps[over] /= share[over, None]
+    steps /= np.maximum(share, 1)[:, None]
     if vectors.shape[1] % 2 == 0:  # Two numbers are added at once.
         vectors, steps = vectors.view(np.complex64), steps.view(np.complex64)
     size = vectors.shape[1]
@@ -182,7 +177,7 @@ def learn_batches(batches: Iterator[pa.RecordBatch], model: SkipGram, rate) -> I
         for start in range(0, len(rows), ROWS_OUT):
             part = rows[start : start + ROWS_OUT]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(part), node)), pa.array(part), vector_array(change[part]), pa.array(way[part] / model.size)],
+                [pa.array(np.full(len(part), node)), pa.array(part), vector_array(change[part]), pa.array(way[part].astype(np.float64) / model.size)],
                 names=["node", "id", "change", "way"],
             )
 

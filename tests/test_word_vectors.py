@@ -14,7 +14,9 @@ def plain(ids, ends, counts, size, window, reach, rate):
     """word2vec's skip-gram steps one after another."""
     n, (parent, side) = len(counts), W.huffman_tree(np.array(counts))
     words, nodes = W.first_vectors(np.arange(n), size, 1).astype(float), np.zeros((n, size))
-    for i, word in enumerate(ids):
+    # Blocks of one centre word: of each three, those of the least reach come first.
+    for i in sorted(range(len(ids)), key=lambda i: (i // window, reach[i])):
+        word = ids[i]
         sentence = np.searchsorted(ends, i, "right")
         low, high = ends[sentence - 1] if sentence else 0, ends[sentence]
         start = words.copy(), nodes.copy()
