@@ -2,15 +2,17 @@
 
 Counting goes by length. A phrase can be frequent only if the phrases of its first and last words are, so only stretches that
 pass this are proposed; support that is summed no further than the threshold proposes exactly the phrases that can pass. Proposed
-phrases go into double-array tries over word ids (two digits an id), in blocks of bounded size. Each block is broadcast; a task
-moves the states of all text positions through it at once, digit by digit, counts the accepting states, and the counts of all
-tasks are summed.
+phrases go into double-array tries over word ids (two digits an id), in blocks by hash of the phrase. The tries stay where they are:
+a task reads its part of the corpus once, leaves out the phrases that a broadcast filter knows to be in no trie, and sends every other
+phrase it met, with its count, to the trie of its block. There the states of all phrases move at once, digit by digit, and the counts
+of accepting states are summed. So each position costs one look-up, however many tries there are. Phrases that the filter let through
+and no trie accepts are few; they are sent back, so that marks are exact.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager, nullcontext
 
 import numpy as np
@@ -25,16 +27,16 @@ from gridloom.operators.lookup import checked_lookup
 from gridloom.session import cut_lineage, drop_written, scratch_paths
 
 LEAST, LONGEST, TOP = 10, 3, 2000
-#: Most words of a dictionary block and most phrases of a trie: each block is one pass over the corpus.
+#: Most words of a dictionary block, each of which is one pass over the corpus, and most phrases of a trie.
 DICTIONARY, BLOCK = 1 << 19, 1 << 19
+#: Bits of the filter for a phrase at least, and places a phrase has in it. Phrases whose filter is broadcast at once: one pass over the corpus.
+BITS, PLACES, FILTERED = 16, 3, 1 << 25
 #: Bytes of text that a task works on at once.
 AT_ONCE = 2 << 20
 #: Rows of word ids, of some ``AT_ONCE`` bytes each, that the file reader and Arrow hold at once.
 ROWS_AT_ONCE = 4
 #: Phrases that a task adds up at once, and that a part of all proposed phrases is made for.
 KEYS = 1 << 21
-#: Rows in which a task sends the counts of a trie.
-SLOTS = 64
 #: Bytes between pieces, and between words; A-Z becomes a-z.
 _TABLE = bytes(10 if b in b".,;:!?\n\v\f\r" else 32 if b in b" \t" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -43,24 +45,38 @@ def cut(texts: list[str | None]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(code of every word, the distinct words, whether a word follows the one before within its piece), nulls are empty."""
     data = np.frombuffer("\n".join(t or "" for t in texts).encode().translate(_TABLE), np.uint8)
     inside = (data != 32) & (data != 10)
-    edges = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    padded = np.concatenate([[False], inside, [False]])
+    edges = np.flatnonzero(padded[1:] != padded[:-1])
+    starts, ends = edges[::2], edges[1::2]
     offsets = np.zeros(len(starts) + 1, np.int32)
     np.cumsum(ends - starts, out=offsets[1:])
     words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
-    piece = np.cumsum(data == 10)[starts] if len(starts) else starts
-    follows = np.concatenate([[False], piece[1:] == piece[:-1]]) if len(starts) else np.zeros(0, bool)
+    follows = np.ones(len(starts) + 1, bool)
+    follows[0] = False
+    # The first word behind a break.
+    follows[np.searchsorted(starts, np.flatnonzero(data == 10))] = False
+    follows = follows[:-1]
     return words.indices.to_numpy(zero_copy_only=False), words.dictionary, follows
 
 
 def _by_language(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[str | None]]]:
-    """Texts of one language at a time, in slices of about ``AT_ONCE`` bytes."""
+    """Texts of one language at a time, about ``AT_ONCE`` bytes of them; a task holds a few times as many at most."""
+    held: dict[str, list[str | None]] = {}
+    sizes: dict[str, int] = {}
     for batch in batches:
         step = max(1, int(batch.num_rows * AT_ONCE / max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             part = pa.Table.from_batches([batch.slice(at, step)])
             for lang in pc.unique(part["lang"]).to_pylist():
-                yield lang, part["text"].filter(pc.equal(part["lang"], lang)).to_pylist()
+                texts = part["text"].filter(pc.equal(part["lang"], lang))
+                held.setdefault(lang, []).extend(texts.to_pylist())
+                # Nulls and short texts take room, too.
+                sizes[lang] = sizes.get(lang, 0) + (pc.sum(pc.binary_length(texts)).as_py() or 0) + 64 * len(texts)
+            full = list(held) if sum(sizes.values()) > 4 * AT_ONCE else [lang for lang, size in sizes.items() if size > AT_ONCE]
+            for lang in full:
+                del sizes[lang]
+                yield lang, held.pop(lang)
+    yield from held.items()
 
 
 @contextmanager
@@ -280,14 +296,30 @@ class Trie:
         high, low = ids // self.base, ids % self.base
         for k in range(self.phrases.shape[1]):
             for digit in (high, low):
-                to = self.offset[state] + digit[at + k]
-                here = (to >= 0) & (to < self.size)
-                here[here] = self.check[to[here]] == state[here]
-                at, state = at[here], to[here].astype(np.int64)
+                here, state = self._moved(state, digit[at + k])
+                at = at[here]
             yield at, state
             more = ids[np.minimum(at + k + 1, len(ids) - 1)] != 0
             at, state = at[more], state[more]
 
+    def _moved(self, state: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a state has a child by its digit, and the children there are."""
+        to = self.offset[state] + digit
+        here = (to >= 0) & (to < self.size)
+        here[here] = self.check[to[here]] == state[here]
+        return here, to[here].astype(np.int64)
+
+    def numbers(self, words: list[np.ndarray]) -> np.ndarray:
+        """The numbers of whole phrases, one column of ids from 1 a word; -1 for those that are not in the trie."""
+        at, state = np.arange(len(words[0])), np.zeros(len(words[0]), np.int64)
+        for ids in words:
+            for digit in (ids // self.base, ids % self.base):
+                here, state = self._moved(state, digit[at])
+                at = at[here]
+        found = np.full(len(words[0]), -1, np.int64)
+        found[at] = self.accept[state]
+        return found
+
 
     def packed(self) -> dict[str, bytes | int]:
         return {name: _pressed(np.ascontiguousarray(getattr(self, name), np.int32).reshape(-1)) for name in ("offset", "check", "accept", "phrases")} | {"size": self.size, "many": len(self.phrases)}
@@ -306,34 +338,144 @@ def names(n: int, first: int = 1) -> list[str]:
     return [f"w{i}" for i in range(first, first + n)]
 
 
-def built_tries(phrases: DataFrame, n: int, base: int) -> DataFrame:
-    """Tries of all ``phrases`` (ids in w1 to wn) as a written table of arrays; each is built in a task, from about ``BLOCK`` phrases at most."""
-    columns = names(n)
-    parts = len(_blocks(phrases, BLOCK, *columns))
-
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([Trie(rows[columns].to_numpy(np.int64), base).packed()])
-
-    dealt = phrases.withColumn("block", F.pmod(F.xxhash64(*columns), F.lit(parts)))
-    return cut_lineage(dealt.groupBy("block").applyInPandas(build, "offset binary, check binary, accept binary, phrases binary, size int, many int"))
+def built_tries(phrases: DataFrame, n: int, base: int, least: int = 1) -> DataFrame:
+    """Tries of all ``phrases`` (ids in w1 to wn) as a written table of arrays, each with its block's piece of the filter.
 
+    A phrase's block follows from its hash. There are ``least`` blocks or more, of about ``BLOCK`` phrases at most; each is built in a task.
+    """
+    columns, packing, rows = names(n), Packing(n, base * base), phrases.count()
+    blocks = max(least, math.ceil(rows / (0.8 * BLOCK)))
+    bits = 1 << max(6, math.ceil(math.log2(BITS * max(1, rows) / blocks)))
 
-def tries(built: DataFrame, n: int, base: int) -> Iterator[Broadcast]:
-    """The tries, broadcast one after another."""
-    for row in built.toLocalIterator():
-        broadcast = built.sparkSession.sparkContext.broadcast((row.asDict(), base, n))
-        yield broadcast
-        broadcast.destroy()
+    def keys_of(ids: np.ndarray) -> list[np.ndarray]:
+        return packing.keys(ids.reshape(-1), np.arange(len(ids)) * n)
 
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns], axis=1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(packing.parts(keys_of(ids), blocks))], names=[*columns, "block"])
 
-def distinct(keys: list[np.ndarray], times: np.ndarray, most: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct keys in order, each as one or several columns, and their summed times, no further than ``most``."""
-    if not len(times):
-        return keys, times
-    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
-    return [k[new] for k in keys], np.minimum(np.add.reduceat(times[order].astype(np.int64), np.flatnonzero(new)), most).astype(np.int32)
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = rows[columns].to_numpy(np.int64)
+        piece = np.zeros(bits, bool)
+        for place in places(packing.mixed(keys_of(ids)), bits):
+            piece[place] = True
+        piece = np.packbits(piece, bitorder="little").tobytes()
+        return pd.DataFrame([Trie(ids, base).packed() | {"block": int(rows["block"].iloc[0]), "blocks": blocks, "bits": bits, "piece": piece}])
+
+    dealt = phrases.select(*columns).mapInArrow(deal, ", ".join([*(f"{c} int" for c in columns), "block int"]))
+    return cut_lineage(dealt.groupBy("block").applyInPandas(build, "offset binary, check binary, accept binary, phrases binary, size int, many int, block int, blocks int, bits int, piece binary"))
+
+
+def places(mixed: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The places of phrases in their block's piece of the filter, by the mixed keys; ``bits`` is a power of 2."""
+    step = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    at, step = step >> np.uint64(33), (step >> np.uint64(5)) | np.uint64(1)
+    for _ in range(PLACES):
+        yield (at & np.uint64(bits - 1)).astype(np.int64)
+        at = at + step
+
+
+class Tries:
+    """The tries of the blocks from ``first`` to before ``last``, and the filter over all their phrases."""
+
+    def __init__(self, built: DataFrame, n: int, base: int, blocks: int, bits: int, first: int, last: int):
+        self.built = built.where((F.col("block") >= first) & (F.col("block") < last))
+        self.n, self.base, self.packing = n, base, Packing(n, base * base)
+        self.blocks, self.bits, self.first, self.last = blocks, bits, first, last
+        #: What was looked up for the counts, and of it the phrases that no trie accepts, by ``mixed``; None until then.
+        self.answers: DataFrame | None = None
+        self.wrong: tuple[np.ndarray, list[np.ndarray]] | None = None
+
+    @contextmanager
+    def filter(self) -> Iterator[Broadcast]:
+        """The filter while it is broadcast."""
+        whole = np.zeros((self.last - self.first) * self.bits // 8, np.uint8)
+        for row in self.built.select("block", "piece").toLocalIterator():
+            at = (row["block"] - self.first) * self.bits // 8
+            whole[at : at + self.bits // 8] = np.frombuffer(row["piece"], np.uint8)
+        broadcast = self.built.sparkSession.sparkContext.broadcast((whole.tobytes(), self.wrong))
+        try:
+            yield broadcast
+        finally:
+            broadcast.destroy()
+
+    def passing(self) -> Callable[[list[np.ndarray], tuple], np.ndarray]:
+        """A function of keys and the filter's value: which phrases may be in the tries, without the wrong ones if they are known."""
+        packing, blocks, bits, first, last = self.packing, self.blocks, self.bits, self.first, self.last
+
+        def passes(keys: list[np.ndarray], value: tuple) -> np.ndarray:
+            whole, wrong = np.frombuffer(value[0], np.uint8), value[1]
+            mixed = packing.mixed(keys)
+            block = packing.part_of(mixed, blocks).astype(np.int64) - first
+            at = np.flatnonzero((block >= 0) & (block < last - first))
+            for _, place in zip(range(PLACES), places(mixed, bits), strict=True):
+                bit = block[at] * bits + place[at]
+                at = at[(whole[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 != 0]
+            if wrong is not None and len(wrong[0]):
+                found = np.minimum(np.searchsorted(wrong[0], mixed[at]), len(wrong[0]) - 1)
+                at = at[~np.all([k[at] == w[found] for k, w in zip(keys, wrong[1], strict=True)], axis=0)]
+            good = np.zeros(len(mixed), bool)
+            good[at] = True
+            return good
+
+        return passes
+
+    def looked_up(self, corpus: DataFrame, filter: Broadcast) -> DataFrame:
+        """(w1 to wn, f): all phrases of the corpus that pass the filter with their occurrences; f is 0 for those that no trie accepts."""
+        columns, n, base, packing, blocks, passes, most = names(self.n), self.n, self.base, self.packing, self.blocks, self.passing(), KEYS
+
+        def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def keys_of(ids: np.ndarray, _: np.ndarray) -> Iterator[list[np.ndarray]]:
+                at = starts(ids, n)
+                for first in range(0, len(at), most):
+                    keys = packing.keys(ids, at[first : first + most])
+                    good = passes(keys, filter.value)
+                    yield [k[good] for k in keys]
+
+            yield from sent_rows(batches, keys_of, packing, blocks, None, most)
+
+        def add(sent: pd.DataFrame, tries: pd.DataFrame) -> pd.DataFrame:
+            if not len(sent):
+                return pd.DataFrame({c: np.zeros(0, np.int64) for c in [*columns, "f"]})
+            keys, times = _together([packing.unpack(data, many) for data, many in zip(sent["packed"], sent["size"], strict=True)], None)
+            words = packing.words(keys)
+            known = Trie.unpacked(tries.iloc[0].to_dict(), base, n).numbers(words) >= 0
+            return pd.DataFrame({**dict(zip(columns, words, strict=True)), "f": np.where(known, times, 0)})
+
+        sent = corpus.mapInArrow(send, "part int, size int, packed binary")
+        there = self.built.select("block", "offset", "check", "accept", "phrases", "size", "many")
+        return sent.groupBy("part").cogroup(there.groupBy("block")).applyInPandas(add, ", ".join([*(f"{c} int" for c in columns), "f long"]))
+
+    def learn(self, found: DataFrame) -> None:
+        """Keep the wrong ones of phrases that were looked up."""
+        rows = found.where("f = 0").select(*names(self.n)).toArrow()
+        ids = np.stack([rows[c].to_numpy().astype(np.int64) for c in names(self.n)], axis=1)
+        keys = self.packing.keys(ids.reshape(-1), np.arange(len(ids)) * self.n)
+        mixed = self.packing.mixed(keys)
+        order = np.argsort(mixed)
+        self.wrong = mixed[order], [k[order] for k in keys]
+
+
+def tries(built: DataFrame, n: int, base: int) -> list[Tries]:
+    """The tries in groups of blocks that have about ``FILTERED`` phrases: one group, but for very many phrases."""
+    many, blocks, bits = built.agg(F.sum("many"), F.max("blocks"), F.max("bits")).first()
+    each = math.ceil(blocks / math.ceil(many / FILTERED)) if many else 1
+    return [Tries(built, n, base, blocks, bits, first, min(first + each, blocks)) for first in range(0, blocks or 0, each)]
+
+
+def distinct(keys: list[np.ndarray], times: np.ndarray | None, most: int | None) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct keys in order, each as one or several columns, and their summed times, no further than ``most``; no times are ones."""
+    if not len(keys[0]):
+        return keys, np.zeros(0, np.int64)
+    if times is None and len(keys) == 1:
+        order, keys = None, [np.sort(keys[0])]
+    else:
+        order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+        keys = [k[order] for k in keys]
+    new = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+    total = np.diff(new, append=len(keys[0])) if times is None else np.add.reduceat(times[order].astype(np.int64), new)
+    return [k[new] for k in keys], total if most is None else np.minimum(total, most).astype(np.int32)
 
 
 class Packing:
@@ -366,15 +508,24 @@ class Packing:
         return [ids.astype(np.int32) for ids in found]
 
     @staticmethod
-    def parts(keys: list[np.ndarray], parts: int) -> np.ndarray:
-        """The part of every key, by a hash that every task works out alike."""
+    def mixed(keys: list[np.ndarray]) -> np.ndarray:
+        """A hash of every key, which every task works out alike."""
         mixed = np.zeros(len(keys[0]), np.uint64)
         for key in keys:
             mixed = (mixed ^ key.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(29)
             mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        return mixed
+
+    @staticmethod
+    def part_of(mixed: np.ndarray, parts: int) -> np.ndarray:
         return ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
 
+    @classmethod
+    def parts(cls, keys: list[np.ndarray], parts: int) -> np.ndarray:
+        """The part of every key by its hash."""
+        return cls.part_of(cls.mixed(keys), parts)
+
     @staticmethod
     def pack(keys: list[np.ndarray], times: np.ndarray) -> bytes:
         return _pressed(np.concatenate([np.diff(keys[0], prepend=0), *keys[1:], times.astype(np.int64)]))
@@ -384,9 +535,18 @@ class Packing:
         return [np.cumsum(first), *others], times
 
 
-def proposals(corpus: DataFrame, n: int, least: int, size: int, parts: int) -> DataFrame:
-    """(part, size, packed): the phrases of ``n`` words that may be frequent, each with its support in what a task read at once."""
-    packing = Packing(n, size)
+def starts(ids: np.ndarray, n: int) -> np.ndarray:
+    """The positions of ``ids`` at which ``n`` words follow one another."""
+    good = ids != 0
+    run = good.copy()
+    for k in range(1, n):
+        run[:-k] &= good[k:]
+        run[-k:] = False
+    return np.flatnonzero(run)
+
+
+def sent_rows(batches: Iterable[pa.RecordBatch], keys_of: Callable, packing: Packing, parts: int, most: int | None, at_once: int) -> Iterator[pa.RecordBatch]:
+    """(part, size, packed): the keys of a task's rows of ids, ``at_once`` of them added up at a time, no further than ``most``."""
 
     def rows_of(keys: list[np.ndarray], times: np.ndarray) -> Iterator[pa.RecordBatch]:
         part = packing.parts(keys, parts)
@@ -397,27 +557,42 @@ def proposals(corpus: DataFrame, n: int, least: int, size: int, parts: int) -> D
             packed = [packing.pack([k[span] for k in keys], times[span]) for span in here]
             yield pa.RecordBatch.from_arrays([pa.array([part[span[0]] for span in here], pa.int32()), pa.array([len(span) for span in here], pa.int32()), pa.array(packed, pa.binary())], names=["part", "size", "packed"])
 
+    held, many = [], 0
+    for ids, marks in _task_rows(batches):
+        for keys in keys_of(ids, marks):
+            held.append(distinct(keys, None, most))
+            many += len(held[-1][1])
+            if many > at_once:
+                held = [_together(held, most)]
+                many = len(held[0][1])
+                if many > at_once // 2:
+                    yield from rows_of(*held[0])
+                    held, many = [], 0
+    if many:
+        yield from rows_of(*_together(held, most))
+
+
+def proposals(corpus: DataFrame, n: int, least: int, size: int, parts: int) -> DataFrame:
+    """(part, size, packed): the phrases of ``n`` words that may be frequent, each with its support in what a task read at once."""
+    packing, at_once = Packing(n, size), KEYS
+
     def support(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, many = [], 0
-        for ids, marks in _task_rows(batches):
+        def keys_of(ids: np.ndarray, marks: np.ndarray) -> Iterator[list[np.ndarray]]:
             good = marks != 0 if n > 2 else ids != 0
             at = np.flatnonzero(good[:-1] & good[1:])
-            for first in range(0, len(at), KEYS):
-                keys = packing.keys(ids, at[first : first + KEYS])
-                held.append(distinct(keys, np.ones(len(keys[0]), np.int32), least))
-                many += len(held[-1][1])
-                if many > KEYS:
-                    held = [_together(held, least)]
-                    many = len(held[0][1])
-                    if many > KEYS // 2:
-                        yield from rows_of(*held[0])
-                        held, many = [], 0
-        if many:
-            yield from rows_of(*_together(held, least))
+            for first in range(0, len(at), at_once):
+                yield packing.keys(ids, at[first : first + at_once])
+
+        yield from sent_rows(batches, keys_of, packing, parts, least, at_once)
 
     return corpus.mapInArrow(support, "part int, size int, packed binary")
 
 
+def parts_of(spark: SparkSession, positions: int) -> int:
+    """Parts of which each gets about ``KEYS`` of a corpus' positions at most."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(positions / KEYS))
+
+
 def proposed(corpus: DataFrame, n: int, least: int, size: int, positions: int) -> DataFrame:
     """(w1 to wn): the phrases of ``n`` words that stand ``least`` times or more where their parts are frequent.
 
@@ -426,7 +601,7 @@ def proposed(corpus: DataFrame, n: int, least: int, size: int, positions: int) -
     sorted phrases packed, one row for each part; a part gets about ``KEYS`` of the corpus' ``positions`` at most.
     """
     columns, packing = names(n), Packing(n, size)
-    parts = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(positions / KEYS))
+    parts = parts_of(corpus.sparkSession, positions)
 
     def enough(rows: pd.DataFrame) -> pd.DataFrame:
         keys, times = _together([packing.unpack(data, many) for data, many in zip(rows["packed"], rows["size"], strict=True)], least)
@@ -435,75 +610,46 @@ def proposed(corpus: DataFrame, n: int, least: int, size: int, positions: int) -
     return proposals(corpus, n, least, size, parts).groupBy("part").applyInPandas(enough, ", ".join(f"{c} int" for c in columns))
 
 
-def _together(held: list[tuple[list[np.ndarray], np.ndarray]], most: int) -> tuple[list[np.ndarray], np.ndarray]:
+def _together(held: list[tuple[list[np.ndarray], np.ndarray]], most: int | None) -> tuple[list[np.ndarray], np.ndarray]:
     keys = [np.concatenate(column) for column in zip(*(k for k, _ in held), strict=True)]
     return distinct(keys, np.concatenate([t for _, t in held]), most)
 
 
-def counted(corpus: DataFrame, blocks: Iterable[Broadcast], n: int) -> DataFrame:
-    """(w1 to wn, f): all occurrences of the phrases of the tries, as a written table.
-
-    A task sends its counts by number of the phrase, packed in ``SLOTS`` rows at most; those of a slot are added up one after another.
-    """
-    columns, found, packing = names(n), None, Packing(1, 1 << 31)
-    schema = ", ".join([*(f"{c} int" for c in columns), "f long"])
-    for block in blocks:
-
-        def count(batches: Iterable[pa.RecordBatch], block: Broadcast = block) -> Iterator[pa.RecordBatch]:
-            trie = Trie.unpacked(*block.value)
-            total = np.zeros(len(trie.phrases), np.int64)
-            for ids, _ in _task_rows(batches):
-                for _, state in trie.states(ids):
-                    ends = trie.accept[state]
-                    total += np.bincount(ends[ends >= 0], minlength=len(total))
-            width = math.ceil(len(total) / SLOTS)
-            slots = [(i, at) for i in range(SLOTS) if len(at := np.flatnonzero(total[i * width : (i + 1) * width]))]
-            packed = [packing.pack([at], total[i * width + at]) for i, at in slots]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in slots], pa.int32()), pa.array([len(at) for _, at in slots], pa.int32()), pa.array(packed, pa.binary())], names=["slot", "size", "packed"])
-
-        def add(batches: Iterable[pa.RecordBatch], block: Broadcast = block) -> Iterator[pa.RecordBatch]:
-            phrases = Trie.unpacked(*block.value).phrases
-            width = math.ceil(len(phrases) / SLOTS)
-
-            def table(slot: int, total: np.ndarray) -> pa.RecordBatch:
-                some = np.flatnonzero(total)
-                rows = phrases[slot * width + some]
-                return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(n)), pa.array(total[some])], names=[*columns, "f"])
-
-            slot, total = -1, np.zeros(0, np.int64)
-            for batch in batches:
-                for row in batch.to_pylist():
-                    if row["slot"] != slot:
-                        if slot >= 0:
-                            yield table(slot, total)
-                        slot, total = row["slot"], np.zeros(width, np.int64)
-                    (at,), times = packing.unpack(row["packed"], row["size"])
-                    total[at] += times
-            if slot >= 0:
-                yield table(slot, total)
-
-        sent = corpus.mapInArrow(count, "slot int, size int, packed binary")
-        sums = cut_lineage(sent.repartition("slot").sortWithinPartitions("slot").mapInArrow(add, schema))
+def counted(corpus: DataFrame, groups: Iterable[Tries], n: int) -> DataFrame:
+    """(w1 to wn, f): all occurrences of the phrases of the tries, as a written table; one pass over the corpus for a group of tries."""
+    found = None
+    for group in groups:
+        with group.filter() as filter:
+            group.answers = cut_lineage(group.looked_up(corpus, filter))
+        sums = group.answers.where("f > 0")
         found = sums if found is None else found.union(sums)
-    return found if found is not None else corpus.sparkSession.createDataFrame([], schema)
+    return found if found is not None else corpus.sparkSession.createDataFrame([], ", ".join([*(f"{c} int" for c in names(n)), "f long"]))
+
 
+def marked(corpus: DataFrame, groups: Iterable[Tries]) -> DataFrame:
+    """The corpus with a mark at every position where a phrase of the tries begins; one copy of it is kept, whatever the number of tries.
 
-def marked(corpus: DataFrame, blocks: Iterable[Broadcast]) -> DataFrame:
-    """The corpus with a mark at every position where a phrase of the tries begins; one copy of it is kept, whatever the number of tries."""
+    A group that was not counted before looks up the corpus' phrases first, to know the wrong ones.
+    """
     spark, before = corpus.sparkSession, None
     corpus = corpus.select("size", "ids", F.lit(None).cast("binary").alias("marks"))
-    for block in blocks:
-
-        def mark(batches: Iterable[pa.RecordBatch], block: Broadcast = block) -> Iterator[pa.RecordBatch]:
-            trie = Trie.unpacked(*block.value)
-            for ids, marks in _task_rows(batches):
-                marks = marks.copy()
-                for at, state in trie.states(ids):
-                    marks[at[trie.accept[state] >= 0]] = 1
-                row = [pa.array([len(ids) - 1], pa.int32()), pa.array([_pressed(ids[:-1])], pa.binary()), pa.array([np.packbits(marks[:-1]).tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(row, names=["size", "ids", "marks"])
-
-        corpus, path = cut_lineage(corpus.mapInArrow(mark, "size int, ids binary, marks binary")), scratch_paths(spark)[-1]
+    for group in groups:
+        if group.wrong is None:
+            with group.filter() as filter:
+                group.learn(group.looked_up(corpus, filter) if group.answers is None else group.answers)
+        n, packing, passes, most = group.n, group.packing, group.passing(), KEYS
+        with group.filter() as filter:
+
+            def mark(batches: Iterable[pa.RecordBatch], filter: Broadcast = filter, n: int = n, packing: Packing = packing, passes: Callable = passes) -> Iterator[pa.RecordBatch]:
+                for ids, marks in _task_rows(batches):
+                    at, marks = starts(ids, n), marks.copy()
+                    for first in range(0, len(at), most):
+                        here = at[first : first + most]
+                        marks[here[passes(packing.keys(ids, here), filter.value)]] = 1
+                    row = [pa.array([len(ids) - 1], pa.int32()), pa.array([_pressed(ids[:-1])], pa.binary()), pa.array([np.packbits(marks[:-1]).tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(row, names=["size", "ids", "marks"])
+
+            corpus, path = cut_lineage(corpus.mapInArrow(mark, "size int, ids binary, marks binary")), scratch_paths(spark)[-1]
         if before:
             drop_written(spark, before)
         before = path
@@ -552,11 +698,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     for n in range(2, longest + 1):
         with few_rows(docs.sparkSession):
             candidates = cut_lineage(proposed(ids, n, least, base * base, positions))
-        built = built_tries(candidates, n, base)
+        groups = tries(built_tries(candidates, n, base, parts_of(docs.sparkSession, positions)), n, base)
         with few_rows(docs.sparkSession):
-            levels[n] = counted(ids, tries(built, n, base), n)
+            levels[n] = counted(ids, groups, n)
             if n < longest:
-                ids = marked(ids, tries(built, n, base))
+                ids = marked(ids, groups)
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     best = None
     for n in range(2, longest + 1):

@@ -12,6 +12,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -342,6 +343,69 @@ def test_one_copy_of_the_corpus_stays_and_counts_are_sent_in_slots(spark, monkey
     assert {(r["w1"], r["w2"]): r["f"] for r in counts.collect()} == pairs
 
 
+def counting_copies(monkeypatch):
+    """The number of tables written by the module, in a list."""
+    copies, cut_lineage = [], phrases.cut_lineage
+    monkeypatch.setattr(phrases, "cut_lineage", lambda df: copies.append(1) or cut_lineage(df))
+    return copies
+
+
+def test_the_corpus_is_read_once_whatever_the_number_of_tries(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "BLOCK", 20)
+    draw = np.random.default_rng(5)
+    corpus, wanted = id_rows(spark, [draw.integers(0, 30, 2_000).tolist() for _ in range(4)]), spark.createDataFrame([(i, j) for i in range(1, 15) for j in range(1, 15)], "w1 int, w2 int")
+    built = phrases.built_tries(wanted, 2, 6)
+    assert built.count() > 6
+    copies = counting_copies(monkeypatch)
+    phrases.counted(corpus, phrases.tries(built, 2, 6), 2)
+    assert len(copies) == 1
+    phrases.marked(corpus.select("size", "ids"), phrases.tries(built, 2, 6))
+    assert len(copies) == 2
+
+
+@pytest.mark.parametrize(("n", "base", "filtered"), [(2, 6, 1 << 25), (3, 6, 60), (3, 40_000, 1 << 25)])
+def test_phrases_that_only_pass_the_filter_are_not_counted_or_marked(spark, monkeypatch, n, base, filtered):
+    """With the third base, keys of three words take two columns."""
+    monkeypatch.setattr(phrases, "BLOCK", 50)
+    monkeypatch.setattr(phrases, "BITS", 1)
+    monkeypatch.setattr(phrases, "FILTERED", filtered)
+    monkeypatch.setattr(phrases, "KEYS", 700)
+    draw = np.random.default_rng(n)
+    rows = [draw.integers(0, 12, 3_000).tolist() for _ in range(5)]
+    every = Counter(x for r in rows for x in zip(*(r[k:] for k in range(n)), strict=False) if min(x))
+    wanted = {x for x in every if sum(x) % 3 == 0}
+    built = phrases.built_tries(spark.createDataFrame(sorted(wanted), ", ".join(f"w{k + 1} int" for k in range(n))), n, base)
+    corpus = id_rows(spark, rows)
+    groups = phrases.tries(built, n, base)
+    assert len(groups) == 1 or filtered == 60
+    found = phrases.counted(corpus, groups, n).collect()
+    assert {tuple(r)[:-1]: r["f"] for r in found} == {x: every[x] for x in wanted} and len(found) == len(wanted)
+    assert sum(g.answers.where("f = 0").count() for g in groups)
+    for known in (groups, phrases.tries(built, n, base)):
+        marks = phrases.marked(corpus.select("size", "ids"), known)
+        got = [(ids[:-1].tolist(), np.flatnonzero(m).tolist()) for ids, m in phrases._task_rows(marks.toArrow().to_batches())]
+        assert sorted(got) == sorted((r, [i for i in range(len(r)) if tuple(r[i : i + n]) in wanted]) for r in rows)
+
+
+def test_collocations_with_many_small_tries_and_a_weak_filter(spark, monkeypatch):
+    for name, value in (("BLOCK", 5), ("BITS", 1), ("FILTERED", 40), ("KEYS", 300)):
+        monkeypatch.setattr(phrases, name, value)
+    rows = small_corpus(8)
+    docs = spark.createDataFrame([(i, t, lang, *["x"] * 7) for i, (lang, t) in enumerate(rows)], DOCS).repartition(3)
+    got = phrases.collocations(docs, least=3, longest=3, top=100)
+    assert sorted(tuple(r) for r in got.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()) == plain_phrases(rows, 3, 3, 100)
+
+
+def test_languages_of_short_texts_are_cut_together(monkeypatch):
+    monkeypatch.setattr(phrases, "AT_ONCE", 4_000)
+    draw = random.Random(3)
+    rows = [(draw.choice(["en", "de", "fr"]), draw.choice([None, "", "short text", "x" * draw.randint(0, 900)])) for _ in range(3_000)]
+    batches = pa.RecordBatch.from_pydict({"lang": [r[0] for r in rows], "text": pa.array([r[1] for r in rows], pa.string())})
+    found = list(phrases._by_language(batches.slice(at, 40) for at in range(0, len(rows), 40)))
+    assert Counter((lang, t) for lang, texts in found for t in texts) == Counter(rows)
+    assert len(found) < 150 and max(sum(len(t or "") for t in texts) for _, texts in found) < 20_000
+
+
 def test_both_encoders_of_the_aligner_agree():
     with open(BYTES) as one, open(PIECES, "rb") as two:
         vocabulary, model = byte_bpe.Vocabulary(one.read()), two.read()
