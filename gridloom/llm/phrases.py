@@ -29,12 +29,14 @@ from gridloom.session import cut_lineage, drop_written, scratch_paths
 LEAST, LONGEST, TOP = 10, 3, 2000
 #: Most words of a dictionary block, each of which is one pass over the corpus, and most phrases of a trie.
 DICTIONARY, BLOCK = 1 << 19, 1 << 19
-#: Bits of the filter for a phrase at least, and places a phrase has in it. Phrases whose filter is broadcast at once: one pass over the corpus.
-BITS, PLACES, FILTERED = 16, 3, 1 << 25
+#: Bits of the filter for a phrase at least, and bits that a phrase sets in one word of 64. Phrases whose filter is broadcast at once: one pass over the corpus.
+BITS, PLACES, FILTERED = 16, 4, 1 << 25
 #: Bytes of text that a task works on at once.
 AT_ONCE = 2 << 20
 #: Rows of word ids, of some ``AT_ONCE`` bytes each, that the file reader and Arrow hold at once.
 ROWS_AT_ONCE = 4
+#: Words whose counts a task adds up at once.
+WORDS = 1 << 19
 #: Phrases that a task adds up at once, and that a part of all proposed phrases is made for.
 KEYS = 1 << 21
 #: Bytes between pieces, and between words; A-Z becomes a-z.
@@ -99,12 +101,26 @@ def few_rows(spark: SparkSession) -> Iterator[None]:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, f): occurrences of every word; the row with a null word holds those of all words of the language."""
 
+    at_once = WORDS
+
+    def together(found: tuple[str, list[tuple[pa.Array, np.ndarray]]]) -> pa.RecordBatch:
+        lang, parts = found
+        words, times = pa.concat_arrays([w for w, _ in parts]).dictionary_encode(), np.concatenate([n for _, n in parts])
+        f = np.zeros(len(words.dictionary), np.int64)
+        np.add.at(f, words.indices.to_numpy(zero_copy_only=False), times)
+        rows = [pa.array([lang] * (len(f) + 1), pa.string()), pa.concat_arrays([words.dictionary, pa.array([None], pa.string())]), pa.array(np.append(f, times.sum()))]
+        return pa.RecordBatch.from_arrays(rows, names=["lang", "word", "f"])
+
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = {}, 0
         for lang, texts in _by_language(batches):
             codes, words, _ = cut(texts)
-            n = np.bincount(codes, minlength=len(words)).astype(np.int64)
-            rows = [pa.array([lang] * (len(words) + 1), pa.string()), pa.concat_arrays([words, pa.array([None], pa.string())]), pa.array(np.append(n, len(codes)))]
-            yield pa.RecordBatch.from_arrays(rows, names=["lang", "word", "f"])
+            held.setdefault(lang, []).append((words, np.bincount(codes, minlength=len(words))))
+            many += len(words)
+            if many > at_once:
+                yield from map(together, held.items())
+                held, many = {}, 0
+        yield from map(together, held.items())
 
     return docs.mapInArrow(count, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
@@ -120,7 +136,8 @@ def number_words(docs: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFram
     """The corpus as rows of word ids, and (id, lang, word, f) of the words.
 
     ``words`` are the frequent words. Ids start at 1; 0 stands for any stretch of other words and for the end of a piece. Texts
-    keep no identity: a row holds what a task read at once. One pass for each block of the dictionary.
+    keep no identity: a row holds what a task read at once. Texts are cut once; one pass over the rows' distinct words for each further
+    block of the dictionary.
     """
     spark, state, before, numbered, first = docs.sparkSession, docs, None, [], 1
     blocks = _blocks(words, DICTIONARY, "lang", "word")
@@ -144,41 +161,84 @@ def number_words(docs: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFram
     return state, known
 
 
-def _of_language(part: pa.Table, lang: str) -> tuple[pa.Array, int]:
-    """The sorted words of a language and the id of the first; ids are consecutive."""
+class Numbered:
+    """The words of a language with their ids, in order of a hash: looked up by bisection, so nothing is built for a look-up."""
+
+    def __init__(self, words: pa.Array, first: int):
+        """``words`` are distinct; ids are consecutive from ``first``."""
+        mixed = word_hashes(words)
+        order = np.argsort(mixed, kind="stable")
+        self.mixed, self.words, self.ids = mixed[order], words.take(pa.array(order)), (order + first).astype(np.int32)
+        runs = np.flatnonzero(np.concatenate([[True], self.mixed[1:] != self.mixed[:-1]]))
+        #: Most words of one hash.
+        self.most = int(np.diff(runs, append=len(order)).max()) if len(order) else 0
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        """The ids of words, 0 for others."""
+        mixed, ids = word_hashes(words), np.zeros(len(words), np.int32)
+        at = np.searchsorted(self.mixed, mixed)
+        for k in range(self.most):
+            like = np.minimum(at + k, len(self.mixed) - 1)
+            here = np.flatnonzero(self.mixed[like] == mixed)
+            same = pc.equal(words.take(pa.array(here)), self.words.take(pa.array(like[here]))).to_numpy(zero_copy_only=False)
+            ids[here[same]] = self.ids[like[here[same]]]
+        return ids
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of every word's bytes; no word is null or empty."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    begins, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+    power = np.cumprod(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64))
+    place = np.arange(len(data), dtype=np.int32) - np.repeat(begins, sizes)
+    return np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * power[place], begins)
+
+
+def _of_language(part: pa.Table, lang: str) -> Numbered:
+    """The words of a language of a sorted table; ids are consecutive."""
     rows = part.filter(pc.equal(part["lang"], lang))
-    return rows["word"].combine_chunks(), rows["id"][0].as_py()
+    return Numbered(pa.concat_arrays(rows["word"].chunks), rows["id"][0].as_py())
 
 
 def _filled(state: DataFrame, table: Broadcast, begin: bool, last: bool) -> DataFrame:
-    """The ids of one block's words put in; the words stay in the rows until the last block. Unknown words are 0 until then."""
+    """The ids of one block's words put in. Until the last block a row keeps its distinct words, their ids, 0 for unknown ones, and the text as numbers of its words."""
 
-    def words_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, str | None, np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
+    def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
         if begin:
             for lang, texts in _by_language(batches):
                 codes, words, follows = cut(texts)
-                yield lang, "\n".join(t or "" for t in texts), codes, words, follows, np.zeros(len(codes), np.int32)
+                # Numbers from 1, and a 0 wherever a phrase cannot go on.
+                yield lang, words, np.zeros(len(words), np.int32), np.insert(codes + 1, np.flatnonzero(~follows), 0).astype(np.int32)
         else:
             for batch in batches:
                 for row in batch.to_pylist():
-                    codes, words, follows = cut([row["text"]])
-                    yield row["lang"], row["text"], codes, words, follows, _numbers(row["ids"], row["size"], np.int32)
+                    words = pa.concat_arrays(pa.ipc.open_stream(row["words"]).read_all()["word"].chunks or [pa.array([], pa.string())])
+                    yield row["lang"], words, _numbers(row["known"], row["many"], np.int32), _numbers(row["text"], row["size"], np.int32)
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, text, codes, words, follows, ids in words_of(batches):
+        for lang, words, known, text in rows_of(batches):
             if lang in table.value and len(words):
-                known, at = table.value[lang]
-                found = pc.fill_null(pc.add(pc.index_in(words, value_set=known), at), 0).to_numpy(zero_copy_only=False)
-                ids = np.where(ids == 0, found[codes], ids).astype(np.int32)
+                known = np.where(known == 0, table.value[lang].of(words), known)
             if last:
-                ids = _stretches(ids, follows)
-            row = [pa.array([len(ids)], pa.int32()), pa.array([_pressed(ids)], pa.binary())]
-            if last:
-                yield pa.RecordBatch.from_arrays(row, names=["size", "ids"])
+                ids = _stretches(np.concatenate([np.zeros(1, np.int32), known])[text])
+                yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), pa.array([_pressed(ids)], pa.binary())], names=["size", "ids"])
             else:
-                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([text], pa.string()), *row], names=["lang", "text", "size", "ids"])
+                row = {"lang": pa.array([lang], pa.string()), "many": pa.array([len(words)], pa.int32()), "words": pa.array([_as_bytes(words)], pa.binary())}
+                row |= {"known": pa.array([_pressed(known)], pa.binary()), "size": pa.array([len(text)], pa.int32()), "text": pa.array([_pressed(text)], pa.binary())}
+                yield pa.RecordBatch.from_arrays([*row.values()], names=[*row])
+
+    return state.mapInArrow(fill, "size int, ids binary" if last else "lang string, many int, words binary, known binary, size int, text binary")
 
-    return state.mapInArrow(fill, "size int, ids binary" if last else "lang string, text string, size int, ids binary")
+
+def _as_bytes(words: pa.Array) -> bytes:
+    """Words as a compressed Arrow stream."""
+    sink, batch = pa.BufferOutputStream(), pa.RecordBatch.from_arrays([words], names=["word"])
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 def _pressed(numbers: np.ndarray) -> bytes:
@@ -194,13 +254,11 @@ def _numbers(data: bytes, size: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(f"<i{width}")
 
 
-def _stretches(ids: np.ndarray, follows: np.ndarray) -> np.ndarray:
-    """Ids with one 0 wherever a phrase cannot go on."""
-    at = np.flatnonzero(~follows)
-    broken = np.insert(ids, at, 0)
-    keep = broken != 0
-    keep[1:] |= broken[:-1] != 0
-    return broken[keep]
+def _stretches(ids: np.ndarray) -> np.ndarray:
+    """Ids with no 0 in front and only one between words."""
+    keep = ids != 0
+    keep[1:] |= ids[:-1] != 0
+    return ids[keep]
 
 
 def _task_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -357,23 +415,22 @@ def built_tries(phrases: DataFrame, n: int, base: int, least: int = 1) -> DataFr
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         ids = rows[columns].to_numpy(np.int64)
-        piece = np.zeros(bits, bool)
-        for place in places(packing.mixed(keys_of(ids)), bits):
-            piece[place] = True
-        piece = np.packbits(piece, bitorder="little").tobytes()
+        piece = np.zeros(bits // 64, np.uint64)
+        np.bitwise_or.at(piece, *places(packing.mixed(keys_of(ids)), bits))
+        piece = piece.astype("<u8").tobytes()
         return pd.DataFrame([Trie(ids, base).packed() | {"block": int(rows["block"].iloc[0]), "blocks": blocks, "bits": bits, "piece": piece}])
 
     dealt = phrases.select(*columns).mapInArrow(deal, ", ".join([*(f"{c} int" for c in columns), "block int"]))
     return cut_lineage(dealt.groupBy("block").applyInPandas(build, "offset binary, check binary, accept binary, phrases binary, size int, many int, block int, blocks int, bits int, piece binary"))
 
 
-def places(mixed: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """The places of phrases in their block's piece of the filter, by the mixed keys; ``bits`` is a power of 2."""
-    step = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    at, step = step >> np.uint64(33), (step >> np.uint64(5)) | np.uint64(1)
-    for _ in range(PLACES):
-        yield (at & np.uint64(bits - 1)).astype(np.int64)
-        at = at + step
+def places(mixed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of 64 bits in their block's piece of the filter and the bits in it that phrases set, by the mixed keys; ``bits`` is a power of 2."""
+    again = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    mask = np.zeros(len(mixed), np.uint64)
+    for k in range(PLACES):
+        mask |= np.uint64(1) << ((again >> np.uint64(58 - 6 * k)) & np.uint64(63))
+    return ((again >> np.uint64(4)) & np.uint64(bits // 64 - 1)).astype(np.int64), mask
 
 
 class Tries:
@@ -385,16 +442,17 @@ class Tries:
         self.blocks, self.bits, self.first, self.last = blocks, bits, first, last
         #: What was looked up for the counts, and of it the phrases that no trie accepts, by ``mixed``; None until then.
         self.answers: DataFrame | None = None
-        self.wrong: tuple[np.ndarray, list[np.ndarray]] | None = None
+        self.wrong: tuple[np.ndarray, list[np.ndarray], np.ndarray] | None = None
 
     @contextmanager
     def filter(self) -> Iterator[Broadcast]:
         """The filter while it is broadcast."""
-        whole = np.zeros((self.last - self.first) * self.bits // 8, np.uint8)
+        words = self.bits // 64
+        whole = np.zeros((self.last - self.first) * words, np.uint64)
         for row in self.built.select("block", "piece").toLocalIterator():
-            at = (row["block"] - self.first) * self.bits // 8
-            whole[at : at + self.bits // 8] = np.frombuffer(row["piece"], np.uint8)
-        broadcast = self.built.sparkSession.sparkContext.broadcast((whole.tobytes(), self.wrong))
+            at = (row["block"] - self.first) * words
+            whole[at : at + words] = np.frombuffer(row["piece"], "<u8")
+        broadcast = self.built.sparkSession.sparkContext.broadcast((whole, self.wrong))
         try:
             yield broadcast
         finally:
@@ -405,18 +463,22 @@ class Tries:
         packing, blocks, bits, first, last = self.packing, self.blocks, self.bits, self.first, self.last
 
         def passes(keys: list[np.ndarray], value: tuple) -> np.ndarray:
-            whole, wrong = np.frombuffer(value[0], np.uint8), value[1]
+            whole, wrong = value
             mixed = packing.mixed(keys)
             block = packing.part_of(mixed, blocks).astype(np.int64) - first
-            at = np.flatnonzero((block >= 0) & (block < last - first))
-            for _, place in zip(range(PLACES), places(mixed, bits), strict=True):
-                bit = block[at] * bits + place[at]
-                at = at[(whole[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 != 0]
+            word, mask = places(mixed, bits)
+            if last - first < blocks:
+                mine = (block >= 0) & (block < last - first)
+                block[~mine] = 0
+                good = mine & (whole[block * (bits // 64) + word] & mask == mask)
+            else:
+                good = whole[block * (bits // 64) + word] & mask == mask
             if wrong is not None and len(wrong[0]):
-                found = np.minimum(np.searchsorted(wrong[0], mixed[at]), len(wrong[0]) - 1)
-                at = at[~np.all([k[at] == w[found] for k, w in zip(keys, wrong[1], strict=True)], axis=0)]
-            good = np.zeros(len(mixed), bool)
-            good[at] = True
+                sorted_wrong, wrong_keys, sieve = wrong
+                at = np.flatnonzero(good)
+                at = at[sieve[_sieved(mixed[at], len(sieve))]]
+                found = np.minimum(np.searchsorted(sorted_wrong, mixed[at]), len(sorted_wrong) - 1)
+                good[at[np.all([k[at] == w[found] for k, w in zip(keys, wrong_keys, strict=True)], axis=0)]] = False
             return good
 
         return passes
@@ -454,7 +516,14 @@ class Tries:
         keys = self.packing.keys(ids.reshape(-1), np.arange(len(ids)) * self.n)
         mixed = self.packing.mixed(keys)
         order = np.argsort(mixed)
-        self.wrong = mixed[order], [k[order] for k in keys]
+        sieve = np.zeros(1 << max(6, (8 * len(ids)).bit_length()), bool)
+        sieve[_sieved(mixed, len(sieve))] = True
+        self.wrong = mixed[order], [k[order] for k in keys], sieve
+
+
+def _sieved(mixed: np.ndarray, size: int) -> np.ndarray:
+    """A place below ``size``, a power of 2: most phrases that are not wrong have one of their own and need no search."""
+    return ((mixed >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64)
 
 
 def tries(built: DataFrame, n: int, base: int) -> list[Tries]:

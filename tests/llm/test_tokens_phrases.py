@@ -396,6 +396,33 @@ def test_collocations_with_many_small_tries_and_a_weak_filter(spark, monkeypatch
     assert sorted(tuple(r) for r in got.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()) == plain_phrases(rows, 3, 3, 100)
 
 
+def test_words_of_one_hash_keep_their_ids(monkeypatch):
+    draw = random.Random(6)
+    words = sorted({"".join(draw.choices("abé日", k=draw.randint(1, 9))) for _ in range(3_000)})
+    asked = pa.array(["no", *words[::3], "x" * 70_000, "b" * 12])
+    want = [{w: i + 5 for i, w in enumerate(words[::2])}.get(w, 0) for w in asked.to_pylist()]
+    assert phrases.Numbered(pa.array(words[::2]), 5).of(asked).tolist() == want
+    assert phrases.Numbered(pa.array(words[::2]), 5).of(asked.slice(7, 90)).tolist() == want[7:97]
+    hashes = phrases.word_hashes
+    monkeypatch.setattr(phrases, "word_hashes", lambda found: hashes(found) % np.uint64(200))
+    assert phrases.Numbered(pa.array(words[::2]), 5).of(asked).tolist() == want
+
+
+def test_texts_are_cut_once_for_all_blocks_of_the_dictionary(spark, monkeypatch):
+    """Later blocks work on the distinct words of a row, which hold no text."""
+    monkeypatch.setattr(phrases, "DICTIONARY", 6)
+    docs = spark.createDataFrame([("en" if i % 3 else "de", f"the cat sat on. the mat {'again and ' * i}") for i in range(40)], "lang string, text string").repartition(2)
+    counts = phrases.word_counts(docs).where("word is not null")
+    written, cut_lineage = [], phrases.cut_lineage
+    monkeypatch.setattr(phrases, "cut_lineage", lambda df: written.append(df.columns) or cut_lineage(df))
+    corpus, words = phrases.number_words(docs, counts)
+    passes = [columns for columns in written if columns != ["id", "lang", "word", "f"]]
+    assert len(passes) > 1 and all("words" in c for c in passes[:-1]) and passes[-1] == ["size", "ids"]
+    spelled = {r["id"]: (r["lang"], r["word"]) for r in words.collect()}
+    found = Counter(spelled[i] for ids, _ in phrases._task_rows(corpus.toArrow().to_batches()) for i in ids.tolist() if i)
+    assert found == {(r["lang"], r["word"]): r["f"] for r in counts.collect()}
+
+
 def test_languages_of_short_texts_are_cut_together(monkeypatch):
     monkeypatch.setattr(phrases, "AT_ONCE", 4_000)
     draw = random.Random(3)
